@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +22,20 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names in
     spark.checkpoint.dir; only where that is unset (tests in local mode) a temporary one serves."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        _own_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -45,3 +52,12 @@ def look_up(rows: DataFrame, found: DataFrame, key: list[str], row_id: str, leav
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, modulo 4; the rows with remainder 2 are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder of spark.checkpoint.dir and read again."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
+    path = f"{top.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
