@@ -1 +1 @@
-"""Package."""
+"""Column expressions: deterministic draws and value generators."""

@@ -1 +1 @@
-"""Package."""
+"""Operators over rows: assignment of parents, validation, hierarchies, reports."""

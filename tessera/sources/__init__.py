@@ -1 +1 @@
-"""Package."""
+"""Sources: row indices, existing tables, schemas and configurations."""

@@ -1 +1 @@
-"""Package."""
+"""The row-wise validation on a stream."""
