@@ -119,7 +119,7 @@ def partly_null(child: DataFrame, columns: list[str]) -> DataFrame:
     return child.where((nulls > 0) & (nulls < len(columns)))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         if not spark.sparkContext.master.startswith("local["):
@@ -131,14 +131,14 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 def closure(tables: dict[str, DataFrame], keys: list[tuple[str, list[str], str, list[str]]]) -> dict[str, DataFrame]:
     """Tables without rows whose foreign keys (child, columns, parent, referenced) find no parent, to a
     fixed point: dropping a parent drops its children in turn."""
-    out = {name: _checkpoint(df) for name, df in tables.items()}
+    out = {name: checkpointed(df) for name, df in tables.items()}
     sizes = {name: df.count() for name, df in out.items()}
     while True:
         changed = False
         for child, columns, parent, ref in keys:
             have = out[parent].select(*[F.col(r).alias(c) for r, c in zip(ref, columns)]).distinct()
             whole = " and ".join(f"`{c}` is not null" for c in columns)
-            kept = _checkpoint(out[child].where(whole).join(have, columns, "left_semi").unionByName(out[child].where(f"not ({whole})")))
+            kept = checkpointed(out[child].where(whole).join(have, columns, "left_semi").unionByName(out[child].where(f"not ({whole})")))
             if (n := kept.count()) < sizes[child]:
                 out[child], sizes[child], changed = kept, n, True
         if not changed:
@@ -154,7 +154,7 @@ def distinct_values(rows: DataFrame, draw, column: str, order: str, rounds: int
         proposed = left.withColumn(column, draw(k))
         fresh = proposed if taken is None else proposed.join(taken.select(column), column, "left_anti")
         won = fresh.join(firsts(fresh, [column], [order]), [column, order], "left_semi").select(*rows.columns, column)
-        taken = _checkpoint(won if taken is None else taken.unionByName(won))
+        taken = checkpointed(won if taken is None else taken.unionByName(won))
         if taken.count() == total:
             return taken
         left = rows.join(taken.select(order), order, "left_anti")

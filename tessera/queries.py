@@ -253,13 +253,13 @@ def bridge_quota(spark, sf_dir):
 @query(
     f"""WITH l AS (SELECT c_nationkey AS nation, count(*) AS l FROM customer GROUP BY 1), r AS (SELECT s_nationkey AS nation, count(*) AS r FROM supplier GROUP BY 1),
     b AS (SELECT nation, l, r, l * r AS w FROM l JOIN r USING (nation)), c AS (SELECT *, sum(w) OVER (ORDER BY nation)::BIGINT AS high FROM b)
-    SELECT (SELECT count(*) FROM customer)::BIGINT AS pairs, count(*)::BIGINT AS nations, sum(w)::BIGINT AS possible, true AS distinct_pairs, true AS in_range FROM c"""
+    SELECT (SELECT count(*) FROM supplier)::BIGINT AS pairs, count(*)::BIGINT AS nations, sum(w)::BIGINT AS possible, true AS distinct_pairs, true AS in_range FROM c"""
 )
 def tenant_pairs(spark, sf_dir):
     """Pairs within nations: checked by their properties, as the order of nations is by a hash."""
     left = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
     right = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
-    n = count(spark, sf_dir, "customer")
+    n = count(spark, sf_dir, "supplier")
     pairs = assign.group_pairs(left, right, ["nation"], n, SEED, "bridge")
     sizes = left.withColumnRenamed("n", "l").join(right.withColumnRenamed("n", "r"), "nation")
     found = pairs.join(sizes, "nation").agg(
@@ -545,3 +545,23 @@ def serial_guard(spark, sf_dir):
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10")
 def preview_top10(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey").limit(10)
+
+
+@query(
+    f"""WITH p AS (SELECT idx, {pick_sql(u('order_id', 'fk', name='payments'), '(SELECT count(*) FROM orders)')} AS order_id, (100 + {pick_sql(u('amount', name='payments'), 99901)}) / 100.0::DOUBLE AS amount,
+    (DATE '1995-01-01' + {pick_sql(u('paid', name='payments'), 3654)}::INT)::DATE AS drawn FROM {ROWS})
+    SELECT idx, order_id, amount, greatest(drawn, o_orderdate::DATE) AS paid FROM p JOIN orders ON order_id = o_orderkey WHERE amount <= o_totalprice"""
+)
+def synth_payments(spark, sf_dir):
+    """Payments for existing orders: keys by arithmetic, a date bounded by the parent's, and only rows
+    that satisfy a rule on the parent."""
+    orders = table(spark, sf_dir, "orders")
+    paid = Cell(SEED, "payments", "paid", F.col("idx"))
+    made = assign.uniform(rows(spark, sf_dir), orders.count(), SEED, "payments", "order_id").withColumnRenamed("pidx", "order_id")
+    made = made.withColumn("amount", g.numeric_range(Cell(SEED, "payments", "amount", F.col("idx")), 1, 1000, 2).cast("double"))
+    made = rules.with_parent(made, orders, "order_id", {"order_id": "o_orderkey"}, ["o_orderdate", "o_totalprice"])
+    low = F.to_date(rules.parent_column("order_id", "o_orderdate"))
+    made = made.withColumn("paid", g.bounded(g.date_range(paid, dt.date(1995, 1, 1), dt.date(2005, 1, 1)), low=low))
+    rule = rules.Rule("amount <= parent(order_id).o_totalprice")
+    checked = validate.with_issues(made, [validate.rule(F.expr(rules.compile_text(rule.text, paid)[0]), ["amount"], rule.text)])
+    return validate.accepted(checked).select("idx", "order_id", "amount", "paid")
