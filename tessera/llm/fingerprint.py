@@ -9,7 +9,7 @@ text has the fingerprint of no k-mers (all zero), like only to itself.
 Each document's successor by (doc_id, text) is found without a global sort in one task: ids are cut into
 ranges at approximate quantiles, every row goes to its range's partition, and the first row of each
 range is also sent to the range before it (that of the first range to the last). Only these rows travel
-twice. Null texts count as empty; of rows that repeat a doc_id, the smaller text comes first; a table of
+twice. Null texts count as empty; a null doc_id comes before all others; of rows that repeat a doc_id, the smaller text comes first; a table of
 one row is its own successor; an empty table gives an empty result.
 """
 
@@ -27,12 +27,12 @@ from tessera.llm import common
 
 K = 12
 SKETCHES = 64
-_BLOCK = 1 << 18  # elements hashed at once
+_BLOCK = 1 << 17  # elements hashed at once
 
 
-def _seeds(sketches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(20240229).integers(0, 1 << 32, size=(3, sketches), dtype=np.uint64).astype(np.uint32)
-    return draw[0], draw[1] | 1, draw[2] | 1
+def _seeds(sketches: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(20240229).integers(0, 1 << 32, size=(2, sketches), dtype=np.uint64).astype(np.uint32)
+    return draw[0], draw[1] | 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,14 +87,14 @@ def order_minhash(text: str, k: int = K, sketches: int = SKETCHES) -> np.ndarray
         return out
     with np.errstate(over="ignore"):
         element = (_mix(mers + occurrences(mers) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-        xor, first, second = _seeds(sketches)
-        step = max(1, _BLOCK // n)
+        masks, factors = _seeds(sketches)
+        step = min(sketches, max(1, _BLOCK // n))
+        space = np.empty((step, n), dtype=np.uint32)
         for at in range(0, sketches, step):
-            some = slice(at, at + step)
-            y = element[None, :] ^ xor[some, None]
-            y *= first[some, None]
-            y ^= y >> np.uint32(15)
-            y *= second[some, None]
+            some = slice(at, min(sketches, at + step))
+            y = space[: some.stop - at]  # elements are mixed already: an odd factor after a mask reorders them
+            np.bitwise_xor(element, masks[some, None], out=y)
+            np.multiply(y, factors[some, None], out=y)
             rows = np.arange(len(y))
             a = y.argmin(axis=1)
             y[rows, a] = np.uint32(0xFFFFFFFF)
@@ -115,24 +115,24 @@ def edited(text: str, following: str) -> str:
 
 
 def with_successors(docs: DataFrame) -> DataFrame:
-    """(range, extra, doc_id, text): each partition one range in order of (doc_id, text), then the row
+    """(range, extra, at, doc_id, text): each partition one range in order of (doc_id, text), then the row
     that follows its last (extra 1)."""
     spark = docs.sparkSession
-    rows = common.texts(docs)
-    ids = rows.select("doc_id")
+    rows = common.texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
+    ids = rows.select("at")
     parts = common.partitions(spark)
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
+    cuts = ids.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
     bounds = sorted({int(c) for c in cuts})
-    number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    least = {r["range"]: r["least"] for r in ids.groupBy(number.alias("range")).agg(F.min("doc_id").alias("least")).collect()}  # a row for each range
+    number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("at"))) if bounds else F.lit(0)
+    least = {r["range"]: r["least"] for r in ids.groupBy(number.alias("range")).agg(F.min("at").alias("least")).collect()}  # a row for each range
     filled = sorted(least)
     before = {least[b]: a for a, b in zip([*filled[-1:], *filled], filled)}  # first id of a range -> the range before
     sent = F.array(F.struct(number.alias("range"), F.lit(0).alias("extra")))
     if before:
-        prior = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("doc_id"))
-        sent = F.when(F.col("doc_id").isin(*before), F.concat(sent, F.array(F.struct(prior.alias("range"), F.lit(1).alias("extra"))))).otherwise(sent)
-    rows = rows.withColumn("to", F.explode(sent)).select("to.range", "to.extra", "doc_id", "text")
-    return rows.repartitionById(len(bounds) + 1, F.col("range").cast("int")).sortWithinPartitions("extra", "doc_id", "text")
+        prior = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("at"))
+        sent = F.when(F.col("at").isin(*before), F.concat(sent, F.array(F.struct(prior.alias("range"), F.lit(1).alias("extra"))))).otherwise(sent)
+    rows = rows.withColumn("to", F.explode(sent)).select("to.range", "to.extra", "at", "doc_id", "text")
+    return rows.repartitionById(len(bounds) + 1, F.col("range").cast("int")).sortWithinPartitions("extra", "at", "text")
 
 
 def fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES) -> DataFrame:
@@ -142,7 +142,7 @@ def fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES) -> DataF
         last = None
         for batch in batches:
             out = []
-            for extra, doc_id, text in zip(batch.column("extra").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for extra, doc_id, text in zip(*(common.each(batch.column(c)) for c in ("extra", "doc_id", "text"))):
                 mark = order_minhash(text, k, sketches) if last is not None or not extra else None
                 if last is not None:
                     old_id, old, own = last
