@@ -9,7 +9,7 @@ corpus, the root included. A hot group of copies is one row in each run it takes
 Digests are verified: rows merge only if SHA-256, the length and an independent 64-bit hash all agree.
 
 Null texts count as empty, and empty texts are copies of each other. Of rows that repeat both the
-smallest doc_id and the text, one stays. An empty table gives an empty result.
+smallest doc_id and the text, one stays; a null doc_id is over all others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def exact_groups(docs: DataFrame, leaves: int | None = None, fan_in: int = 8) ->
         "doc_id",
         "keep_id",
         "group_size",
-        ((F.col("doc_id") == F.col("keep_id")) & (F.row_number().over(first) == 1)).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(first) == 1)).alias("kept"),
         "text_sha256",
     )
 
@@ -74,4 +74,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     names = docs.columns
     found = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__sha": F.sha2(normalised(F.col("text")), 256)})
-    return rows.join(found, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*names)
+    same = rows["__id"].eqNullSafe(found["__id"]) & (rows["__sha"] == found["__sha"])
+    return rows.join(found, same, "left_semi").dropDuplicates(["__id", "__sha"]).select(*names)

@@ -5,7 +5,7 @@ text (character references decoded, white space turned into single spaces), its
 where it stands. Lines inside page furniture (navigation, headers, footers, sidebars, forms, scripts,
 styles, and elements whose class, id or role says advert, menu, notice, comments and the like) never
 count. Text-to-tag ratios of the other lines are smoothed by a Gaussian kernel and clustered by a
-threshold into content and rest. If the content stands in an article or main element, all lines there
+threshold into content and rest; lines of links are rest. If the content stands in an article or main element, all lines there
 are the text, short ones too; else the text is the content regions, with the headings right before them
 and single lines between.
 
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import common
+
 SIGMA = 1.5
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -48,14 +50,16 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class LineParser(HTMLParser):
-    """Lines of a page: [text, tags, heading, in an article or main]."""
+    """Lines of a page: (text, tags, heading, mostly links, in an article or main)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, bool, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.heading = False
+        self.link = False
+        self.linked = 0  # characters of the line that are in links
         self.open: list[tuple[str, bool]] = []  # elements that end tags may close, and whether each is furniture
         self.shut = 0  # open elements that are furniture
         self.inside = 0  # open article and main elements
@@ -63,10 +67,11 @@ class LineParser(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.heading, self.inside > 0))
+            self.lines.append((text, self.tags, self.heading, 2 * self.linked > len(text), self.inside > 0))
             self.tags = 0
         self.parts = []
         self.heading = False
+        self.linked = 0
 
     def furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in FURNITURE or tag == "header" and not self.inside:
@@ -92,6 +97,7 @@ class LineParser(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
+        self.link |= tag == "a"
         mark = self.furniture(tag, attrs)
         if tag in LOOSE and not mark:
             return
@@ -107,6 +113,7 @@ class LineParser(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        self.link &= tag != "a"
         if tag in BLOCKS:
             self.cut()
         if any(t == tag for t, _ in self.open):
@@ -120,6 +127,7 @@ class LineParser(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.shut:
             self.parts.append(data)
+            self.linked += len(data.strip()) * self.link
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -153,7 +161,7 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
-    content = ratios >= threshold(ratios)
+    content = (ratios >= threshold(ratios)) & ~np.array([links for *_, links, _ in lines])
     if any(inside and chosen for (*_, inside), chosen in zip(lines, content)):
         return "\n".join(text for text, *_, inside in lines if inside)
     keep = content.copy()
@@ -169,7 +177,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(h) if h else "" for h in batch.column("html").to_pylist()]
+            found = [main_text(h) if h else "" for h in common.each(batch.column("html"))]
             sizes = pa.array([len(t) for t in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 

@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID) -> DataF
         encode = tokens.encoding().encode_ordinary
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(common.each(batch.column(0)), common.each(batch.column(1))):
                 ids = np.array([*encode(text), end_id], dtype="<u2")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, group: int
                 place, at = windows.place(length)
                 sequence.append(number << 32 | place)
                 offset.append(at)
-            wide = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in batch.column("ids").to_pylist()]
+            wide = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in common.each(batch.column("ids"))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array(wide, pa.binary()), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],
                 ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"],

@@ -271,5 +271,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     tail = F.substring(text, F.try_element_at(cut, F.lit(-1))["end"] + 1, F.length(text))
     clean = F.when(F.size(cut) > 0, F.concat(F.array_join(F.transform(cut, piece), ""), tail)).otherwise(text)
-    changed = {"text": clean} | ({"n_chars": F.length(clean).cast("long")} if "n_chars" in docs.columns else {})
-    return rows.withColumns(changed).select(*docs.columns)
+    rows = rows.withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*docs.columns)

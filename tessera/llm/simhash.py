@@ -19,7 +19,8 @@ linear size: two fingerprints are within 2 bits if and only if their balls of ra
 node names its 65 ball points and joins the smallest node of each. Components come from alternating
 large-star and small-star rounds, each cut by a checkpoint.
 
-Null texts count as empty. Rows that repeat a doc_id are separate rows of the same node.
+Null texts count as empty. A row's group depends on its text alone: rows that repeat a doc_id may be in
+different groups, and rows with a null doc_id are grouped too (component_id is null if all are).
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+            fps = np.fromiter((simhash(t) for t in common.each(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return common.texts(docs).mapInArrow(run, "doc_id long, fp long")
@@ -124,23 +125,22 @@ def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    """nodes (node, fp) -> (key, node, fp)."""
+    """nodes (fp) -> (key, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy(zero_copy_only=False)
-            fp = batch.column(1).to_numpy(zero_copy_only=False)
-            row, key = bucket_keys(fp.astype(np.int64).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row]), pa.array(fp[row])], ["key", "node", "fp"])
+            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, key = bucket_keys(fp.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "key long, node long, fp long")
+    return nodes.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def _forest(node: list[int], fp: list[int]) -> list[tuple[int, int]]:
+def _forest(fp: list[int]) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links within one bucket."""
     f = np.array(fp, dtype=np.int64).view(np.uint64)
     a, b = np.nonzero(np.triu(np.bitwise_count(f[:, None] ^ f[None, :]) <= MAX_BITS, 1))
-    root = list(range(len(node)))
+    root = list(range(len(fp)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -153,16 +153,16 @@ def _forest(node: list[int], fp: list[int]) -> list[tuple[int, int]]:
         x, y = find(i), find(j)
         if x != y:
             root[y] = x
-            edges.append((node[i], node[j]))
+            edges.append((fp[i], fp[j]))
     return edges
 
 
 def bucket_links(sorted_keys: DataFrame) -> DataFrame:
-    """Links within buckets of bounded size; sorted_keys (key, node, fp) has each bucket's rows
-    together in one partition."""
+    """Links within buckets of bounded size; sorted_keys (key, fp) has each bucket's rows together in one
+    partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list] = ([], [], [])
+        held: tuple[list, list] = ([], [])
         for batch in _and_end(batches):
             if batch is not None:
                 for column, values in zip(held, batch.columns):
@@ -170,7 +170,7 @@ def bucket_links(sorted_keys: DataFrame) -> DataFrame:
             key = np.array(held[0], dtype=np.int64)
             cuts = np.flatnonzero(np.diff(key)) + 1
             bounds = [0, *cuts.tolist()] + ([len(key)] if batch is None and len(key) else [])
-            edges = [e for i, j in zip(bounds, bounds[1:]) if j - i > 1 for e in _forest(held[1][i:j], held[2][i:j])]
+            edges = [e for i, j in zip(bounds, bounds[1:]) if j - i > 1 for e in _forest(held[1][i:j])]
             if len(bounds) > 1:
                 held = tuple(column[bounds[-1] :] for column in held)
             if edges:
@@ -186,21 +186,21 @@ def _and_end(batches: Iterator) -> Iterator:
 
 
 def ball_links(nodes: DataFrame) -> DataFrame:
-    """Links of the nodes (node, fp) by common points of their balls of radius one; no pairs are made."""
-    points = nodes.select("node", F.explode(F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("point"))
-    least = points.groupBy("point").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return points.join(least, "point").where("a <> node").select("a", F.col("node").alias("b"))
+    """Links of the nodes (fp) by common points of their balls of radius one; no pairs are made."""
+    points = nodes.select("fp", F.explode(F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("point"))
+    least = points.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return points.join(least, "point").where("a <> fp").select("a", F.col("fp").alias("b"))
 
 
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between the nodes (node, fp)."""
+    """Edges (a, b) whose components are those of all links between the nodes (fp)."""
     parts = common.partitions(nodes.sparkSession)
     keys = keyed(nodes)
     sizes = keys.groupBy("key").count().where("count > 1")
     shared = keys.join(sizes, "key")
-    small = shared.where(F.col("count") <= bucket).select("key", "node", "fp")
-    hot = shared.where(F.col("count") > bucket).select("node", "fp").distinct()
-    small = small.repartition(parts, "key").sortWithinPartitions("key", "node")
+    small = shared.where(F.col("count") <= bucket).select("key", "fp")
+    hot = shared.where(F.col("count") > bucket).select("fp").distinct()
+    small = small.repartition(parts, "key").sortWithinPartitions("key", "fp")
     return bucket_links(small).union(ball_links(hot))
 
 
@@ -238,17 +238,20 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text)."""
     fps = common.checkpointed(fingerprints(docs))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    found = components(links(nodes))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    found = components(links(nodes)).withColumnRenamed("node", "fp")
+    linked = nodes.join(found, "fp", "left")
+    least = linked.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    named = linked.join(least, "component", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     rows = common.look_up(fps, named, ["fp"], "doc_id", max(64, common.partitions(docs.sparkSession)))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group of docs, that of the smallest doc_id, with docs' columns.
-    Rows that repeat a doc_id stay or go together."""
+    Rows that repeat a doc_id stay or go together; rows with a null doc_id stay."""
     names = docs.columns
     kept = near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    return rows.join(kept, "__id", "left_semi").select(*names)
+    named = rows.join(kept, "__id", "left_semi").select(*names)
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -26,7 +26,7 @@ def lengths(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoding().encode_ordinary
         for batch in batches:
-            sizes = pa.array([len(encode(t)) for t in batch.column(1).to_pylist()], pa.int64())
+            sizes = pa.array([len(encode(t)) for t in common.each(batch.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes], ["doc_id", "n_tokens"])
 
     return common.texts(docs).mapInArrow(run, "doc_id long, n_tokens long")
@@ -65,7 +65,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, truncated_total, docs_over) for any limits: a limit between two lengths is
+    """(context_limit, truncated_total, docs_over) for any limits; docs_over are longer than the limit. A limit between two lengths is
     answered from the next longer one, a limit beyond all from the longest."""
     sums = sums.select("n_tokens", "n_docs", "docs_from", "truncated_total")
     asked = []
@@ -74,7 +74,7 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
         asked.append(F.struct(F.lit(limit).cast("long").alias("context_limit"), F.min(longer).alias("next"), F.max(F.struct("n_tokens", "truncated_total")).alias("last")))
     found = sums.agg(F.array(*asked).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     cut = F.col("next.truncated_total") - (F.col("next.n_tokens") - F.col("context_limit")) * F.col("next.docs_from")
-    return found.select("context_limit", F.coalesce(cut, F.col("last.truncated_total")).alias("truncated_total"), F.coalesce("next.docs_from", F.lit(0)).alias("docs_over"))
+    return found.select("context_limit", F.coalesce(cut, F.col("last.truncated_total")).alias("truncated_total"), F.coalesce("next.docs_from", F.lit(0).cast("long")).alias("docs_over"))
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
