@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Encoding. Texts are split into pre-tokens by the vocabulary's pattern. A block of whole documents (about
-`block` characters) lists its distinct words and, for each document, the places of its pre-tokens in that
-list. The list is dealt out by a hash of the word, a row for each block and bucket; the task of a bucket
-sees every occurrence of its words in the corpus, encodes each distinct word once and answers each block
-with ids. The answers and the block's places meet again by block, and documents are put together by
-position. A frequent word is in each block's list once, so no word is a hot key, and places travel
-compressed.
+Encoding. Texts are split into pre-tokens by the vocabulary's pattern. A chunk is a run of documents of
+one input split whose distinct words fit a bounded dictionary. Chunks are cut into blocks of about `block`
+characters; each block lists the words that are new in its chunk and, for each document, the places of
+its pre-tokens in the chunk's dictionary. The lists are dealt out by a hash of the word, a row for each
+block and bucket; the task of a bucket sees every occurrence of its words in the corpus, encodes each
+distinct word once and answers each chunk with ids. The answers and the places meet again by chunk, and
+documents are put together by position. A frequent word is in each chunk's dictionary once, so no word is
+a hot key. Places travel once, compressed; the texts are split twice for that, which costs less than
+carrying the places through the first shuffle or writing them.
 
 Decoding reads the bytes of each id from the table of token bytes.
 
@@ -23,25 +25,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common, tokens
 
-BLOCK = 4_000_000
+BLOCK = 2_000_000
+DICTIONARY = 250_000
 BUCKETS = 1024
 WORDS, PLACES = 0, 1
-ROWS = "block long, kind int, bucket int, payload binary"
-_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
+ROWS = "chunk long, kind int, block int, bucket int, payload binary"
+_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Arrays of 4- or 8-byte integers or bytes, compressed together."""
+    """Arrays of integers compressed together, byte by byte of equal weight, as high bytes hold little."""
     import zstandard
 
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], dtype=np.int64)
-    return zstandard.compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays)]), 1)
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
+    return zstandard.compress(b"".join([head.tobytes(), *planes]), 1)
 
 
 def unpack_arrays(data: bytes) -> list[np.ndarray]:
@@ -52,7 +55,8 @@ def unpack_arrays(data: bytes) -> list[np.ndarray]:
     head = np.frombuffer(data, np.int64, 2 * n, 8).reshape(n, 2)
     at, out = 8 + 16 * n, []
     for width, size in head.tolist():
-        out.append(np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.int32, 8: np.int64}[width], size, at))
+        planes = np.frombuffer(data, np.uint8, width * size, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view({1: np.uint8, 2: np.uint16, 4: np.int32, 8: np.int64}[width]).reshape(size))
         at += width * size
     return out
 
@@ -64,115 +68,146 @@ def ragged(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarra
     return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
 
 
-def _split(block: list[tuple[int, str]], number: int, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
-    find = tokens.pattern().findall
-    known: dict[str, int] = {}
-    add = known.setdefault
-    places, sizes = [], []
-    for _, text in block:
-        row = np.array([add(w, len(known)) for w in find(text)], dtype=np.int32)
-        places.append(row)
-        sizes.append(len(row))
-    words = [w.encode() for w in known]
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
-    order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(words), dtype=np.int32)
-    rank[order] = np.arange(len(words), dtype=np.int32)
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    order = order.tolist()
-    for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-        some = [words[i] for i in order[cuts[b] : cuts[b + 1]]]
-        lengths = np.fromiter(map(len, some), np.int32, len(some))
-        yield number, WORDS, b, pack_arrays(lengths, np.frombuffer(b"".join(some), np.uint8))
-    flat = rank[np.concatenate(places)] if places else rank[:0]
-    ids = np.array([i for i, _ in block], dtype=np.int64)
-    yield number, PLACES, number % buckets, pack_arrays(ids, np.array(sizes, dtype=np.int32), flat)
+class Chunk:
+    """A dictionary of words and the rows of its blocks."""
+
+    def __init__(self, number: int, buckets: int):
+        self.number, self.buckets = number, buckets
+        self.known: dict[str, int] = {}
+        self.blocks = 0
+        self._begin()
+
+    def _begin(self) -> None:
+        self.fresh: list[str] = []
+        self.ids: list[int | None] = []
+        self.places: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        known, fresh, row = self.known, self.fresh, []
+        for word in tokens.pattern().findall(text):
+            at = known.get(word)
+            if at is None:
+                at = known[word] = len(known)
+                fresh.append(word)
+            row.append(at)
+        self.ids.append(doc_id)
+        self.places.append(np.array(row, dtype=np.int32))
+        self.size += len(text)
+
+    def flush(self, kind: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """The block's rows of one kind. New words are numbered anew in order of bucket, as their answers
+        arrive."""
+        words = [w.encode() for w in self.fresh]
+        first = len(self.known) - len(words)
+        bucket = np.fromiter((zlib.crc32(w) % self.buckets for w in words), np.int32, len(words))
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(words), dtype=np.int32)
+        rank[order] = np.arange(first, first + len(words), dtype=np.int32)
+        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        order = order.tolist()
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist() if kind == WORDS else []:
+            some = [words[i] for i in order[cuts[b] : cuts[b + 1]]]
+            lengths = np.fromiter(map(len, some), np.int32, len(some))
+            yield self.number, WORDS, self.blocks, b, pack_arrays(lengths, np.frombuffer(b"".join(some), np.uint8))
+        self.known.update(zip(self.fresh, rank.tolist()))
+        if kind == PLACES:
+            flat = np.concatenate(self.places)
+            new = flat >= first
+            flat[new] = rank[flat[new] - first]
+            sizes = np.array([len(p) for p in self.places], dtype=np.int32)
+            ids = np.array([0 if i is None else i for i in self.ids], dtype=np.int64)
+            missing = np.array([i is None for i in self.ids], dtype=np.uint8)
+            yield self.number, PLACES, self.blocks, 0, pack_arrays(ids, missing, sizes, flat)
+        self.blocks += 1
+        self._begin()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, _ARROW)], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, _ARROW)], schema=_ARROW)
 
 
-def split_blocks(docs: DataFrame, block: int, buckets: int) -> DataFrame:
+def split_blocks(docs: DataFrame, kind: int, block: int, buckets: int, dictionary: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 24
-        held: list[tuple[int, str]] = []
-        size = 0
+        chunk = None
         for batch in batches:
-            for doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append(doc)
-                size += len(doc[1])
-                if size >= block:
-                    yield _batch(list(_split(held, number, buckets)))
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield _batch(list(_split(held, number, buckets)))
+            for doc_id, text, part in zip(*map(common.each, batch.columns)):
+                chunk = chunk or Chunk(part << 24, buckets)
+                chunk.add(doc_id, text)
+                if chunk.size >= block:
+                    yield _batch(list(chunk.flush(kind)))
+                    if len(chunk.known) > dictionary:
+                        chunk = Chunk(chunk.number + 1, buckets)
+        if chunk and chunk.ids:
+            yield _batch(list(chunk.flush(kind)))
 
-    return common.texts(docs).mapInArrow(run, ROWS)
+    # the scan's own partition: a union may number its tasks otherwise
+    return common.texts(docs).withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, ROWS)
 
 
 def encode_words(rows: DataFrame) -> DataFrame:
-    """Answers the word lists of its buckets; places pass through."""
+    """Answers the word lists of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoding().encode_ordinary
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             out = []
-            for number, kind, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == WORDS:
-                    lengths, data = unpack_arrays(payload)
-                    data, ends, at, flat, sizes = data.tobytes(), np.cumsum(lengths).tolist(), 0, [], []
-                    for end in ends:
-                        word = data[at:end]
-                        at = end
-                        ids = known.get(word)
-                        if ids is None:
-                            ids = known[word] = encode(word.decode())
-                        flat += ids
-                        sizes.append(len(ids))
-                    payload = pack_arrays(np.array(sizes, dtype=np.int32), np.array(flat, dtype=np.int32))
-                out.append((number, kind, bucket, payload))
+            for number, kind, block, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                lengths, data = unpack_arrays(payload)
+                data, at, flat, sizes = data.tobytes(), 0, [], []
+                for end in np.cumsum(lengths).tolist():
+                    word = data[at:end]
+                    at = end
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = encode(word.decode())
+                    flat += ids
+                    sizes.append(len(ids))
+                out.append((number, kind, block, bucket, pack_arrays(np.array(sizes, dtype=np.int32), np.array(flat, dtype=np.uint16))))
             yield _batch(out)
 
     return rows.mapInArrow(run, ROWS)
 
 
 def put_together(rows: DataFrame) -> DataFrame:
-    """rows hold each block's answers by bucket, then its places, in one partition."""
+    """rows hold each chunk's answers by block and bucket, then its places by block, in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, flat = [], []
+        chunk, sizes, flat, table = None, [], [], None
         for batch in batches:
-            for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist()):
+            for number, kind, payload in zip(batch.column("chunk").to_pylist(), batch.column("kind").to_pylist(), batch.column("payload")):
+                if number != chunk:
+                    chunk, sizes, flat, table = number, [], [], None
                 if kind == WORDS:
-                    s, f = unpack_arrays(payload)
+                    s, f = unpack_arrays(payload.as_py())
                     sizes.append(s)
                     flat.append(f)
                     continue
-                ids, counts, places = unpack_arrays(payload)
-                size = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-                table = np.concatenate(flat).astype(np.uint16) if flat else np.zeros(0, np.uint16)
-                starts = np.cumsum(size) - size
+                if table is None:  # all answers are in: they come first
+                    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
+                    table = np.concatenate(flat) if flat else np.zeros(0, np.uint16)
+                    starts = np.cumsum(size, dtype=np.int64) - size
+                ids, missing, counts, places = unpack_arrays(payload.as_py())
                 at, out = 0, []
                 for n in counts.tolist():
                     some = places[at : at + n]
                     at += n
                     out.append(ragged(starts[some], size[some], table).tobytes())
-                sizes, flat = [], []
                 lengths = pa.array([len(x) // 2 for x in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), lengths, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=missing.astype(bool)), lengths, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def encode(docs: DataFrame, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
+def encode(docs: DataFrame, block: int = BLOCK, buckets: int = BUCKETS, dictionary: int = DICTIONARY) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row of docs; ids are unsigned 16-bit, little-endian."""
     parts = common.partitions(docs.sparkSession)
     buckets = min(parts, buckets)
-    dealt = split_blocks(docs, block, buckets).repartitionById(buckets, F.col("bucket"))
-    answered = encode_words(dealt).repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
-    return put_together(answered)
+    lists = split_blocks(docs, WORDS, block, buckets, dictionary).repartitionById(buckets, F.col("bucket"))
+    places = split_blocks(docs, PLACES, block, buckets, dictionary)
+    rows = encode_words(lists).unionByName(places).repartition(parts, "chunk")
+    return put_together(rows.sortWithinPartitions("chunk", "kind", "block", "bucket"))
 
 
 class ByteTable:
@@ -200,13 +235,17 @@ def decimal_table() -> ByteTable:
     return ByteTable([b"%d " % i for i in range(len(tokens.token_bytes()))])
 
 
+def decoded(ids: bytes) -> bytes:
+    return token_table().join(np.frombuffer(ids, "<u2"))
+
+
 def decode(encoded: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids, data): encoded with the bytes that its ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [token_table().join(np.frombuffer(x, "<u2")) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids", "data"])
+            data = pa.array([decoded(x.as_py()) for x in batch.column("ids")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, data], ["doc_id", "n_tokens", "ids", "data"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, data binary")
 
@@ -216,9 +255,12 @@ def digests(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids").to_pylist()
-            listed = [hashlib.sha256(decimal_table().join(np.frombuffer(x, "<u2"))[:-1]).hexdigest() for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(listed), batch.column("data")], ["doc_id", "n_tokens", "ids_sha256", "data"])
-
-    listed = decode(encode(docs)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, data binary")
-    return listed.select("doc_id", "n_tokens", "ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
+            listed, data = [], []
+            for ids in batch.column("ids"):
+                ids = ids.as_py()
+                listed.append(hashlib.sha256(decimal_table().join(np.frombuffer(ids, "<u2"))[:-1]).hexdigest())
+                data.append(hashlib.sha256(decoded(ids)).hexdigest())
+            columns = [batch.column("doc_id"), batch.column("n_tokens"), pa.array(listed, pa.string()), pa.array(data, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
