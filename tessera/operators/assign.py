@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.draws import Cell, pick
-from tessera.operators.ranks import cumulative, numbered, range_lookup
+from tessera.operators.ranks import cumulative, numbered, range_lookup, ranges_of
 
 
 class InfeasibleError(ValueError):
@@ -150,11 +150,17 @@ def bounded_pairs(rows: DataFrame, left: int, right: int, low: tuple[int, int],
 
 
 def positions(members: DataFrame, group: list[str], order: list[str], pos: str = "pos", n: str = "n") -> DataFrame:
-    """members with their 0-based position in their group and the group's size. Sizes are aggregated
-    before they are joined."""
-    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias(n))
-    w = Window.partitionBy(*group).orderBy(*order)
-    return members.withColumn(pos, (F.row_number().over(w) - 1).cast("bigint")).join(sizes, group)
+    """members with their 0-based position in their group and the group's size. order[0] is numeric: a
+    group is ranked within ranges of it, and each range starts after the group's rows in lower ones, so a
+    large group is spread over tasks."""
+    cut = ranges_of(members, F.col(order[0]))
+    sizes = cut.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__in"))
+    own = Window.partitionBy(*group).orderBy("__range")
+    below = F.coalesce(F.sum("__in").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*group, "__range", below.alias("__below"), F.sum("__in").over(Window.partitionBy(*group)).alias(n))
+    rank = F.row_number().over(Window.partitionBy(*group, "__range").orderBy(*order))
+    ranked = cut.withColumn("__rank", rank).join(sizes, [*group, "__range"])
+    return ranked.withColumn(pos, (F.col("__rank") - 1 + F.col("__below")).cast("bigint")).drop("__rank", "__below", "__range")
 
 
 def within_group(children: DataFrame, members: DataFrame, group: list[str], order: list[str], seed: int, table: str, fk: str) -> DataFrame:

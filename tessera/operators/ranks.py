@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ranges_of(df: DataFrame, by: Column) -> DataFrame:
+    """df with __range, the number of the range of a numeric column between its approximate quantiles."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(by.cast("double"), [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or [0.0]
+    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
+    return df.withColumn("__k", by.cast("double")).withColumn("__range", F.size(F.filter(bounds, lambda b: b <= F.col("__k")))).drop("__k")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with 0-based positions in an order. order[0] is numeric: rows are cut into ranges at its
     approximate quantiles; a row's number is its rank in its range plus the rows of lower ranges (a row
     for each range goes to the driver). Ties need further order columns."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("__k", order[0].cast("double"))
-    cuts = keyed.agg(F.percentile_approx("__k", [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array(F.lit(0.0))
-    keyed = keyed.withColumn("__range", F.size(F.filter(bounds, lambda b: b <= F.col("__k"))))
+    keyed = ranges_of(df, order[0])
     sizes = {r["__range"]: r["count"] for r in keyed.groupBy("__range").count().collect()}
     below, total = {}, 0
     for number in sorted(sizes):
@@ -22,7 +26,7 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         total += sizes[number]
     offset = F.element_at(F.create_map(*[F.lit(x) for pair in below.items() for x in pair]), F.col("__range")) if below else F.lit(0)
     rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return keyed.withColumn(name, (rank - 1 + offset).cast("bigint")).drop("__k", "__range")
+    return keyed.withColumn(name, (rank - 1 + offset).cast("bigint")).drop("__range")
 
 
 def cumulative(weights: DataFrame, weight: str, order: str, group: list[str] | None = None, parts: int = 64) -> DataFrame:

@@ -265,7 +265,8 @@ def tenant_pairs(spark, sf_dir):
     found = pairs.join(sizes, "nation").agg(
         F.count(F.lit(1)).alias("pairs"), (F.countDistinct("nation", "lpos", "rpos") == n).alias("distinct_pairs"), F.min((F.col("lpos") < F.col("l")) & (F.col("rpos") < F.col("r"))).alias("in_range")
     )
-    return found.crossJoin(sizes.agg(F.count(F.lit(1)).alias("nations"), F.sum(F.col("l") * F.col("r")).alias("possible")))  # one row each
+    nations, possible = sizes.agg(F.count(F.lit(1)), F.sum(F.col("l") * F.col("r"))).first()
+    return found.withColumns({"nations": F.lit(nations).cast("bigint"), "possible": F.lit(possible).cast("bigint")})
 
 
 @query(
