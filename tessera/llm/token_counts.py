@@ -45,21 +45,18 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     inside = Window.partitionBy("span").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
     above = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each 1,024 lengths
     spans = hist.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
-    totals = spans.agg(F.sum("d").alias("all_docs"), F.sum("t").alias("all_tokens"))
+    all_docs, all_tokens = map(F.lit, spans.agg(F.coalesce(F.sum("d"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first())
     later = spans.select("span", F.coalesce(F.sum("d").over(above), F.lit(0)).alias("d"), F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t"))
-    one = totals.withColumn("one", F.lit(1))
     return (
         hist.select("*", F.sum("n_docs").over(inside).alias("di"), F.sum("tokens").over(inside).alias("ti"))
         .join(later, "span")
-        .withColumn("one", F.lit(1))
-        .join(F.broadcast(one), "one")  # one row
         .select(
             "n_tokens",
             "n_docs",
             (F.col("di") + F.col("d")).alias("docs_from"),
             (F.col("ti") + F.col("t")).alias("tokens_from"),
-            (F.col("all_tokens") - F.col("ti") - F.col("t") + F.col("n_tokens") * (F.col("di") + F.col("d"))).alias("truncated_total"),
-            ((F.col("all_docs") - F.col("di") - F.col("d") + F.col("n_docs")) / F.col("all_docs")).alias("docs_to_share"),
+            (all_tokens - F.col("ti") - F.col("t") + F.col("n_tokens") * (F.col("di") + F.col("d"))).alias("truncated_total"),
+            ((all_docs - F.col("di") - F.col("d") + F.col("n_docs")) / all_docs).alias("docs_to_share"),
         )
     )
 
