@@ -1,16 +1,17 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text answers which strings occur in it. A document is
-cut greedily into the longest phrases that occur there; the language that needs the fewest phrases per
-character wins. Texts are read in blocks of `block` characters, each parsed from its start, so long
+cut greedily into the longest phrases that occur there; the language that needs the fewest normalised
+phrases wins. Texts are read in blocks of `block` characters, each parsed from its start, so long
 texts cost no more than short ones and a block adds one phrase at most.
 
 Training text: of each language, whole texts of at most `max_chars` characters among the rows that are
-not held out and have a label, `rows` of them at most, smallest hash of the id first. Both bounds are
-parameters; their product bounds what is sent to the executors. Everything else reads all rows.
+not held out and have a label, `rows` of them at most, smallest hash of the id first, until they hold
+`sample` characters. These bounds are parameters and limit what is sent to the executors. Everything else
+reads all rows. Phrases are normalised by what one costs: the logarithm of the training text's length.
 
-Characters are lower-cased; all white space counts as a space, digits as 0 and characters that are
-in no training text as one unknown symbol. A null text, or one without a letter, is `und` with score 0.
+Letters are lower-cased; each run of other characters counts as one space, as signs and digits say
+nothing of a language; letters that are in no training text are one unknown symbol. A null text, or one without a letter, is `und` with score 0.
 The score is the softmax share of the winner over the languages' bits, within 0 and 1. Ties go to the
 alphabetically first language. With no labelled text at all every row is `und`. Rows that repeat are
 predicted alike.
@@ -25,16 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import common
 
-ROWS = 48
-MAX_CHARS = 1200
+ROWS = 64
+MAX_CHARS = 2000
+SAMPLE = 20_000
 BLOCK = 256
 UNKNOWN = "und"
 
 
-def training_texts(docs: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS) -> dict[str, list[str]]:
+def training_texts(docs: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS, sample: int = SAMPLE) -> dict[str, list[str]]:
     """The bounded sample by language. Ranks are limited within salts first, so that no task holds a
     language's rows."""
     seen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.fold(F.col("doc_id")) != 2))
@@ -47,12 +50,23 @@ def training_texts(docs: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS
         seen = seen.withColumn("rank", rank).where(F.col("rank") <= rows).drop("rank")
     found: dict[str, list[str]] = {}
     for r in seen.select("lang", "order", "text").orderBy("lang", "order", "text").collect():  # rows x languages at most
-        found.setdefault(r["lang"], []).append(r["text"])
+        mine = found.setdefault(r["lang"], [])
+        if sum(map(len, mine)) < sample:
+            mine.append(r["text"])
     return found
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
 def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
+    points = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
+    points = np.where(_letters()[points], points, np.uint32(32))
+    keep = np.ones(len(points), dtype=bool)
+    keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
+    return points[keep]
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -94,16 +108,13 @@ class CrossParser:
     def __init__(self, training: tuple[tuple[str, tuple[str, ...]], ...], block: int = BLOCK):
         self.languages = [lang for lang, _ in training]
         self.block = block
-        kinds = sorted({int(_class(c)) for _, ts in training for t in ts for c in np.unique(code_points(t))})
-        self.symbols = np.zeros(0x110000 + 1, dtype=np.uint8 if len(kinds) < 250 else np.uint16)
-        known = {k: i + 1 for i, k in enumerate(kinds)}
-        for c in range(0x3000):
-            self.symbols[c] = known.get(int(_class(c)), 0)
-        for k, i in known.items():
-            self.symbols[k] = i
+        kinds = sorted({int(c) for _, ts in training for t in ts for c in np.unique(code_points(t))})
+        self.symbols = np.zeros(0x110000 + 1, dtype=np.uint8 if len(kinds) < 250 else np.int32)
+        self.symbols[kinds] = np.arange(1, len(kinds) + 1)
         self.width = len(kinds) + 2
         self.pad = self.width - 1
         self.symbols[-1] = self.pad
+        self.cost = np.log([max(2, sum(map(len, ts))) for _, ts in training])
         tables, self.starts, at = [], [], 0
         for _, ts in training:
             symbols: list[int] = []
@@ -111,17 +122,20 @@ class CrossParser:
                 symbols += self.symbols[code_points(t)].tolist()
                 symbols.append(-1 - i)
             nexts = suffix_automaton(symbols)
-            table = np.full((len(nexts), self.width), -1, dtype=np.int64)
+            dead = at + len(nexts)  # after a symbol that occurs nowhere: any symbol starts a new phrase
+            begin = np.full(self.width, 2 * dead, dtype=np.int32)  # a phrase ends, the symbol starts the next
+            for c, t in nexts[0].items():
+                if c >= 0:
+                    begin[c] = 2 * (t + at)
+            table = np.tile(begin | 1, (len(nexts) + 1, 1))
             for s, moves in enumerate(nexts):
                 for c, t in moves.items():
                     if c >= 0:
                         table[s, c] = 2 * (t + at)
-            begin = np.where(table[0] >= 0, table[0], 2 * at) | 1  # a phrase ends, the symbol starts the next
-            table = np.where(table >= 0, table, begin[None, :])
-            table[:, self.pad] = 2 * (np.arange(len(nexts)) + at)
-            tables.append(table.astype(np.int32))
+            table[:, self.pad] = 2 * (np.arange(len(table)) + at)
+            tables.append(table)
             self.starts.append(at)
-            at += len(nexts)
+            at += len(table)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,25 +163,18 @@ class CrossParser:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lettered = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        for at in range(0, len(lettered), 256):
-            some = lettered[at : at + 256]
-            counts, sizes = self.phrases([texts[i] for i in some])
-            # the fewest phrases per character win; each costs about the bits of a place in the training text
-            bits = -counts * np.log(max(2, len(self.table) // max(1, self.width) // len(self.languages)))
-            share = np.exp(bits - bits.max(axis=1, keepdims=True))
+        if lettered:
+            counts, _ = self.phrases([texts[i] for i in lettered])
+            cost = counts * self.cost
+            share = np.exp(cost.min(axis=1, keepdims=True) - cost)
             share /= share.sum(axis=1, keepdims=True)
-            best = counts.argmin(axis=1)
-            for j, i in enumerate(some):
+            best = cost.argmin(axis=1)
+            for j, i in enumerate(lettered):
                 langs[i], scores[i] = self.languages[best[j]], float(share[j, best[j]])
         return langs, scores
 
 
-def _class(point: int) -> int:
-    c = chr(point)
-    return 32 if c.isspace() else 48 if c.isdigit() else point
-
-
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(training: tuple[tuple[str, tuple[str, ...]], ...], block: int) -> CrossParser:
     return CrossParser(training, block)
 
@@ -176,28 +183,19 @@ def identify(docs: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS, bloc
     """docs with the columns __held_out, __lang_pred and __score added to its own."""
     learned = tuple((k, tuple(v)) for k, v in sorted(training_texts(docs, rows, max_chars).items()))
     sent = docs.sparkSession.sparkContext.broadcast(learned)  # rows x max_chars x languages characters at most
+    at = docs.columns.index("text")
 
-    def predict(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = parser(sent.value, block)
-        for series in batches:
-            langs, scores = known.predict(series.where(series.notna(), None).tolist())
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
-
-    predicted = _scalar_iter(predict)
-    out = docs.withColumn("__found", predicted(F.col("text")))
-    return out.withColumns({"__held_out": common.fold(F.col("doc_id")) == 2, "__lang_pred": F.col("__found.lang_pred"), "__score": F.col("__found.score")}).drop("__found")
-
-
-def _scalar_iter(run):
-    import pandas as pd
-
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from run(batches)
-
-    typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(typed, "lang_pred string, score double")
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                some = batch.slice(start, 256)
+                langs, scores = known.predict(some.column(at).to_pylist())
+                columns = [*some.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, [*some.schema.names, "__lang_pred", "__score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
+    return docs.mapInArrow(predict, schema).withColumn("__held_out", common.fold(F.col("doc_id")) == 2)
 
 
 def predictions(docs: DataFrame) -> DataFrame:
