@@ -14,7 +14,7 @@ from tessera.functions import generators as g
 from tessera.functions import rules
 from tessera.functions.draws import Cell, pick, uniform_sql
 from tessera.operators import assign, reports, validate
-from tessera.operators.ranks import numbered
+from tessera.operators.ranks import cumulative, numbered
 from tessera.sinks import cells
 
 SEED = 42
@@ -566,3 +566,42 @@ def synth_payments(spark, sf_dir):
     rule = rules.Rule("amount <= parent(order_id).o_totalprice")
     checked = validate.with_issues(made, [validate.rule(F.expr(rules.compile_text(rule.text, paid)[0]), ["amount"], rule.text)])
     return validate.accepted(checked).select("idx", "order_id", "amount", "paid")
+
+
+@query("SELECT o_orderkey AS idx, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
+def group_positions(spark, sf_dir):
+    """The free column of a compound key: a row's number within the rest of the key."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), "o_custkey")
+    return assign.positions(orders, ["o_custkey"], ["idx"]).select("idx", "o_custkey", "pos", "n")
+
+
+@query("SELECT p_partkey AS idx, (sum(p_size) OVER (ORDER BY p_partkey))::BIGINT AS high, (sum(p_size) OVER (ORDER BY p_partkey) - p_size)::BIGINT AS low FROM part")
+def cumulative_weights(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("bigint").alias("w"))
+    return cumulative(parts, "w", "idx").select("idx", "high", "low")
+
+
+@query(
+    f"""SELECT idx, floor(o_totalprice * (1 + 0.1::DOUBLE * (sqrt(-2 * ln(1 - {u('price', 'noise0.r', name='gen')})) * cos(2 * pi() * {u('price', 'noise0.t', name='gen')}))) * 100 + 0.5) / 100 AS price
+    FROM (SELECT o_orderkey AS idx, o_totalprice FROM orders)"""
+)
+def rule_noise(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), "o_totalprice")
+    out = rules.evaluate(orders, "price", "o_totalprice * noise(0.1)", cell("price"))
+    return out.select("idx", g.rounded(F.col("price"), 2).alias("price"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE o_orderkey::VARCHAR END AS t FROM orders WHERE o_orderkey % 7 = 0 OR length(o_orderkey::VARCHAR) > 4")
+def validate_types(spark, sf_dir):
+    text = F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise(F.col("o_orderkey").cast("string"))
+    rows_ = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    return validate.quarantined(validate.with_issues(rows_, [validate.castable("t", "int"), validate.width("t", 4)])).drop("issues")
+
+
+@query(
+    """SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","total":"' || total || '","odd":' || CASE WHEN o_orderkey % 2 = 1 THEN '"odd"' ELSE 'null' END || '}' AS line
+    FROM (SELECT *, o_totalprice::DECIMAL(12,2)::VARCHAR AS total FROM orders)"""
+)
+def emit_json_objects(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(12,2)").alias("total"), F.when(F.col("o_orderkey") % 2 == 1, "odd").alias("odd"))
+    return orders.select("o_orderkey", cells.json_object(orders, orders.columns).alias("line"))
