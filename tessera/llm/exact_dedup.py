@@ -72,7 +72,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' own columns. Only survivors' ids and digests join the
     texts, on a key that holds one document, so groups of copies can't pile up."""
     names = docs.columns
-    found = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__sha": F.sha2(normalised(F.col("text")), 256)})
-    same = rows["__id"].eqNullSafe(found["__id"]) & (rows["__sha"] == found["__sha"])
-    return rows.join(found, same, "left_semi").dropDuplicates(["__id", "__sha"]).select(*names)
+    named = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    found = exact_groups(docs).where("kept").select(named.alias("__id"), F.col("text_sha256").alias("__sha"))
+    rows = docs.withColumns({"__id": named, "__sha": F.sha2(normalised(F.col("text")), 256)})
+    return rows.join(found, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*names)
