@@ -26,6 +26,13 @@ def each(column: pa.Array) -> Iterator:
     return (x.as_py() for x in column)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that what is made of one stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names in
     spark.checkpoint.dir; only where that is unset (tests in local mode) a temporary one serves."""

@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoding().encode_ordinary
-        for batch in batches:
+        for batch in common.slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(common.each(batch.column(0)), common.each(batch.column(1))):
                 ids = np.array([*encode(text), end_id], dtype="<u2")
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, group: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, windows = None, OpenWindows(window)
-        for batch in batches:
+        for batch in common.slices(batches):
             sequence, offset = [], []
             for number, length in zip(batch.column("group").to_pylist(), batch.column("length").to_pylist()):
                 if number != current:
