@@ -84,22 +84,48 @@ def _check(kind: str) -> Callable[[Column], Column]:
     return lambda span: _passes(kind, span["value"])
 
 
+_CHUNK = 64
+
+
+def _empty(element: str) -> Column:
+    return F.expr(f"cast(array() as array<{element}>)")
+
+
+def scan(items: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], element: str) -> Column:
+    """Array of emit(state, item), where the state is an int from 0 on and step(state, item) the next one.
+    An array grows by copying, so items are taken in chunks and only the chunks' results are collected.
+    Wrapping an expression in an array of one names it: lambdas would evaluate it again each time."""
+
+    def within(acc: Column, item: Column) -> Column:
+        return F.struct(step(acc["state"], item).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], item))).alias("out"))
+
+    def chunk_after(done: Column, chunk: Column) -> Column:
+        state = F.coalesce(F.try_element_at(done, F.lit(-1))["state"], F.lit(0))
+        first = F.struct(state.alias("state"), _empty(element).alias("out"))
+        return F.concat(done, F.array(F.aggregate(chunk, first, within)))
+
+    def whole(named: Column) -> Column:
+        last = F.greatest(F.floor((F.size(named) - 1) / _CHUNK), F.lit(0)).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(named, c * _CHUNK + 1, F.lit(_CHUNK)))
+        done = F.aggregate(chunks, _empty(f"struct<state:int,out:array<{element}>>"), chunk_after)
+        return F.flatten(F.transform(done, lambda d: d["out"]))
+
+    return F.transform(F.array(items), whole)[0]
+
+
 def found(text: Column, pattern: str) -> Column:
     """Array of (start, end, value, before) of a pattern's matches; before is up to 30 characters that
     precede. What lies between the matches gives their places, so no text is searched twice."""
     pairs = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.split(text, pattern, -1).alias("gap")
     )
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string>>)").alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + F.length(pair["gap"])
-        end = at + F.length(pair["value"])
-        span = F.struct(at.alias("start"), end.alias("end"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(30)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(at: Column, pair: Column) -> Column:
+        start = at + F.length(pair["gap"])
+        return F.struct(start.alias("start"), (start + F.length(pair["value"])).alias("end"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(30)).alias("before"))
 
     matched = F.filter(pairs, lambda p: p["value"].isNotNull())
-    return F.aggregate(matched, start, step, lambda acc: acc["out"])
+    return scan(matched, lambda at, p: at + F.length(p["gap"]) + F.length(p["value"]), span, "struct<start:int,end:int,value:string,before:string>")
 
 
 def _kind_of(value: Column) -> Column:
@@ -209,13 +235,15 @@ def learn(counts: list[tuple[str, str, int]], rounds: int = 50) -> dict[tuple[st
 def _accepted(spans: Column, odds: dict[tuple[str, str], float]) -> Column:
     """Base spans, and proposals that overlap none of them and that the classifier accepts."""
     yes = [f"{kind}{vote}" for (kind, vote), z in odds.items() if z > 0]
-    base = F.filter(spans, is_base)
 
-    def taken(s: Column) -> Column:
-        clear = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return is_base(s) | (F.concat(s["kind"], votes(s)).isin(yes) & clear)
+    def chosen(base: Column) -> Column:
+        def taken(s: Column) -> Column:
+            clear = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+            return is_base(s) | (F.concat(s["kind"], votes(s)).isin(yes) & clear)
+
+        return F.filter(spans, taken)
 
-    return F.filter(spans, taken)
+    return F.transform(F.array(F.filter(spans, is_base)), chosen)[0]
 
 
 def pattern_counts(spans: DataFrame) -> list[tuple[str, str, int]]:
@@ -251,26 +279,23 @@ def span_digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every detected span of its text replaced by its kind in brackets; n_chars, where docs
     has it, becomes the new text's length. Overlapping spans become one, named by the first."""
-    spans = candidates(F.coalesce("text", F.lit("")))
-    odds = learn(pattern_counts(docs.select(spans.alias("spans"))))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
-
-    def merged(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        overlaps = (F.size(acc) > 0) & (s["start"] < last["end"])
-        return F.when(overlaps, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(own)))
-
-    rows = docs.withColumn("__spans", F.aggregate(_accepted(spans, odds), none, merged))
-    text, cut = F.col("text"), F.col("__spans")
-
-    def piece(s: Column, i: Column) -> Column:
-        before = F.when(i == 0, 0).otherwise(F.try_element_at(cut, i)["end"])
-        return F.concat(F.substring(text, before + 1, s["start"] - before), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-
-    tail = F.substring(text, F.try_element_at(cut, F.lit(-1))["end"] + 1, F.length(text))
-    clean = F.when(F.size(cut) > 0, F.concat(F.array_join(F.transform(cut, piece), ""), tail)).otherwise(text)
+    rows = docs.withColumn("__spans", candidates(F.coalesce("text", F.lit(""))))
+    odds = learn(pattern_counts(rows.select(F.col("__spans").alias("spans"))))
+    marks = scan(
+        _accepted(F.col("__spans"), odds),
+        lambda at, s: F.greatest(at, s["end"]),
+        lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
+        "struct<at:int,start:int,end:int,kind:string>",
+    )
+    rows = rows.withColumn("__marks", marks)
+    text, cut = F.col("text"), F.col("__marks")
+
+    def piece(m: Column) -> Column:
+        return F.concat(F.substring(text, m["at"] + 1, m["start"] - m["at"]), F.lit("["), F.upper(m["kind"]), F.lit("]"))
+
+    pieces = F.transform(F.filter(cut, lambda m: m["start"] >= m["at"]), piece)
+    tail = F.substring(text, F.array_max(F.transform(cut, lambda m: m["end"])) + 1, F.length(text))
+    clean = F.when(F.size(cut) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
     rows = rows.withColumn("text", clean)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
