@@ -22,6 +22,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -69,49 +70,47 @@ def ragged(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarra
 
 
 class Chunk:
-    """A dictionary of words and the rows of its blocks."""
+    """A dictionary of words and the rows of its blocks, of one kind."""
 
-    def __init__(self, number: int, buckets: int):
-        self.number, self.buckets = number, buckets
+    def __init__(self, number: int, buckets: int, kind: int):
+        self.number, self.buckets, self.kind = number, buckets, kind
         self.known: dict[str, int] = {}
         self.blocks = 0
         self._begin()
 
     def _begin(self) -> None:
-        self.fresh: list[str] = []
+        self.first = len(self.known)
         self.ids: list[int | None] = []
         self.places: list[np.ndarray] = []
         self.size = 0
 
     def add(self, doc_id: int | None, text: str) -> None:
-        known, fresh, row = self.known, self.fresh, []
-        for word in tokens.pattern().findall(text):
-            at = known.get(word)
-            if at is None:
-                at = known[word] = len(known)
-                fresh.append(word)
-            row.append(at)
+        known, words = self.known, tokens.pattern().findall(text)
+        if self.kind == WORDS:
+            for word in dict.fromkeys(words):
+                known.setdefault(word, len(known))
+        else:
+            number = known.setdefault
+            self.places.append(np.array([number(w, len(known)) for w in words], dtype=np.int32))
         self.ids.append(doc_id)
-        self.places.append(np.array(row, dtype=np.int32))
         self.size += len(text)
 
-    def flush(self, kind: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-        """The block's rows of one kind. New words are numbered anew in order of bucket, as their answers
-        arrive."""
-        words = [w.encode() for w in self.fresh]
-        first = len(self.known) - len(words)
+    def flush(self) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """The block's rows. New words are numbered anew in order of bucket, as their answers arrive."""
+        first, fresh = self.first, list(islice(self.known, self.first, None))
+        words = [w.encode() for w in fresh]
         bucket = np.fromiter((zlib.crc32(w) % self.buckets for w in words), np.int32, len(words))
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(words), dtype=np.int32)
         rank[order] = np.arange(first, first + len(words), dtype=np.int32)
         cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         order = order.tolist()
-        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist() if kind == WORDS else []:
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist() if self.kind == WORDS else []:
             some = [words[i] for i in order[cuts[b] : cuts[b + 1]]]
             lengths = np.fromiter(map(len, some), np.int32, len(some))
             yield self.number, WORDS, self.blocks, b, pack_arrays(lengths, np.frombuffer(b"".join(some), np.uint8))
-        self.known.update(zip(self.fresh, rank.tolist()))
-        if kind == PLACES:
+        self.known.update(zip(fresh, rank.tolist()))
+        if self.kind == PLACES:
             flat = np.concatenate(self.places)
             new = flat >= first
             flat[new] = rank[flat[new] - first]
@@ -132,14 +131,14 @@ def split_blocks(docs: DataFrame, kind: int, block: int, buckets: int, dictionar
         chunk = None
         for batch in batches:
             for doc_id, text, part in zip(*map(common.each, batch.columns)):
-                chunk = chunk or Chunk(part << 24, buckets)
+                chunk = chunk or Chunk(part << 24, buckets, kind)
                 chunk.add(doc_id, text)
                 if chunk.size >= block:
-                    yield _batch(list(chunk.flush(kind)))
+                    yield _batch(list(chunk.flush()))
                     if len(chunk.known) > dictionary:
-                        chunk = Chunk(chunk.number + 1, buckets)
+                        chunk = Chunk(chunk.number + 1, buckets, kind)
         if chunk and chunk.ids:
-            yield _batch(list(chunk.flush(kind)))
+            yield _batch(list(chunk.flush()))
 
     # the scan's own partition: a union may number its tasks otherwise
     return common.texts(docs).withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, ROWS)
