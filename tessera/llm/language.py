@@ -5,10 +5,12 @@ cut greedily into the longest phrases that occur there; the language that needs
 phrases wins. Texts are read in blocks of `block` characters, each parsed from its start, so long
 texts cost no more than short ones and a block adds one phrase at most.
 
-Training text: of each language, whole texts of at most `max_chars` characters among the rows that are
-not held out and have a label, `rows` of them at most, smallest hash of the id first, until they hold
-`sample` characters. These bounds are parameters and limit what is sent to the executors. Everything else
-reads all rows. Phrases are normalised by what one costs: the logarithm of the training text's length.
+Training text: of each language, stretches of at most `max_chars` characters, each from a text's first
+letter on, of the rows that are not held out and have a label and a letter, smallest hash first, until
+they hold `sample` characters. Texts of any length serve, so every language with labelled letters is
+learned; copies of a row serve once. These bounds are parameters and limit what is sent to the executors.
+Everything else reads all rows. Phrases are normalised by what one costs: the logarithm of the training
+text's length.
 
 Letters are lower-cased; each run of other characters counts as one space, as signs and digits say
 nothing of a language; letters that are in no training text are one unknown symbol. A null text, or one without a letter, is `und` with score 0.
@@ -30,29 +32,30 @@ from pyspark.sql import types as T
 
 from tessera.llm import common
 
-ROWS = 64
 MAX_CHARS = 2000
 SAMPLE = 20_000
 BLOCK = 256
 UNKNOWN = "und"
 
 
-def training_texts(docs: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """The bounded sample by language. Ranks are limited within salts first, so that no task holds a
-    language's rows."""
-    seen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.fold(F.col("doc_id")) != 2))
-    seen = seen.where(F.length("text").between(20, max_chars)).select(
-        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("order"), "doc_id", "text"
-    )
-    seen = seen.withColumn("salt", F.pmod(F.col("order"), F.lit(64)))
+def training_texts(docs: DataFrame, max_chars: int = MAX_CHARS, sample: int = SAMPLE) -> dict[str, list[str]]:
+    """The bounded sample by language. Where it ends is found on the stretches' hashes and sizes alone, within
+    salts first, so that no task holds a language's rows."""
+    seen = docs.where(F.col("lang").isNotNull() & (common.fold(F.col("doc_id")) != 2))
+    stretch = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0)
+    seen = seen.select(F.col("lang").cast("string").alias("lang"), "doc_id", stretch.alias("stretch")).where(F.length("stretch") > 0)
+    seen = seen.withColumn("order", F.xxhash64("doc_id", "stretch"))
+    ends = seen.groupBy("lang", "order").agg(F.max(F.length("stretch")).alias("size"))
+    ends = ends.withColumn("salt", F.pmod(F.col("order"), F.lit(64)))
     for by in (["lang", "salt"], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy("order", "doc_id", "text"))
-        seen = seen.withColumn("rank", rank).where(F.col("rank") <= rows).drop("rank")
+        before = F.sum("size").over(Window.partitionBy(*by).orderBy("order").rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample).drop("before")
+    last = ends.groupBy("lang").agg(F.max("order").alias("last"))  # a row for each language
+    chosen = seen.join(F.broadcast(last), "lang").where(F.col("order") <= F.col("last"))
+    chosen = chosen.groupBy("lang", "order").agg(F.min("stretch").alias("stretch"))
     found: dict[str, list[str]] = {}
-    for r in seen.select("lang", "order", "text").orderBy("lang", "order", "text").collect():  # rows x languages at most
-        mine = found.setdefault(r["lang"], [])
-        if sum(map(len, mine)) < sample:
-            mine.append(r["text"])
+    for r in chosen.orderBy("lang", "order").collect():  # sample + max_chars characters of a language at most
+        found.setdefault(r["lang"], []).append(r["stretch"])
     return found
 
 
@@ -179,10 +182,10 @@ def parser(training: tuple[tuple[str, tuple[str, ...]], ...], block: int) -> Cro
     return CrossParser(training, block)
 
 
-def identify(docs: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS, block: int = BLOCK) -> DataFrame:
+def identify(docs: DataFrame, max_chars: int = MAX_CHARS, block: int = BLOCK) -> DataFrame:
     """docs with the columns __held_out, __lang_pred and __score added to its own."""
-    learned = tuple((k, tuple(v)) for k, v in sorted(training_texts(docs, rows, max_chars).items()))
-    sent = docs.sparkSession.sparkContext.broadcast(learned)  # rows x max_chars x languages characters at most
+    learned = tuple((k, tuple(v)) for k, v in sorted(training_texts(docs, max_chars).items()))
+    sent = docs.sparkSession.sparkContext.broadcast(learned)  # (sample + max_chars) x languages characters at most
     at = docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

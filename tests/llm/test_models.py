@@ -79,6 +79,25 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in language.predictions(unlabelled).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("words", [1, 900])
+def test_language_learns_from_texts_of_any_length(spark, words):
+    """Only labelled texts under 20 characters, or only ones over 2,000 that begin without a letter."""
+    own = {"aa": ["maru", "tesilo", "kano"], "bb": ["grxth", "wolz", "dwingf"]}
+    rng = random.Random(3)
+    texts = [(i, "aabb"[i % 2 * 2 :][:2]) for i in range(80)]
+    rows = [(i, "12 " * words + " ".join(rng.choice(own[lang]) for _ in range(words)), lang) for i, lang in texts]
+    table = spark.createDataFrame([*rows, *rows[:2] * 200, (98, None, "cc"), (99, "1 2", "cc")], "doc_id long, text string, lang string")
+    assert {len(t) < 20 for _, t, _ in rows} == {words == 1} and {len(t) > 2000 for _, t, _ in rows} == {words > 1}
+    learned = language.training_texts(table)
+    assert set(learned) == {"aa", "bb"}
+    whole = {k: sum(min(2000, len(t) - 3 * words) for i, t, lang in rows if lang == k and not held(i)) for k in learned}
+    for k, found in learned.items():
+        assert all(0 < len(t) <= 2000 for t in found) and min(whole[k], 20_000) <= sum(map(len, found)) < 22_000
+    pred = {r["doc_id"]: r["lang_pred"] for r in language.predictions(table).collect()}
+    assert all(pred[i] == lang for i, _, lang in rows) and pred[98] == pred[99] == "und"
+    assert language.keep_identified(table).count() == len(rows) + 400
+
+
 def test_prediction_ignores_labels_it_must_not_see(spark):
     """Held-out labels and the label columns of scored rows change nothing."""
     from pyspark.sql import functions as F
