@@ -36,12 +36,31 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Characters of an IBAN by country.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC", 32: "LC",
+}
+_GROUP = r"\x20?[A-Z0-9]"
+
+
+def _iban(countries: str, size: int) -> str:
+    groups, rest = divmod(size - 4, 4)
+    return rf"(?:{countries})[0-9]{{2}}(?:{_GROUP}{{4}}){{{groups}}}" + (rf"{_GROUP}{{{rest}}}" if rest else "")
+
+
+#: A country's own length first; else 15 to 34 characters, so that an unknown country or a slip is found too.
+IBAN = "|".join([
+    *(_iban(countries, size) for size, countries in IBAN_SIZES.items()),
+    rf"[A-Z]{{2}}[0-9]{{2}}(?:{_GROUP}{{4}}){{2}}(?:(?:{_GROUP}{{4}}){{1,5}}(?:{_GROUP}{{1,3}})?|{_GROUP}{{3}})",
+])
 PROPOSE = (
     r"(?<![A-Za-z0-9])(?:"
     r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
-    r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])"
+    rf"|(?:{IBAN})(?![A-Za-z0-9])"
     r"|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
-    r"|(?:token|api_key|secret|password|passwd)\x20?[=:]\x20?[\x22']?[A-Za-z0-9_/+.-]{8,128}[\x22']?"
+    r"|(?:token|api_key|secret|password|passwd)\x20?[=:]\x20?[\x22']?[A-Za-z0-9_/+.-]{8,}+[\x22']?"
     r"|(?:Mr|Mrs|Ms|Dr|Herr|Frau|Sra|Mme)\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?)"
 )
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"

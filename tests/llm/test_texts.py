@@ -287,6 +287,24 @@ def test_redaction(docs, rows):
     assert untouched <= texts
 
 
+IBANS = """AT611904300234573201 BE68539007547034 CH9300762011623852957 DE89370400440532013000 DK9520000123456789
+ES9121000418450200051332 FI2112345600000785 FR1420041010050500013M02606 GB29NWBK60161331926819 IE29AIBK93115212345678
+IT60X0542811101000000123456 LU280019400644750000 NL91ABNA0417164300 NO9386011117947 PL61109010140000071219812874
+PT50000201231234567890154 SE4550000000058398257466""".split()
+
+
+def test_ibans_and_secrets_are_redacted_whole(spark):
+    spaced = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in IBANS]
+    assert {x[:2] for x in IBANS} == set(re.findall("[A-Z]{2}", pii.COUNTRIES))
+    jwt = "eyJhbGciOi" + hashlib.sha256(b"x").hexdigest() * 31 + "-_/+.a"
+    assert len(jwt) == 2000
+    texts = [(f"Pay to IBAN {x} I say, today", "Pay to IBAN [IBAN] I say, today") for x in [*IBANS, *spaced]]
+    texts += [(f"{x}.", "[IBAN].") for x in [*IBANS, *spaced]]
+    texts += [(f"the token={x} is old", "the [SECRET] is old") for x in (jwt, jwt[:300], jwt[:128], jwt[:60])]
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in texts)), "doc_id long, text string")
+    assert got(pii.redact(docs), "doc_id", "text") == sorted(((i, t) for i, (_, t) in enumerate(texts)), key=repr)
+
+
 def test_weak_supervision_learns_reliabilities():
     odds = pii.learn([("ssn", "+0+0", 60), ("ssn", "+000", 40), ("ssn", "-00-", 50), ("iban", "--00", 30), ("iban", "++00", 30)])
     assert odds["ssn", "+0+0"] > 0 > odds["ssn", "-00-"] and odds["iban", "++00"] > odds["iban", "--00"]
