@@ -4,19 +4,23 @@ The standard library's parser streams events. Block elements cut the page into l
 text (character references decoded, white space turned into single spaces), its number of tags and
 where it stands. Lines inside page furniture (navigation, headers, footers, sidebars, forms, scripts,
 styles, and elements whose class, id or role says advert, menu, notice, comments and the like) never
-count. Text-to-tag ratios of the other lines are smoothed by a Gaussian kernel and clustered by a
+count. A form or a class or id is no sure sign, as both stand on wrappers of whole pages: such an
+element is no furniture if it holds most of the page's text outside links, unless an article stands
+apart from it, or the page's largest article or main element, if no larger text stands outside.
+Text-to-tag ratios of the other lines are smoothed by a Gaussian kernel and clustered by a
 threshold into content and rest; lines of links are rest. If the content stands in an article or main element, all lines there
 are the text, short ones too; else the text is the content regions, with the headings right before them
 and single lines between.
 
 A null or empty page, or one without any text, has empty text. Unclosed tags are taken as the parser
-meets them: an end tag closes what was left open inside. Pages that repeat are extracted alike; an empty
+meets them: an end tag closes what was left open inside; what can't stand in a head closes it. Pages that repeat are extracted alike; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,8 +37,12 @@ BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 FURNITURE = frozenset(
-    "head nav aside footer form script style noscript template svg canvas iframe object button select textarea dialog menu audio video map datalist".split()
+    "head nav aside footer script style noscript template svg canvas iframe object button select textarea dialog menu audio video map datalist".split()
 )
+IN_HEAD = frozenset("head title base basefont bgsound link meta noframes noscript script style template".split())
+BODIES = ("article", "main")
+IN_HEAD = frozenset("head title base basefont bgsound link meta noframes noscript script style template".split())
+BODIES = ("article", "main")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that may stand open without an end tag; they never hold furniture open.
 LOOSE = frozenset("p b i u em strong a span font small big li dd dt tr td th option br sub sup code".split())
@@ -54,56 +62,79 @@ class LineParser(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, bool, bool]] = []
-        self.parts: list[str] = []
+        self.cuts: list[tuple[list[tuple[str, bool, tuple[int, ...]]], int, bool, bool]] = []  # lines' parts, as read
+        self.parts: list[tuple[str, bool, tuple[int, ...]]] = []  # text, whether in a link, what it stands in
         self.tags = 0
         self.heading = False
         self.link = False
-        self.linked = 0  # characters of the line that are in links
-        self.open: list[tuple[str, bool]] = []  # elements that end tags may close, and whether each is furniture
+        #: Elements that end tags may close, whether each is furniture, and its number if it is followed.
+        self.open: list[tuple[str, bool, int | None]] = []
         self.shut = 0  # open elements that are furniture
         self.inside = 0  # open article and main elements
+        self.within: tuple[int, ...] = ()  # open elements that are followed
+        self.around: list[tuple[int, ...]] = []  # by number: what an element stands in
+        self.doubtful: list[int] = []  # elements that may be furniture, outer ones first
+        self.bodies: dict[str, list[int]] = {t: [] for t in BODIES}
 
     def cut(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.tags, self.heading, 2 * self.linked > len(text), self.inside > 0))
-            self.tags = 0
+        self.cuts.append((self.parts, self.tags, self.heading, self.inside > 0))
         self.parts = []
+        self.tags = 0
         self.heading = False
-        self.linked = 0
 
-    def furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether an element is furniture, and whether it may be."""
         if tag in FURNITURE or tag == "header" and not self.inside:
-            return True
+            return True, False
+        doubtful = tag == "form"
         for name, value in attrs:
-            if not value or tag in ("body", "html", "article", "main") and "comment" not in value:
+            if not value or tag in ("body", "html", *BODIES) and "comment" not in value:
                 continue
             if name in ("class", "id"):
-                if not MARKS.isdisjoint(_WORD.findall(value.lower())):
-                    return True
+                doubtful |= not MARKS.isdisjoint(_WORD.findall(value.lower()))
+            elif name == "role" and value.lower() == "form":
+                doubtful = True
             elif name == "role" and value.lower() in ROLES:
-                return True
+                return True, False
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
-        return False
+                return True, False
+        return False, doubtful
+
+    def pop(self, tag: str) -> None:
+        """Close the innermost element of this name and what is open inside."""
+        while self.open:
+            last, mark, number = self.open.pop()
+            self.shut -= mark
+            self.inside -= last in BODIES
+            if number is not None:
+                self.within = self.around[number]
+            if last == tag:
+                break
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag == "body" and any(t == "head" for t, *_ in self.open) or tag not in IN_HEAD and self.open and self.open[-1][0] == "head":
+            self.pop("head")
         if tag in BLOCKS:
             self.cut()
             self.heading = tag in HEADINGS
         elif tag in VOID:
-            self.parts.append(" ")
+            self.parts.append((" ", False, ()))
         if tag in VOID:
             return
         self.link |= tag == "a"
-        mark = self.furniture(tag, attrs)
-        if tag in LOOSE and not mark:
+        mark, doubtful = self.furniture(tag, attrs)
+        if tag in LOOSE and not mark and not doubtful:
             return
-        self.open.append((tag, mark))
+        number = None
+        if doubtful or tag in BODIES and not mark:
+            number = len(self.around)
+            self.around.append(self.within)
+            self.within += (number,)
+            (self.doubtful if doubtful else self.bodies[tag]).append(number)
+        self.open.append((tag, mark, number))
         self.shut += mark
-        self.inside += tag in ("article", "main")
+        self.inside += tag in BODIES
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -116,18 +147,47 @@ class LineParser(HTMLParser):
         self.link &= tag != "a"
         if tag in BLOCKS:
             self.cut()
-        if any(t == tag for t, _ in self.open):
-            while self.open:
-                last, mark = self.open.pop()
-                self.shut -= mark
-                self.inside -= last in ("article", "main")
-                if last == tag:
-                    break
+        if any(t == tag for t, *_ in self.open):
+            self.pop(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self.pop("head")
         if not self.shut:
-            self.parts.append(data)
-            self.linked += len(data.strip()) * self.link
+            self.parts.append((data, self.link, self.within))
+
+    def dropped(self) -> set[int]:
+        """The doubtful elements that are furniture."""
+        held: Counter = Counter()  # characters outside links, by what they stand in
+        for parts, *_ in self.cuts:
+            for data, link, within in parts:
+                held[within] += 0 if link else len(data.strip())
+        holds: Counter = Counter()
+        for within, n in held.items():
+            for number in within:
+                holds[number] += n
+        largest = [max(found, key=lambda n: holds[n]) for found in self.bodies.values() if any(holds[n] for n in found)]
+        drop, total = set(self.doubtful), sum(held.values())
+        for number in self.doubtful:
+            apart = largest and drop.isdisjoint(self.around[largest[0]]) and largest[0] not in self.around[number]
+            if 2 * holds[number] > total and not apart:
+                drop.remove(number)
+        outside = sum(n for within, n in held.items() if drop.isdisjoint(within))
+        for body in largest:
+            if holds[body] >= outside:
+                drop.difference_update(self.around[body])
+        return drop
+
+    def lines(self) -> list[tuple[str, int, bool, bool, bool]]:
+        drop, out, tags = self.dropped(), [], 0
+        for parts, more, heading, inside in self.cuts:
+            tags += more
+            kept = [(data, link) for data, link, within in parts if drop.isdisjoint(within)]
+            if text := " ".join("".join(data for data, _ in kept).split()):
+                linked = sum(len(data.strip()) for data, link in kept if link)
+                out.append((text, tags, heading, 2 * linked > len(text), inside))
+                tags = 0
+        return out
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -157,7 +217,7 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = parser.lines
+    lines = parser.lines()
     if not lines:
         return ""
     ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))

@@ -158,6 +158,64 @@ def test_html_without_article():
     assert text.startswith("Head\nA long sentence") and "Short." in text and "Link" not in text
 
 
+STORY = "<p>" + "A long sentence of the main text goes here. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("body", [f"<div><h1>Head</h1>{STORY}{STORY}</div>", f"<article><h1>Head</h1>{STORY}{STORY}</article>"])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><script>x</script><body>{}</body></html>",
+        "<html><head><meta charset=utf-8><title>T</title>{}</html>",
+        "<body><form id=aspnetForm method=post role=form><input type=hidden>{}</form></body>",
+        "<body><div class='page with-sidebar'>{}</div></body>",
+        "<body><div id=wrap class=no-sidebar><main class=has-banner><div class=has-banner>{}</div></main></div></body>",
+    ],
+)
+def test_html_elements_around_the_page_are_no_furniture(page, body):
+    more = "<div class=sidebar><p>Some other words.</p></div><div class=related><article><p>Read on there.</p></article></div>"
+    want = html_text.main_text(f"<body>{body}</body>")
+    assert want.startswith("Head\nA long") and want.count("A long sentence") == 16
+    assert html_text.main_text(page.format(body)) == want == html_text.main_text(page.format(body + more))
+
+
+def test_html_furniture_that_holds_much_stays_furniture():
+    comments = f"<section class=comments>{STORY * 3}</section>"
+    for page in ("<body>{}</body>", "<body><form>{}</form></body>", "<main>{}</main>"):
+        assert html_text.main_text(page.format("<article><p>A short article, of one sentence only.</p></article>" + comments)) == "A short article, of one sentence only."
+    text = html_text.main_text(f"<head><title>No</title><noscript><img src=x>No</noscript></head><div>{STORY}</div><div class=related><article><p>Read on.</p></article></div>")
+    assert text.startswith("A long") and "No" not in text and "Read on" not in text
+
+
+STORY = "<p>" + "A long sentence of the main text goes here. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("body", [f"<div><h1>Head</h1>{STORY}{STORY}</div>", f"<article><h1>Head</h1>{STORY}{STORY}</article>"])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><script>x</script><body>{}</body></html>",
+        "<html><head><meta charset=utf-8><title>T</title>{}</html>",
+        "<body><form id=aspnetForm method=post role=form><input type=hidden>{}</form></body>",
+        "<body><div class='page with-sidebar'>{}</div></body>",
+        "<body><div id=wrap class=no-sidebar><main class=has-banner><div class=has-banner>{}</div></main></div></body>",
+    ],
+)
+def test_html_elements_around_the_page_are_no_furniture(page, body):
+    more = "<div class=sidebar><p>Some other words.</p></div><div class=related><article><p>Read on there.</p></article></div>"
+    want = html_text.main_text(f"<body>{body}</body>")
+    assert want.startswith("Head\nA long") and want.count("A long sentence") == 16
+    assert html_text.main_text(page.format(body)) == want == html_text.main_text(page.format(body + more))
+
+
+def test_html_furniture_that_holds_much_stays_furniture():
+    comments = f"<section class=comments>{STORY * 3}</section>"
+    for page in ("<body>{}</body>", "<body><form>{}</form></body>", "<main>{}</main>"):
+        assert html_text.main_text(page.format("<article><p>A short article, of one sentence only.</p></article>" + comments)) == "A short article, of one sentence only."
+    text = html_text.main_text(f"<head><title>No</title><noscript><img src=x>No</noscript></head><div>{STORY}</div><div class=related><article><p>Read on.</p></article></div>")
+    assert text.startswith("A long") and "No" not in text and "Read on" not in text
+
+
 @pytest.mark.parametrize("html", ["", "   ", "<", "<p", "<!-- x", "<script>var x", "plain text", "&amp", "<div><div></p></article>", "<p>a" * 3000, "<" * 5000, "\x00<p>퟿"])
 def test_html_odd(html):
     assert isinstance(html_text.main_text(html), str)
