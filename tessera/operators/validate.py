@@ -145,17 +145,30 @@ def closure(tables: dict[str, DataFrame], keys: list[tuple[str, list[str], str,
             return out
 
 
-def distinct_values(rows: DataFrame, draw, column: str, order: str, rounds: int = 50) -> DataFrame:
+def distinct_values(rows: DataFrame, draw, column: str, order: str, rounds: int = 50, within: list[str] | None = None) -> DataFrame:
     """rows with a column of distinct values: draw(round) proposes one for each row; the first row of a
-    value keeps it, others draw again. Fails when rows are left after the last round."""
-    left, taken = rows, None
+    value keeps it, others draw again. Fails when rows are left after the last round.
+
+    Given columns `within`, values are distinct among rows equal in these (a null is equal to nothing), and
+    rows that are left keep a repeated value, as a group may have more rows than there are values; half the
+    rounds in a row without a new value end the search."""
+    key = [*(within or []), column]
+    left, taken, have, idle = rows, None, 0, 0
     total = rows.count()
     for k in range(rounds):
         proposed = left.withColumn(column, draw(k))
-        fresh = proposed if taken is None else proposed.join(taken.select(column), column, "left_anti")
-        won = fresh.join(firsts(fresh, [column], [order]), [column, order], "left_semi").select(*rows.columns, column)
+        fresh = proposed if taken is None else proposed.join(taken.select(key), key, "left_anti")
+        won = fresh.join(firsts(fresh, key, [order]), [*key, order], "left_semi").select(*rows.columns, column)
+        if within:
+            won = won.unionByName(proposed.where(" or ".join(f"`{c}` is null" for c in key)))
         taken = checkpointed(won if taken is None else taken.unionByName(won))
-        if taken.count() == total:
+        before, have = have, taken.count()
+        if have == total:
             return taken
         left = rows.join(taken.select(order), order, "left_anti")
+        idle = 0 if have > before else idle + 1
+        if within and 2 * idle >= rounds:
+            break
+    if within:
+        return taken.unionByName(left.withColumn(column, draw(rounds)))
     raise ValueError(f"{column}: no distinct values for all {total} rows after {rounds} rounds")

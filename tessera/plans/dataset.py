@@ -4,7 +4,7 @@ into accepted and quarantined rows, and closed under foreign keys."""
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -233,38 +233,50 @@ class _Run:
 
     def columns(self, rows: DataFrame, table: Table) -> DataFrame:
         derived = {r.column: r for r in self.rules[table.name] if r.kind == "derivation"}
-        free = {key[-1] for key in table.keys() if len(key) > 1 and table.column(key[-1]).kind == "integer" and self.choices[table.name][key[-1]].source != "key" and not table.column(key[-1]).serial}
+        free = {key[-1] for key in table.keys() if len(key) > 1 and self.choices[table.name][key[-1]].source != "key" and not table.column(key[-1]).serial}
+        free = {c for c in free if table.column(c).kind == "integer" and not table.column(c).array or not self.choices[table.name][c].unique} - derived.keys()
         for column in table.columns:
             choice = self.choices[table.name][column.name]
             if column.name in rows.columns or choice.source == "key" or column.name in derived or column.name in free:
                 continue
             cell = self.cell(table, column.name)
-            certain = choice.generator in DISTINCT | {"serial"} or choice.params.get("provider") in DISTINCT_PROVIDERS
-            if column.array:
-                one = Column(column.name, column.kind, bits=column.bits, precision=column.precision, scale=column.scale, length=column.length, values=column.values)
-                rows = rows.withColumn(column.name, self.array(one, cell).cast(column.spark_type()))
-            elif choice.unique and not certain:
-                draw = lambda k, c=column, ch=choice: self.value(table, c, ch, self.cell(table, f"{c.name}~{k}"))
-                made = validate.distinct_values(rows.select("idx"), draw, column.name, "idx")
+            certain = not column.array and (choice.generator in DISTINCT | {"serial"} or choice.params.get("provider") in DISTINCT_PROVIDERS)
+            if choice.unique and not certain:
+                made = validate.distinct_values(rows.select("idx"), self.draw(table, column, choice), column.name, "idx")
                 rows = rows.join(made, "idx")
+                if choice.null_ratio:
+                    rows = rows.withColumn(column.name, g.nullable(cell, choice.null_ratio, F.col(column.name)))
             else:
-                made = self.value(table, column, choice, cell)
+                made = self.made(table, column, choice, cell)
                 rows = rows.withColumn(column.name, g.nullable(cell, choice.null_ratio, made) if choice.null_ratio else made)
         for key in table.keys():
-            if key[-1] in free and key[-1] not in rows.columns:  # the last column counts within the others
-                low = int(column_bounds(table, key[-1]).get("low", 1))
-                rows = assign.positions(rows, key[:-1], ["idx"], "__pos", "__n").drop("__n")
-                rows = rows.withColumn(key[-1], (F.col("__pos") + low).cast(table.column(key[-1]).spark_type())).drop("__pos")
+            if key[-1] in free and key[-1] not in rows.columns:  # the last column counts or is drawn within the others
+                column, choice, others = table.column(key[-1]), self.choices[table.name][key[-1]], key[:-1]
+                if column.kind == "integer" and not column.array:
+                    low = int(column_bounds(table, key[-1]).get("low", 1))
+                    rows = assign.positions(rows, others, ["idx"], "__pos", "__n").drop("__n")
+                    rows = rows.withColumn(key[-1], (F.col("__pos") + low).cast(column.spark_type())).drop("__pos")
+                    continue
+                if set(others) <= set(rows.columns):
+                    made = validate.distinct_values(rows.select("idx", *others), self.draw(table, column, choice), key[-1], "idx", within=others)
+                    rows = rows.join(made.select("idx", key[-1]), "idx")
+                else:  # the others come later, from a rule or from the table itself
+                    rows = rows.withColumn(key[-1], self.made(table, column, choice, self.cell(table, key[-1])))
+                if choice.null_ratio:
+                    rows = rows.withColumn(key[-1], g.nullable(self.cell(table, key[-1]), choice.null_ratio, F.col(key[-1])))
         return rows
 
-    def array(self, one: Column, cell: Cell):
-        if one.kind == "integer":
-            return g.array_of(cell, lambda k: g.pick(cell.u("e", k), 1001))
-        if one.kind == "enum":
-            return g.array_of(cell, lambda k: F.element_at(F.array(*map(F.lit, one.values)), (g.pick(cell.u("e", k), len(one.values)) + 1).cast("int")))
-        if one.kind == "text":
-            return g.array_of(cell, lambda k: F.element_at(F.array(*map(F.lit, g.POOLS["word"])), (g.pick(cell.u("e", k), len(g.POOLS["word"])) + 1).cast("int")))
-        return F.array()
+    def made(self, table: Table, column: Column, choice: Choice, cell: Cell):
+        """A value of the column's type: for an array, 0 to 5 elements of the column's generator."""
+        if not column.array:
+            return self.value(table, column, choice, cell)
+        one, longest = replace(column, array=False), 5
+        element = lambda k: self.value(table, one, choice, Cell(cell.seed, cell.table, cell.column, cell.idx * longest + k))
+        size = g.pick(cell.u("len"), longest + 1).cast("int")
+        return F.slice(F.array(*map(element, range(longest))), F.lit(1), size)
+
+    def draw(self, table: Table, column: Column, choice: Choice):
+        return lambda k: self.made(table, column, choice, self.cell(table, f"{column.name}~{k}"))
 
     def apply_rules(self, rows: DataFrame, table: Table) -> DataFrame:
         for rule in self.rules[table.name]:

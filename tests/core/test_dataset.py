@@ -92,6 +92,34 @@ def test_tenants(spark):
     assert rows.join(data.rows("ops").select(F.col("id").alias("op_id"), F.col("tenant_id").alias("t")), "op_id").where("t <> tenant_id").count() == 0
 
 
+def test_arrays_hold_what_the_columns_generator_makes(spark):
+    """Each element type, with bounds, null ratio and UNIQUE."""
+    kinds = {"i": "int", "n": "numeric(6,2)", "f": "double precision", "o": "boolean", "d": "date", "t": "timestamp", "u": "uuid", "x": "text", "v": "varchar(3)", "e": "mood"}
+    sql = "CREATE TYPE mood AS ENUM ('a', 'b'); CREATE TABLE r (id serial PRIMARY KEY, " + ", ".join(f"{c} {kind}[]" for c, kind in kinds.items()) + ", q numeric(4,1)[] UNIQUE, w int[])"
+    data = generate(spark, read_ddl(sql), read_config_text("""
+seed: 5
+rows: 120
+tables: {r: {columns: {w: {generator: integer_range, params: {low: 5, high: 7}, null_ratio: 0.4}}}}
+"""))
+    rows = data.rows("r").collect()
+    assert len(rows) == 120
+    for c in kinds:
+        assert {len(r[c]) for r in rows} == set(range(6)) and all(x is not None for r in rows for x in r[c])
+        assert c == "v" or len({x for r in rows for x in r[c]}) > (1 if c in "oe" else 20)  # v: three characters of a longer value
+    assert {x for r in rows for x in r["e"]} == {"a", "b"} and max(len(x) for r in rows for x in r["v"]) <= 3
+    assert {x for r in rows for x in r["w"] or []} == {5, 6, 7} and 20 < sum(r["w"] is None for r in rows) < 80
+    alone = generate(spark, read_ddl("CREATE TABLE s (id serial PRIMARY KEY, q boolean[] UNIQUE)"), read_config_text("rows: 40"))
+    assert len({tuple(r["q"]) for r in alone.rows("s").collect()}) == 40 and len({tuple(r["q"]) for r in rows}) == 120
+
+
+def test_last_columns_of_keys_are_drawn_within_their_group(spark):
+    sql = """CREATE TABLE p (id serial PRIMARY KEY); CREATE TABLE c (p_id int NOT NULL REFERENCES p(id), kind text CHECK (kind IN ('a', 'b', 'c', 'd')), PRIMARY KEY (p_id, kind))"""
+    data = generate(spark, read_ddl(sql), read_config_text("tables: {p: {rows: 10}, c: {rows: 30, foreign_keys: {p_id: {strategy: quota, min: 3, max: 3}}}}"))
+    assert data.rows("c").select("p_id", "kind").distinct().count() == 30 and data.quarantine["c"].count() == 0
+    more = generate(spark, read_ddl(sql), read_config_text("tables: {p: {rows: 1}, c: {rows: 6}}"))
+    assert more.rows("c").count() == 4 and more.quarantine["c"].count() == 2
+
+
 def test_abort_and_infeasible(spark):
     from tessera.operators.assign import InfeasibleError
     from tessera.plans.dataset import GenerationError
