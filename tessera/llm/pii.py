@@ -58,7 +58,7 @@ IBAN = "|".join([
 PROPOSE = (
     r"(?<![A-Za-z0-9])(?:"
     r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
-    rf"|(?:{IBAN})(?![A-Za-z0-9])"
+    rf"|(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})(?![A-Za-z0-9])"  # a look ahead, as most words are no IBAN
     r"|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
     r"|(?:token|api_key|secret|password|passwd)\x20?[=:]\x20?[\x22']?[A-Za-z0-9_/+.-]{8,}+[\x22']?"
     r"|(?:Mr|Mrs|Ms|Dr|Herr|Frau|Sra|Mme)\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?)"
