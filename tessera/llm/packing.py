@@ -1,13 +1,15 @@
 """Packing of token sequences into windows by best-fit decreasing.
 
 A document's ids and an end id are cut: while more than a window is left, a full window comes off;
-what remains is packed whole. Pieces are dealt by a hash of their place to groups of about `group`
-pieces, and each group arrives at its task sorted by falling length. A segment tree over remaining
+what remains is packed whole. Pieces are dealt by a hash of their place and their ids' checksum, so that a
+null or repeated doc_id doesn't fill one group, to groups of about `group` pieces, and each group arrives at
+its task sorted by falling length, ties by place and ids. A segment tree over remaining
 capacities 0 to `window` counts the open windows of each; one descent finds the smallest capacity that
 holds the piece, the tightest open window. So a task keeps open windows only, no texts or ids, and each
 group leaves at most a few windows half empty.
 
-Null and empty texts have one id, the end id. Rows that repeat a doc_id are packed like any others. An
+Null and empty texts have one id, the end id. Rows that repeat a doc_id are packed like any others; only rows
+equal in doc_id and text are alike in every place, and they share a group, which takes constant memory. An
 empty table gives an empty result.
 """
 
@@ -33,11 +35,10 @@ def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID) -> DataF
     vocabulary has fewer than 65,536."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoding().encode_ordinary
         for batch in common.slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(common.each(batch.column(0)), common.each(batch.column(1))):
-                ids = np.array([*encode(text), end_id], dtype="<u2")
+                ids = np.array([*tokens.encode(text), end_id], dtype="<u2")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     rows.append((doc_id, start, len(piece), len(ids), piece.tobytes()))
@@ -100,8 +101,8 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, group: int
     """(doc_id, start, length, doc_tokens, ids, sequence_id, offset), a row for each piece; ids are
     unsigned 32-bit, little-endian. sequence_id holds the group above its low 32 bits."""
     groups = max(1, -(-docs.count() // group))
-    cut = pieces(docs, window, end_id).withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    dealt = cut.repartition(common.partitions(docs.sparkSession), "group").sortWithinPartitions("group", F.desc("length"), "doc_id", "start")
+    cut = pieces(docs, window, end_id).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(groups)))
+    dealt = cut.repartition(common.partitions(docs.sparkSession), "group").sortWithinPartitions("group", F.desc("length"), "doc_id", "start", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, windows = None, OpenWindows(window)

@@ -24,9 +24,8 @@ def lengths(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoding().encode_ordinary
         for batch in batches:
-            sizes = pa.array([len(encode(t)) for t in common.each(batch.column(1))], pa.int64())
+            sizes = pa.array([len(tokens.encode(t)) for t in common.each(batch.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes], ["doc_id", "n_tokens"])
 
     return common.texts(docs).mapInArrow(run, "doc_id long, n_tokens long")
@@ -74,5 +73,13 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     return found.select("context_limit", F.coalesce(cut, F.col("last.truncated_total")).alias("truncated_total"), F.coalesce("next.docs_from", F.lit(0).cast("long")).alias("docs_over"))
 
 
+def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens) for any shares in (0, 1]: the least length that at least this share of the documents
+    doesn't exceed; null in an empty table."""
+    sums = sums.select("n_tokens", "docs_to_share")
+    asked = [F.struct(F.lit(float(q)).alias("share"), F.min(F.when(F.col("docs_to_share") >= q, F.col("n_tokens"))).alias("n_tokens")) for q in shares]
+    return sums.agg(F.array(*asked).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     return suffix_sums(common.checkpointed(histogram(lengths(docs))))

@@ -1,15 +1,18 @@
 """Byte-level BPE with a public vocabulary, as a task of a Spark job uses it.
 
 The rank file gives the same ids as the vocabulary's JSON form does in the library `tokenizers`
-(tests/llm/test_tokens.py compares them); special tokens' strings are ordinary text.
+(tests/llm/test_texts.py compares them); special tokens' strings are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: The library's own splitter recurses over a run of white space, and a million overflow its stack.
+_LONG_SPACE = re.compile(r"\s{10000}")
 
 
 @lru_cache(maxsize=4)
@@ -34,3 +37,16 @@ def pattern():
     import regex
 
     return regex.compile(public_tokenizers.PATTERN)
+
+
+def encode(text: str) -> list[int]:
+    """The text's ids. A text with a long run of white space is split by the package `regex`, whose matches
+    are the same, and each piece is merged by itself."""
+    if _LONG_SPACE.search(text) is None:
+        return encoding().encode_ordinary(text)
+    return [i for piece in pattern().findall(text) for i in encode_piece(piece)]
+
+
+def encode_piece(piece: str) -> list[int]:
+    """The ids of one match of the pattern, of any length."""
+    return encoding()._core_bpe.encode_single_piece(piece.encode())
