@@ -5,15 +5,18 @@ one input split whose distinct words fit a bounded dictionary. Chunks are cut in
 characters; each block lists the words that are new in its chunk and, for each document, the places of
 its pre-tokens in the chunk's dictionary. The lists are dealt out by a hash of the word, a row for each
 block and bucket; the task of a bucket sees every occurrence of its words in the corpus, encodes each
-distinct word once and answers each chunk with ids. The answers and the places meet again by chunk, and
-documents are put together by position. A frequent word is in each chunk's dictionary once, so no word is
-a hot key. Places travel once, compressed; the texts are split twice for that, which costs less than
-carrying the places through the first shuffle or writing them.
+distinct word once (again only if it has seen `CACHE` others since) and answers with ids. Answers and places
+are joined by chunk (a cogroup), and documents are put together by position. A frequent word is in each
+chunk's dictionary once, so no word is a hot key.
 
-Decoding reads the bytes of each id from the table of token bytes.
+Places travel once. For that the texts are split twice, and a split of the input must give its rows in the
+same order each time it is read, as scans do; each block's words are checked by a checksum that comes both
+ways, so that an input which doesn't keep its order fails instead of getting wrong ids.
+
+Decoding joins the table of token bytes, a fixed file of some 50,000 rows that every task holds.
 
 Null texts count as empty and have no ids. Rows that repeat are encoded alike. An empty table gives an
-empty result. A split of the input must give its rows in the same order each time it is read, as scans do.
+empty result. Texts and words may have any length.
 """
 
 from __future__ import annotations
@@ -32,34 +35,26 @@ from pyspark.sql import functions as F
 from tessera.llm import common, tokens
 
 BLOCK = 2_000_000
-DICTIONARY = 250_000
-BUCKETS = 1024
-WORDS, PLACES = 0, 1
-ROWS = "chunk long, kind int, block int, bucket int, payload binary"
-_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
-
-
-def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers compressed together, byte by byte of equal weight, as high bytes hold little."""
-    import zstandard
-
-    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], dtype=np.int64)
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
-    return zstandard.compress(b"".join([head.tobytes(), *planes]), 1)
-
-
-def unpack_arrays(data: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    data = zstandard.decompress(data)
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    head = np.frombuffer(data, np.int64, 2 * n, 8).reshape(n, 2)
-    at, out = 8 + 16 * n, []
-    for width, size in head.tolist():
-        planes = np.frombuffer(data, np.uint8, width * size, at).reshape(width, size)
-        out.append(np.ascontiguousarray(planes.T).view({1: np.uint8, 2: np.uint16, 4: np.int32, 8: np.int64}[width]).reshape(size))
-        at += width * size
-    return out
+#: A chunk ends with the block that brings it to so many words or so many blocks.
+DICTIONARY = 500_000
+BLOCKS = 16
+CACHE = 1_000_000
+#: words: those of a block that are new in its chunk and fall to a bucket, one after the other; sizes: their lengths.
+WORDS = "chunk long, block int, bucket int, check long, sizes array<int>, words string"
+#: ids: those of a list's words, unsigned 16-bit; sizes: how many each word has.
+ANSWERS = "chunk long, block int, bucket int, check long, sizes array<int>, ids array<smallint>"
+#: A block's documents, how many words each has, and the words' places: the low and high 16 bits of each.
+PLACES = "chunk long, block int, check long, doc_ids array<long>, counts array<int>, low array<smallint>, high array<smallint>"
+_TYPES = {
+    "long": pa.int64(), "int": pa.int32(), "string": pa.string(),
+    "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<smallint>": pa.list_(pa.int16()),
+}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, types = zip(*(f.split() for f in schema.split(", ")))
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, t in zip(columns, types)], list(names))
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -70,10 +65,10 @@ def ragged(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarra
 
 
 class Chunk:
-    """A dictionary of words and the rows of its blocks, of one kind."""
+    """A dictionary of words and the blocks of documents that it was made from."""
 
-    def __init__(self, number: int, buckets: int, kind: int):
-        self.number, self.buckets, self.kind = number, buckets, kind
+    def __init__(self, number: int, buckets: int):
+        self.number, self.buckets = number, buckets
         self.known: dict[str, int] = {}
         self.blocks = 0
         self._begin()
@@ -85,128 +80,129 @@ class Chunk:
         self.size = 0
 
     def add(self, doc_id: int | None, text: str) -> None:
-        known, words = self.known, tokens.pattern().findall(text)
-        if self.kind == WORDS:
-            for word in dict.fromkeys(words):
-                known.setdefault(word, len(known))
-        else:
-            number = known.setdefault
-            self.places.append(np.array([number(w, len(known)) for w in words], dtype=np.int32))
+        known, number = self.known, self.known.setdefault
+        self.places.append(np.array([number(w, len(known)) for w in tokens.pattern().findall(text)], dtype=np.int64))
         self.ids.append(doc_id)
         self.size += len(text)
 
-    def flush(self) -> Iterator[tuple[int, int, int, int, bytes]]:
-        """The block's rows. New words are numbered anew in order of bucket, as their answers arrive."""
-        first, fresh = self.first, list(islice(self.known, self.first, None))
-        words = [w.encode() for w in fresh]
-        bucket = np.fromiter((zlib.crc32(w) % self.buckets for w in words), np.int32, len(words))
+    def end_block(self) -> tuple[list[str], np.ndarray, int]:
+        """The block's new words in order of bucket, the places where buckets begin, and the checksum.
+        New words are numbered anew in that order, as their answers arrive."""
+        words = list(islice(self.known, self.first, None))
+        bucket = np.fromiter((zlib.crc32(w.encode()) % self.buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(words), dtype=np.int32)
-        rank[order] = np.arange(first, first + len(words), dtype=np.int32)
+        self.rank = np.empty(len(words), dtype=np.int64)
+        self.rank[order] = np.arange(self.first, self.first + len(words))
+        self.known.update(zip(words, self.rank.tolist()))
         cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        order = order.tolist()
-        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist() if self.kind == WORDS else []:
-            some = [words[i] for i in order[cuts[b] : cuts[b + 1]]]
-            lengths = np.fromiter(map(len, some), np.int32, len(some))
-            yield self.number, WORDS, self.blocks, b, pack_arrays(lengths, np.frombuffer(b"".join(some), np.uint8))
-        self.known.update(zip(fresh, rank.tolist()))
-        if self.kind == PLACES:
-            flat = np.concatenate(self.places)
-            new = flat >= first
-            flat[new] = rank[flat[new] - first]
-            sizes = np.array([len(p) for p in self.places], dtype=np.int32)
-            ids = np.array([0 if i is None else i for i in self.ids], dtype=np.int64)
-            missing = np.array([i is None for i in self.ids], dtype=np.uint8)
-            yield self.number, PLACES, self.blocks, 0, pack_arrays(ids, missing, sizes, flat)
+        words = [words[i] for i in order.tolist()]
+        return words, cuts, zlib.crc32("\n".join(words).encode())
+
+    def word_rows(self) -> list[tuple]:
+        words, cuts, check = self.end_block()
+        rows = []
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            some = words[cuts[b] : cuts[b + 1]]
+            rows.append((self.number, self.blocks, b, check, list(map(len, some)), "".join(some)))
         self.blocks += 1
         self._begin()
+        return rows
+
+    def place_rows(self) -> list[tuple]:
+        first = self.first
+        _, _, check = self.end_block()
+        flat = np.concatenate(self.places)
+        new = flat >= first
+        flat[new] = self.rank[flat[new] - first]
+        low, high = (flat & 0xFFFF).astype(np.uint16).view(np.int16), (flat >> 16).astype(np.int16)
+        rows = [(self.number, self.blocks, check, self.ids, list(map(len, self.places)), low, high)]
+        self.blocks += 1
+        self._begin()
+        return rows
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, _ARROW)], schema=_ARROW)
-
+def split_blocks(docs: DataFrame, schema: str, block: int, buckets: int, dictionary: int) -> DataFrame:
+    """The rows of WORDS or of PLACES."""
 
-def split_blocks(docs: DataFrame, kind: int, block: int, buckets: int, dictionary: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = None
+        rows_of = Chunk.word_rows if schema == WORDS else Chunk.place_rows
         for batch in batches:
             for doc_id, text, part in zip(*map(common.each, batch.columns)):
-                chunk = chunk or Chunk(part << 24, buckets, kind)
+                chunk = chunk or Chunk(part << 24, buckets)
                 chunk.add(doc_id, text)
                 if chunk.size >= block:
-                    yield _batch(list(chunk.flush()))
-                    if len(chunk.known) > dictionary:
-                        chunk = Chunk(chunk.number + 1, buckets, kind)
+                    yield _batch(rows_of(chunk), schema)
+                    if len(chunk.known) > dictionary or chunk.blocks == BLOCKS:
+                        chunk = Chunk(chunk.number + 1, buckets)
         if chunk and chunk.ids:
-            yield _batch(list(chunk.flush()))
+            yield _batch(rows_of(chunk), schema)
 
     # the scan's own partition: a union may number its tasks otherwise
-    return common.texts(docs).withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, ROWS)
+    return common.texts(docs).withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, schema)
 
 
-def encode_words(rows: DataFrame) -> DataFrame:
+def encode_words(lists: DataFrame) -> DataFrame:
     """Answers the word lists of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoding().encode_ordinary
-        known: dict[bytes, list[int]] = {}
+        known: dict[str, list[int]] = {}
         for batch in batches:
-            out = []
-            for number, kind, block, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                lengths, data = unpack_arrays(payload)
-                data, at, flat, sizes = data.tobytes(), 0, [], []
-                for end in np.cumsum(lengths).tolist():
-                    word = data[at:end]
-                    at = end
+            rows = []
+            for *key, lengths, text in zip(*map(common.each, batch.columns)):
+                at, flat, sizes = 0, [], []
+                for n in lengths:
+                    word = text[at : at + n]
+                    at += n
                     ids = known.get(word)
                     if ids is None:
-                        ids = known[word] = encode(word.decode())
+                        if len(known) >= CACHE:
+                            known.clear()
+                        ids = known[word] = tokens.encode_piece(word)
                     flat += ids
                     sizes.append(len(ids))
-                out.append((number, kind, block, bucket, pack_arrays(np.array(sizes, dtype=np.int32), np.array(flat, dtype=np.uint16))))
-            yield _batch(out)
-
-    return rows.mapInArrow(run, ROWS)
-
-
-def put_together(rows: DataFrame) -> DataFrame:
-    """rows hold each chunk's answers by block and bucket, then its places by block, in one partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, sizes, flat, table = None, [], [], None
-        for batch in batches:
-            for number, kind, payload in zip(batch.column("chunk").to_pylist(), batch.column("kind").to_pylist(), batch.column("payload")):
-                if number != chunk:
-                    chunk, sizes, flat, table = number, [], [], None
-                if kind == WORDS:
-                    s, f = unpack_arrays(payload.as_py())
-                    sizes.append(s)
-                    flat.append(f)
-                    continue
-                if table is None:  # all answers are in: they come first
-                    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
-                    table = np.concatenate(flat) if flat else np.zeros(0, np.uint16)
-                    starts = np.cumsum(size, dtype=np.int64) - size
-                ids, missing, counts, places = unpack_arrays(payload.as_py())
-                at, out = 0, []
-                for n in counts.tolist():
-                    some = places[at : at + n]
-                    at += n
-                    out.append(ragged(starts[some], size[some], table).tobytes())
-                lengths = pa.array([len(x) // 2 for x in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=missing.astype(bool)), lengths, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-
-
-def encode(docs: DataFrame, block: int = BLOCK, buckets: int = BUCKETS, dictionary: int = DICTIONARY) -> DataFrame:
+                rows.append((*key, sizes, np.array(flat, dtype=np.uint16).view(np.int16)))
+            yield _batch(rows, ANSWERS)
+
+    return lists.mapInArrow(run, ANSWERS)
+
+
+def _flat(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def put_together(answers: pa.Table, places: pa.Table) -> pa.Table:
+    """The ids of a chunk's documents."""
+    answers, places = answers.sort_by([("block", "ascending"), ("bucket", "ascending")]), places.sort_by("block")
+    checks = dict(zip(answers.column("block").to_pylist(), answers.column("check").to_pylist()))
+    for block, check in zip(places.column("block").to_pylist(), places.column("check").to_pylist()):
+        if checks.pop(block, 0) != check:
+            raise RuntimeError("a split of the input gave other rows, or another order, when read again: write the input first")
+    if checks:
+        raise RuntimeError("a split of the input gave fewer rows when read again: write the input first")
+    table, size = _flat(answers, "ids").view(np.uint16), _flat(answers, "sizes").astype(np.int64)
+    starts = np.cumsum(size) - size
+    ids, out = [], []
+    for k in range(places.num_rows):
+        row = places.slice(k, 1)
+        at = _flat(row, "low").view(np.uint16).astype(np.int64) | _flat(row, "high").astype(np.int64) << 16
+        ids += row.column("doc_ids")[0].as_py()
+        cut = 0
+        for n in row.column("counts")[0].as_py():
+            some = at[cut : cut + n]
+            cut += n
+            out.append(ragged(starts[some], size[some], table).tobytes())
+    lengths = pa.array([len(x) // 2 for x in out], pa.int64())
+    return pa.Table.from_arrays([pa.array(ids, pa.int64()), lengths, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+
+def encode(docs: DataFrame, block: int = BLOCK, buckets: int | None = None, dictionary: int = DICTIONARY) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row of docs; ids are unsigned 16-bit, little-endian."""
-    parts = common.partitions(docs.sparkSession)
-    buckets = min(parts, buckets)
+    buckets = buckets or common.partitions(docs.sparkSession)
     lists = split_blocks(docs, WORDS, block, buckets, dictionary).repartitionById(buckets, F.col("bucket"))
     places = split_blocks(docs, PLACES, block, buckets, dictionary)
-    rows = encode_words(lists).unionByName(places).repartition(parts, "chunk")
-    return put_together(rows.sortWithinPartitions("chunk", "kind", "block", "bucket"))
+    both = encode_words(lists).groupBy("chunk").cogroup(places.groupBy("chunk"))
+    return both.applyInArrow(put_together, "doc_id long, n_tokens long, ids binary")
 
 
 class ByteTable:
