@@ -8,9 +8,10 @@ count. A form or a class or id is no sure sign, as both stand on wrappers of who
 element is no furniture if it holds most of the page's text outside links, unless an article stands
 apart from it, or the page's largest article or main element, if no larger text stands outside.
 Text-to-tag ratios of the other lines are smoothed by a Gaussian kernel and clustered by a
-threshold into content and rest; lines of links are rest. If the content stands in an article or main element, all lines there
-are the text, short ones too; else the text is the content regions, with the headings right before them
-and single lines between.
+threshold into content and rest; lines of links are rest. Content lines are the seeds of regions. In an
+article or main element a region reaches over the whole element, short lines too, except lists of links
+whose mean ratio is rest; an article without a seed is none. Elsewhere a region has the seeds, single lines
+between them and the headings right before.
 
 A null or empty page, or one without any text, has empty text. Unclosed tags are taken as the parser
 meets them: an end tag closes what was left open inside; what can't stand in a head closes it. Pages that repeat are extracted alike; an empty
@@ -23,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,6 @@ FURNITURE = frozenset(
 )
 IN_HEAD = frozenset("head title base basefont bgsound link meta noframes noscript script style template".split())
 BODIES = ("article", "main")
-IN_HEAD = frozenset("head title base basefont bgsound link meta noframes noscript script style template".split())
-BODIES = ("article", "main")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that may stand open without an end tag; they never hold furniture open.
 LOOSE = frozenset("p b i u em strong a span font small big li dd dt tr td th option br sub sup code".split())
@@ -55,29 +55,39 @@ MARKS = frozenset(
     " teaser toolbar topbar widget widgets".split()
 )
 _WORD = re.compile(r"[a-z]+")
+_LONG_REFERENCE = re.compile(r"&#([xX][0-9a-fA-F]{8,}|[0-9]{8,})")
+
+
+def _short_reference(match: re.Match) -> str:
+    """A character reference of many digits: its zeros go, and one beyond all characters is none (U+FFFD)."""
+    digits = match[1].lstrip("xX0") or "0"
+    return f"&#{'x' if match[1][0] in 'xX' else ''}{digits}" if len(digits) < 8 else "&#xFFFD"
 
 
 class LineParser(HTMLParser):
-    """Lines of a page: (text, tags, heading, mostly links, in an article or main)."""
+    """Lines of a page: (text, tags, heading, mostly links, the outermost article or main it stands in or -1).
+    Elements that matter later are numbered as they open, so an element's parent has a lower number."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.cuts: list[tuple[list[tuple[str, bool, tuple[int, ...]]], int, bool, bool]] = []  # lines' parts, as read
-        self.parts: list[tuple[str, bool, tuple[int, ...]]] = []  # text, whether in a link, what it stands in
+        self.cuts: list[tuple[list[tuple[str, bool, int]], int, bool, int]] = []  # lines' parts, as read
+        self.parts: list[tuple[str, bool, int]] = []  # text, whether in a link, what it stands in
         self.tags = 0
         self.heading = False
         self.link = False
-        #: Elements that end tags may close, whether each is furniture, and its number if it is followed.
-        self.open: list[tuple[str, bool, int | None]] = []
+        #: Elements that end tags may close, whether each is furniture, and its number or -1.
+        self.open: list[tuple[str, bool, int]] = []
+        self.opened: Counter = Counter()  # how many of a name are open
         self.shut = 0  # open elements that are furniture
         self.inside = 0  # open article and main elements
-        self.within: tuple[int, ...] = ()  # open elements that are followed
-        self.around: list[tuple[int, ...]] = []  # by number: what an element stands in
+        self.within = -1  # the innermost open element with a number
+        self.top = -1  # the outermost open article or main element
+        self.parents: list[int] = []  # by number: what an element stands in, or -1
         self.doubtful: list[int] = []  # elements that may be furniture, outer ones first
         self.bodies: dict[str, list[int]] = {t: [] for t in BODIES}
 
     def cut(self) -> None:
-        self.cuts.append((self.parts, self.tags, self.heading, self.inside > 0))
+        self.cuts.append((self.parts, self.tags, self.heading, self.top))
         self.parts = []
         self.tags = 0
         self.heading = False
@@ -104,35 +114,41 @@ class LineParser(HTMLParser):
         """Close the innermost element of this name and what is open inside."""
         while self.open:
             last, mark, number = self.open.pop()
+            self.opened[last] -= 1
             self.shut -= mark
             self.inside -= last in BODIES
-            if number is not None:
-                self.within = self.around[number]
+            if number >= 0:
+                self.within = self.parents[number]
+                if number == self.top:
+                    self.top = -1
             if last == tag:
                 break
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag == "body" and any(t == "head" for t, *_ in self.open) or tag not in IN_HEAD and self.open and self.open[-1][0] == "head":
+        if tag == "body" and self.opened["head"] or tag not in IN_HEAD and self.open and self.open[-1][0] == "head":
             self.pop("head")
         if tag in BLOCKS:
             self.cut()
             self.heading = tag in HEADINGS
         elif tag in VOID:
-            self.parts.append((" ", False, ()))
+            self.parts.append((" ", False, -1))
         if tag in VOID:
             return
         self.link |= tag == "a"
         mark, doubtful = self.furniture(tag, attrs)
         if tag in LOOSE and not mark and not doubtful:
             return
-        number = None
+        number = -1
         if doubtful or tag in BODIES and not mark:
-            number = len(self.around)
-            self.around.append(self.within)
-            self.within += (number,)
+            number = len(self.parents)
+            self.parents.append(self.within)
+            self.within = number
             (self.doubtful if doubtful else self.bodies[tag]).append(number)
+            if tag in BODIES and self.top < 0:
+                self.top = number
         self.open.append((tag, mark, number))
+        self.opened[tag] += 1
         self.shut += mark
         self.inside += tag in BODIES
 
@@ -147,7 +163,7 @@ class LineParser(HTMLParser):
         self.link &= tag != "a"
         if tag in BLOCKS:
             self.cut()
-        if any(t == tag for t, *_ in self.open):
+        if self.opened[tag]:
             self.pop(tag)
 
     def handle_data(self, data: str) -> None:
@@ -156,36 +172,85 @@ class LineParser(HTMLParser):
         if not self.shut:
             self.parts.append((data, self.link, self.within))
 
-    def dropped(self) -> set[int]:
-        """The doubtful elements that are furniture."""
-        held: Counter = Counter()  # characters outside links, by what they stand in
+    # What the library's patterns can't close is never text: a tag ends at the next >, other markup at the page's end.
+
+    def _closed(self, end: int) -> int:
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        end = super().parse_starttag(i)
+        if end < 0:
+            self.tags += 1
+            end = self.rawdata.find(">", i) + 1 or -1
+        return self._closed(end)
+
+    def parse_endtag(self, i: int) -> int:
+        return self._closed(super().parse_endtag(i))
+
+    def parse_pi(self, i: int) -> int:
+        return self._closed(super().parse_pi(i))
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        end = self.rawdata.find("-->", i + 2)
+        return self._closed(end + 3 if end >= 0 else end)
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        return self._closed(self.parse_bogus_comment(i))
+
+    def marked(self, numbers: set[int]) -> list[bool]:
+        """By number: whether an element is one of these or stands in one."""
+        found: list[bool] = []
+        for number, parent in enumerate(self.parents):
+            found.append(number in numbers or parent >= 0 and found[parent])
+        return found
+
+    def above(self, number: int) -> list[int]:
+        """What an element stands in."""
+        found = []
+        while (number := self.parents[number]) >= 0:
+            found.append(number)
+        return found
+
+    def dropped(self) -> list[bool]:
+        """By number: whether an element is furniture, or stands in one that is."""
+        own, total = [0] * len(self.parents), 0  # characters outside links
         for parts, *_ in self.cuts:
             for data, link, within in parts:
-                held[within] += 0 if link else len(data.strip())
-        holds: Counter = Counter()
-        for within, n in held.items():
-            for number in within:
-                holds[number] += n
+                size = 0 if link else len(data.strip())
+                total += size
+                if within >= 0:
+                    own[within] += size
+        holds = own.copy()
+        for number in reversed(range(len(holds))):
+            if self.parents[number] >= 0:
+                holds[self.parents[number]] += holds[number]
         largest = [max(found, key=lambda n: holds[n]) for found in self.bodies.values() if any(holds[n] for n in found)]
-        drop, total = set(self.doubtful), sum(held.values())
+        drop = set(self.doubtful)
+        path = set(self.above(largest[0])) if largest else set()
+        inner = self.marked({largest[0]}) if largest else []
+        closed = len(path & drop)
         for number in self.doubtful:
-            apart = largest and drop.isdisjoint(self.around[largest[0]]) and largest[0] not in self.around[number]
+            apart = largest and not closed and not inner[number]
             if 2 * holds[number] > total and not apart:
                 drop.remove(number)
-        outside = sum(n for within, n in held.items() if drop.isdisjoint(within))
+                closed -= number in path
+        gone = self.marked(drop)
+        outside = total - sum(n for n, lost in zip(own, gone) if lost)
         for body in largest:
             if holds[body] >= outside:
-                drop.difference_update(self.around[body])
-        return drop
+                drop.difference_update(self.above(body))
+        return self.marked(drop)
 
-    def lines(self) -> list[tuple[str, int, bool, bool, bool]]:
-        drop, out, tags = self.dropped(), [], 0
-        for parts, more, heading, inside in self.cuts:
+    def lines(self) -> list[tuple[str, int, bool, bool, int]]:
+        gone, out, tags = self.dropped(), [], 0
+        for parts, more, heading, top in self.cuts:
             tags += more
-            kept = [(data, link) for data, link, within in parts if drop.isdisjoint(within)]
+            kept = [(data, link) for data, link, within in parts if within < 0 or not gone[within]]
             if text := " ".join("".join(data for data, _ in kept).split()):
                 linked = sum(len(data.strip()) for data, link in kept if link)
-                out.append((text, tags, heading, 2 * linked > len(text), inside))
+                out.append((text, tags, heading, 2 * linked > len(text), top))
                 tags = 0
         return out
 
@@ -212,24 +277,37 @@ def threshold(values: np.ndarray) -> float:
     return float(np.expm1(cut))
 
 
+def regions(lines: list[tuple[str, int, bool, bool, int]]) -> list[bool]:
+    """Which lines are content. Seeds are lines over the ratios' threshold that aren't mostly links. A seed in
+    an article makes the article's lines a region, but for lists of links in it whose mean is under the
+    threshold; without seeds in articles, the lines by the seeds are tried one by one."""
+    raw = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
+    ratios = smoothed(raw)
+    least = threshold(ratios)
+    links = [mostly for *_, mostly, _ in lines]
+    tops = np.array([top for *_, top in lines])
+    seeds = (ratios >= least) & ~np.array(links)
+    chosen = set(tops[seeds].tolist()) - {-1}
+    if chosen:
+        keep = np.isin(tops, list(chosen))
+        for (linked, _), run in groupby(range(len(lines)), key=lambda i: (links[i], tops[i])):
+            if linked and len(run := list(run)) > 1 and raw[run].mean() < least:
+                keep[run] = False
+        return keep.tolist()
+    keep = seeds.copy()
+    keep[1:-1] |= seeds[:-2] & seeds[2:]
+    for i in range(len(lines) - 2, -1, -1):
+        keep[i] |= lines[i][2] and keep[i + 1]
+    return keep.tolist()
+
+
 def main_text(html: str) -> str:
     parser = LineParser()
-    parser.feed(html)
+    parser.feed(_LONG_REFERENCE.sub(_short_reference, html))
     parser.close()
     parser.cut()
     lines = parser.lines()
-    if not lines:
-        return ""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
-    content = (ratios >= threshold(ratios)) & ~np.array([links for *_, links, _ in lines])
-    if any(inside and chosen for (*_, inside), chosen in zip(lines, content)):
-        return "\n".join(text for text, *_, inside in lines if inside)
-    keep = content.copy()
-    for i in range(1, len(lines) - 1):
-        keep[i] |= content[i - 1] and content[i + 1]
-    for i in range(len(lines) - 2, -1, -1):
-        keep[i] |= lines[i][2] and keep[i + 1]
-    return "\n".join(line[0] for line, kept in zip(lines, keep) if kept)
+    return "\n".join(line[0] for line, kept in zip(lines, regions(lines)) if kept) if lines else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
