@@ -68,6 +68,11 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a row is held out; one without an id is not."""
+    return F.coalesce(fold(doc_id) == 2, F.lit(False))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder of spark.checkpoint.dir and read again."""
     spark = df.sparkSession

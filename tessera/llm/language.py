@@ -2,7 +2,8 @@
 
 For each language a suffix automaton of labelled text answers which strings occur in it. A document is
 cut greedily into the longest phrases that occur there; the language that needs the fewest normalised
-phrases wins. Texts are read in blocks of `block` characters, each parsed from its start, so long
+phrases wins. Transitions lie in a hash table, so a model's memory follows the sample, whatever the number of
+letters. Texts are read in blocks of `block` characters, each parsed from its start, so long
 texts cost no more than short ones and a block adds one phrase at most.
 
 Training text: of each language, stretches of at most `max_chars` characters, each from a text's first
@@ -16,7 +17,8 @@ Letters are lower-cased; each run of other characters counts as one space, as si
 nothing of a language; letters that are in no training text are one unknown symbol. A null text, or one without a letter, is `und` with score 0.
 The score is the softmax share of the winner over the languages' bits, within 0 and 1. Ties go to the
 alphabetically first language. With no labelled text at all every row is `und`. Rows that repeat are
-predicted alike.
+predicted alike. A row with a null doc_id has no remainder, so it is never held out (held_out false); it is
+learned from like other rows.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ UNKNOWN = "und"
 def training_texts(docs: DataFrame, max_chars: int = MAX_CHARS, sample: int = SAMPLE) -> dict[str, list[str]]:
     """The bounded sample by language. Where it ends is found on the stretches' hashes and sizes alone, within
     salts first, so that no task holds a language's rows."""
-    seen = docs.where(F.col("lang").isNotNull() & (common.fold(F.col("doc_id")) != 2))
+    seen = docs.where(F.col("lang").isNotNull() & ~common.held_out(F.col("doc_id")))
     stretch = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0)
     seen = seen.select(F.col("lang").cast("string").alias("lang"), "doc_id", stretch.alias("stretch")).where(F.length("stretch") > 0)
     seen = seen.withColumn("order", F.xxhash64("doc_id", "stretch"))
@@ -104,63 +106,109 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
+class Transitions:
+    """Transitions of automata in a hash table with two places for each key (cuckoo hashing), so that memory
+    follows the number of transitions, not states times letters. A key is state * width + symbol."""
+
+    _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, keys: list[int], targets: list[int]):
+        bits = max(2, (4 * len(keys)).bit_length())
+        while not self._fill(keys, targets, bits):
+            bits += 1
+
+    def _fill(self, keys: list[int], targets: list[int], bits: int) -> bool:
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.targets = np.zeros(1 << bits, dtype=np.int32)
+        wanted = np.array(keys, dtype=np.int64)
+        places = [self._place(wanted, f) for f in self._FACTORS]
+        places_of = list(zip(*(p.tolist() for p in places)))
+        table: dict[int, int] = {}  # place -> number of the key there
+        for number in range(len(keys)):
+            place = places_of[number][0]
+            for _ in range(500):
+                number, other = table.get(place, -1), number
+                table[place] = other
+                if number < 0:
+                    break
+                first, second = places_of[number]
+                place = second if place == first else first
+            else:
+                return False
+        where = np.fromiter(table.keys(), np.int64, len(table))
+        what = np.fromiter(table.values(), np.int64, len(table))
+        self.keys[where] = wanted[what]
+        self.targets[where] = np.array(targets, dtype=np.int32)[what]
+        return True
+
+    def _place(self, keys: np.ndarray, factor: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(factor)) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The targets of keys (int64), -1 where there is none."""
+        place = self._place(keys, self._FACTORS[0])
+        found = np.where(self.keys.take(place) == keys, self.targets.take(place), -1)
+        rest = np.flatnonzero(found < 0)
+        some = keys.take(rest)
+        place = self._place(some, self._FACTORS[1])
+        found[rest] = np.where(self.keys.take(place) == some, self.targets.take(place), -1)
+        return found
+
+
 class CrossParser:
-    """All languages' automata in one table: row state, column symbol, value 2 * next + (1 if a phrase
-    ends before the symbol). Symbol 0 is unknown to all; the last symbol pads blocks and changes nothing."""
+    """An automaton of each language. Symbol 0 is unknown to all. State 1 is the start; state 0 has no
+    transitions: there a phrase waits whose first symbol the language lacks."""
 
     def __init__(self, training: tuple[tuple[str, tuple[str, ...]], ...], block: int = BLOCK):
         self.languages = [lang for lang, _ in training]
         self.block = block
         kinds = sorted({int(c) for _, ts in training for t in ts for c in np.unique(code_points(t))})
-        self.symbols = np.zeros(0x110000 + 1, dtype=np.uint8 if len(kinds) < 250 else np.int32)
+        self.symbols = np.zeros(0x110000, dtype=np.int32)
         self.symbols[kinds] = np.arange(1, len(kinds) + 1)
-        self.width = len(kinds) + 2
-        self.pad = self.width - 1
-        self.symbols[-1] = self.pad
+        self.width = len(kinds) + 1
         self.cost = np.log([max(2, sum(map(len, ts))) for _, ts in training])
-        tables, self.starts, at = [], [], 0
-        for _, ts in training:
-            symbols: list[int] = []
-            for i, t in enumerate(ts):
-                symbols += self.symbols[code_points(t)].tolist()
-                symbols.append(-1 - i)
-            nexts = suffix_automaton(symbols)
-            dead = at + len(nexts)  # after a symbol that occurs nowhere: any symbol starts a new phrase
-            begin = np.full(self.width, 2 * dead, dtype=np.int32)  # a phrase ends, the symbol starts the next
-            for c, t in nexts[0].items():
-                if c >= 0:
-                    begin[c] = 2 * (t + at)
-            table = np.tile(begin | 1, (len(nexts) + 1, 1))
-            for s, moves in enumerate(nexts):
-                for c, t in moves.items():
-                    if c >= 0:
-                        table[s, c] = 2 * (t + at)
-            table[:, self.pad] = 2 * (np.arange(len(table)) + at)
-            tables.append(table)
-            self.starts.append(at)
-            at += len(table)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.automata = [self._automaton(ts) for _, ts in training]
+
+    def _automaton(self, texts: tuple[str, ...]) -> Transitions:
+        symbols: list[int] = []
+        for i, t in enumerate(texts):
+            symbols += self.symbols[code_points(t)].tolist()
+            symbols.append(-1 - i)
+        moves = [((state + 1) * self.width + c, to + 1) for state, nexts in enumerate(suffix_automaton(symbols)) for c, to in nexts.items() if c >= 0]
+        return Transitions([key for key, _ in moves], [to for _, to in moves])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases of each text by language, characters of each text)."""
         points = [code_points(t) for t in texts]
         sizes = np.array([len(p) for p in points], dtype=np.int64)
         blocks = np.maximum(1, -(-sizes // self.block))
-        first = np.concatenate([[0], np.cumsum(blocks)[:-1]]) if len(texts) else np.zeros(0, np.int64)
+        first = np.cumsum(blocks) - blocks
         total = int(blocks.sum())
-        flat = np.full(total * self.block, self.pad, dtype=self.symbols.dtype)
+        flat = np.zeros(total * self.block, dtype=np.int64)
         for p, f in zip(points, first.tolist()):
             flat[f * self.block : f * self.block + len(p)] = self.symbols[p]
-        columns = np.ascontiguousarray(flat.reshape(total, self.block).T)
+        filled = np.full(total, self.block, dtype=np.int64)
+        filled[first + blocks - 1] = sizes - (blocks - 1) * self.block
+        order = np.argsort(-filled, kind="stable")  # fuller blocks first: what is read at a place is a prefix
+        columns = np.ascontiguousarray(flat.reshape(total, self.block)[order].T)
+        reading = total - np.searchsorted(filled[order][::-1], np.arange(self.block), side="right")
         counts = np.zeros((len(texts), len(self.languages)))
-        for k, start in enumerate(self.starts):
-            state = np.full(total, start, dtype=np.int32)
-            ends = np.ones(total, dtype=np.int32)  # the phrase that the block's end cuts off
-            for column in columns:
-                moved = self.table.take(state * np.int32(self.width) + column)
-                ends += moved & 1
-                state = moved >> 1
-            counts[:, k] = np.add.reduceat(ends, first) if len(texts) else 0
+        for k, known in enumerate(self.automata):
+            state = np.ones(total, dtype=np.int64)
+            ends = np.ones(total, dtype=np.int64)  # the phrase that the block's end cuts off
+            for column, n in zip(columns, reading.tolist()):
+                if not n:
+                    break
+                column = column[:n]
+                moved = known.find(state[:n] * self.width + column)
+                miss = np.flatnonzero(moved < 0)  # a phrase ends and the symbol starts the next
+                ends[miss] += 1
+                moved[miss] = np.maximum(known.find(self.width + column.take(miss)), 0)
+                state[:n] = moved
+            placed = np.empty(total, dtype=np.int64)
+            placed[order] = ends
+            counts[:, k] = np.add.reduceat(placed, first) if len(texts) else 0
         return counts, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -198,7 +246,7 @@ def identify(docs: DataFrame, max_chars: int = MAX_CHARS, block: int = BLOCK) ->
                 yield pa.RecordBatch.from_arrays(columns, [*some.schema.names, "__lang_pred", "__score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
-    return docs.mapInArrow(predict, schema).withColumn("__held_out", common.fold(F.col("doc_id")) == 2)
+    return docs.mapInArrow(predict, schema).withColumn("__held_out", common.held_out(F.col("doc_id")))
 
 
 def predictions(docs: DataFrame) -> DataFrame:
