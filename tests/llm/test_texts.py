@@ -309,3 +309,78 @@ def test_weak_supervision_learns_reliabilities():
     odds = pii.learn([("ssn", "+0+0", 60), ("ssn", "+000", 40), ("ssn", "-00-", 50), ("iban", "--00", 30), ("iban", "++00", 30)])
     assert odds["ssn", "+0+0"] > 0 > odds["ssn", "-00-"] and odds["iban", "++00"] > odds["iban", "--00"]
     assert pii.learn([]) == {}
+
+
+def test_tree_merge_of_sorted_runs(spark):
+    """The merge itself against a dictionary, and its place in the plan."""
+    rng = random.Random(4)
+    rows = sorted({(sha(str(rng.randrange(400))), rng.randrange(2), 3) for _ in range(600)})
+    runs = [[(*r, rng.choice([None, rng.randrange(99)]), 1) for r in sorted(rng.sample(rows, 150))] for _ in range(9)]
+    blocks = sorted(((run[i][0], iter(run[i : i + 7])) for run in runs for i in range(0, 150, 7)), key=lambda b: b[0])
+    want: dict[tuple, list] = {}
+    for row in (r for run in runs for r in run):
+        want.setdefault(row[:3], []).append(row[3])
+    found = list(exact_dedup.collapse(exact_dedup.merge_blocks(iter(blocks))))
+    assert found == [(*d, min((i for i in ids if i is not None), default=None), len(ids)) for d, ids in sorted(want.items())]
+    leaves = spark.createDataFrame([(k, *r) for k, run in enumerate(runs) for r in run], "node long, " + exact_dedup.MERGED)
+    merged = exact_dedup.merge_runs(leaves, 9, 3)
+    assert sorted(tuple(r) for r in merged.collect()) == found
+    plan = merged._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 3 and plan.count("Sort [shard") == 3 and "HashAggregate" not in plan
+
+
+LONG = [c * 10**6 for c in (" ", "\t", "\n", "x", ".", "1", "é")] + ["end" + " \n" * 10**6 + "x"]
+
+
+def test_texts_of_a_million_characters(spark):
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    json = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    json.encode_special_tokens = True
+    ids = [json.encode(t, add_special_tokens=False).ids for t in LONG]
+    assert [tokens.encode(t) for t in LONG] == ids
+    docs = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")
+    want = [(i, len(x), sha(" ".join(map(str, x))), sha(t)) for i, (x, t) in enumerate(zip(ids, LONG))]
+    assert got(bpe.digests(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    assert got(token_counts.lengths(docs), "doc_id", "n_tokens") == sorted(((i, n) for i, n, *_ in want), key=repr)
+    packed = packing.packed_digests(docs).groupBy("doc_id").sum("length").collect()
+    assert sorted(tuple(r) for r in packed) == [(i, n + 1) for i, n, *_ in want]
+
+
+def test_packing_spreads_a_hot_id(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 5, prose(i, 6)) for i in range(400)], "doc_id long, text string")
+    groups = Counter(r["sequence_id"] >> 32 for r in packing.pack(docs, group=20).collect())
+    assert len(groups) == 20 and max(groups.values()) < 50
+    shuffled = docs.repartition(7, "text")
+    columns = ("doc_id", "ids", "sequence_id", "offset")
+    assert got(packing.pack(docs, group=20), *columns) == got(packing.pack(shuffled, group=20), *columns)
+
+
+def test_token_quantiles(docs, rows, empty, plain_encoding):
+    sizes = sorted(len(plain_encoding.encode_ordinary(t or "")) for _, t in rows)
+    shares = [0.01, 0.25, 0.5, 0.9, 1.0]
+    found = token_counts.quantiles(token_counts.count_tokens(docs), shares).collect()
+    assert [tuple(r) for r in found] == [(q, min(s for s in sizes if sum(x <= s for x in sizes) >= q * len(sizes))) for q in shares]
+    assert {r["n_tokens"] for r in token_counts.quantiles(token_counts.count_tokens(empty), shares).collect()} == {None}
+
+
+def test_bpe_fails_if_splits_change():
+    """Places that were made of other rows than the words, or in another order."""
+    import pyarrow as pa
+
+    def read(texts):
+        chunks = bpe.Chunk(1, 3), bpe.Chunk(1, 3)
+        for chunk in chunks:
+            for i, t in enumerate(texts):
+                chunk.add(i, t)
+        words, places = bpe._batch(chunks[0].word_rows(), bpe.WORDS), bpe._batch(chunks[1].place_rows(), bpe.PLACES)
+        lists = [words.column(c).to_pylist() for c in ("chunk", "block", "bucket", "check", "sizes")]
+        answers = bpe._batch([(*key, [1] * len(sizes), [7] * len(sizes)) for *key, sizes in zip(*lists)], bpe.ANSWERS)
+        return pa.table(answers), pa.table(places)
+
+    first, second, none = read(["a b", "c d e"]), read(["c d e", "a b"]), read([""])
+    assert bpe.put_together(*first).column("n_tokens").to_pylist() == [2, 3]
+    for answers, places in ((first[0], second[1]), (first[0], none[1]), (none[0], first[1])):
+        with pytest.raises(RuntimeError, match="when read again"):
+            bpe.put_together(answers, places)
