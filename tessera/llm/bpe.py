@@ -37,7 +37,7 @@ from tessera.llm import common, tokens
 BLOCK = 2_000_000
 #: A chunk ends with the block that brings it to so many words or so many blocks.
 DICTIONARY = 500_000
-BLOCKS = 16
+BLOCKS = 8
 CACHE = 1_000_000
 #: words: those of a block that are new in its chunk and fall to a bucket, one after the other; sizes: their lengths.
 WORDS = "chunk long, block int, bucket int, check long, sizes array<int>, words string"
