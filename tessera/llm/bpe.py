@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, tokens
 
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: A chunk ends with the block that brings it to so many words or so many blocks.
 DICTIONARY = 500_000
-BLOCKS = 8
+BLOCKS = 16
 CACHE = 1_000_000
 #: words: those of a block that are new in its chunk and fall to a bucket, one after the other; sizes: their lengths.
 WORDS = "chunk long, block int, bucket int, check long, sizes array<int>, words string"
@@ -67,8 +67,8 @@ def ragged(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarra
 class Chunk:
     """A dictionary of words and the blocks of documents that it was made from."""
 
-    def __init__(self, number: int, buckets: int):
-        self.number, self.buckets = number, buckets
+    def __init__(self, number: int, buckets: int, placed: bool):
+        self.number, self.buckets, self.placed = number, buckets, placed
         self.known: dict[str, int] = {}
         self.blocks = 0
         self._begin()
@@ -80,8 +80,12 @@ class Chunk:
         self.size = 0
 
     def add(self, doc_id: int | None, text: str) -> None:
-        known, number = self.known, self.known.setdefault
-        self.places.append(np.array([number(w, len(known)) for w in tokens.pattern().findall(text)], dtype=np.int64))
+        known, number, words = self.known, self.known.setdefault, tokens.pattern().findall(text)
+        if self.placed:
+            self.places.append(np.array([number(w, len(known)) for w in words], dtype=np.int32))
+        else:
+            for word in dict.fromkeys(words):
+                number(word, len(known))
         self.ids.append(doc_id)
         self.size += len(text)
 
@@ -91,7 +95,7 @@ class Chunk:
         words = list(islice(self.known, self.first, None))
         bucket = np.fromiter((zlib.crc32(w.encode()) % self.buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
-        self.rank = np.empty(len(words), dtype=np.int64)
+        self.rank = np.empty(len(words), dtype=np.int32)
         self.rank[order] = np.arange(self.first, self.first + len(words))
         self.known.update(zip(words, self.rank.tolist()))
         cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -126,15 +130,16 @@ def split_blocks(docs: DataFrame, schema: str, block: int, buckets: int, diction
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = None
-        rows_of = Chunk.word_rows if schema == WORDS else Chunk.place_rows
+        placed = schema == PLACES
+        rows_of = Chunk.place_rows if placed else Chunk.word_rows
         for batch in batches:
             for doc_id, text, part in zip(*map(common.each, batch.columns)):
-                chunk = chunk or Chunk(part << 24, buckets)
+                chunk = chunk or Chunk(part << 24, buckets, placed)
                 chunk.add(doc_id, text)
                 if chunk.size >= block:
                     yield _batch(rows_of(chunk), schema)
                     if len(chunk.known) > dictionary or chunk.blocks == BLOCKS:
-                        chunk = Chunk(chunk.number + 1, buckets)
+                        chunk = Chunk(chunk.number + 1, buckets, placed)
         if chunk and chunk.ids:
             yield _batch(rows_of(chunk), schema)
 

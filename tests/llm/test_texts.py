@@ -370,7 +370,7 @@ def test_bpe_fails_if_splits_change():
     import pyarrow as pa
 
     def read(texts):
-        chunks = bpe.Chunk(1, 3), bpe.Chunk(1, 3)
+        chunks = bpe.Chunk(1, 3, False), bpe.Chunk(1, 3, True)
         for chunk in chunks:
             for i, t in enumerate(texts):
                 chunk.add(i, t)
