@@ -4,9 +4,14 @@ trained on the resulting posteriors. Everything over rows is DataFrame expressio
 
 Base spans (email, ip, card, phone) are found by their fixed patterns and checks, leftmost and
 non-overlapping per kind, and always stay. One further pattern proposes candidates of other kinds
-(ssn, iban, local, secret, name); those that overlap no base span and that the classifier accepts are
-added. The learners see a table of counts by kind and vote pattern alone, whose size is bounded by the
-labelers (kinds x 3^labelers), never texts or spans; its counts cover all rows.
+(ssn, iban, local, secret, name); those that overlap a base span go, and of the others those that the
+classifier accepts are added.
+
+EM sees votes alone: a labeler that abstains says nothing, one that votes is right at rates of its own for
+true and for false spans. The classifier sees no votes but what a span looks like (size, kinds of characters,
+checksums) and what stands before it, weighted by EM's posteriors. Both learn from one table of counts by
+kind, votes and feature, bounded by kinds x 3^labelers x features, never from texts or spans; its counts cover
+all rows. What an added span gets depends on these counts, so on the other rows.
 
 The patterns are written so that Java's matcher neither recurses nor rescans long runs: groups are
 possessive where nothing follows them, and a run is entered at its start or where the last match ended.
@@ -55,21 +60,45 @@ IBAN = "|".join([
     *(_iban(countries, size) for size, countries in IBAN_SIZES.items()),
     rf"[A-Z]{{2}}[0-9]{{2}}(?:{_GROUP}{{4}}){{2}}(?:(?:{_GROUP}{{4}}){{1,5}}(?:{_GROUP}{{1,3}})?|{_GROUP}{{3}})",
 ])
+#: Given names of the languages at hand: fixed values.
+GIVEN = (
+    "Adam|Alejandro|Alexander|Alice|Ana|Andrea|Andreas|Andrew|Anna|Anne|Antonio|Barbara|Ben|Bernard|Carlos|Carmen|Catherine|Charles|Charlotte"
+    "|Christian|Christine|Claire|Claudia|Daniel|David|Diego|Dorothy|Elena|Elizabeth|Emily|Emma|Eric|Eva|Felix|Fernando|Florian|Francisco|Frank|Franz"
+    "|François|Gabriel|George|Grace|Hannah|Hans|Heinz|Helen|Henri|Henry|Isabel|Isabelle|Jack|Jacques|James|Jan|Javier|Jean|Jennifer|Jessica|Joan|Johann"
+    "|Johannes|John|José|Joseph|Juan|Julia|Julie|Karl|Katharina|Klaus|Laura|Lea|Leon|Linda|Louis|Louise|Lucas|Lucía|Luis|Lukas|Manuel|Margaret"
+    "|Maria|María|Marie|Mark|Marta|Martin|Mary|Matthew|Max|Michael|Michel|Miguel|Monika|Nathalie|Nicole|Nina|Olivia|Pablo|Patricia|Paul|Pedro|Peter|Petra"
+    "|Philip|Philippe|Pierre|Rachel|Ralf|Richard|Robert|Rosa|Ruth|Sabine|Sandra|Sarah|Simon|Sofia|Sophie|Stefan|Stephen|Susan|Susanne|Teresa|Thomas"
+    "|Tobias|Ursula|Victor|William|Wolfgang"
+)
+TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Sr|Sra|Mme|Mlle"
 PROPOSE = (
     r"(?<![A-Za-z0-9])(?:"
     r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
     rf"|(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})(?![A-Za-z0-9])"  # a look ahead, as most words are no IBAN
     r"|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
-    r"|(?:token|api_key|secret|password|passwd)\x20?[=:]\x20?[\x22']?[A-Za-z0-9_/+.-]{8,}+[\x22']?"
-    r"|(?:Mr|Mrs|Ms|Dr|Herr|Frau|Sra|Mme)\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?)"
+    r"|(?:token|api_key|apikey|secret|password|passwd|pwd)\x20?[=:]\x20?[\x22']?[A-Za-z0-9_/+.-]{8,}+[\x22']?"
+    rf"|(?=\p{{Lu}}\p{{Ll}})(?<!\p{{L}})(?:(?:{TITLES})\.?\x20\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?|(?:{GIVEN})\x20\p{{Lu}}\p{{Ll}}+))"
 )
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-#: Context words in the data's languages, and gazetteers: fixed values.
-CONTEXT = r"(?i)(?:mail|contact|kontakt|correo|tel|phone|call|fax|ip|host|server|address|adresse|card|karte|carte|tarjeta|ssn|social|iban|konto|account|token|key|secret|password|login|name)[^\p{L}]{0,4}$"
-DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|info|io|eu|de|fr|es|uk|us)$"
+#: Words that announce a kind, in the data's languages, and gazetteers: fixed values.
+CONTEXT = {
+    "email": "mail|email|e-mail|contact|kontakt|correo|courriel|write|schreiben",
+    "ip": "ip|host|server|address|adresse|client|login|router|from|gateway",
+    "card": "card|karte|carte|tarjeta|visa|mastercard|amex|credit|kredit",
+    "phone": "tel|telefon|teléfono|téléphone|phone|call|fax|mobile|mobil|handy|cell",
+    "ssn": "ssn|social|security|sozial",
+    "iban": "iban|konto|account|bank|cuenta|compte|pay",
+    "local": "tel|telefon|teléfono|téléphone|phone|call|fax|mobile|mobil|handy|cell",
+    "secret": "key|credential|credentials|login|user|export|set|env",
+    "name": "name|from|by|von|de|dear|hello|liebe|lieber|signed|patient|client|author",
+}
+DOUBT = r"(?i)(?:version|v|no|nr|nº|number|order|part|item|isbn|serial|#)[.:\x20]*$"
+DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|info|io|eu|de|fr|es|uk|us|it|nl|ch|at|be|pl|mx|br|ca|au|jp|cn|in)$"
 CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
-NAMES = r"\b(?:John|James|Mary|Anna|Maria|Peter|Paul|David|Michael|Thomas|Hans|Klaus|Jean|Pierre|Marie|Juan|Carlos|Carmen|Luis|Sofia)\b"
+NAMES = rf"(?:^|\x20)(?:{GIVEN})\x20"
 COUNTRIES = r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)"
+NOT_PUBLIC = r"^0*(?:0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^0*192\.0*168\.|^0*172\.0*(?:1[6-9]|2[0-9]|3[01])\."
+PLACEHOLDERS = r"(?i)change_?me|example|placeholder|your_|xxxx|\*\*\*|dummy|insert"
 LABELERS = ("shape", "gazetteer", "context", "doubt")
 
 
@@ -159,7 +188,7 @@ def _kind_of(value: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Array of (start, no, end, kind, value, before) of base spans and proposals, in order of start and
-    kind (no is the kind's place in KINDS)."""
+    kind (no is the kind's place in KINDS). Proposals that overlap a base span are left out."""
 
     def typed(array: Column, kind) -> Column:
         def one(s: Column) -> Column:
@@ -174,102 +203,179 @@ def candidates(text: Column) -> Column:
     for kind in BASE:
         spans = F.filter(typed(found(text, PATTERNS[kind]), kind), _check(kind))
         base.append(F.when(needs[kind], spans).otherwise(nothing) if kind in needs else spans)
-    return F.array_sort(F.concat(*base, typed(found(text, PROPOSE), _kind_of)))
+    proposed = typed(found(text, PROPOSE), _kind_of)
+
+    def clear(sure: Column) -> Column:
+        def apart(s: Column) -> Column:
+            return ~F.exists(sure, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+        return F.concat(sure, F.filter(proposed, apart))
+
+    return F.array_sort(F.transform(F.array(F.concat(*base)), clear)[0])
 
 
 def is_base(span: Column) -> Column:
     return span["no"] <= len(BASE)
 
 
-def votes(span: Column) -> Column:
-    """The labelers' votes as a string: + for, - against, 0 for none."""
-    value, before, kind = span["value"], span["before"], span["kind"]
-    size = F.length(value)
-    shape = (
+def mod97(iban: Column) -> Column:
+    """Whether an IBAN's check digits are right."""
+    compact = F.regexp_replace(iban, "[^A-Z0-9]", "")
+    moved = F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.left(compact, F.lit(4)))
+
+    def step(rest: Column, i: Column) -> Column:
+        c = F.substring(moved, i, F.lit(1))
+        n = F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        return (rest * F.when(n > 9, 100).otherwise(10) + n) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), step) == 1
+
+
+def _vote(yes: Column, no: Column | None = None) -> Column:
+    found = F.when(yes, "+")
+    return found.otherwise("0") if no is None else found.when(no, "-").otherwise("0")
+
+
+def shape(span: Column) -> Column:
+    """+ if the span's form and checksums hold, - if they break."""
+    value, kind = span["value"], span["kind"]
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z].*[A-Za-z]")
+    return (
         F.when(is_base(span), "+")
         .when(kind == "ssn", F.when(value.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), "+").otherwise("-"))
-        .when(kind == "iban", F.when(size.between(15, 42) & value.rlike("[0-9]{4}"), "+").otherwise("-"))
-        .when(kind == "secret", F.when((size >= 24) & value.rlike("[0-9]"), "+").otherwise("-"))
-        .when(kind == "local", F.when(value.rlike(r"^\(?[2-9]"), "+").otherwise("-"))
-        .otherwise(F.when(value.rlike(r"\x20\S+\x20"), "+").otherwise("0"))
+        .when(kind == "iban", F.when(mod97(value), "+").when(F.length(value).between(15, 42) & value.rlike("[0-9]{4}"), "0").otherwise("-"))
+        .when(kind == "secret", _vote((F.length(value) >= 20) & mixed, ~value.rlike(r"[=:]\x20?[\x22']?[^\x22']*[0-9_/+-]")))
+        .when(kind == "local", F.when(value.rlike(r"^\(?[2-9][0-9]{2}\)?.[2-9]"), "+").otherwise("-"))
+        .otherwise(_vote(value.rlike(r"\x20\S+\x20") | ~value.rlike(rf"^(?:{TITLES})\b")))
     )
+
+
+def context(span: Column) -> Column:
+    """The kind whose words stand right before the span, `doubt` after words of numbers that identify nobody."""
+    found = F.when(span["before"].rlike(DOUBT), "doubt")
+    # the span's own kind first, as kinds share words
+    for kind, words in CONTEXT.items():
+        found = found.when((span["kind"] == kind) & span["before"].rlike(rf"(?i)(?<!\p{{L}})(?:{words})[^\p{{L}}\p{{N}}]{{0,4}}$"), kind)
+    found = found.when((span["kind"] == "name") & span["value"].rlike(rf"^(?:{TITLES})\b"), "title")
+    return found.otherwise("none")
+
+
+def votes(span: Column) -> Column:
+    """The labelers' votes as a string: + for, - against, 0 for none."""
+    value, kind = span["value"], span["kind"]
     known = (
-        F.when(kind == "email", F.when(value.rlike(DOMAINS), "+").otherwise("0"))
+        F.when(kind == "email", _vote(value.rlike(DOMAINS)))
+        .when(kind == "ip", F.when(value.rlike(NOT_PUBLIC), "-").otherwise("+"))
+        .when(kind == "card", F.when(value.rlike("^[3-6]"), "+").otherwise("-"))
         .when(kind == "phone", F.when(value.rlike(CODES), "+").otherwise("-"))
         .when(kind == "iban", F.when(value.rlike(COUNTRIES), "+").otherwise("-"))
-        .when(kind == "name", F.when(value.rlike(NAMES), "+").otherwise("0"))
-        .when(kind == "secret", "+")
+        .when(kind == "name", _vote(value.rlike(NAMES)))
+        .when(kind == "secret", _vote(F.lit(False), value.rlike(PLACEHOLDERS)))
         .otherwise("0")
     )
-    context = F.when(before.rlike(CONTEXT), "+").otherwise("0")
-    doubt = F.when(value.rlike(r"([0-9])\1{6}") | before.rlike(r"(?i)(?:version|v|no|nr|#)[.\x20]?$"), "-").otherwise("0")
-    return F.concat(shape, known, context, doubt)
+    said = context(span)
+    doubt = F.when(value.rlike(r"([0-9])[\x20-]?\1{6}|0?123456789|987654321") | (said == "doubt"), "-").otherwise("0")
+    return F.concat(shape(span), known, _vote(~said.isin("none", "doubt")), doubt)
+
+
+def features(span: Column) -> Column:
+    """What the classifier sees: an array of name=value, of which there are about 40."""
+    value, size = span["value"], F.length(span["value"])
+
+    def share(pattern: str) -> Column:
+        return F.floor(4 * F.length(F.regexp_replace(value, pattern, "")) / size).cast("string")
+
+    edge = F.regexp_extract(span["before"], r"(\S)\s*$", 1)
+    edge = F.when(edge == "", "none").when(edge.rlike(r"\p{L}"), "letter").when(edge.rlike(r"\p{N}"), "digit").when(edge.isin(":", "="), "colon").when(edge == "#", "number").otherwise("sign")
+    made = {
+        "size": F.least(F.floor(F.log2(size)), F.lit(8)).cast("string"),
+        "digits": share("[^0-9]"),
+        "capitals": share(r"[^\p{Lu}]"),
+        "different": F.floor(4 * F.size(F.array_distinct(F.split(F.left(value, F.lit(256)), ""))) / F.least(size, F.lit(256))).cast("string"),
+        "form": shape(span),
+        "word": context(span),
+        "edge": edge,
+    }
+    return F.array(*[F.concat(F.lit(f"{k}="), v) for k, v in made.items()])
+
 
+#: Rates at which a labeler's votes are right, before any is seen, and how many votes that counts for.
+_RIGHT, _WEIGHT = 0.85, 20
 
-def learn(counts: list[tuple[str, str, int]], rounds: int = 50) -> dict[tuple[str, str], float]:
-    """Log-odds that a span is personal data, by (kind, votes), from the counts of those patterns.
 
-    EM: each labeler has a rate of each vote for true and for false spans, each kind a prior; start at
-    rates under which a vote for is right in 4 of 5 cases. Naive Bayes then reads kind and votes as
-    features, its counts weighted by the posteriors, with add-one smoothing."""
-    marks = "+-0"
-    rates = [{True: {"+": 0.6, "-": 0.1, "0": 0.3}, False: {"+": 0.15, "-": 0.35, "0": 0.5}} for _ in LABELERS]
+def posteriors(counts: dict[tuple[str, str], int], rounds: int = 50) -> dict[tuple[str, str], float]:
+    """The probability that a span of (kind, votes) is personal data, by EM. Each kind has a prior, each
+    labeler a rate of votes for among true spans and of votes against among false ones; abstentions say
+    nothing. Rates stay above 0.55, so that the classes can't change places."""
+    right = [{True: _RIGHT, False: _RIGHT} for _ in LABELERS]
     prior: dict[str, float] = defaultdict(lambda: 0.5)
 
     def posterior(kind: str, vote: str) -> float:
-        yes, no = math.log(prior[kind]), math.log(1 - prior[kind])
-        for rate, mark in zip(rates, vote):
-            yes, no = yes + math.log(rate[True][mark]), no + math.log(rate[False][mark])
-        return 1 / (1 + math.exp(min(700, no - yes)))
+        z = math.log(prior[kind] / (1 - prior[kind]))
+        for rate, mark in zip(right, vote):
+            if mark == "+":
+                z += math.log(rate[True] / (1 - rate[False]))
+            elif mark == "-":
+                z += math.log((1 - rate[True]) / rate[False])
+        return 1 / (1 + math.exp(-max(-700, min(700, z))))
 
     for _ in range(rounds):
-        soft = [(kind, vote, n, posterior(kind, vote)) for kind, vote, n in counts]
-        for kind in {k for k, *_ in soft}:
-            of = [(n, p) for k, _, n, p in soft if k == kind]
-            prior[kind] = (1 + sum(n * p for n, p in of)) / (2 + sum(n for n, _ in of))
-        for i, rate in enumerate(rates):
-            for truth in (True, False):
-                # pseudo-counts keep a labeler's meaning: without them the classes could change places
-                weight = {m: 10 * {True: {"+": 0.6, "-": 0.1, "0": 0.3}, False: {"+": 0.15, "-": 0.35, "0": 0.5}}[truth][m] for m in marks}
-                for _, vote, n, p in soft:
-                    weight[vote[i]] += n * (p if truth else 1 - p)
-                total = sum(weight.values())
-                rate[truth] = {m: w / total for m, w in weight.items()}
-    soft = [(kind, vote, n, posterior(kind, vote)) for kind, vote, n in counts]
-    total = {t: sum(n * (p if t else 1 - p) for *_, n, p in soft) for t in (True, False)}
-    share: dict[tuple, float] = defaultdict(float)
-    for kind, vote, n, p in soft:
-        for feature in [("kind", kind), *enumerate(vote)]:
-            share[(*feature, True)] += n * p
-            share[(*feature, False)] += n * (1 - p)
-    odds = {}
-    for kind, vote, _ in counts:
-        z = math.log((total[True] + 1) / (total[False] + 1))
-        for feature in [("kind", kind), *enumerate(vote)]:
-            z += math.log((share[(*feature, True)] + 1) / (total[True] + 3)) - math.log((share[(*feature, False)] + 1) / (total[False] + 3))
-        odds[kind, vote] = z
-    return odds
-
-
-def _accepted(spans: Column, odds: dict[tuple[str, str], float]) -> Column:
-    """Base spans, and proposals that overlap none of them and that the classifier accepts."""
-    yes = [f"{kind}{vote}" for (kind, vote), z in odds.items() if z > 0]
-
-    def chosen(base: Column) -> Column:
-        def taken(s: Column) -> Column:
-            clear = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-            return is_base(s) | (F.concat(s["kind"], votes(s)).isin(yes) & clear)
-
-        return F.filter(spans, taken)
-
-    return F.transform(F.array(F.filter(spans, is_base)), chosen)[0]
-
-
-def pattern_counts(spans: DataFrame) -> list[tuple[str, str, int]]:
-    """Counts of (kind, votes) over all candidates of the column `spans`."""
-    each = spans.select(F.explode("spans").alias("s")).select(F.col("s.kind").alias("kind"), votes(F.col("s")).alias("votes"))
-    rows = each.groupBy("kind", "votes").count().collect()  # kinds x 3^labelers rows at most
-    return sorted((r["kind"], r["votes"], r["count"]) for r in rows)
+        soft = {key: posterior(*key) for key in counts}
+        for kind in sorted({k for k, _ in counts}):
+            of = [(n, soft[key]) for key, n in counts.items() if key[0] == kind]
+            prior[kind] = (2 + sum(n * p for n, p in of)) / (4 + sum(n for n, _ in of))
+        for i, rate in enumerate(right):
+            for truth, good in ((True, "+"), (False, "-")):
+                agree, votes_cast = _RIGHT * _WEIGHT, float(_WEIGHT)
+                for (kind, vote), n in counts.items():
+                    if vote[i] != "0":
+                        share = n * (soft[kind, vote] if truth else 1 - soft[kind, vote])
+                        votes_cast += share
+                        agree += share * (vote[i] == good)
+                rate[truth] = min(0.99, max(0.55, agree / votes_cast))
+    return {key: posterior(*key) for key in counts}
+
+
+def train(counts: list[tuple[str, str, str, int]]) -> dict[tuple[str, str], float]:
+    """Weights of the naive-Bayes classifier by (kind, feature), ("", in place of a feature: the kind's own),
+    from counts of (kind, votes, feature); feature "" counts each span once. A feature's rates among true and
+    false spans of a kind are smoothed by its rate among all of them."""
+    truth = posteriors({(kind, vote): n for kind, vote, feature, n in counts if not feature})
+    spans: dict[tuple, float] = defaultdict(float)
+    for kind, vote, feature, n in counts:
+        spans[kind, feature, True] += n * truth[kind, vote]
+        spans[kind, feature, False] += n * (1 - truth[kind, vote])
+    weights = {}
+    for kind, feature in sorted({(k, f) for k, f, _ in spans}):
+        yes, no = spans[kind, "", True], spans[kind, "", False]
+        if not feature:
+            weights[kind, ""] = math.log((yes + 1) / (no + 1))
+            continue
+        both = 5 * (spans[kind, feature, True] + spans[kind, feature, False]) / (yes + no)
+        weights[kind, feature] = math.log((spans[kind, feature, True] + both) / (yes + 5)) - math.log((spans[kind, feature, False] + both) / (no + 5))
+    return weights
+
+
+def odds(span: Column, weights: dict[tuple[str, str], float]) -> Column:
+    """The classifier's log-odds that a span is personal data."""
+    table = F.create_map(*[F.lit(x) for (kind, feature), w in weights.items() for x in (f"{kind} {feature}", w)])
+    names = F.concat(F.array(F.lit("")), features(span))
+    return F.aggregate(names, F.lit(0.0), lambda z, f: z + F.coalesce(F.try_element_at(table, F.concat(span["kind"], F.lit(" "), f)), F.lit(0.0)))
+
+
+def _accepted(spans: Column, weights: dict[tuple[str, str], float]) -> Column:
+    """Base spans, and proposals that the classifier accepts."""
+    if not weights:
+        return spans
+    return F.filter(spans, lambda s: is_base(s) | (odds(s, weights) > 0))
+
+
+def pattern_counts(spans: DataFrame) -> list[tuple[str, str, str, int]]:
+    """Counts of (kind, votes, feature) over all candidates of the column `spans`."""
+    each = spans.select(F.explode("spans").alias("s"))
+    each = each.select(F.col("s.kind").alias("kind"), votes(F.col("s")).alias("votes"), F.concat(F.array(F.lit("")), features(F.col("s"))).alias("f"))
+    rows = each.select("kind", "votes", F.explode("f").alias("feature")).groupBy("kind", "votes", "feature").count().collect()
+    return sorted((r["kind"], r["votes"], r["feature"], r["count"]) for r in rows)  # kinds x 3^labelers x features at most
 
 
 def _listed(spans: Column) -> Column:
@@ -279,8 +385,8 @@ def _listed(spans: Column) -> Column:
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) for every row; spans is the array of (start, no, end, kind, value, before)."""
     spans = common.checkpointed(common.texts(docs).select("doc_id", candidates(F.col("text")).alias("spans")))
-    odds = learn(pattern_counts(spans))
-    return spans.select("doc_id", _accepted(F.col("spans"), odds).alias("spans"))
+    weights = train(pattern_counts(spans))
+    return spans.select("doc_id", _accepted(F.col("spans"), weights).alias("spans"))
 
 
 def _nulled(kind: str) -> Callable[[Column], Column]:
@@ -288,20 +394,23 @@ def _nulled(kind: str) -> Callable[[Column], Column]:
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
+    """The query's columns; n_added counts the spans of other kinds than the base ones."""
     spans = detect(docs)
     base = F.filter("spans", is_base)
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [F.size(F.array_compact(F.transform(kinds, _nulled(k)))).cast("long").alias(f"n_{k}") for k in BASE]
-    return spans.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    added = (F.size("spans") - F.size(base)).cast("long").alias("n_added")
+    return spans.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), added)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every detected span of its text replaced by its kind in brackets; n_chars, where docs
-    has it, becomes the new text's length. Overlapping spans become one, named by the first."""
-    rows = docs.withColumn("__spans", candidates(F.coalesce("text", F.lit(""))))
-    odds = learn(pattern_counts(rows.select(F.col("__spans").alias("spans"))))
+    has it, becomes the new text's length. Overlapping spans become one, named by the first. Rows and their
+    candidates are written once to the shared folder, as texts are searched only once."""
+    rows = common.written(docs.withColumn("__spans", candidates(F.coalesce("text", F.lit("")))), "spans")
+    weights = train(pattern_counts(rows.select(F.col("__spans").alias("spans"))))
     marks = scan(
-        _accepted(F.col("__spans"), odds),
+        _accepted(F.col("__spans"), weights),
         lambda at, s: F.greatest(at, s["end"]),
         lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
         "struct<at:int,start:int,end:int,kind:string>",
