@@ -136,6 +136,7 @@ def test_toxicity(spark, docs, empty):
     out = toxicity.score(table, labels).join(labels, "doc_id").collect()
     tested = [r for r in out if r["held_out"]]
     hits = sum(r["predicted"] and r["toxic"] for r in tested)
+    print("toxicity held out: recall", hits / sum(r["toxic"] for r in tested), "precision", hits / sum(r["predicted"] for r in tested))
     assert hits >= 0.7 * sum(r["toxic"] for r in tested) and hits >= 0.7 * sum(r["predicted"] for r in tested)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out)
     small = toxicity.score(docs, labels.limit(0)).collect()
@@ -143,20 +144,66 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, labels).count() == 0
 
 
-def test_kneser_ney_is_a_distribution():
-    """Ratios come from probabilities that sum to one over the seen characters and the unseen rest."""
+def plain_kneser_ney(texts: list[tuple[int, str]], order: int):
+    """p(class, character, context) of interpolated Kneser-Ney, from the definition."""
+    d, seen = toxicity.DISCOUNT, [{}, {}]
+    for toxic, text in texts:
+        for word in text.lower().split():
+            padded = " " * (order - 1) + word + " "
+            for i in range(len(word) + 1):
+                gram = padded[i : i + order]
+                seen[toxic][gram] = seen[toxic].get(gram, 0) + 1
+    kinds = {order: set(seen[0]) | set(seen[1])}
+    for size in range(order - 1, 0, -1):
+        kinds[size] = {g[1:] for g in kinds[size + 1]}
+    letters = sorted(kinds[1])
+
+    def interpolated(counts, c, lower):
+        total, n = sum(counts.values()), sum(1 for v in counts.values() if v)
+        return (max(counts.get(c, 0) - d, 0) + d * n * lower) / total if total else lower
+
+    def shared(c, h):
+        lower = shared(c, h[1:]) if h else 1 / (len(letters) + 1)
+        return interpolated({x: sum(g[1:] == h + x for g in kinds[len(h) + 2]) for x in letters if h + x in kinds[len(h) + 1]}, c, lower)
+
+    def p(toxic, c, h):
+        return interpolated({x: seen[toxic].get(h + x, 0) for x in letters}, c, shared(c, h[1:]))
+
+    return p, letters, seen
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    texts = [(0, "aab abb ab"), (0, "abc aab ba"), (1, "cab cab abb"), (1, "bac")]
+    p, letters, seen = plain_kneser_ney(texts, 3)
+    df = spark.createDataFrame(texts, "toxic int, text string")
+    counted = toxicity.count_grams(toxicity.count_words(df), 3).cache()
+    assert {(r["gram"], r["ordinary"], r["toxic"]) for r in counted.collect()} == {(g, seen[0].get(g, 0), seen[1].get(g, 0)) for g in seen[0] | seen[1]}
+    totals = toxicity.context_totals(counted, 3)
+    found = toxicity.probabilities(counted, totals, toxicity.shared_backoff(counted, 3), 3).collect()
+    assert len(found) == counted.count()
+    for r in found:
+        assert r["p_ordinary"] == pytest.approx(p(0, r["gram"][2], r["gram"][:2])) and r["p_toxic"] == pytest.approx(p(1, r["gram"][2], r["gram"][:2]))
+    for h in {g[:2] for g in seen[0] | seen[1]} | {"xx"}:
+        for toxic in (0, 1):  # "?" stands for all characters never seen
+            assert sum(p(toxic, c, h) for c in [*letters, "?"]) == pytest.approx(1)
+    full, context = toxicity.models(counted, 3, 1000)
+    ratios = toxicity.Ratios(full, context, 3)
     import math
-    from collections import Counter
-
-    counts = Counter()
-    for w in ["aab", "abb", "abc", "aab"]:
-        for gram in toxicity.grams(w, 3):
-            counts[gram] += 1
-    ratios = toxicity.Ratios([(g, n, 2 * n) for g, n in sorted(counts.items())], 3)
-    assert all(math.isfinite(v) for v in ratios.full.values())
-    assert ratios.word("zzz") == pytest.approx(ratios.context["  "])
-    only_toxic = toxicity.Ratios([("  a", 5, 5), (" ab", 5, 0), (" ax", 0, 5)], 3)
-    assert only_toxic.full[" ax"] > 0 > only_toxic.full[" ab"]
+
+    assert ratios.full["cab"] == pytest.approx(math.log(p(1, "b", "ca") / p(0, "b", "ca")))
+    assert ratios.context["ab"] == pytest.approx(math.log(p(1, "?", "ab") / p(0, "?", "ab")))
+    few, _ = toxicity.models(counted, 3, 5)
+    assert 0 < few.num_rows <= 5 and set(few.column("gram").to_pylist()) < set(ratios.full)
+
+
+def test_toxicity_counts_grow_and_the_sample_does_not(spark):
+    """Texts over any length are learned from; rows that repeat an id are in the regression's sample once."""
+    long = "nasty " * 3000
+    rows = [(i, (long if i % 2 else "kindly " * 3000) + str(i)) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:3] * 100], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    out = toxicity.score(docs, labels, rows=4).collect()
+    assert len(out) == docs.count() and all(r["predicted"] == r["doc_id"] % 2 for r in out)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="home with-sidebar">
