@@ -66,9 +66,15 @@ def _truncated(cell: Cell, low: float, high: float, draw: Callable[[Column], Col
     """The first of a number of draws in [low, high], else the clamped first draw. That many draws miss
     with a probability under 1e-9, or 100 do."""
     tries = 1 if acceptance >= 1 else min(100, math.ceil(math.log(1e-9) / math.log1p(-max(acceptance, 1e-9))))
-    draws = F.transform(F.sequence(F.lit(1), F.lit(tries)), draw)
-    inside = F.filter(draws, lambda x: x.between(low, high))
-    return F.coalesce(F.try_element_at(inside, F.lit(1)), F.greatest(F.lit(low), F.least(F.lit(high), F.element_at(draws, 1))))
+    number = lambda k: F.lit(k)
+    inside = lambda x: F.when(x.between(low, high), x)
+    once = lambda k: F.transform(F.array(draw(number(k))), inside)[0]  # noqa: E731  a lambda's argument is evaluated once
+    few = min(tries, 2)
+    made = [once(k) for k in range(1, few + 1)]  # coalesce draws again only where it must
+    if tries > few:
+        more = F.transform(F.sequence(F.lit(few + 1), F.lit(tries)), draw)
+        made.append(F.try_element_at(F.filter(more, lambda x: x.between(low, high)), F.lit(1)))
+    return F.coalesce(*made, F.greatest(F.lit(low), F.least(F.lit(high), draw(number(1)))))
 
 
 def _phi(x: float) -> float:
@@ -192,13 +198,35 @@ def bounded(value: Column, low: Column | None = None, high: Column | None = None
     return value if high is None else F.least(value, high)
 
 
+def redrawn(cell: Cell, value: Column, bound: Column, op: str, edge, kind: str) -> Column:
+    """value where it keeps `value op bound`; else drawn anew between the bound and the generator's own edge on
+    the other side, or the bound itself where the edge is beyond it. A null bound leaves the value."""
+    u, up = cell.u("bound"), op.startswith(">")
+    if kind == "date":
+        bound = F.date_add(bound, (op == ">") - (op == "<")) if len(op) == 1 else bound
+        room = F.datediff(F.lit(edge), bound) if up else F.datediff(bound, F.lit(edge))
+        step = F.least(F.floor(u * (room + 1)), room).cast("int")
+        new = F.date_add(bound, step) if up else F.date_sub(bound, step)
+    elif kind == "integer":
+        bound = F.ceil(bound) if op == ">=" else F.floor(bound) if op == "<=" else F.floor(bound) + 1 if up else F.ceil(bound) - 1
+        room = F.lit(edge) - bound if up else bound - F.lit(edge)
+        step = F.least(F.floor(u * (room + 1)), F.floor(room))
+        new = bound + step if up else bound - step
+    else:
+        room = F.lit(edge) - bound if up else bound - F.lit(edge)
+        part = room * (1 - u)  # never zero, so that strict bounds hold
+        new = bound + part if up else bound - part
+    keeps = ((value > bound if op == ">" and kind not in ("date", "integer") else value >= bound) if up else (value < bound if op == "<" and kind not in ("date", "integer") else value <= bound))
+    return F.when(F.coalesce(keeps, F.lit(True)), value).when(room >= 0, new).otherwise(bound)
+
+
 def years_between(later: Column, earlier: Column) -> Column:
     month_day = lambda d: F.month(d) * 100 + F.dayofmonth(d)
     return F.year(later) - F.year(earlier) - (month_day(later) < month_day(earlier)).cast("int")
 
 
-def noise(cell: Cell, sigma: float, rule: int = 0) -> Column:
-    """1 + N(0, sigma); the rule's number keeps two noises of a row apart."""
+def noise(cell: Cell, sigma: float, rule: int | str = 0) -> Column:
+    """1 + N(0, sigma); the rule's number and the place in the rule keep two noises of a row apart."""
     if sigma < 0:
         raise GeneratorError("a noise of negative width")
     return 1 + F.lit(float(sigma)) * cell.z(f"noise{rule}")

@@ -1,5 +1,6 @@
 """Row rules. A rule is a Spark SQL expression over the row's columns; Catalyst parses and checks it.
-Three forms are spelled for it before: parent(fk).column, ref('name') and noise(sigma)."""
+Three forms are spelled for it before: parent(fk).column, ref('name') and noise(sigma). Rules may call the
+functions in FUNCTIONS only, as Spark has functions that run any Java method."""
 
 from __future__ import annotations
 
@@ -18,13 +19,35 @@ _NOISE = re.compile(r"\bnoise\(\s*([0-9.]+)\s*\)")
 _YEARS = re.compile(r"\byears_between\(([^(),]+|[^(),]*\([^()]*\)[^(),]*),([^(),]+|[^(),]*\([^()]*\)[^(),]*)\)")
 _DATE = re.compile(r"\bdate\((\d+),\s*(\d+),\s*(\d+)\)")
 _COMPARE = re.compile(r"^\s*(\w+)\s*(>=|<=|<>|=|>|<)\s*(.+)$", re.S)
-_BANNED = re.compile(r";|--|/\*|\b(select|insert|update|delete|drop|java_method|reflect)\b", re.I)
+_BANNED = re.compile(r";|--|/\*|[\\`{}]|\b(select|from|table|values|exists)\b", re.I)
+_STRING = re.compile(r"'[^']*'|\"[^\"]*\"")
+_CALL = re.compile(r"(\w+)\s*\(")
+#: What rules and CHECKs may call: row functions without effects.
+FUNCTIONS = frozenset(
+    "parent ref noise years_between date date_add date_sub datediff add_months months_between make_date to_date last_day trunc date_trunc"
+    " year month day dayofmonth dayofweek hour minute second extract timestamp abs round floor ceil ceiling greatest least mod pow power sqrt exp ln sign"
+    " coalesce nullif ifnull nvl if isnull isnotnull int bigint smallint double float decimal numeric string boolean cast try_cast"
+    " len length char_length character_length lower upper trim ltrim rtrim btrim substring substr left right concat concat_ws replace lpad rpad position"
+    " instr startswith endswith contains size cardinality array array_contains".split()
+)
+_WORDS = frozenset("in and or not when then else case between like ilike is interval varchar char".split())
 
 
 class RuleError(ValueError):
     """A rule that can't be used."""
 
 
+def check_text(text: str) -> str:
+    """text, if it is one expression of allowed functions."""
+    bare = _STRING.sub("''", text)
+    if _BANNED.search(bare) or "\\" in text or "'" in bare.replace("''", "") or '"' in bare:
+        raise RuleError(f"not a row rule: {text!r}")
+    for name in _CALL.findall(bare):
+        if name.lower() not in FUNCTIONS | _WORDS:
+            raise RuleError(f"unknown function {name!r} in {text!r}")
+    return text
+
+
 def parent_column(fk: str, column: str) -> str:
     return f"__p_{fk}_{column}"
 
@@ -41,8 +64,7 @@ class Rule:
     right: str | None = field(init=False, default=None)
 
     def __post_init__(self) -> None:
-        if _BANNED.search(self.text):
-            raise RuleError(f"not a row rule: {self.text!r}")
+        check_text(self.text)
         found = _COMPARE.match(self.text)
         kind = "assertion"
         if found and found[2] != "<>" and not re.search(r"\b(and|or)\b", found[3], re.I) and not re.search(rf"(?<![.\w]){found[1]}\b", _PARENT.sub("", found[3])):
@@ -55,6 +77,42 @@ class Rule:
     def parents(self) -> list[tuple[str, str]]:
         return sorted(set(_PARENT.findall(self.text)))
 
+    @property
+    def reads(self) -> set[str]:
+        """The names that the rule's right side (an assertion's whole text) reads from its own row."""
+        bare = _PARENT.sub(" ", _STRING.sub(" ", self.right or self.text))
+        return set(re.findall(r"(?<![.\w])[A-Za-z_]\w*", bare))
+
+
+def ordered(rules: list[Rule]) -> list[Rule]:
+    """Derivations and bounds so that each comes after those of the columns it reads; of one column, the
+    derivation first; else as written. A cycle is an error that names its columns."""
+    todo = sorted((r for r in rules if r.kind != "assertion"), key=lambda r: (r.kind == "bound", r.number))
+    by_column: dict[str, list[Rule]] = {}
+    for r in todo:
+        by_column.setdefault(r.column, []).append(r)
+    out: list[Rule] = []
+    state: dict[int, bool] = {}  # number -> finished
+
+    def visit(rule: Rule, path: list[str]) -> None:
+        if rule.number in state:
+            if not state[rule.number]:
+                raise RuleError(f"rules in a circle: {' -> '.join([*path[path.index(rule.column):], rule.column])}")
+            return
+        state[rule.number] = False
+        for column in sorted(rule.reads & by_column.keys() - {rule.column}):
+            for other in by_column[column]:
+                visit(other, [*path, rule.column])
+        for other in by_column[rule.column]:
+            if other.kind == "derivation" and rule.kind == "bound":
+                visit(other, [*path, rule.column])
+        state[rule.number] = True
+        out.append(rule)
+
+    for r in sorted(todo, key=lambda r: r.number):
+        visit(r, [])
+    return out
+
 
 def compile_text(text: str, cell: Cell, refs: dict | None = None, number: int = 0) -> tuple[str, dict[str, Column]]:
     """SQL text and the helper columns it names."""
@@ -64,11 +122,13 @@ def compile_text(text: str, cell: Cell, refs: dict | None = None, number: int =
         if match[1] not in (refs or {}):
             raise RuleError(f"unknown ref {match[1]!r}")
         value = refs[match[1]]
-        return f"'{value}'" if isinstance(value, str) else str(value)
+        if not isinstance(value, str):
+            return str(value)
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     def draw(match: re.Match) -> str:
         name = f"__noise{number}_{len(helpers)}"
-        helpers[name] = noise(cell, float(match[1]), number)
+        helpers[name] = noise(cell, float(match[1]), f"{number}.{len(helpers)}" if helpers else number)
         return name
 
     def years(match: re.Match) -> str:

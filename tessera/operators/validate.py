@@ -10,6 +10,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.rules import check_text
+
 ISSUES = "array<struct<columns:string,reason:string>>"
 
 
@@ -23,8 +25,8 @@ def not_null(column: str) -> Column:
 
 
 def check(predicate: str, columns: Iterable[str] = ()) -> Column:
-    """An SQL CHECK: a row breaks it only if it is false, not if it is unknown."""
-    return issue(~F.coalesce(F.expr(predicate), F.lit(True)), columns, f"check {predicate}")
+    """An SQL CHECK: a row breaks it only if it is false, not if it is unknown. It may call what rules may."""
+    return issue(~F.coalesce(F.expr(check_text(predicate)), F.lit(True)), columns, f"check {predicate}")
 
 
 def rule(predicate: Column, columns: Iterable[str], text: str) -> Column:
@@ -130,19 +132,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def closure(tables: dict[str, DataFrame], keys: list[tuple[str, list[str], str, list[str]]]) -> dict[str, DataFrame]:
     """Tables without rows whose foreign keys (child, columns, parent, referenced) find no parent, to a
-    fixed point: dropping a parent drops its children in turn."""
-    out = {name: checkpointed(df) for name, df in tables.items()}
-    sizes = {name: df.count() for name, df in out.items()}
-    while True:
-        changed = False
+    fixed point: dropping a parent drops its children in turn. A round looks only at keys whose parent lost rows
+    in the round before, and writes only tables that lose rows."""
+    out, changed = dict(tables), {parent for _, _, parent, _ in keys}
+    while changed:
+        before, changed = changed, set()
         for child, columns, parent, ref in keys:
-            have = out[parent].select(*[F.col(r).alias(c) for r, c in zip(ref, columns)]).distinct()
-            whole = " and ".join(f"`{c}` is not null" for c in columns)
-            kept = checkpointed(out[child].where(whole).join(have, columns, "left_semi").unionByName(out[child].where(f"not ({whole})")))
-            if (n := kept.count()) < sizes[child]:
-                out[child], sizes[child], changed = kept, n, True
-        if not changed:
-            return out
+            if parent not in before | changed:
+                continue
+            lost = checkpointed(orphans(out[child], out[parent], columns, ref).select(*columns).distinct())
+            if not lost.isEmpty():
+                out[child] = checkpointed(out[child].join(lost, columns, "left_anti"))
+                changed.add(child)
+    return out
 
 
 def distinct_values(rows: DataFrame, draw, column: str, order: str, rounds: int = 50, within: list[str] | None = None) -> DataFrame:
@@ -153,20 +155,22 @@ def distinct_values(rows: DataFrame, draw, column: str, order: str, rounds: int
     rows that are left keep a repeated value, as a group may have more rows than there are values; half the
     rounds in a row without a new value end the search."""
     key = [*(within or []), column]
-    left, taken, have, idle = rows, None, 0, 0
-    total = rows.count()
+    left, taken, idle = rows, None, 0
+    missing = rows.count()
+    total = missing
     for k in range(rounds):
         proposed = left.withColumn(column, draw(k))
         fresh = proposed if taken is None else proposed.join(taken.select(key), key, "left_anti")
         won = fresh.join(firsts(fresh, key, [order]), [*key, order], "left_semi").select(*rows.columns, column)
         if within:
             won = won.unionByName(proposed.where(" or ".join(f"`{c}` is null" for c in key)))
-        taken = checkpointed(won if taken is None else taken.unionByName(won))
-        before, have = have, taken.count()
-        if have == total:
+        won = checkpointed(won)  # each round writes what it won and what is left, not what was taken before
+        taken = won if taken is None else taken.unionByName(won)
+        left = checkpointed(left.join(won.select(order), order, "left_anti"))
+        before, missing = missing, left.count()
+        if not missing:
             return taken
-        left = rows.join(taken.select(order), order, "left_anti")
-        idle = 0 if have > before else idle + 1
+        idle = 0 if missing < before else idle + 1
         if within and 2 * idle >= rounds:
             break
     if within:
