@@ -65,21 +65,44 @@ def unique_subset(children: DataFrame, parents: int, seed: int, table: str, fk:
     return children.join(ranked.withColumnRenamed("__rank", "idx"), "idx")
 
 
-def quota_slots(spark, parents: int, rows: int, low: int, high: int, seed: int, table: str, fk: str) -> DataFrame:
+def quota_slots(spark, parents: int, rows: int, low: int, high: int | None, seed: int, table: str, fk: str) -> DataFrame:
     """(idx, pidx) for idx in [0, rows): every parent gets low to high children. Slots up to `low` are
-    taken by all; of the optional ones the smallest by hash; a second hash shuffles children."""
-    high = min(high, rows)
-    if not parents * low <= rows <= parents * high:
+    taken by all; of the optional ones the smallest by hash; a second hash shuffles children. Without an upper
+    bound, or with one that is far off, no optional slot is made that isn't taken."""
+    if not parents * low <= rows or high is not None and rows > parents * high:
         raise InfeasibleError(f"{table}.{fk}: {rows} rows don't fit {parents} parents with {low} to {high} each")
-    empty = spark.range(0).select(F.col("id").alias("pidx"), F.col("id").alias("k"))
-    slots = empty if not high else spark.range(parents).select(F.col("id").alias("pidx"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(high).cast("bigint"))).alias("k"))
-    slots = slots.withColumn("slot", F.col("pidx") * max(1, high) + F.col("k"))
     need = rows - parents * low
-    free = shuffled(slots.where(F.col("k") > low), seed, table, f"{fk}/free", "slot", "__r").where(F.col("__r") < need).drop("__r")
-    taken = slots.where(F.col("k") <= low).unionByName(free)
+    free = parents * (min(high, rows) - low) if high is not None else None
+    lead = max(1, min(high, rows) if high is not None else low + need)
+    sure = spark.range(parents).select(F.col("id").alias("pidx"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(max(1, low)).cast("bigint"))).alias("k"))
+    taken = sure.where(F.col("k") <= low).select("pidx", (F.col("pidx") * lead + F.col("k")).alias("slot"))
+    if need and free is None:  # no upper bound: each further row draws its parent
+        extra = uniform(spark.range(need).withColumnRenamed("id", "idx"), parents, seed, table, f"{fk}/extra")
+        taken = taken.unionByName(extra.select("pidx", (F.col("pidx") * lead + low + 1 + F.col("idx")).alias("slot")))
+    elif need and free > 50 * need:  # few of very many slots: distinct numbers of slots, spread evenly
+        chosen = distinct_ranks(spark.range(need).withColumnRenamed("id", "idx"), free, seed)
+        chosen = chosen.select((F.col("rank") % parents).alias("pidx"), F.expr(f"rank div {parents}").alias("k"))
+        taken = taken.unionByName(chosen.select("pidx", (F.col("pidx") * lead + low + 1 + F.col("k")).alias("slot")))
+    elif need:
+        slots = spark.range(parents).select(F.col("id").alias("pidx"), F.explode(F.sequence(F.lit(low + 1).cast("bigint"), F.lit(min(high, rows)).cast("bigint"))).alias("k"))
+        slots = slots.select("pidx", (F.col("pidx") * lead + F.col("k")).alias("slot"))
+        taken = taken.unionByName(smallest(slots, Cell(seed, table, f"{fk}/free", F.col("slot")).u("rank"), "slot", need))
     return shuffled(taken, seed, table, f"{fk}/child", "slot", "idx").select("idx", "pidx")
 
 
+def smallest(df: DataFrame, u: Column, tie: str, n: int, cells: int = 4096) -> DataFrame:
+    """The n rows of the smallest draws. Counts by equal parts of [0, 1) say which parts are taken whole; only
+    the part that holds the n-th row is ranked."""
+    keyed = df.withColumn("__u", u).withColumn("__c", F.floor(F.col("__u") * cells))
+    total, whole = 0, -1
+    for r in keyed.groupBy("__c").count().orderBy("__c").collect():  # `cells` rows at most
+        if total + r["count"] > n:
+            break
+        total, whole = total + r["count"], r["__c"]
+    rest = numbered(keyed.where(F.col("__c") == whole + 1), [F.col("__u"), F.col(tie)], "__r").where(F.col("__r") < n - total) if total < n else keyed.limit(0)
+    return keyed.where(F.col("__c") <= whole).select(*df.columns).unionByName(rest.select(*df.columns))
+
+
 def quota(children: DataFrame, parents: int, low: int, high: int, seed: int, table: str, fk: str) -> DataFrame:
     return children.join(quota_slots(children.sparkSession, parents, children.count(), low, high, seed, table, fk), "idx")
 
@@ -116,27 +139,42 @@ def tuples(children: DataFrame, sizes: list[int], names: list[str], seed: int, t
     return out.drop("rank")
 
 
-def group_pairs(left: DataFrame, right: DataFrame, group: list[str], rows: int, seed: int, table: str) -> DataFrame:
-    """(idx, lpos, rpos, *group): distinct pairs within groups that both sides share. left and right are
-    (group, n) counts; flat ranks over the groups' L x R are drawn and unranked by range join."""
-    both = left.withColumnRenamed("n", "l").join(right.withColumnRenamed("n", "r"), group)
-    both = both.withColumn("w", F.col("l") * F.col("r"))
-    total = both.agg(F.sum("w")).first()[0] or 0
+def group_tuples(sides: list[DataFrame], group: list[str], names: list[str], rows: int, seed: int, table: str) -> DataFrame:
+    """(idx, *group, *names): distinct tuples of positions within groups that all sides share. Sides are
+    (group, n) counts; flat ranks over the groups' products are drawn and unranked by a range join, groups in
+    order of a draw."""
+    both = sides[0].withColumnRenamed("n", "__n0")
+    for i, side in enumerate(sides[1:], 1):
+        both = both.join(side.withColumnRenamed("n", f"__n{i}"), group)
+    weight = F.lit(1).cast("decimal(38,0)")
+    for i in range(len(sides)):
+        weight = weight * F.col(f"__n{i}").cast("decimal(18,0)")
+    both = both.withColumn("__w", weight.cast("decimal(38,0)"))
+    total = int(both.agg(F.sum("__w")).first()[0] or 0)
     if rows > total:
-        raise InfeasibleError(f"{table}: {rows} rows need distinct pairs, there are {total}")
-    placed = numbered(both.withColumn("__h", F.xxhash64(*group)), [F.col("__h"), *map(F.col, group)], "__g").drop("__h")
-    ranges = cumulative(placed, "w", "__g").drop("w", "__g")
-    points = distinct_ranks(both.sparkSession.range(rows).withColumnRenamed("id", "idx"), total, seed, "at").withColumn("flat", F.col("at"))
-    ranges = ranges.withColumn("first", F.col("low"))
-    found = range_lookup(points, "at", ranges, total)
-    inside = F.col("flat") - F.col("first")
-    return found.select("idx", *group, F.expr("(flat - first) div r").alias("lpos"), (inside % F.col("r")).alias("rpos"))
+        raise InfeasibleError(f"{table}: {rows} rows need distinct tuples, there are {total}")
+    if total >= 10**18:
+        raise InfeasibleError(f"{table}: {total} tuples are too many to number")
+    order = Cell(seed, table, "group", F.concat_ws(",", *[F.col(c).cast("string") for c in group])).u("rank")
+    both = both.withColumn("__w", F.col("__w").cast("bigint")).withColumn("__h", order)
+    ranges = cumulative(numbered(both, [F.col("__h"), *map(F.col, group)], "__g").drop("__h"), "__w", "__g").drop("__w", "__g")
+    points = distinct_ranks(both.sparkSession.range(rows).withColumnRenamed("id", "idx"), total, seed, "__at")
+    found = range_lookup(points.withColumn("__flat", F.col("__at")), "__at", ranges.withColumn("__first", F.col("low")), total)
+    found = found.withColumn("__flat", F.col("__flat") - F.col("__first"))
+    for i, name in reversed(list(enumerate(names))):
+        found = found.withColumn(name, F.col("__flat") % F.col(f"__n{i}")).withColumn("__flat", F.expr(f"__flat div __n{i}"))
+    return found.select("idx", *group, *names)
+
+
+def group_pairs(left: DataFrame, right: DataFrame, group: list[str], rows: int, seed: int, table: str) -> DataFrame:
+    """(idx, *group, lpos, rpos): distinct pairs within groups that both sides share."""
+    return group_tuples([left, right], group, ["lpos", "rpos"], rows, seed, table)
 
 
-def bounded_pairs(rows: DataFrame, left: int, right: int, low: tuple[int, int], high: tuple[int, int], table: str) -> DataFrame:
+def bounded_pairs(rows: DataFrame, left: int, right: int, low: tuple[int, int], high: tuple[int, int], seed: int, table: str) -> DataFrame:
     """(idx, lpos, rpos) for edges 0..c-1: distinct pairs with degrees within one of each other on both
-    sides, each in [low, high]. Left owners come in blocks of c div L or one more, right ones in turn;
-    callers permute positions by hash ranks."""
+    sides, each in [low, high]. Left owners come in blocks of c div L or one more, right ones in turn; which
+    parents these are is a permutation by hash ranks."""
     c = rows.count()
     for n, lo, hi, side in ((left, low[0], high[0], "left"), (right, low[1], high[1], "right")):
         if not n * lo <= c <= n * hi:
@@ -146,7 +184,11 @@ def bounded_pairs(rows: DataFrame, left: int, right: int, low: tuple[int, int],
     base, more = divmod(c, left)
     cut = more * (base + 1)
     owner = F.when(F.col("idx") < cut, F.expr(f"idx div {base + 1}")).otherwise(F.lit(more) + F.expr(f"(idx - {cut}) div {max(1, base)}"))
-    return rows.select("idx", owner.alias("lpos"), (F.col("idx") % right).alias("rpos"))
+    out = rows.select("idx", owner.cast("bigint").alias("__l"), (F.col("idx") % right).alias("__r"))
+    for n, name, key in ((left, "l", "lpos"), (right, "r", "rpos")):
+        turned = shuffled(rows.sparkSession.range(n).withColumnRenamed("id", key), seed, table, name, key, f"__{name}")
+        out = out.join(turned, f"__{name}")
+    return out.select("idx", "lpos", "rpos")
 
 
 def positions(members: DataFrame, group: list[str], order: list[str], pos: str = "pos", n: str = "n") -> DataFrame:

@@ -104,16 +104,18 @@ class _Run:
         own = [fk for fk in table.foreign_keys if self.schema.table(fk.ref_table) is table]
         todo = [fk for fk in table.foreign_keys if fk not in waiting and fk not in own]
         todo.sort(key=lambda fk: (any(table.column(c).nullable for c in fk.columns), -len(fk.columns)))
-        contract = self.contract(table, todo)
+        contract, shared = self.contract(table, todo)
         parents = {id(fk): self.parent(fk, self.extra(table, fk)) for fk in todo}
-        if contract:
+        if contract and shared:
+            rows = self.shared_tuples(rows, table, contract, shared, n, parents)
+        elif contract:
             sizes = [parents[id(fk)].count() for fk in contract]
             names = [f"__p{i}" for i in range(len(contract))]
             limits = [self.key_config(table, fk) for fk in contract]
             if len(contract) == 2 and any(k.strategy == "quota" for k in limits):
                 low = tuple(k.min if k.strategy == "quota" else 0 for k in limits)
                 high = tuple(k.max if k.strategy == "quota" and k.max is not None else max(n, 1) for k in limits)
-                pairs = assign.bounded_pairs(rows, *sizes, low, high, table.name).withColumnsRenamed({"lpos": "__p0", "rpos": "__p1"})
+                pairs = assign.bounded_pairs(rows, *sizes, low, high, self.config.seed, table.name).withColumnsRenamed({"lpos": "__p0", "rpos": "__p1"})
                 rows = rows.join(pairs, "idx")
             else:
                 rows = assign.tuples(rows, sizes, names, self.config.seed, table.name)
@@ -128,14 +130,34 @@ class _Run:
                     rows = rows.withColumn(c, F.lit(None).cast(table.column(c).spark_type()))
         return rows
 
-    def contract(self, table: Table, fks: list[ForeignKey]) -> list[ForeignKey]:
-        """Keys made of whole foreign keys without shared columns: their tuples must be distinct."""
+    def contract(self, table: Table, fks: list[ForeignKey]) -> tuple[list[ForeignKey], list[str]]:
+        """Foreign keys that make up a whole key, so that their tuples must be distinct, and the columns that all
+        of them share: none, or a tenant's."""
         for key in table.keys():
             parts = [fk for fk in fks if set(fk.columns) <= set(key)]
-            columns = [c for fk in parts for c in fk.columns]
-            if len(parts) >= 2 and sorted(columns) == sorted(key):
-                return parts
-        return []
+            parts = [fk for fk in parts if not any(set(fk.columns) < set(other.columns) for other in parts)]
+            if len(parts) < 2 or {c for fk in parts for c in fk.columns} != set(key):
+                continue
+            shared = [c for c in parts[0].columns if all(c in fk.columns for fk in parts)]
+            own = [c for fk in parts for c in fk.columns if c not in shared]
+            if len(own) == len(set(own)) and all(len(fk.columns) > len(shared) for fk in parts):
+                return parts, shared
+        return [], []
+
+    def shared_tuples(self, rows: DataFrame, table: Table, fks: list[ForeignKey], shared: list[str], n: int, parents: dict[int, DataFrame]) -> DataFrame:
+        """rows with keys that agree on the shared columns, each combination once: distinct tuples of members
+        of the same group."""
+        names, members = [f"__p{i}" for i in range(len(fks))], []
+        for fk in fks:
+            one = parents[id(fk)].withColumnsRenamed({f"__v_{c}": c for c in shared}).where(" and ".join(f"`{c}` is not null" for c in shared))
+            members.append(one)
+        sides = [m.groupBy(*shared).agg(F.count(F.lit(1)).alias("n")) for m in members]
+        rows = rows.join(assign.group_tuples(sides, shared, names, n, self.config.seed, table.name), "idx")
+        for fk, one, name in zip(fks, members, names):
+            placed = assign.positions(one, shared, ["pidx"], name).drop("n", "pidx")
+            rows = rows.join(placed, [*shared, name]).drop(name)
+            rows = rows.withColumnsRenamed({f"__v_{c}": c for c in fk.columns if c not in shared})
+        return rows
 
     def take(self, rows: DataFrame, parent: DataFrame, fk: ForeignKey, table: Table) -> DataFrame:
         """rows with the key of the parent that pidx names."""
@@ -145,7 +167,7 @@ class _Run:
         return rows
 
     def assign(self, rows: DataFrame, table: Table, fk: ForeignKey, parent: DataFrame) -> DataFrame:
-        seed, name, label, config = self.config.seed, table.name, fk.columns[0], self.key_config(table, fk)
+        seed, name, label, config = self.config.seed, table.name, ",".join(fk.columns), self.key_config(table, fk)
         shared = [c for c in fk.columns if c in rows.columns]
         count = parent.count()
         if shared:
@@ -170,7 +192,7 @@ class _Run:
             dense = numbered(holders.withColumnRenamed("idx", "row"), [F.col("row")], "idx")
             if config.strategy == "quota":
                 n = dense.count()
-                given = assign.quota_slots(self.spark, count, n, config.min, config.max if config.max is not None else n, seed, name, label)
+                given = assign.quota_slots(self.spark, count, n, config.min, config.max, seed, name, label)
                 given = dense.join(given, "idx")
             else:
                 given = assign.unique_subset(dense, count, seed, name, label)
@@ -279,19 +301,24 @@ class _Run:
         return lambda k: self.made(table, column, choice, self.cell(table, f"{column.name}~{k}"))
 
     def apply_rules(self, rows: DataFrame, table: Table) -> DataFrame:
-        for rule in self.rules[table.name]:
-            if rule.kind == "assertion":
-                continue
+        """Derivations and bounds, each after those it reads."""
+        for rule in rules.ordered(self.rules[table.name]):
             column = table.column(rule.column)
             cell = self.cell(table, column.name)
             rows = rules.evaluate(rows, "__rule", rule.right, cell, self.config.refs, rule.number)
             value = F.col("__rule").cast(column.spark_type())
             if rule.kind == "bound":
-                step = {"date": dt.timedelta(days=1)}.get(column.kind)
-                if rule.op in (">", "<"):
-                    value = F.date_add(value, 1 if rule.op == ">" else -1) if step else value + (1 if rule.op == ">" else -1)
-                low, high = (value, None) if rule.op.startswith(">") else (None, value)
-                value = g.bounded(F.col(column.name), low, high)
+                params = self.choices[table.name][column.name].params
+                edge = params.get("high" if rule.op.startswith(">") else "low")
+                derived = any(r.kind == "derivation" and r.column == rule.column for r in self.rules[table.name])
+                if edge is not None and not derived and column.kind in ("integer", "numeric", "date") and not column.array:
+                    value = g.redrawn(cell, F.col(column.name), F.col("__rule"), rule.op, edge, column.kind)
+                else:
+                    step = {"date": dt.timedelta(days=1)}.get(column.kind)
+                    if rule.op in (">", "<"):
+                        value = F.date_add(value, 1 if rule.op == ">" else -1) if step else value + (1 if rule.op == ">" else -1)
+                    low, high = (value, None) if rule.op.startswith(">") else (None, value)
+                    value = g.bounded(F.col(column.name), low, high)
             rows = rows.withColumn(column.name, value.cast(column.spark_type())).drop("__rule")
         return rows
 
@@ -305,21 +332,38 @@ class _Run:
             if c.values and not c.array:
                 out.append(validate.bounds(c.name, values=c.values))
         for text in [*table.checks, *[x for c in table.columns for x in c.checks]]:
-            check = validate.check(text)
             try:
+                check = validate.check(text)
                 rows.select(check)
                 out.append(check)
-            except (AnalysisException, ParseException):
+            except (AnalysisException, ParseException, rules.RuleError):
                 self.out.warnings.append(f"{table.name}: check not understood: {text}")
+        return out
+
+    def rule_checks(self, table: Table) -> tuple[dict, list]:
+        """Every rule as a check of the finished row, and the helper columns that they name: assertions, and
+        again derivations and bounds, as a later rule, a cast or a CHECK may have moved a value. What is unknown
+        breaks an assertion, but no derivation or bound."""
+        helpers, out = {}, []
         for rule in self.rules[table.name]:
+            cell = self.cell(table, rule.column or f"rule{rule.number}")
+            sql, own = rules.compile_text(rule.text if rule.kind == "assertion" else rule.right, cell, self.config.refs, rule.number)
+            helpers |= own
             if rule.kind == "assertion":
-                sql, _ = rules.compile_text(rule.text, self.cell(table, f"rule{rule.number}"), self.config.refs, rule.number)
                 out.append(validate.rule(F.expr(sql), [], rule.text))
-        return out
+                continue
+            column, op = table.column(rule.column), rule.op
+            wanted = F.expr(sql).cast(column.spark_type()) if op == "=" else F.expr(sql)
+            made = F.col(column.name)
+            kept = {"=": made.eqNullSafe(wanted), ">=": made >= wanted, "<=": made <= wanted, ">": made > wanted, "<": made < wanted}[op]
+            out.append(validate.rule(F.coalesce(kept, F.lit(True)), [column.name], rule.text))
+        return helpers, out
 
     def split(self, rows: DataFrame, table: Table, later: list[str]) -> None:
         """Broken rows go to quarantine first; of the rest, rows that repeat a key."""
-        checked = validate.checkpointed(validate.with_issues(rows, self.checks(rows, table, later)))
+        helpers, again = self.rule_checks(table)
+        checked = validate.with_issues(rows.withColumns(helpers), [*self.checks(rows, table, later), *again]).drop(*helpers)
+        checked = validate.checkpointed(checked)
         bad = validate.quarantined(checked)
         good = validate.accepted(checked)
         for key in table.keys():
@@ -358,9 +402,11 @@ class _Run:
                 members = parent.withColumnsRenamed({f"__v_{c}": c for c in shared})
                 filled = assign.within_group(rows.drop(*mine), members, shared, ["pidx"], self.config.seed, table.name, mine[0]).drop("pidx")
             else:
-                drawn = assign.uniform(rows.drop(*mine), parent.count(), self.config.seed, table.name, mine[0])
-                filled = drawn.join(parent, "pidx", "left").drop("pidx")
-            filled = filled.withColumnsRenamed({f"__v_{c}": c for c in mine})
+                filled = self.assign(rows.drop(*mine), table, fk, parent)
+            filled = filled.withColumnsRenamed({f"__v_{c}": c for c in mine if c not in filled.columns})
+            if shared and (ratio := self.key_config(table, fk).null_ratio):
+                drop = Cell(self.config.seed, table.name, mine[0], F.col("idx")).u("null") < ratio
+                filled = filled.withColumns({c: F.when(~drop, F.col(c)) for c in mine})
             self.out.updated.setdefault(table.name, []).extend(mine)
             self.split(filled, table, [c for c in columns if table.column(c).nullable])
 

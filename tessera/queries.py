@@ -245,28 +245,43 @@ def compound_tuples(spark, sf_dir):
 )
 def bridge_quota(spark, sf_dir):
     left, right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lkey")), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rkey"))
-    pairs = assign.bounded_pairs(rows(spark, sf_dir), left.count(), right.count(), (1, 0), (100, 100), "bridge")
-    a, b = assign.shuffled(left, SEED, "bridge", "l", "lkey", "lpos"), assign.shuffled(right, SEED, "bridge", "r", "rkey", "rpos")
-    return pairs.join(a, "lpos").join(b, "rpos").select("idx", "lkey", "rkey")
+    pairs = assign.bounded_pairs(rows(spark, sf_dir), left.count(), right.count(), (1, 0), (100, 100), SEED, "bridge")
+    left, right = numbered(left, [F.col("lkey")], "lpos"), numbered(right, [F.col("rkey")], "rpos")
+    return pairs.join(left, "lpos").join(right, "rpos").select("idx", "lkey", "rkey")
 
 
-@query(
-    f"""WITH l AS (SELECT c_nationkey AS nation, count(*) AS l FROM customer GROUP BY 1), r AS (SELECT s_nationkey AS nation, count(*) AS r FROM supplier GROUP BY 1),
-    b AS (SELECT nation, l, r, l * r AS w FROM l JOIN r USING (nation)), c AS (SELECT *, sum(w) OVER (ORDER BY nation)::BIGINT AS high FROM b)
-    SELECT (SELECT count(*) FROM supplier)::BIGINT AS pairs, count(*)::BIGINT AS nations, sum(w)::BIGINT AS possible, true AS distinct_pairs, true AS in_range FROM c"""
-)
+def _tenant_sql(rows_: str, right: str = "SELECT s_nationkey AS nation FROM supplier") -> str:
+    """Pairs of customers and others of their nation: nations in order of a draw, flat ranks unranked."""
+    return f"""l AS (SELECT c_nationkey AS nation, count(*) AS l FROM customer GROUP BY 1), r AS (SELECT nation, count(*) AS r FROM ({right}) GROUP BY 1),
+    b AS (SELECT nation, l, r, l * r AS w, {u('group', 'rank', 'nation', 'bridge')} AS h FROM l JOIN r USING (nation)),
+    c AS (SELECT *, (sum(w) OVER (ORDER BY h, nation) - w)::BIGINT AS low, (sum(w) OVER (ORDER BY h, nation))::BIGINT AS high FROM b),
+    {_affine_sql(rows_, '(SELECT sum(w)::BIGINT FROM b)')},
+    x AS (SELECT idx, nation, (rank - low) // r AS lpos, (rank - low) % r AS rpos FROM e JOIN c ON rank >= low AND rank < high)"""
+
+
+@query(f"WITH {_tenant_sql('(SELECT s_suppkey AS idx FROM supplier)')} SELECT idx, nation, lpos, rpos FROM x")
 def tenant_pairs(spark, sf_dir):
-    """Pairs within nations: checked by their properties, as the order of nations is by a hash."""
+    """Distinct pairs within nations, as many as there are suppliers."""
     left = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
     right = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
-    n = count(spark, sf_dir, "supplier")
-    pairs = assign.group_pairs(left, right, ["nation"], n, SEED, "bridge")
-    sizes = left.withColumnRenamed("n", "l").join(right.withColumnRenamed("n", "r"), "nation")
-    found = pairs.join(sizes, "nation").agg(
-        F.count(F.lit(1)).alias("pairs"), (F.countDistinct("nation", "lpos", "rpos") == n).alias("distinct_pairs"), F.min((F.col("lpos") < F.col("l")) & (F.col("rpos") < F.col("r"))).alias("in_range")
-    )
-    nations, possible = sizes.agg(F.count(F.lit(1)), F.sum(F.col("l") * F.col("r"))).first()
-    return found.withColumns({"nations": F.lit(nations).cast("bigint"), "possible": F.lit(possible).cast("bigint")})
+    return assign.group_pairs(left, right, ["nation"], count(spark, sf_dir, "supplier"), SEED, "bridge")
+
+
+@query(
+    f"""WITH {_tenant_sql('(SELECT c_custkey AS idx FROM customer)', 'SELECT c_nationkey AS nation FROM customer')},
+    a AS (SELECT c_custkey AS k, c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer)
+    SELECT idx, x.nation, p.k AS giver, q.k AS taker FROM x JOIN a p ON x.nation = p.nation AND lpos = p.pos JOIN a q ON x.nation = q.nation AND rpos = q.pos"""
+)
+def tenant_bridge(spark, sf_dir):
+    """A bridge whose two keys share the nation: distinct pairs of customers of one nation, as many as there are
+    customers."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("k"))
+    sizes = people.groupBy("nation").agg(F.count(F.lit(1)).alias("n"))
+    pairs = assign.group_pairs(sizes, sizes, ["nation"], people.count(), SEED, "bridge")
+    placed = assign.positions(people, ["nation"], ["k"]).drop("n")
+    for pos, key in (("lpos", "giver"), ("rpos", "taker")):
+        pairs = pairs.join(placed.withColumnsRenamed({"pos": pos, "k": key}), ["nation", pos])
+    return pairs.select("idx", "nation", "giver", "taker")
 
 
 @query(
@@ -354,6 +369,37 @@ def rule_assertion_parent(spark, sf_dir):
     return validate.quarantined(checked).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
+@query("SELECT o_orderkey AS idx, (o_orderkey % 7 + 1)::BIGINT AS c, (o_orderkey % 7 + 1) * 3 AS b, (o_orderkey % 7 + 1) * 3 + 2 AS a FROM orders")
+def rule_chain(spark, sf_dir):
+    """Rules that read each other's columns, written in the wrong order."""
+    given = [rules.Rule("a = b + 2", 0), rules.Rule("b = c * 3", 1), rules.Rule("c = idx % 7 + 1", 2)]
+    df = rows(spark, sf_dir)
+    for rule in rules.ordered(given):
+        df = rules.evaluate(df, rule.column, rule.right, cell(rule.column))
+    return df.select("idx", *[F.col(c).cast("bigint").alias(c) for c in ("c", "b", "a")])
+
+
+_DRAWN = "(round(o_totalprice)::BIGINT % 500)"
+
+
+@query(
+    f"""WITH x AS (SELECT o_orderkey AS idx, {_DRAWN} AS v, (o_custkey % 400)::BIGINT AS low FROM orders)
+    SELECT idx, CASE WHEN v >= low THEN v ELSE low + least(floor({u('v', 'bound')} * (499 - low + 1)), 499 - low)::BIGINT END AS v FROM x"""
+)
+def rule_bound_redraw(spark, sf_dir):
+    """Values under a bound of their row are drawn anew between it and the generator's edge."""
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.expr("cast(round(o_totalprice) as bigint) % 500").alias("v"), (F.col("o_custkey") % 400).cast("bigint").alias("low"))
+    return df.select("idx", g.redrawn(cell("v"), F.col("v"), F.col("low"), ">=", 499, "integer").cast("bigint").alias("v"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_extendedprice * (1 - l_discount) > 30000 OR l_quantity > 45")
+def rule_recheck(spark, sf_dir):
+    """Finished rows against their bounds: what is outside goes to quarantine."""
+    df = table(spark, sf_dir, "lineitem").select(*LINE, "l_discount", "l_quantity")
+    checks = [validate.rule(F.expr(rules.check_text(t)), [], t) for t in ("l_extendedprice * (1 - l_discount) <= 30000", "l_quantity <= 45")]
+    return validate.quarantined(validate.with_issues(df, checks)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
 @query(
     f"""SELECT o_orderkey AS idx, date_part('year', o_orderdate)::INT - 1990 - CASE WHEN date_part('month', o_orderdate) * 100 + date_part('day', o_orderdate) < 615 THEN 1 ELSE 0 END AS years FROM orders"""
 )
@@ -439,12 +485,21 @@ def ri_closure(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT count(*) AS n, count(*) AS n_distinct, true AS in_range FROM customer")
+def _rounds_sql(rounds: int = 12) -> str:
+    """Proposals round by round: of a value nobody has, the first row wins; so many rounds leave none."""
+    parts = ["r0 AS (SELECT c_custkey AS idx FROM customer), taken0 AS (SELECT 0::BIGINT AS idx, 0::BIGINT AS code WHERE false)"]
+    for k in range(rounds):
+        draw = pick_sql(u("code", f"try{k}"), f"4 * {N_CUSTOMER}")
+        parts.append(f"p{k} AS MATERIALIZED (SELECT idx, {draw} AS code FROM r{k}), w{k} AS MATERIALIZED (SELECT min(idx) AS idx, code FROM p{k} WHERE code NOT IN (SELECT code FROM taken{k}) GROUP BY code)")
+        parts.append(f"taken{k + 1} AS MATERIALIZED (SELECT idx, code FROM taken{k} UNION ALL SELECT idx, code FROM w{k}), r{k + 1} AS (SELECT idx FROM r{k} WHERE idx NOT IN (SELECT idx FROM w{k}))")
+    return f"WITH {', '.join(parts)} SELECT idx, code FROM taken{rounds}"
+
+
+@query(_rounds_sql())
 def unique_iterative(spark, sf_dir):
     people = rows(spark, sf_dir, "customer", "c_custkey")
     n = people.count()
-    made = validate.distinct_values(people, lambda k: pick(cell("code").u(f"try{k}"), 4 * n), "code", "idx")
-    return made.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("code").alias("n_distinct"), F.min((F.col("code") >= 0) & (F.col("code") < 4 * n)).alias("in_range"))
+    return validate.distinct_values(people, lambda k: pick(cell("code").u(f"try{k}"), 4 * n), "code", "idx")
 
 
 @query("SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED')")

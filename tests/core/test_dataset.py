@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import cli
+from tessera.functions import rules
+from tessera.operators import assign
 from tessera.plans.dataset import generate
 from tessera.sinks import files
 from tessera.sources.config import read_config_text
@@ -143,3 +145,106 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "c.yaml").write_text("nope: 1")
     assert cli.main(["plan", str(sql), "-c", str(tmp_path / "c.yaml")]) == 4
     assert cli.main(["export", str(sql), "-o", str(tmp_path / "seed")]) in (0, 4)
+
+
+TENANTS = """
+CREATE TABLE tenants (id int PRIMARY KEY);
+CREATE TABLE users (tenant_id int NOT NULL REFERENCES tenants(id), id int NOT NULL, PRIMARY KEY (tenant_id, id));
+CREATE TABLE groups (tenant_id int NOT NULL REFERENCES tenants(id), id int NOT NULL, PRIMARY KEY (tenant_id, id));
+CREATE TABLE members (tenant_id int NOT NULL, user_id int NOT NULL, group_id int NOT NULL, note text, PRIMARY KEY (tenant_id, user_id, group_id),
+  FOREIGN KEY (tenant_id, user_id) REFERENCES users(tenant_id, id), FOREIGN KEY (tenant_id, group_id) REFERENCES groups(tenant_id, id),
+  FOREIGN KEY (tenant_id) REFERENCES tenants(id));
+"""
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bridge_that_shares_a_tenant(spark, seed):
+    """Distinct pairs, none in quarantine, both keys of one tenant; more than there are is an error before any row."""
+    config = f"seed: {seed}\ntables: {{tenants: {{rows: 5}}, users: {{rows: 20}}, groups: {{rows: 15}}, members: {{rows: ROWS}}}}"
+    schema = read_ddl(TENANTS)
+    data = generate(spark, schema, read_config_text(config.replace("ROWS", "40")))
+    assert data.rows("members").count() == 40 and data.quarantine["members"].count() == 0
+    assert data.rows("members").select("tenant_id", "user_id", "group_id").distinct().count() == 40
+    for parent, column in (("users", "user_id"), ("groups", "group_id")):
+        keys = data.rows(parent).select("tenant_id", F.col("id").alias(column))
+        assert data.rows("members").join(keys, ["tenant_id", column], "left_anti").count() == 0
+    with pytest.raises(assign.InfeasibleError):
+        generate(spark, schema, read_config_text(config.replace("ROWS", "4000")))
+
+
+def test_keys_that_share_a_column_draw_apart(spark):
+    sql = TENANTS.replace("PRIMARY KEY (tenant_id, user_id, group_id),", "")
+    data = generate(spark, read_ddl(sql), read_config_text("seed: 3\ntables: {tenants: {rows: 2}, users: {rows: 20}, groups: {rows: 20}, members: {rows: 100}}"))
+    assert data.rows("members").select("tenant_id", "user_id", "group_id").distinct().count() > 40
+
+
+def test_bounded_pairs_depend_on_the_seed(spark):
+    rows = spark.range(30).withColumnRenamed("id", "idx")
+    a, b = (sorted(tuple(r) for r in assign.bounded_pairs(rows, 10, 8, (1, 1), (5, 5), seed, "t").collect()) for seed in (1, 2))
+    assert a != b and len({x[1:] for x in a}) == 30
+
+
+@pytest.mark.parametrize("high", [None, 1000, 3])
+def test_quota_without_a_near_bound_makes_no_spare_slots(spark, high):
+    slots = assign.quota_slots(spark, 50, 120, 1, high, 7, "t", "k").collect()
+    counts = [sum(r["pidx"] == p for r in slots) for p in range(50)]
+    assert sorted(r["idx"] for r in slots) == list(range(120)) and min(counts) >= 1 and max(counts) <= (high or 120)
+
+
+RULED = """
+CREATE TABLE items (id serial PRIMARY KEY, a int, b int, c int CHECK (c BETWEEN 0 AND 50), low int CHECK (low BETWEEN 0 AND 90), v int CHECK (v BETWEEN 0 AND 100), name text);
+"""
+
+
+def test_rules_follow_their_dependencies(spark):
+    config = """
+seed: 1
+refs: {who: "O'Neil"}
+tables: {items: {rows: 300, rules: ["a = b + 1", "b = c + 1", "v > low", "name = ref('who')", "c * noise(0.1) < 1000 * noise(0.1)"]}}
+"""
+    data = generate(spark, read_ddl(RULED), read_config_text(config))
+    rows = data.rows("items").collect()
+    assert len(rows) == 300 and all(r["a"] == r["b"] + 1 == r["c"] + 2 and r["v"] > r["low"] and r["name"] == "O'Neil" for r in rows)
+    beside = sum(r["v"] == r["low"] + 1 for r in rows)  # drawn between the bound and the edge, not all on the bound
+    assert beside < 40
+    with pytest.raises(rules.RuleError, match="a -> b -> a"):
+        generate(spark, read_ddl(RULED), read_config_text('tables: {items: {rules: ["a = b + 1", "b = a + 1"]}}'))
+
+
+def test_rows_are_checked_again_after_the_rules(spark):
+    """A bound on a derived column moves it off its derivation."""
+    data = generate(spark, read_ddl(RULED), read_config_text('tables: {items: {rows: 60, rules: ["a = c + 1", "a <= 30"]}}'))
+    assert 0 < data.quarantine["items"].count() < 60 and data.rows("items").where("a <> c + 1 or a > 30").count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "a = try_reflect('java.lang.System', 'getProperty', 'user.home')", "a = java_method('x', 'y')", "a = `reflect`('x', 'y')", "a = (select 1)",
+    "a = r'\\' || reflect('x', 'y') || ''", "a = 'x", "a = current_user()", "a = system.builtin.reflect('x', 'y')", "a = input_file_name()",
+])
+def test_rules_call_known_functions_only(spark, text):
+    from tessera.operators import validate
+
+    with pytest.raises(rules.RuleError):
+        rules.Rule(text)
+    with pytest.raises(rules.RuleError):
+        validate.check(text)
+
+
+def test_two_noises_of_a_rule_differ(spark):
+    from tessera.functions.draws import Cell
+
+    df = rules.evaluate(spark.range(50).withColumnRenamed("id", "idx"), "x", "noise(0.5) - noise(0.5)", Cell(1, "t", "x", F.col("idx")))
+    assert df.where("abs(x) > 1e-9").count() == 50
+
+
+def test_lookup_buckets_stay_small(spark):
+    """A long tail of narrow ranges: no bucket holds many of them."""
+    from tessera.operators import ranks
+
+    n = 200_000
+    weights = spark.range(n).select(F.col("id").alias("pidx")).withColumn("w", assign.zipf_weight(F.col("pidx"), 1.3))
+    ranges = ranks.cumulative(weights, "w", "pidx").select("pidx", "low", "high")
+    total = ranges.agg(F.max("high")).first()[0]
+    points = ranges.select("pidx", F.expr("low + (high - low) div 2").alias("at")).withColumnRenamed("pidx", "want")
+    found = ranks.range_lookup(points, "at", ranges, total)
+    assert found.where("want <> pidx").count() == 0 and found.count() == n
