@@ -6,20 +6,24 @@ tuple of 16 bits. The share of equal tuples estimates a likeness that is sensiti
 moved passages keep their k-mers but lose their order. Texts shorter than k are one k-mer; the empty
 text has the fingerprint of no k-mers (all zero), like only to itself.
 
-Each document's successor by (doc_id, text) is found without a global sort in one task: ids are cut into
-ranges at approximate quantiles, every row goes to its range's partition, and the first row of each
-range is also sent to the range before it (that of the first range to the last). Only these rows travel
-twice. Null texts count as empty; a null doc_id comes before all others; of rows that repeat a doc_id, the smaller text comes first; a table of
-one row is its own successor; an empty table gives an empty result.
+Each document's successor by (doc_id, hash of the text, text) is found without a global sort in one task: ids
+are cut into ranges at approximate quantiles, an id that holds several quantiles again by the hash of the text,
+every row goes to its range's partition, and the first row of each range is also sent to the range before it
+(that of the first range to the last). Only these rows travel twice. Null texts count as empty; a null doc_id
+comes before all others; of rows that repeat a doc_id, the smaller 64-bit hash of the text comes first; a table
+of one row is its own successor; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,25 +118,46 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def in_ranges(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (at, h) with the number of their range in order of (at, h), and how many ranges there are: cuts are
+    quantiles of `at`, found by binary search, and an id that is several of them is cut again by the hash h."""
+    parts = common.partitions(rows.sparkSession)
+    cuts = rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
+    held = Counter(float(c) for c in cuts)
+    bounds = sorted(held)
+    if not bounds:
+        return rows.withColumn("range", F.lit(0)), 1
+    exact = {float(c): int(c) for c in sorted(cuts, reverse=True)}
+    lows = [-(2**63), *(exact[b] for b in bounds)]
+    many = [1, *(held[b] for b in bounds)]
+    starts = [sum(many[:i]) for i in range(len(many))]
+    search = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__at", outputCol="__found")
+    rows = search.transform(rows.withColumn("__at", F.col("at").cast("double"))).withColumn("__found", F.col("__found").cast("int") + 1)
+    at_low, starting, cut = (F.array(*[F.lit(x).cast("long") for x in column]) for column in (lows, starts, many))
+    # doubles round: an id may lie right under the bound that it was found for
+    rows = rows.withColumn("__found", F.col("__found") - (F.col("at") < F.element_at(at_low, F.col("__found"))).cast("int"))
+    n = F.element_at(cut, F.col("__found"))
+    part = F.least(F.floor((F.col("h") / 2.0**64 + 0.5) * n), n - 1)
+    inside = F.when(F.col("at") == F.element_at(at_low, F.col("__found")), part).otherwise(n - 1)
+    return rows.withColumn("range", (F.element_at(starting, F.col("__found")) + inside).cast("int")).drop("__at", "__found"), sum(many)
+
+
 def with_successors(docs: DataFrame) -> DataFrame:
-    """(range, extra, at, doc_id, text): each partition one range in order of (doc_id, text), then the row
-    that follows its last (extra 1)."""
-    spark = docs.sparkSession
-    rows = common.texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    ids = rows.select("at")
-    parts = common.partitions(spark)
-    cuts = ids.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
-    bounds = sorted({int(c) for c in cuts})
-    number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("at"))) if bounds else F.lit(0)
-    least = {r["range"]: r["least"] for r in ids.groupBy(number.alias("range")).agg(F.min("at").alias("least")).collect()}  # a row for each range
-    filled = sorted(least)
-    before = {least[b]: a for a, b in zip([*filled[-1:], *filled], filled)}  # first id of a range -> the range before
-    sent = F.array(F.struct(number.alias("range"), F.lit(0).alias("extra")))
+    """(range, extra, at, h, doc_id, text): each partition one range in order of (doc_id, hash of the text, text),
+    then the row that follows its last (extra 1). An id that many rows share spans several ranges; rows that share
+    the text as well stay together, and only one row travels twice from any range."""
+    rows = common.texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))).withColumn("h", F.xxhash64("text"))
+    rows, count = in_ranges(rows)
+    firsts = rows.groupBy("range").agg(F.min(F.struct("at", "h", "text", "doc_id")).alias("f"))
+    filled = sorted(r["range"] for r in rows.select("range").distinct().collect())  # a row for each range
+    before = {b: a for a, b in zip([*filled[-1:], *filled], filled)}
+    columns = ["range", "extra", "at", "h", "doc_id", "text"]
+    rows = rows.withColumn("extra", F.lit(0)).select(*columns)
     if before:
-        prior = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("at"))
-        sent = F.when(F.col("at").isin(*before), F.concat(sent, F.array(F.struct(prior.alias("range"), F.lit(1).alias("extra"))))).otherwise(sent)
-    rows = rows.withColumn("to", F.explode(sent)).select("to.range", "to.extra", "at", "doc_id", "text")
-    return rows.repartitionById(len(bounds) + 1, F.col("range").cast("int")).sortWithinPartitions("extra", "at", "text")
+        prior = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("range"))
+        extra = firsts.select(prior.alias("range"), F.lit(1).alias("extra"), "f.at", "f.h", "f.doc_id", "f.text")
+        rows = rows.unionByName(extra)
+    return rows.repartitionById(count, F.col("range")).sortWithinPartitions("extra", "at", "h", "text")
 
 
 def fingerprints(docs: DataFrame, k: int = K, sketches: int = SKETCHES) -> DataFrame:

@@ -204,8 +204,50 @@ def test_near_groups(docs, rows, empty):
     assert {r["doc_id"] for r in kept.collect()} == {i for (i, _), f in zip(rows, fps) if i is None or least[label[f]] == i}
 
 
+def plain_order_minhash(text: str, k: int, sketches: int) -> list[int]:
+    """By the definition: numbered k-mers, the two of the smallest draws, in text order, hashed."""
+    k = min(k, len(text))
+    mers = [text[i : i + k] for i in range(len(text) - k + 1)] if text else []
+    if not mers:
+        return [0] * sketches
+    hashed = {m: int(fingerprint.kmers(m, k)[0]) for m in set(mers)}
+    mask, seen, element = (1 << 64) - 1, Counter(), []
+
+    def mix(x: int) -> int:
+        return int(fingerprint._mix(np.array([x & mask], dtype=np.uint64))[0])
+
+    for m in mers:
+        element.append(mix(hashed[m] + seen[m] * 0x9E3779B97F4A7C15) >> 32)
+        seen[m] += 1
+    masks, factors = fingerprint._seeds(sketches)
+    out = []
+    for x, f in zip(masks.tolist(), factors.tolist()):
+        draw = [((e ^ x) * f) & 0xFFFFFFFF for e in element]
+        first = min(range(len(draw)), key=lambda i: (draw[i], i))
+        second = min((i for i in range(len(draw)) if i != first), key=lambda i: (draw[i], i), default=first)
+        early, late = mers[min(first, second)], mers[max(first, second)]
+        out.append(mix(hashed[early] * 3 + mix(hashed[late])) >> 48)
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab", "abcabcabcabc", prose(5, 40), "naïve 你好 \U0001f600 naïve 你好 \U0001f600 again"])
+def test_order_minhash_by_the_definition(text):
+    assert fingerprint.order_minhash(text, 5, 16).tolist() == plain_order_minhash(text, 5, 16)
+
+
+def in_order(rows):
+    """By doc_id, nulls first, then by the hash of the text."""
+    import xxhash
+
+    def key(r):
+        h = xxhash.xxh64_intdigest((r[1] or "").encode(), 42)
+        return r[0] is not None, r[0] or 0, h - (1 << 64) if h >> 63 else h
+
+    return sorted(rows, key=key)
+
+
 def test_fingerprints(docs, rows, empty):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = in_order(rows)
     want = []
     for k, (i, t) in enumerate(order):
         t, following = t or "", order[(k + 1) % len(order)][1] or ""
@@ -220,6 +262,22 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprint.fingerprints(one).first()["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("big", [2**40, 2**62])
+def test_a_hot_id_spans_ranges(spark, big):
+    """Two ids and null, a third of the rows each; ids that doubles can't tell apart still keep their order."""
+    rows = [(None if i % 3 == 0 else big + i % 3, f"text {i}") for i in range(900)] + [(big - 1, "x"), (5, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = in_order(rows)
+    want = Counter((i, sha(t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2])) for k, (i, t) in enumerate(order))
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        placed = fingerprint.with_successors(docs).where("extra = 0").groupBy("range").count().collect()
+        assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprint.fingerprints(docs).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert big > 2**53 or len(placed) >= 9 and max(r["count"] for r in placed) < 200
+
+
 def test_order_minhash_feels_order_and_edits():
     text = prose(11, 600)
     words = text.split()
