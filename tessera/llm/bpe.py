@@ -201,13 +201,17 @@ def put_together(answers: pa.Table, places: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids, pa.int64()), lengths, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
 
-def encode(docs: DataFrame, block: int = BLOCK, buckets: int | None = None, dictionary: int = DICTIONARY) -> DataFrame:
-    """(doc_id, n_tokens, ids) for every row of docs; ids are unsigned 16-bit, little-endian."""
+def by_chunk(docs: DataFrame, block: int = BLOCK, buckets: int | None = None, dictionary: int = DICTIONARY):
+    """The answers and the places of each chunk, joined."""
     buckets = buckets or common.partitions(docs.sparkSession)
     lists = split_blocks(docs, WORDS, block, buckets, dictionary).repartitionById(buckets, F.col("bucket"))
     places = split_blocks(docs, PLACES, block, buckets, dictionary)
-    both = encode_words(lists).groupBy("chunk").cogroup(places.groupBy("chunk"))
-    return both.applyInArrow(put_together, "doc_id long, n_tokens long, ids binary")
+    return encode_words(lists).groupBy("chunk").cogroup(places.groupBy("chunk"))
+
+
+def encode(docs: DataFrame, block: int = BLOCK, buckets: int | None = None, dictionary: int = DICTIONARY) -> DataFrame:
+    """(doc_id, n_tokens, ids) for every row of docs; ids are unsigned 16-bit, little-endian."""
+    return by_chunk(docs, block, buckets, dictionary).applyInArrow(put_together, "doc_id long, n_tokens long, ids binary")
 
 
 class ByteTable:
@@ -251,16 +255,14 @@ def decode(encoded: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding and decoding docs."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoding and decoding docs, chunk by chunk as ids are there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            listed, data = [], []
-            for ids in batch.column("ids"):
-                ids = ids.as_py()
-                listed.append(hashlib.sha256(decimal_table().join(np.frombuffer(ids, "<u2"))[:-1]).hexdigest())
-                data.append(hashlib.sha256(decoded(ids)).hexdigest())
-            columns = [batch.column("doc_id"), batch.column("n_tokens"), pa.array(listed, pa.string()), pa.array(data, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encode(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(answers: pa.Table, places: pa.Table) -> pa.Table:
+        encoded = put_together(answers, places)
+        listed, data = [], []
+        for ids in common.each(encoded.column("ids")):
+            listed.append(hashlib.sha256(decimal_table().join(np.frombuffer(ids, "<u2"))[:-1]).hexdigest())
+            data.append(hashlib.sha256(decoded(ids)).hexdigest())
+        return encoded.drop_columns("ids").append_column("ids_sha256", pa.array(listed, pa.string())).append_column("decoded_sha256", pa.array(data, pa.string()))
+
+    return by_chunk(docs).applyInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
