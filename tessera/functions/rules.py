@@ -17,7 +17,7 @@ _PARENT = re.compile(r"\bparent\(\s*(\w+)\s*\)\.(\w+)")
 _REF = re.compile(r"\bref\(\s*'([^']*)'\s*\)")
 _NOISE = re.compile(r"\bnoise\(\s*([0-9.]+)\s*\)")
 _YEARS = re.compile(r"\byears_between\(([^(),]+|[^(),]*\([^()]*\)[^(),]*),([^(),]+|[^(),]*\([^()]*\)[^(),]*)\)")
-_DATE = re.compile(r"\bdate\((\d+),\s*(\d+),\s*(\d+)\)")
+_DATE = re.compile(r"\bdate\(\s*([^(),]+),\s*([^(),]+),\s*([^(),]+)\)")
 _COMPARE = re.compile(r"^\s*(\w+)\s*(>=|<=|<>|=|>|<)\s*(.+)$", re.S)
 _BANNED = re.compile(r";|--|/\*|[\\`{}]|\b(select|from|table|values|exists)\b", re.I)
 _STRING = re.compile(r"'[^']*'|\"[^\"]*\"")

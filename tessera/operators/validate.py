@@ -24,9 +24,9 @@ def not_null(column: str) -> Column:
     return issue(F.col(column).isNull(), column, "null")
 
 
-def check(predicate: str, columns: Iterable[str] = ()) -> Column:
+def check(predicate: str, columns: Iterable[str] = (), name: str | None = None) -> Column:
     """An SQL CHECK: a row breaks it only if it is false, not if it is unknown. It may call what rules may."""
-    return issue(~F.coalesce(F.expr(check_text(predicate)), F.lit(True)), columns, f"check {predicate}")
+    return issue(~F.coalesce(F.expr(check_text(predicate)), F.lit(True)), columns, f"check {name}: {predicate}" if name else f"check {predicate}")
 
 
 def rule(predicate: Column, columns: Iterable[str], text: str) -> Column:

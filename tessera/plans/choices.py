@@ -11,6 +11,7 @@ from tessera.plans.schema import Column, Schema, SchemaError, Table, column_boun
 from tessera.sources.config import Config
 
 #: (name, column pattern, kinds, confidence, generator, parameters), the first that fits counts.
+#: A name in a table of products is a product's.
 GUESSES = [
     ("password", r"^(password|passwd|contrasena|clave)$", "text", 0.8, "template", {"template": "{column}_{n}"}),
     ("email", r"e_?mail|correo", "text", 0.95, "fake", {"provider": "email"}),
@@ -22,28 +23,37 @@ GUESSES = [
     ("image", r"image|imagen|foto|photo|avatar", "text", 0.7, "fake", {"provider": "image_url"}),
     ("url", r"url|website|^web$", "text", 0.85, "fake", {"provider": "url"}),
     ("phone", r"phone|telefono|^tel$|movil|mobile", "text", 0.85, "fake", {"provider": "phone_number"}),
+    ("uuid", r"uuid|guid", "uuid text", 0.9, "uuid", {}),
+    ("first name", r"nombre_pila|first_?name|given_?name", "text", 0.85, "fake", {"provider": "first_name"}),
     ("last name", r"apellido|last_?name|surname", "text", 0.85, "fake", {"provider": "last_name"}),
     ("company", r"empresa|company|compania", "text", 0.75, "fake", {"provider": "company"}),
     ("job", r"puesto|^job|cargo$", "text", 0.7, "fake", {"provider": "job"}),
     ("name", r"^(nombre|name|full_?name|nombre_completo)$", "text", 0.75, "fake", {"provider": "name"}),
     ("address", r"direccion|address|domicilio", "text", 0.8, "fake", {"provider": "street_address"}),
     ("city", r"ciudad|city|localidad|municipio", "text", 0.8, "fake", {"provider": "city"}),
+    ("region", r"provincia|region|comunidad|^state$", "text", 0.75, "fake", {"provider": "region"}),
+    ("country code", r"(pais|country)_?(iso|code)|^(codigo_pais|iso_code)", "text", 0.85, "fake", {"provider": "country_code"}),
     ("country", r"^(pais|country)", "text", 0.85, "fake", {"provider": "country"}),
     ("currency", r"moneda|currency|divisa", "text", 0.85, "fake", {"provider": "currency_code"}),
     ("color", r"colou?r", "text", 0.7, "fake", {"provider": "color_name"}),
     ("plate", r"matricula|license_plate", "text", 0.8, "fake", {"provider": "license_plate"}),
+    ("title", r"titulo|^title$|asunto|subject", "text", 0.7, "fake", {"provider": "catch_phrase"}),
     ("slug", r"^slug$", "text", 0.8, "fake", {"provider": "slug"}),
     ("code", r"^cod(igo)?(_|$)|^code|_code$|referencia", "text", 0.7, "template", {"template": "{column}_{n}"}),
+    ("identifier", r"^(identificador|numero|num|ref)(_|$)", "text", 0.7, "template", {"template": "{column}_{n}"}),
     ("description", r"descripcion|description|observaciones|notas?$|comment", "text", 0.7, "template", {"template": "{column} {n}"}),
     ("age", r"^(edad|age)$", "integer", 0.85, "integer_range", {"low": 0, "high": 120}),
     ("year", r"^(anio|ano|year)|_(anio|year)", "integer", 0.8, "integer_range", {"low": 1900, "high": 2100}),
-    ("percent", r"porcentaje|percent|^pct", "numeric", 0.7, "numeric_range", {"low": 0, "high": 100}),
+    ("percent", r"porcentaje|percent|^pct", "numeric integer", 0.7, "numeric_range", {"low": 0, "high": 100}),
     ("latitude", r"^lat(itud|itude)?$", "numeric", 0.85, "numeric_range", {"low": -90, "high": 90}),
-    ("price", r"precio|price|importe|amount|total|coste?|salario|salary", "numeric", 0.75, "numeric_range", {"low": 0, "high": 1000000}),
-    ("quantity", r"cantidad|quantity|stock|unidades|qty", "integer", 0.7, "integer_range", {"low": 0, "high": 1000}),
+    ("longitude", r"^(lon|lng|longitud|longitude)$", "numeric", 0.85, "numeric_range", {"low": -180, "high": 180}),
+    ("price", r"precio|price|importe|amount|total|coste?|salario|salary", "numeric integer", 0.75, "numeric_range", {"low": 0, "high": 1000000}),
+    ("quantity", r"cantidad|quantity|stock|unidades|qty", "integer numeric", 0.7, "integer_range", {"low": 0, "high": 1000}),
     ("capacity", r"capacidad|capacity|aforo", "integer", 0.7, "integer_range", {"low": 1, "high": 1000}),
-    ("area", r"superficie|area|metros", "numeric", 0.7, "numeric_range", {"low": 1, "high": 10000}),
+    ("area", r"superficie|area|metros", "numeric integer", 0.7, "numeric_range", {"low": 1, "high": 10000}),
     ("birth", r"nacimiento|birth", "date", 0.85, "date_range", {"low": dt.date(1930, 1, 1), "high": dt.date(2010, 1, 1)}),
+    ("registration", r"fecha_(alta|registro|creacion)|^(created|registered|signup)", "date", 0.8, "date_range", {"low": dt.date(2015, 1, 1), "high": dt.date(2025, 1, 1)}),
+    ("flag", r"^(es|is|has|tiene)_|activ[oa]|^active|enabled", "boolean", 0.8, "fallback", {}),
     ("expiry", r"caducidad|expir|vencimiento", "date", 0.8, "date_range", {"low": dt.date(2025, 1, 1), "high": dt.date(2035, 1, 1)}),
 ]
 
@@ -58,9 +68,11 @@ class Choice:
     unique: bool = False
 
 
-def guess(column: Column) -> tuple[str, float, str, dict] | None:
-    for name, pattern, kind, confidence, generator, params in GUESSES:
-        if column.kind == kind and re.search(pattern, column.name):
+def guess(column: Column, table: str = "") -> tuple[str, float, str, dict] | None:
+    for name, pattern, kinds, confidence, generator, params in GUESSES:
+        if column.kind in kinds.split() and re.search(pattern, column.name):
+            if name == "name" and re.search(r"product|articul|item|servicio", table):
+                return "product name", confidence, "fake", {"provider": "catch_phrase"}
             return name, confidence, generator, params
     return None
 
@@ -79,7 +91,7 @@ def _choose(table: Table, column: Column, config: Config) -> Choice:
     unique = [column.name] in table.keys() or bool(own and own.unique)
     if own and own.null_ratio and not column.nullable:
         raise SchemaError(f"{table.name}.{column.name}: a null ratio on a column that is NOT NULL")
-    nulls = own.null_ratio if own else 0.0
+    nulls = own.null_ratio if own else config.null_ratio if column.nullable else 0.0
     if column.serial:
         return Choice("serial", source="serial")
     if any(column.name in fk.columns for fk in table.foreign_keys):
@@ -91,7 +103,7 @@ def _choose(table: Table, column: Column, config: Config) -> Choice:
         return Choice(own.generator, _clipped(table, column, own.params, bounds), "user", 1.0, nulls, unique)
     if column.values or "values" in bounds:
         return Choice("choice", {"values": [*map(_plain(column), column.values or bounds["values"])]}, "schema", 1.0, nulls, unique)
-    found = None if column.array else guess(column)
+    found = None if column.array else guess(column, table.name)
     known = {k: v for k, v in bounds.items() if k in ("low", "high")}
     if found and found[1] >= config.min_confidence:
         return Choice(found[2], _clipped(table, column, found[3], bounds), "heuristic", found[1], nulls, unique)

@@ -333,7 +333,7 @@ class _Run:
                 out.append(validate.bounds(c.name, values=c.values))
         for text in [*table.checks, *[x for c in table.columns for x in c.checks]]:
             try:
-                check = validate.check(text)
+                check = validate.check(text, name=table.names.get(text))
                 rows.select(check)
                 out.append(check)
             except (AnalysisException, ParseException, rules.RuleError):
@@ -371,7 +371,8 @@ class _Run:
                 continue
             repeated = validate.duplicates(good, key, ["idx"]).select("idx").withColumn("__repeated", F.lit(True))
             marked = validate.checkpointed(good.join(repeated, "idx", "left"))
-            issue = F.array(F.struct(F.lit(",".join(key)).alias("columns"), F.lit("not unique").alias("reason")))
+            name = table.names.get(",".join(key))
+            issue = F.array(F.struct(F.lit(",".join(key)).alias("columns"), F.lit(f"not unique: {name}" if name else "not unique").alias("reason")))
             bad = bad.unionByName(marked.where("__repeated").drop("__repeated").withColumn("issues", issue), allowMissingColumns=True)
             good = marked.where("__repeated is null").drop("__repeated")
         if self.config.on_error == "abort" and (first := bad.orderBy("idx").first()):

@@ -53,6 +53,8 @@ class ForeignKey:
     deferrable: bool = False
     match_full: bool = False
     set_null: list[str] = field(default_factory=list)
+    on_delete: str | None = None
+    on_update: str | None = None
 
 
 @dataclass
@@ -64,6 +66,7 @@ class Table:
     uniques: list[list[str]] = field(default_factory=list)
     checks: list[str] = field(default_factory=list)
     comment: str | None = None
+    names: dict[str, str] = field(default_factory=dict)  # of constraints, by their columns or text
 
     def column(self, name: str) -> Column:
         for c in self.columns:

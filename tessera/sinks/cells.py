@@ -10,11 +10,12 @@ from pyspark.sql import types as T
 
 #: Reserved words of PostgreSQL that an identifier must quote: fixed values.
 RESERVED = frozenset(
-    "all analyse analyze and any array as asc asymmetric both case cast check collate column constraint create current_catalog"
-    " current_date current_role current_time current_timestamp current_user default deferrable desc distinct do else end except"
-    " false fetch for foreign from grant group having in initially intersect into lateral leading limit localtime localtimestamp"
-    " not null offset on only or order placing primary references returning select session_user some symmetric system_user table"
-    " then to trailing true union unique user using variadic when where window with".split()
+    "all analyse analyze and any array as asc asymmetric authorization binary both case cast check collate collation column concurrently"
+    " constraint create cross current_catalog current_date current_role current_schema current_time current_timestamp current_user"
+    " default deferrable desc distinct do else end except false fetch for foreign freeze from full grant group having ilike in initially"
+    " inner intersect into is isnull join lateral leading left like limit localtime localtimestamp natural not notnull null offset on only"
+    " or order outer overlaps placing primary references returning right select session_user similar some symmetric system_user table"
+    " tablesample then to trailing true union unique user using variadic verbose when where window with".split()
 )
 
 

@@ -60,6 +60,7 @@ class Config:
     tables: dict[str, TableConfig] = field(default_factory=dict)
     refs: dict[str, float | int | str] = field(default_factory=dict)
     hierarchy: dict[str, Level] = field(default_factory=dict)
+    null_ratio: float = 0.0  # of nullable columns without one of their own
     batch_size: int = 5000
     on_error: str = "quarantine"  # or abort
 
@@ -84,12 +85,63 @@ def _build(cls: type, data: object, path: str, kind: tuple[str, ...] = ()) -> ob
     return cls(**out)
 
 
+#: Entries that say nothing to this engine: the format's version, where names come from, a language model's address.
+_IGNORED = ("version", "locale", "dialect", "llm")
+
+
+def _put(target: dict, key: str, value: object, path: str) -> None:
+    if key in target:
+        raise ConfigError(f"{path}: given twice")
+    target[key] = value
+
+
+def _sections(data: dict) -> dict:
+    """The longer form of a configuration, with sections defaults and output and with fk, in the short one."""
+    out = {k: v for k, v in data.items() if k not in (*_IGNORED, "defaults", "output")}
+    llm = data.get("llm")
+    if isinstance(llm, dict) and "min_confidence" in llm:
+        _put(out, "min_confidence", llm["min_confidence"], "llm.min_confidence")
+    known = {"defaults": ("rows", "null_ratio"), "output": ("batch_size", "on_error")}
+    for section, names in known.items():
+        for key, value in (data.get(section) or {}).items():
+            if key in names:
+                _put(out, key, value, f"{section}.{key}")
+            elif (section, key) != ("output", "max_repair_retries"):
+                raise ConfigError(f"{section}.{key}: unknown entry")
+    for name, t in (out.get("tables") or {}).items():
+        if not isinstance(t, dict):
+            continue
+        if "fk" in t:
+            t = out["tables"][name] = {("foreign_keys" if k == "fk" else k): v for k, v in t.items()}
+        for column, c in (t.get("columns") or {}).items():
+            if isinstance(c, dict):
+                t["columns"][column] = _column(c, f"tables.{name}.columns.{column}")
+    return out
+
+
+def _column(c: dict, path: str) -> dict:
+    """A column's generator with min, max and a distribution of its values."""
+    params = dict(c.get("params") or {})
+    for old, new in (("min", "low"), ("max", "high")):
+        if old in params:
+            _put(params, new, params.pop(old), f"{path}.params.{old}")
+    generator = {"faker": "fake"}.get(c.get("generator"), c.get("generator"))
+    shape = params.pop("distribution", None)
+    if shape is not None:
+        if not isinstance(shape, dict) or shape.get("family") not in ("uniform", "normal", "lognormal"):
+            raise ConfigError(f"{path}.params.distribution.family: uniform, normal or lognormal")
+        if shape["family"] != "uniform":
+            generator = shape["family"]
+            params |= shape.get("params") or {}
+    return c | {"generator": generator, "params": params} if c.get("generator") else c
+
+
 def read_config_text(text: str) -> Config:
     try:
         data = yaml.load(text, Loader=_Loader)
     except yaml.YAMLError as e:
         raise ConfigError(f"not YAML: {e}") from e
-    config = _build(Config, data or {}, "")
+    config = _build(Config, _sections(data) if isinstance(data, dict) else data or {}, "")
     if config.on_error not in ("quarantine", "abort"):
         raise ConfigError("on_error: quarantine or abort")
     for name, t in config.tables.items():

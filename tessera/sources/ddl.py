@@ -18,8 +18,27 @@ TYPES = {
 _STOP = {"not", "null", "primary", "unique", "references", "check", "default", "constraint", "generated", "collate", "deferrable", "initially", "match", "on"}
 
 
+class _Token(str):
+    """A token with its place in the text."""
+
+    line: int
+    column: int
+
+
 def _tokens(text: str) -> list[str]:
-    return [m["t"] for m in _TOKEN.finditer(text) if m["t"]]
+    out, line, start = [], 1, 0
+    for m in _TOKEN.finditer(text):
+        if m["t"]:
+            token = _Token(m["t"])
+            token.line, token.column = line, m.start() - start + 1
+            out.append(token)
+        if breaks := m[0].count("\n"):
+            line, start = line + breaks, m.start() + m[0].rindex("\n") + 1
+    return out
+
+
+def _at(token: str) -> str:
+    return f"line {token.line}, column {token.column}: " if isinstance(token, _Token) else ""
 
 
 def _name(token: str) -> str:
@@ -35,7 +54,7 @@ class _Reader:
 
     def take(self) -> str:
         if self.at >= len(self.tokens):
-            raise SchemaError(f"the statement ends early: {' '.join(self.tokens)[-60:]}")
+            raise SchemaError(f"{_at(self.tokens[-1]) if self.tokens else ''}the statement ends early: {' '.join(self.tokens)[-60:]}")
         self.at += 1
         return self.tokens[self.at - 1]
 
@@ -47,7 +66,8 @@ class _Reader:
 
     def expect(self, word: str) -> None:
         if not self.accept(word):
-            raise SchemaError(f"{word!r} expected at {' '.join(self.tokens[self.at : self.at + 6])!r}")
+            near = self.tokens[min(self.at, len(self.tokens) - 1)] if self.tokens else ""
+            raise SchemaError(f"{_at(near)}{word!r} expected at {' '.join(self.tokens[self.at : self.at + 6])!r}")
 
     def name(self) -> str:
         name = _name(self.take())
@@ -123,10 +143,13 @@ def _reference(r: _Reader, columns: list[str]) -> ForeignKey:
             break
         word = r.take().lower()
         if word == "on":
-            r.take()
-            action = r.take().lower()
+            event, action = r.take().lower(), r.take().lower()
             if action in ("set", "no"):
-                r.take()
+                action = f"{action} {r.take().lower()}"
+            if event == "delete":
+                fk.on_delete = action
+            else:
+                fk.on_update = action
             if r.peek() == "(":
                 fk.set_null = r.names()
         elif word == "match":
@@ -147,7 +170,11 @@ def _column(tokens: list[str], table: Table, enums: dict[str, list[str]], warnin
     table.columns.append(column)
     while r.peek():
         if r.accept("constraint"):
-            r.take()
+            named = _name(r.take())
+            what = {"primary": column.name, "unique": column.name, "references": column.name}.get(r.peek())
+            if what is None and r.peek() == "check":
+                what = _text(_Reader(r.tokens[r.at + 1 :]).inside())
+            table.names[what or column.name] = named
         elif r.accept("not", "null"):
             column.nullable = False
         elif r.accept("null"):
@@ -170,18 +197,22 @@ def _column(tokens: list[str], table: Table, enums: dict[str, list[str]], warnin
 
 
 def _constraint(r: _Reader, table: Table, warnings: list[str]) -> None:
-    if r.accept("constraint"):
-        r.take()
+    named, what = _name(r.take()) if r.accept("constraint") else None, None
     if r.accept("primary", "key"):
-        table.primary_key = r.names()
+        table.primary_key = what = r.names()
     elif r.accept("unique"):
-        table.uniques.append(r.names())
+        what = r.names()
+        table.uniques.append(what)
     elif r.accept("foreign", "key"):
-        columns = r.names()
+        what = r.names()
         r.expect("references")
-        table.foreign_keys.append(_reference(r, columns))
+        table.foreign_keys.append(_reference(r, what))
     elif r.accept("check"):
-        table.checks.append(_text(r.inside()))
+        what = [_text(r.inside())]
+        table.checks += what
+    if what:
+        if named:
+            table.names[",".join(what)] = named
     else:
         warnings.append(f"{table.name}: constraint {r.peek()} ignored")
 

@@ -78,3 +78,49 @@ def test_config_and_choices():
     assert read_config_text("refs: {a: on, b: true}").refs == {"a": "on", "b": True}
     with pytest.raises(SchemaError, match="NOT NULL"):
         choose(read_ddl(SHOP), read_config_text("tables: {productos: {columns: {nombre: {null_ratio: 0.5}}}}"))
+
+
+def test_long_form_of_a_configuration():
+    config = read_config_text("""
+version: 1
+locale: es_ES
+llm: {enabled: true, min_confidence: 0.8}
+defaults: {rows: 7, null_ratio: 0.1}
+tables:
+  pedidos:
+    rows: 5
+    fk: {cliente_id: {strategy: zipf, s: 1.3}}
+    columns: {total: {generator: numeric_range, params: {min: 1, max: 9, distribution: {family: normal, params: {mean: 4, std: 1}}}}, dir: {generator: faker, params: {provider: city}}}
+output: {batch_size: 10, on_error: abort, max_repair_retries: 3}
+""")
+    t = config.tables["pedidos"]
+    assert (config.rows, config.null_ratio, config.min_confidence, config.batch_size, config.on_error) == (7, 0.1, 0.8, 10, "abort")
+    assert t.foreign_keys["cliente_id"].s == 1.3 and t.columns["total"].generator == "normal" and t.columns["total"].params == {"low": 1, "high": 9, "mean": 4, "std": 1}
+    assert t.columns["dir"].generator == "fake"
+    for text in ("defaults: {seed: 1}", "seed: 1\ndefaults: {rows: 1}\nrows: 2", "tables: {t: {columns: {c: {generator: x, params: {distribution: {family: cauchy}}}}}}"):
+        with pytest.raises(ConfigError):
+            read_config_text(text)
+
+
+def test_errors_name_their_place():
+    with pytest.raises(SchemaError, match="line 3, column 1"):
+        read_ddl("CREATE TABLE a (id int);\n-- two\nCREATE TABLE b id int);")
+    with pytest.raises(SchemaError, match="line 2"):
+        read_ddl("CREATE TABLE a (id int,\n  FOREIGN KEY (id) REFERENCED b(id))")
+
+
+def test_names_and_actions():
+    t = read_ddl("CREATE TABLE a (id int PRIMARY KEY); CREATE TABLE b (id int CONSTRAINT pos CHECK (id > 0), x int, CONSTRAINT one UNIQUE (id, x), CONSTRAINT f FOREIGN KEY (x) REFERENCES a ON DELETE SET NULL (x) ON UPDATE CASCADE)").table("b")
+    assert t.names == {"id > 0": "pos", "id,x": "one", "x": "f"}
+    assert (t.foreign_keys[0].on_delete, t.foreign_keys[0].on_update, t.foreign_keys[0].set_null) == ("set null", "cascade", ["x"])
+
+
+def test_more_heuristics():
+    sql = """CREATE TABLE productos (nombre text, precio int, cantidad numeric(8,1), provincia text, titulo text, fecha_alta date, activo boolean, ref_uuid uuid, longitud numeric(9,6), codigo_pais text, left text)"""
+    schema = read_ddl(sql)
+    chosen = choose(schema, read_config_text(""))["productos"]
+    assert {c: x.source for c, x in chosen.items() if c != "left"} == {c.name: "heuristic" for c in schema.tables[0].columns if c.name != "left"}
+    assert chosen["nombre"].params == {"provider": "catch_phrase"} and chosen["codigo_pais"].params == {"provider": "country_code"}
+    from tessera.sinks.cells import identifier as quoted
+
+    assert quoted("left") == '"left"' and quoted("authorization") == '"authorization"' and quoted("price") == "price"
