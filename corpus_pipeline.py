@@ -40,7 +40,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express cross-parsing, SimHash or the tokenizer; tests/llm/test_pipeline.py has a brute-force version.
+#: SQL can't express cross-parsing, SimHash or the tokenizer; tests/llm/test_models.py has a brute-force version.
 ORACLE_SQL = None
 
 
