@@ -333,7 +333,7 @@ def test_pipeline(spark):
         first.setdefault(__import__("re").sub(r"[\x20\x09-\x0D]+", " ", t), i)
     assert set(texts["exact_dedup"]) == set(first.values())
     fps = {i: simhash.simhash(t) for i, t in texts["exact_dedup"].items()}
-    from tests.llm.test_texts import plain_components
+    from tests.llm.test_texts import base_spans, plain_components
 
     label = plain_components(list(fps.values()))
     least: dict[int, int] = {}
@@ -341,6 +341,15 @@ def test_pipeline(spark):
         least[label[f]] = min(i, least.get(label[f], i))
     assert set(texts["near_dedup"]) == set(least.values())
     assert set(texts["pii"]) == set(texts["near_dedup"])
-    assert any("[EMAIL]" in t for t in texts["pii"].values())
+    found = {r["doc_id"]: r["spans"] for r in pii.detect(by["near_dedup"]).collect()}
+    for i, text in texts["near_dedup"].items():
+        spans = [(s["start"], s["end"], s["kind"]) for s in found[i]]
+        assert {(a, b, kind) for a, _, b, kind in base_spans(text)} <= set(spans)
+        out, at = "", 0
+        for start, end, kind in spans:
+            if start >= at:
+                out += text[at:start] + f"[{kind.upper()}]"
+            at = max(at, end)
+        assert texts["pii"][i] == out + text[at:]
     assert sum(r["length"] for r in by["packing"].collect()) == sum(len(packing.tokens.encoding().encode_ordinary(t)) + 1 for t in texts["pii"].values())
     assert pii.KINDS[:4] == pii.BASE
