@@ -171,20 +171,24 @@ def group_pairs(left: DataFrame, right: DataFrame, group: list[str], rows: int,
     return group_tuples([left, right], group, ["lpos", "rpos"], rows, seed, table)
 
 
+def even_pairs(rows: DataFrame, c: int, left: int, right: int) -> DataFrame:
+    """(idx, lpos, rpos) for edges 0..c-1: distinct pairs with degrees within one of each other on both sides. Left
+    owners come in blocks of c div L or one more, right ones in turn."""
+    base, more = divmod(c, left)
+    cut = more * (base + 1)
+    owner = F.when(F.col("idx") < cut, F.expr(f"idx div {base + 1}")).otherwise(F.lit(more) + F.expr(f"(idx - {cut}) div {max(1, base)}"))
+    return rows.select("idx", owner.cast("bigint").alias("lpos"), (F.col("idx") % right).alias("rpos"))
+
+
 def bounded_pairs(rows: DataFrame, left: int, right: int, low: tuple[int, int], high: tuple[int, int], seed: int, table: str) -> DataFrame:
-    """(idx, lpos, rpos) for edges 0..c-1: distinct pairs with degrees within one of each other on both
-    sides, each in [low, high]. Left owners come in blocks of c div L or one more, right ones in turn; which
-    parents these are is a permutation by hash ranks."""
+    """even_pairs with each side's degrees in [low, high]; which parents these are is a permutation by hash ranks."""
     c = rows.count()
     for n, lo, hi, side in ((left, low[0], high[0], "left"), (right, low[1], high[1], "right")):
         if not n * lo <= c <= n * hi:
             raise InfeasibleError(f"{table}: {c} pairs don't fit {n} {side} parents with {lo} to {hi} each")
     if c > left * right:
         raise InfeasibleError(f"{table}: {c} distinct pairs of {left} x {right}")
-    base, more = divmod(c, left)
-    cut = more * (base + 1)
-    owner = F.when(F.col("idx") < cut, F.expr(f"idx div {base + 1}")).otherwise(F.lit(more) + F.expr(f"(idx - {cut}) div {max(1, base)}"))
-    out = rows.select("idx", owner.cast("bigint").alias("__l"), (F.col("idx") % right).alias("__r"))
+    out = even_pairs(rows, c, left, right).withColumnsRenamed({"lpos": "__l", "rpos": "__r"})
     for n, name, key in ((left, "l", "lpos"), (right, "r", "rpos")):
         turned = shuffled(rows.sparkSession.range(n).withColumnRenamed("id", key), seed, table, name, key, f"__{name}")
         out = out.join(turned, f"__{name}")

@@ -45,11 +45,14 @@ def test_generator_limits(spark):
 def test_bounded_pairs_exhaustively(spark):
     for left, right in product(range(1, 5), repeat=2):
         for c in range(1, left * right + 1):
-            pairs = assign.bounded_pairs(spark.range(c, numPartitions=1).withColumnRenamed("id", "idx"), left, right, (0, 0), (right, left), "t").collect()
+            rows = spark.range(c, numPartitions=1).withColumnRenamed("id", "idx")
+            pairs = assign.even_pairs(rows, c, left, right).collect()
             assert len({(r["lpos"], r["rpos"]) for r in pairs}) == c
             for side, n in (("lpos", left), ("rpos", right)):
                 degrees = [sum(r[side] == i for r in pairs) for i in range(n)]
                 assert max(degrees) - min(degrees) <= 1 and {r[side] for r in pairs} <= set(range(n))
+    turned = assign.bounded_pairs(rows, left, right, (0, 0), (right, left), 1, "t").collect()  # parents permuted, all pairs of 4 x 4
+    assert {(r["lpos"], r["rpos"]) for r in turned} == set(product(range(4), repeat=2))
 
 
 @pytest.mark.parametrize("total", [1, 2, 7, 100, 999, 4096])
