@@ -13,7 +13,7 @@ from tessera.sources.config import Config
 #: (name, column pattern, kinds, confidence, generator, parameters), the first that fits counts.
 #: A name in a table of products is a product's.
 GUESSES = [
-    ("password", r"^(password|passwd|contrasena|clave)$", "text", 0.8, "template", {"template": "{column}_{n}"}),
+    ("password", r"^(password|passwd|contrasena|clave)$", "text", 0.8, "template", {"text": "{column}_{n}"}),
     ("email", r"e_?mail|correo", "text", 0.95, "fake", {"provider": "email"}),
     ("iban", r"iban", "text", 0.9, "fake", {"provider": "iban"}),
     ("national id", r"^(dni|nif|nie|ssn)", "text", 0.75, "fake", {"provider": "ssn"}),
@@ -39,9 +39,9 @@ GUESSES = [
     ("plate", r"matricula|license_plate", "text", 0.8, "fake", {"provider": "license_plate"}),
     ("title", r"titulo|^title$|asunto|subject", "text", 0.7, "fake", {"provider": "catch_phrase"}),
     ("slug", r"^slug$", "text", 0.8, "fake", {"provider": "slug"}),
-    ("code", r"^cod(igo)?(_|$)|^code|_code$|referencia", "text", 0.7, "template", {"template": "{column}_{n}"}),
-    ("identifier", r"^(identificador|numero|num|ref)(_|$)", "text", 0.7, "template", {"template": "{column}_{n}"}),
-    ("description", r"descripcion|description|observaciones|notas?$|comment", "text", 0.7, "template", {"template": "{column} {n}"}),
+    ("code", r"^cod(igo)?(_|$)|^code|_code$|referencia", "text", 0.7, "template", {"text": "{column}_{n}"}),
+    ("identifier", r"^(identificador|numero|num|ref)(_|$)", "text", 0.7, "template", {"text": "{column}_{n}"}),
+    ("description", r"descripcion|description|observaciones|notas?$|comment", "text", 0.7, "template", {"text": "{column} {n}"}),
     ("age", r"^(edad|age)$", "integer", 0.85, "integer_range", {"low": 0, "high": 120}),
     ("year", r"^(anio|ano|year)|_(anio|year)", "integer", 0.8, "integer_range", {"low": 1900, "high": 2100}),
     ("percent", r"porcentaje|percent|^pct", "numeric integer", 0.7, "numeric_range", {"low": 0, "high": 100}),

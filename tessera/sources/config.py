@@ -122,7 +122,7 @@ def _sections(data: dict) -> dict:
 def _column(c: dict, path: str) -> dict:
     """A column's generator with min, max and a distribution of its values."""
     params = dict(c.get("params") or {})
-    for old, new in (("min", "low"), ("max", "high")):
+    for old, new in (("min", "low"), ("max", "high"), ("template", "text")):
         if old in params:
             _put(params, new, params.pop(old), f"{path}.params.{old}")
     generator = {"faker": "fake"}.get(c.get("generator"), c.get("generator"))

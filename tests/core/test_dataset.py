@@ -248,3 +248,26 @@ def test_lookup_buckets_stay_small(spark):
     points = ranges.select("pidx", F.expr("low + (high - low) div 2").alias("at")).withColumnRenamed("pidx", "want")
     found = ranks.range_lookup(points, "at", ranges, total)
     assert found.where("want <> pidx").count() == 0 and found.count() == n
+
+
+def test_every_guess_makes_values(spark):
+    """A column for each of the patterns, of each of its kinds."""
+    from tessera.plans import choices
+
+    names = {"password": "clave", "email": "correo", "iban": "iban", "national id": "dni", "postcode": "zip", "user": "login", "ip": "ip", "image": "foto", "url": "web", "uuid": "guid", "first name": "first_name",
+             "last name": "surname", "company": "company", "job": "puesto", "name": "nombre", "phone": "tel", "address": "address", "city": "ciudad", "region": "provincia", "country code": "country_iso", "country": "pais",
+             "currency": "moneda", "color": "color", "plate": "matricula", "title": "titulo", "slug": "slug", "code": "codigo", "identifier": "numero", "description": "notas", "age": "edad", "year": "anio", "percent": "pct",
+             "latitude": "lat", "longitude": "lng", "price": "precio", "quantity": "stock", "capacity": "aforo", "area": "metros", "birth": "nacimiento", "registration": "fecha_alta", "flag": "activo", "expiry": "expires"}
+    assert set(names) == {g[0] for g in choices.GUESSES}
+    types = {"text": "text", "integer": "int", "numeric": "numeric(12,2)", "date": "date", "boolean": "boolean", "uuid": "uuid"}
+    columns = {}
+    for name, _, kinds, *_ in choices.GUESSES:
+        for kind in kinds.split():
+            columns.setdefault(kind, []).append(f"{names[name]} {types[kind]} NOT NULL")
+    sql = " ".join(f"CREATE TABLE t_{kind} (id serial PRIMARY KEY, {', '.join(some)});" for kind, some in columns.items())
+    schema = read_ddl(sql)
+    data = generate(spark, schema, read_config_text("rows: 20"))
+    chosen = choices.choose(schema, read_config_text(""))
+    for t in schema.tables:
+        assert {c.name for c in t.columns if chosen[t.name][c.name].source not in ("heuristic", "serial")} == set()
+        assert data.rows(t.name).count() == 20 and data.quarantine[t.name].count() == 0
