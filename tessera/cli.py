@@ -6,10 +6,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections import Counter
 from dataclasses import asdict
 from pathlib import Path
 
 from tessera.functions.generators import GeneratorError
+from tessera.functions.rules import Rule, RuleError, ordered
 from tessera.operators.assign import InfeasibleError
 from tessera.plans.choices import choose
 from tessera.plans.schema import SchemaError, load_steps
@@ -47,17 +49,23 @@ def main(argv: list[str] | None = None) -> int:
     except SchemaError as e:
         return _fail(e, 2)
     if args.command == "analyze":
-        print(json.dumps({"schema": asdict(schema), "hash": schema.hash(), "steps": [asdict(s) for s in steps], "warnings": schema.warnings}, default=str, indent=None if args.json else 2))
+        print(json.dumps({"schema": asdict(schema), "hash": schema.hash(), "kinds": schema.kinds(), "steps": [asdict(s) for s in steps], "warnings": schema.warnings}, default=str, indent=None if args.json else 2))
         return 0
     try:
         config = read_config(args.config) if args.config else Config()
-        choices = choose(schema, config)
+        warnings = list(schema.warnings)
+        choices = choose(schema, config, warnings)
+        rules = {name: ordered([Rule(text, i) for i, text in enumerate(t.rules)], assertions=True) for name, t in config.tables.items() if t.rules}
     except OSError as e:
         return _fail(e, 3)
-    except (ConfigError, SchemaError, GeneratorError) as e:
+    except (ConfigError, SchemaError, GeneratorError, RuleError) as e:
         return _fail(e, 4)
     if args.command == "plan":
-        print(json.dumps({"tables": {t: {c: asdict(x) for c, x in columns.items()} for t, columns in choices.items()}, "steps": [asdict(s) for s in steps]}, default=str, indent=None if args.json else 2))
+        tables = {t: {c: asdict(x) for c, x in columns.items()} for t, columns in choices.items()}
+        summary = Counter(x.source for columns in choices.values() for x in columns.values())
+        found = {t: [{"kind": r.kind, "column": r.column, "text": r.text} for r in of] for t, of in rules.items()}
+        plan = {"tables": tables, "rules": found, "steps": [asdict(s) for s in steps], "summary": summary, "warnings": warnings}
+        print(json.dumps(plan, default=str, indent=None if args.json else 2))
         return 0
     return _generate(args, schema, config)
 
@@ -86,7 +94,7 @@ def _generate(args: argparse.Namespace, schema, config: Config) -> int:
             print(f"{row['table']}: {row['rows']} rows in quarantine ({row['first_reason']})", file=sys.stderr)
     except (GenerationError, InfeasibleError) as e:
         return _fail(e, 5)
-    except (GeneratorError, SchemaError, files.ExportError) as e:
+    except (GeneratorError, SchemaError, RuleError, files.ExportError) as e:
         return _fail(e, 4)
     return 0
 

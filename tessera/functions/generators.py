@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import inspect
 import math
 from collections.abc import Callable, Sequence
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
@@ -56,10 +57,17 @@ def on_grid(k: Column, unit: Decimal, precision: int, scale: int) -> Column:
     return (k.cast("decimal(20,0)") * F.lit(unit)).cast(f"decimal({precision},{scale})")
 
 
-def float_range(cell: Cell, low: float = 0.0, high: float = 1.0) -> Column:
-    if low > high:
-        raise GeneratorError(f"{cell.table}.{cell.column}: {low} is over {high}")
-    return F.lit(float(low)) + cell.u() * F.lit(float(high) - float(low))
+def float_range(cell: Cell, low: float = 0.0, high: float = 1.0, *, step: float | None = None, min_exclusive: bool = False, max_exclusive: bool = False) -> Column:
+    """A double between the bounds, or a multiple of the step between them. Without a step the upper bound itself
+    isn't drawn, and the lower one neither if it is exclusive."""
+    low, high = float(low), float(high)
+    if low > high or low == high and (min_exclusive or max_exclusive):
+        raise GeneratorError(f"{cell.table}.{cell.column}: no value between {low} and {high}")
+    if step:
+        first, last, unit = grid(low, high, 0, step=str(step), min_exclusive=min_exclusive, max_exclusive=max_exclusive)
+        return (F.lit(first).cast("bigint") + pick(cell.u(), last - first + 1)) * F.lit(float(unit))
+    u = cell.u() + F.lit(2.0**-53) if min_exclusive else cell.u()
+    return F.lit(low) + u * F.lit(high - low)
 
 
 def _truncated(cell: Cell, low: float, high: float, draw: Callable[[Column], Column], acceptance: float) -> Column:
@@ -104,6 +112,46 @@ def rounded(value: Column, digits: int) -> Column:
     return F.floor(value * F.lit(10.0**digits) + 0.5) / F.lit(10.0**digits)
 
 
+def snapped(value: Column, low: str | float, high: str | float, scale: int, precision: int = 18, **exclusive) -> Column:
+    """A double on the nearest multiple of 10^-scale within the bounds, half up."""
+    first, last, unit = grid(low, high, scale, precision=precision, **exclusive)
+    k = F.floor(value * F.lit(10.0**scale) + 0.5).cast("bigint")
+    return on_grid(F.greatest(F.lit(first).cast("bigint"), F.least(F.lit(last).cast("bigint"), k)), unit, precision, scale)
+
+
+def zipf(cell: Cell, low: float = 0, high: float = 1000, s: float = 1.2, *, min_exclusive: bool = False, max_exclusive: bool = False, bits: int = 32) -> Column:
+    """Integers from `low` on with falling popularity, the k-th proportional to 1 / k^s: rejection-inversion
+    (Hörmann and Derflinger 1996), so no table of ranks is made, however many there are. A draw is accepted
+    nine times in ten or more; forty are tried. An s within 1e-6 of 1 counts as 1."""
+    limit = INT_LIMITS[bits]
+    first, last = max(math.ceil(low), -limit), min(math.floor(high), limit - 1)
+    first += min_exclusive and first == low
+    last -= max_exclusive and last == high
+    n, one = last - first + 1, abs(s - 1) < 1e-6
+    if n < 1 or s <= 0:
+        raise GeneratorError(f"{cell.table}.{cell.column}: no integer between {low} and {high}, or s is not over 0")
+    if n == 1:
+        return F.lit(first).cast("bigint")
+    area = lambda x: math.log(x) if one else (x ** (1 - s) - 1) / (1 - s)  # noqa: E731  of the hat, from 1 to x
+    area_of = lambda x: F.ln(x) if one else (F.pow(x, F.lit(1.0 - s)) - 1) / F.lit(1.0 - s)
+    back = lambda y: math.exp(y) if one else (1 + y * (1 - s)) ** (1 / (1 - s))
+    back_of = lambda y: F.exp(y) if one else F.pow(1 + y * F.lit(1.0 - s), F.lit(1 / (1 - s)))
+    whole, start = area(n + 0.5), area(1.5) - 1
+    near = 2 - back(area(2.5) - 2**-s)  # at this distance below a rank every draw is accepted
+
+    def ranks(numbers: Column) -> Column:
+        """The accepted rank of each try, else null. Each step names what the next reads twice."""
+        drawn = F.transform(numbers, lambda k: F.lit(whole) + cell.u("zipf", k) * F.lit(start - whole))
+        placed = F.transform(drawn, lambda y: F.struct(y.alias("y"), back_of(y).alias("x")))
+        ranked = F.transform(placed, lambda v: F.struct(v["y"].alias("y"), v["x"].alias("x"), F.greatest(F.lit(1.0), F.least(F.lit(float(n)), F.floor(v["x"] + 0.5).cast("double"))).alias("r")))
+        fits = lambda v: (v["r"] - v["x"] <= F.lit(near)) | (v["y"] >= area_of(v["r"] + 0.5) - F.pow(v["r"], F.lit(-float(s))))
+        return F.transform(ranked, lambda v: F.when(fits(v), v["r"]))
+
+    again = F.try_element_at(F.filter(ranks(F.sequence(F.lit(2), F.lit(40))), lambda r: r.isNotNull()), F.lit(1))
+    rank = F.coalesce(ranks(F.array(F.lit(1)))[0], again, F.lit(1.0)).cast("bigint")
+    return F.lit(first - 1).cast("bigint") + rank
+
+
 def sequence(cell: Cell, start: int = 1, step: int = 1) -> Column:
     if step == 0:
         raise GeneratorError(f"{cell.table}.{cell.column}: a step of 0")
@@ -286,7 +334,7 @@ def fake(cell: Cell, provider: str) -> Column:
 REGISTRY: dict[str, Callable[..., Column]] = {
     "numeric_range": numeric_range, "integer_range": integer_range, "float_range": float_range, "normal": normal,
     "lognormal": lognormal, "sequence": sequence, "choice": choice, "template": template, "uuid": uuid4,
-    "date_range": date_range, "timestamp_range": timestamp_range, "fallback": fallback, "fake": fake,
+    "date_range": date_range, "timestamp_range": timestamp_range, "fallback": fallback, "fake": fake, "zipf": zipf,
 }
 
 
@@ -301,3 +349,13 @@ def resolve(name: str) -> Callable[..., Column]:
     if name not in REGISTRY:
         raise GeneratorError(f"unknown generator {name!r}; known: {', '.join(sorted(REGISTRY))}")
     return REGISTRY[name]
+
+
+def check_params(name: str, params: dict, where: str) -> None:
+    """An error that names a parameter which a generator doesn't have."""
+    known = {p.name: p for p in list(inspect.signature(resolve(name)).parameters.values())[1:]}
+    if any(p.kind is p.VAR_KEYWORD for p in known.values()):
+        return
+    for key in params:
+        if key not in known:
+            raise GeneratorError(f"{where}: {name} has no parameter {key!r}")

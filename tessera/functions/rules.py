@@ -84,9 +84,9 @@ class Rule:
         return set(re.findall(r"(?<![.\w])[A-Za-z_]\w*", bare))
 
 
-def ordered(rules: list[Rule]) -> list[Rule]:
+def ordered(rules: list[Rule], assertions: bool = False) -> list[Rule]:
     """Derivations and bounds so that each comes after those of the columns it reads; of one column, the
-    derivation first; else as written. A cycle is an error that names its columns."""
+    derivation first; else as written; assertions last or not at all. A cycle is an error that names its columns."""
     todo = sorted((r for r in rules if r.kind != "assertion"), key=lambda r: (r.kind == "bound", r.number))
     by_column: dict[str, list[Rule]] = {}
     for r in todo:
@@ -111,7 +111,7 @@ def ordered(rules: list[Rule]) -> list[Rule]:
 
     for r in sorted(todo, key=lambda r: r.number):
         visit(r, [])
-    return out
+    return out + [r for r in rules if assertions and r.kind == "assertion"]
 
 
 def compile_text(text: str, cell: Cell, refs: dict | None = None, number: int = 0) -> tuple[str, dict[str, Column]]:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def load_runs(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
+    """The records of runs: a JSON object or a list of them in each *.json file of a folder. Files whose names
+    start with _ or ., such as _summary.json, are hidden from Spark's readers."""
+    reader = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json")
+    return (reader.schema(schema) if schema else reader).json(folder)
+
+
 def group_rates(df: DataFrame, by: list[str], rates: dict[str, str], sums: dict[str, str], means: dict[str, str]) -> DataFrame:
     """Count, shares of 0/1 columns, sums and means for each group."""
     out = [F.count(F.lit(1)).alias("n")]

@@ -6,7 +6,9 @@ from __future__ import annotations
 import datetime as dt
 import re
 from dataclasses import dataclass, field
+from decimal import Decimal
 
+from tessera.functions.generators import check_params
 from tessera.plans.schema import Column, Schema, SchemaError, Table, column_bounds
 from tessera.sources.config import Config
 
@@ -77,15 +79,27 @@ def guess(column: Column, table: str = "") -> tuple[str, float, str, dict] | Non
     return None
 
 
-def choose(schema: Schema, config: Config) -> dict[str, dict[str, Choice]]:
-    """The choice for each column of each table; contradictions with the schema are errors."""
+def misfit(column: Column) -> str | None:
+    """The guess that the column's name gives and its type forbids."""
+    return next((name for name, pattern, kinds, *_ in GUESSES if re.search(pattern, column.name) and column.kind not in kinds.split()), None)
+
+
+def choose(schema: Schema, config: Config, warnings: list[str] | None = None) -> dict[str, dict[str, Choice]]:
+    """The choice for each column of each table; contradictions with the schema are errors, what is only
+    doubtful is added to the warnings."""
+    warnings = [] if warnings is None else warnings
     for name, t in config.tables.items():
         for column in [*t.columns, *t.foreign_keys]:
             schema.table(name).column(column)
-    return {t.name: {c.name: _choose(t, c, config) for c in t.columns} for t in schema.tables}
+        for fk in schema.table(name).foreign_keys:
+            given = [c for c in fk.columns if c in t.foreign_keys]
+            for c in given[1:]:
+                if t.foreign_keys[c] != t.foreign_keys[given[0]]:
+                    raise SchemaError(f"{name}: {given[0]} and {c} belong to one foreign key, but name different strategies")
+    return {t.name: {c.name: _choose(t, c, config, warnings) for c in t.columns} for t in schema.tables}
 
 
-def _choose(table: Table, column: Column, config: Config) -> Choice:
+def _choose(table: Table, column: Column, config: Config, warnings: list[str]) -> Choice:
     own = getattr(config.tables.get(table.name), "columns", {}).get(column.name)
     bounds = column_bounds(table, column.name)
     unique = [column.name] in table.keys() or bool(own and own.unique)
@@ -98,17 +112,27 @@ def _choose(table: Table, column: Column, config: Config) -> Choice:
         return Choice("key", source="key")
     if own and own.generator:
         allowed = column.values or bounds.get("values")
+        where = f"{table.name}.{column.name}"
+        check_params(own.generator, own.params, where)
         if own.generator == "choice" and allowed and not set(map(str, own.params.get("values", []))) <= set(map(str, allowed)):
-            raise SchemaError(f"{table.name}.{column.name}: values outside {allowed}")
-        return Choice(own.generator, _clipped(table, column, own.params, bounds), "user", 1.0, nulls, unique)
+            raise SchemaError(f"{where}: values outside {allowed}")
+        if own.generator != "choice" and allowed:
+            warnings.append(f"{where}: {own.generator} may make values outside {allowed}")
+        _within(where, own.generator, own.params, bounds)
+        return Choice(own.generator, _clipped(table, column, own.params, bounds, own.generator), "user", 1.0, nulls, unique)
+    if "values" in bounds and not bounds["values"]:
+        warnings.append(f"{table.name}.{column.name}: no value satisfies its checks")
+        return Choice("fallback", {}, "fallback", 0.0, nulls, unique)
     if column.values or "values" in bounds:
         return Choice("choice", {"values": [*map(_plain(column), column.values or bounds["values"])]}, "schema", 1.0, nulls, unique)
     found = None if column.array else guess(column, table.name)
+    if not found and not column.array and (name := misfit(column)):
+        warnings.append(f"{table.name}.{column.name}: a {column.kind} column can't hold what its name says ({name})")
     known = {k: v for k, v in bounds.items() if k in ("low", "high")}
     if found and found[1] >= config.min_confidence:
-        return Choice(found[2], _clipped(table, column, found[3], bounds), "heuristic", found[1], nulls, unique)
+        return Choice(found[2], _clipped(table, column, found[3], bounds, found[2]), "heuristic", found[1], nulls, unique)
     if known and column.kind in ("integer", "numeric", "date"):
-        return Choice(_range_of(column), _clipped(table, column, {}, bounds), "schema", 1.0, nulls, unique)
+        return Choice(_range_of(column), _clipped(table, column, {}, bounds, _range_of(column)), "schema", 1.0, nulls, unique)
     return Choice("fallback", {}, "fallback", 0.0, nulls, unique)
 
 
@@ -120,9 +144,28 @@ def _range_of(column: Column) -> str:
     return {"integer": "integer_range", "date": "date_range"}.get(column.kind, "numeric_range" if column.precision else "float_range")
 
 
-def _clipped(table: Table, column: Column, params: dict, bounds: dict) -> dict:
+def _within(where: str, generator: str, params: dict, bounds: dict) -> None:
+    """What a configuration asks for must lie within the schema's bounds: it is never cut in silence."""
+    asked = params.get("values") or [] if generator == "choice" else [params[b] for b in ("low", "high") if params.get(b) is not None]
+    for value in asked:
+        for bound, sign in (("low", -1), ("high", 1)):
+            edge = bounds.get(bound)
+            day = isinstance(value, dt.date) and isinstance(edge, str)
+            if not day and not (isinstance(value, (int, float)) and isinstance(edge, (int, float, Decimal))):
+                continue
+            a, b = (value.isoformat(), edge) if day else (value, float(edge))
+            beyond = a < b if sign < 0 else a > b
+            if beyond or generator == "choice" and a == b and bounds.get(f"{bound}_exclusive"):
+                raise SchemaError(f"{where}: {value} is beyond the schema's {'lower' if sign < 0 else 'upper'} bound {edge}")
+
+
+#: Generators of a range: both ends are set, and lie within the schema's bounds.
+_RANGED = {"integer_range", "numeric_range", "float_range", "date_range", "normal", "lognormal", "zipf"}
+
+
+def _clipped(table: Table, column: Column, params: dict, bounds: dict, generator: str) -> dict:
     """Range parameters within the schema's bounds."""
-    if column.kind not in ("integer", "numeric", "date") or not (bounds.keys() & {"low", "high"} or params.keys() & {"low", "high"}):
+    if column.kind not in ("integer", "numeric", "date") or generator not in _RANGED:
         return dict(params)
     default = {"integer": (0, 1000), "numeric": (0, 1000), "date": (dt.date(2015, 1, 1), dt.date(2025, 1, 1))}[column.kind]
     cast = (lambda v: dt.date.fromisoformat(str(v))) if column.kind == "date" else float
@@ -133,6 +176,9 @@ def _clipped(table: Table, column: Column, params: dict, bounds: dict) -> dict:
     span = dt.timedelta(days=3653) if column.kind == "date" else 1000
     upper = high if high is not None else (edge_high if edge_high is not None else max(default[1], out["low"] + span))
     out["high"] = min(x for x in (upper, edge_high) if x is not None)
+    if column.kind == "date":
+        out["low"] += dt.timedelta(days=bool(bounds.get("low_exclusive") and out["low"] == edge_low))
+        out["high"] -= dt.timedelta(days=bool(bounds.get("high_exclusive") and out["high"] == edge_high))
     if out["low"] > out["high"]:
         raise SchemaError(f"{table.name}.{column.name}: no value between {out['low']} and {out['high']}")
     if column.kind != "date" and "low" in bounds and bounds.get("low_exclusive") and out["low"] == edge_low:

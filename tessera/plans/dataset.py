@@ -44,8 +44,8 @@ class Dataset:
 class _Run:
     def __init__(self, spark: SparkSession, schema: Schema, config: Config):
         self.spark, self.schema, self.config = spark, schema, config
-        self.choices = choose(schema, config)
         self.out = Dataset(schema, load_steps(schema), warnings=list(schema.warnings))
+        self.choices = choose(schema, config, self.out.warnings)
         self.rules = {t.name: [rules.Rule(text, i) for i, text in enumerate(self.of(t).rules)] for t in schema.tables}
 
     def of(self, table: Table) -> TableConfig:
@@ -244,7 +244,15 @@ class _Run:
             if column.kind == "integer" and choice.generator == "numeric_range":
                 params = {k: v for k, v in params.items() if k not in ("scale", "precision")} | {"bits": column.bits}
                 made = g.integer_range(cell, **params)
+            elif choice.generator in ("normal", "lognormal"):
+                exclusive = {k: params.pop(k) for k in ("min_exclusive", "max_exclusive") if k in params}
+                made = g.resolve(choice.generator)(cell, **params)
+                scale = 0 if column.kind == "integer" else column.scale or 0 if column.precision else None
+                if scale is not None and (column.precision or 18) <= 18:
+                    made = g.snapped(made, params["low"], params["high"], scale, column.precision or 18, **exclusive)
             else:
+                if choice.generator == "zipf" and column.kind == "integer":
+                    params.setdefault("bits", column.bits)
                 made = g.resolve(choice.generator)(cell, **params)
         if column.kind == "text" and column.length:
             made = F.substring(made, 1, column.length)

@@ -80,12 +80,14 @@ class Table:
     def keys(self) -> list[list[str]]:
         return ([self.primary_key] if self.primary_key else []) + self.uniques
 
-    def kind(self) -> str:
-        """bridge: a key made of the columns of two foreign keys or more, and at most two other columns."""
+    def kind(self, referenced: bool = False) -> str:
+        """bridge: a key made of the columns of two foreign keys or more, and at most two other columns.
+        lookup: a table of at most three columns without foreign keys that another refers to."""
         shared = {c for fk in self.foreign_keys for c in fk.columns}
-        if len(self.foreign_keys) >= 2 and any(set(k) <= shared for k in self.keys()) and len([c for c in self.columns if c.name not in shared]) <= 2:
+        joins = lambda key: set(key) <= shared and sum(bool(set(fk.columns) & set(key)) for fk in self.foreign_keys) >= 2
+        if any(map(joins, self.keys())) and len([c for c in self.columns if c.name not in shared]) <= 2:
             return "bridge"
-        return "regular"
+        return "lookup" if referenced and not self.foreign_keys and len(self.columns) <= 3 else "regular"
 
     def one_to_one(self, fk: ForeignKey) -> bool:
         return sorted(fk.columns) in [sorted(k) for k in self.keys()]
@@ -102,6 +104,11 @@ class Schema:
                 return t
         raise SchemaError(f"no table {name}")
 
+    def kinds(self) -> dict[str, str]:
+        """The kind of each table: bridge, lookup or regular."""
+        referenced = {self.table(fk.ref_table).name for t in self.tables for fk in t.foreign_keys}
+        return {t.name: t.kind(t.name in referenced) for t in self.tables}
+
     def hash(self) -> str:
         """SHA-256 of the schema, without warnings; the order of tables doesn't count."""
         plain = sorted((asdict(t) for t in self.tables), key=lambda t: t["name"])

@@ -159,6 +159,30 @@ def _zipf_sql(n: str, s: float, draw: str, column: str) -> str:
     SELECT idx, pidx AS {column} FROM p ASOF JOIN c ON p.at >= c.low"""
 
 
+def _rejected_zipf_sql(low: int, n: int, s: float) -> str:
+    area = lambda x: (x ** (1 - s) - 1) / (1 - s)
+    whole, start, near = area(n + 0.5), area(1.5) - 1, 2 - (1 + (area(2.5) - 2**-s) * (1 - s)) ** (1 / (1 - s))
+    d = lambda x: f"{x!r}::DOUBLE"
+    draw = "(('0x' || substr(sha256('42|3:gen|' || idx || '|v/zipf/' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+    return f"""WITH y AS (SELECT idx, k, {d(whole)} + {draw} * {d(start - whole)} AS y FROM {ROWS}, range(1, 41) t(k)),
+    x AS (SELECT idx, k, y, pow(1 + y * {d(1 - s)}, {d(1 / (1 - s))}) AS x FROM y), r AS (SELECT *, greatest(1, least({n}, floor(x + 0.5))) AS r FROM x),
+    a AS (SELECT idx, arg_min(r, k) AS r FROM r WHERE r - x <= {d(near)} OR y >= (pow(r + 0.5, {d(1 - s)}) - 1) / {d(1 - s)} - pow(r, {d(-s)}) GROUP BY idx)
+    SELECT o.idx, ({low - 1} + coalesce(r, 1))::BIGINT AS v FROM {ROWS} o LEFT JOIN a USING (idx)"""
+
+
+@query(_rejected_zipf_sql(10, 5_000_000, 1.3))
+def gen_zipf_column(spark, sf_dir):
+    """A column's own Zipf values: five million ranks, and none of them is ever a row."""
+    return rows(spark, sf_dir).select("idx", g.zipf(cell("v"), 10, 5_000_009, 1.3).alias("v"))
+
+
+@query(f"SELECT idx, 2 + ({u('f')} + 1.1102230246251565e-16::DOUBLE) * 3 AS f, (-3 + {pick_sql(u('g'), 7)}) * 0.25::DOUBLE AS g FROM {ROWS}")
+def gen_float_bounds(spark, sf_dir):
+    """Doubles with an open lower bound, and on the multiples of a step."""
+    g_ = g.float_range(cell("g"), -1, 1, step=0.25, min_exclusive=True, max_exclusive=True)
+    return rows(spark, sf_dir).select("idx", g.float_range(cell("f"), 2, 5, min_exclusive=True).alias("f"), g_.alias("g"))
+
+
 @query(_zipf_sql("100", 1.2, u("v", "fk"), "v"))
 def gen_zipf(spark, sf_dir):
     return assign.zipf(rows(spark, sf_dir), 100, SEED, "gen", "v").select("idx", F.col("pidx").alias("v"))
@@ -681,7 +705,7 @@ SHOP_CONFIG = """
 version: 1
 defaults: {rows: 50}
 tables:
-  goods: {columns: {price: {generator: numeric_range, params: {min: 1, max: 900, distribution: {family: lognormal, params: {median: 20, sigma: 0.4}}}}}}
+  goods: {columns: {price: {generator: numeric_range, params: {min: 1, max: 500, distribution: {family: lognormal, params: {median: 20, sigma: 0.4}}}}}}
   sales: {fk: {shop_id: {strategy: zipf, s: 1.3}}}
 """
 _ANALYZED = """

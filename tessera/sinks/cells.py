@@ -101,12 +101,13 @@ def insert_statements(df: DataFrame, table: str, columns: list[str], order: str,
 
 
 def update_statements(df: DataFrame, table: str, key: list[str], columns: list[str]) -> DataFrame:
-    """(statement): one UPDATE for each row with a value to set."""
+    """(statement): one UPDATE for each row with a value to set; columns without one are not named."""
     if not key:
         raise ValueError(f"{table}: an UPDATE needs a primary key")
-    known = df.where(" and ".join(f"`{c}` is not null" for c in columns))
+    known = df.where(" or ".join(f"`{c}` is not null" for c in columns))
     pairs = lambda names: [F.concat(F.lit(f"{identifier(c)} = "), sql_literal(df.schema[c])) for c in names]
-    text = F.concat(F.lit(f"UPDATE {identifier(table)} SET "), F.concat_ws(", ", *pairs(columns)), F.lit(" WHERE "), F.concat_ws(" AND ", *pairs(key)), F.lit(";"))
+    given = [F.when(F.col(f"`{c}`").isNotNull(), pair) for c, pair in zip(columns, pairs(columns))]
+    text = F.concat(F.lit(f"UPDATE {identifier(table)} SET "), F.concat_ws(", ", *given), F.lit(" WHERE "), F.concat_ws(" AND ", *pairs(key)), F.lit(";"))
     return known.select(text.alias("statement"))
 
 

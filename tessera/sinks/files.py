@@ -35,7 +35,7 @@ def file_names(tables: list[str], suffix: str) -> dict[str, str]:
 
 
 def write_csv(data: Dataset, folder: str) -> dict[str, str]:
-    """A folder <table>.csv of text parts for each table; the first part starts with the header."""
+    """A folder <table>.csv of text parts for each table, each with the header, as readers of such folders expect."""
     names = file_names([t.name for t in data.schema.tables], "csv")
     for table in data.schema.tables:
         columns = [c.name for c in table.columns]
@@ -47,8 +47,11 @@ def write_csv(data: Dataset, folder: str) -> dict[str, str]:
 
 
 def _write_lines(lines: DataFrame, header: str, path: str) -> None:
-    first = lines.sparkSession.range(1).select(F.lit(-1).cast("long").alias("idx"), F.lit(header).alias("value"))
-    first.unionByName(lines).sort("idx").select("value").write.text(path, lineSep="\n")
+    """Rows in order, in parts that each start with the header; the first part is there without rows, too."""
+    head = lines.sparkSession.range(1).select(F.lit(-1).cast("long").alias("idx"), F.lit(header).alias("value"))
+    first = F.monotonically_increasing_id().bitwiseAND(2**33 - 1) == 0  # of its partition
+    value = F.when(first & (F.col("idx") >= 0), F.concat(F.lit(header + "\n"), F.col("value"))).otherwise(F.col("value"))
+    head.unionByName(lines).sort("idx").select(value.alias("value")).write.text(path, lineSep="\n")
 
 
 def write_json(data: Dataset, folder: str) -> dict[str, str]:

@@ -89,6 +89,10 @@ def _build(cls: type, data: object, path: str, kind: tuple[str, ...] = ()) -> ob
 _IGNORED = ("version", "locale", "dialect", "llm")
 
 
+#: The parameters of each distribution.
+_FAMILIES = {"uniform": (), "normal": ("mean", "std"), "lognormal": ("median", "sigma"), "zipf": ("s",)}
+
+
 def _put(target: dict, key: str, value: object, path: str) -> None:
     if key in target:
         raise ConfigError(f"{path}: given twice")
@@ -128,11 +132,14 @@ def _column(c: dict, path: str) -> dict:
     generator = {"faker": "fake"}.get(c.get("generator"), c.get("generator"))
     shape = params.pop("distribution", None)
     if shape is not None:
-        if not isinstance(shape, dict) or shape.get("family") not in ("uniform", "normal", "lognormal"):
-            raise ConfigError(f"{path}.params.distribution.family: uniform, normal or lognormal")
+        if not isinstance(shape, dict) or shape.get("family") not in _FAMILIES:
+            raise ConfigError(f"{path}.params.distribution.family: one of {', '.join(_FAMILIES)}")
+        given = shape.get("params") or {}
+        for key in [k for k in shape if k not in ("family", "params")] + [k for k in given if k not in _FAMILIES[shape["family"]]]:
+            raise ConfigError(f"{path}.params.distribution.{key}: {shape['family']} has no such entry")
         if shape["family"] != "uniform":
             generator = shape["family"]
-            params |= shape.get("params") or {}
+            params |= given
     return c | {"generator": generator, "params": params} if c.get("generator") else c
 
 

@@ -271,3 +271,85 @@ def test_every_guess_makes_values(spark):
     for t in schema.tables:
         assert {c.name for c in t.columns if chosen[t.name][c.name].source not in ("heuristic", "serial")} == set()
         assert data.rows(t.name).count() == 20 and data.quarantine[t.name].count() == 0
+
+
+DISTRIBUTED = """CREATE TABLE t (id serial PRIMARY KEY, ranks int NOT NULL, age int NOT NULL CHECK (age > 17), price numeric(6,2) NOT NULL CHECK (price > 0), share double precision NOT NULL CHECK (share > 0 AND share < 1),
+  size int NOT NULL CHECK (size > 0), born date NOT NULL CHECK (born > '2000-01-01'), hits int NOT NULL)"""
+
+
+def test_distributions_fit_types_and_bounds(spark):
+    config = """
+tables:
+  t:
+    rows: 4000
+    columns:
+      ranks: {generator: numeric_range, params: {min: 5, max: 2000000000, distribution: {family: zipf, params: {s: 1.5}}}}
+      age: {generator: normal, params: {low: 18, high: 90, mean: 20, std: 10}}
+      price: {generator: lognormal, params: {high: 3, median: 0.02, sigma: 2}}
+      size: {generator: choice, params: {values: [1, 2]}}
+      hits: {generator: zipf, params: {low: 1, high: 3, s: 1}}
+"""
+    data = generate(spark, read_ddl(DISTRIBUTED), read_config_text(config))
+    assert data.quarantine["t"].count() == 0
+    r = data.rows("t").selectExpr(
+        "min(ranks)", "avg(int(ranks = 5))", "avg(int(ranks = 6))", "max(ranks) > 1000", "min(age)", "min(price)", "max(price)", "max(share) < 1", "max(size)", "min(born) > '2000-01-01'", "avg(int(hits = 1))", "max(hits)"
+    ).first()
+    zeta = 2.612375  # of 1.5
+    assert r[0] == 5 and abs(r[1] - 1 / zeta) < 0.03 and abs(r[2] - 2**-1.5 / zeta) < 0.03 and r[3]
+    assert r[4] >= 18 and float(r[5]) >= 0.01 and float(r[6]) <= 3 and r[7] and r[8] == 2 and r[9]
+    assert abs(r[10] - 6 / 11) < 0.03 and r[11] == 3
+
+
+def test_registered_generator(spark):
+    from tessera.functions import generators as g
+
+    g.register("thirds", lambda cell, of=3: g.pick(cell.u(), of) * 10)
+    try:
+        data = generate(spark, read_ddl("CREATE TABLE t (id serial PRIMARY KEY, x int)"), read_config_text("tables: {t: {rows: 60, columns: {x: {generator: thirds}}}}"))
+        assert {r[0] for r in data.rows("t").select("x").collect()} == {0, 10, 20}
+        with pytest.raises(g.GeneratorError, match="registered"):
+            g.register("thirds", lambda cell: cell.u())
+    finally:
+        del g.REGISTRY["thirds"]
+
+
+def test_every_csv_part_has_the_header(spark, tmp_path):
+    data = generate(spark, read_ddl("CREATE TABLE t (id serial PRIMARY KEY, x int); CREATE TABLE none (id int PRIMARY KEY)"), read_config_text("tables: {t: {rows: 500}, none: {rows: 0}}"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        files.write_csv(data, str(tmp_path / "csv"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list((tmp_path / "csv" / "t.csv").glob("part-*"))) > 1
+    back = spark.read.csv(str(tmp_path / "csv" / "t.csv"), header=True)
+    assert back.columns == ["id", "x"] and back.count() == 500 and back.where("id = 'id'").count() == 0
+    assert [r[0] for r in spark.read.text(str(tmp_path / "csv" / "none.csv")).collect()] == ["id"]
+
+
+def test_updates_name_only_what_is_set(spark):
+    from tessera.sinks import cells
+
+    df = spark.createDataFrame([(1, 5, None), (2, None, None), (3, None, 7), (4, 8, 9)], "id int, a int, b int")
+    made = {r[0] for r in cells.update_statements(df, "t", ["id"], ["a", "b"]).collect()}
+    assert made == {"UPDATE t SET a = 5 WHERE id = 1;", "UPDATE t SET b = 7 WHERE id = 3;", "UPDATE t SET a = 8, b = 9 WHERE id = 4;"}
+
+
+def test_plan_shows_rules_and_summary(tmp_path, capsys):
+    import json
+
+    (tmp_path / "s.sql").write_text(ESTATE)
+    (tmp_path / "c.yaml").write_text(CONFIG)
+    assert cli.main(["plan", str(tmp_path / "s.sql"), "-c", str(tmp_path / "c.yaml"), "--json"]) == 0
+    plan = json.loads(capsys.readouterr().out)
+    assert [r["kind"] for r in plan["rules"]["compraventas"]] == ["bound", "derivation"] and plan["summary"]["user"] == 1
+    (tmp_path / "c.yaml").write_text('tables: {clientes: {rules: ["id = len(email)", "email = id"]}}')
+    assert cli.main(["plan", str(tmp_path / "s.sql"), "-c", str(tmp_path / "c.yaml")]) == 4
+
+
+def test_runs_are_loaded_without_their_summary(spark, tmp_path):
+    from tessera.operators.reports import load_runs
+
+    (tmp_path / "a.json").write_text('{"model": "m",\n "seconds": 2.5}')
+    (tmp_path / "b.json").write_text('[{"model": "n", "seconds": 1.0}]')
+    (tmp_path / "_summary.json").write_text('{"model": "all"}')
+    assert {tuple(r) for r in load_runs(spark, str(tmp_path), "model string, seconds double").collect()} == {("m", 2.5), ("n", 1.0)}

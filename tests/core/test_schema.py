@@ -4,6 +4,7 @@ from decimal import Decimal
 
 import pytest
 
+from tessera.functions.generators import GeneratorError
 from tessera.plans.choices import choose
 from tessera.plans.schema import SchemaError, check_bounds, load_steps
 from tessera.sources.config import ConfigError, read_config_text
@@ -68,9 +69,12 @@ def test_bad_ddl():
 
 
 def test_config_and_choices():
-    config = read_config_text("seed: 7\ntables:\n  pedidos:\n    rows: 5\n    columns:\n      total: {generator: numeric_range, params: {low: -5, high: 900}}\n")
+    config = read_config_text("seed: 7\ntables:\n  pedidos:\n    rows: 5\n    columns:\n      total: {generator: numeric_range, params: {low: 5}}\n")
     chosen = choose(read_ddl(SHOP), config)
-    assert chosen["pedidos"]["total"].params == {"low": 0.0, "high": 500.0, "max_exclusive": True, } | {k: v for k, v in chosen["pedidos"]["total"].params.items() if k == "min_exclusive"}
+    assert chosen["pedidos"]["total"].params == {"low": 5, "high": 500.0, "max_exclusive": True}
+    for given in ("generator: numeric_range, params: {low: -5, high: 9}", "generator: numeric_range, params: {low: 5, high: 900}", "generator: choice, params: {values: [1, 501]}"):
+        with pytest.raises(SchemaError, match="pedidos.total: .* beyond"):
+            choose(read_ddl(SHOP), read_config_text(f"tables: {{pedidos: {{columns: {{total: {{{given}}}}}}}}}"))
     assert chosen["productos"]["nombre"].source == "heuristic" and chosen["pedidos"]["e"].generator == "choice"
     assert chosen["lineas"]["cantidad"].params["low"] == 0 and chosen["lineas"]["cantidad"].params["min_exclusive"]
     with pytest.raises(ConfigError, match="tables.pedidos.colums"):
@@ -124,3 +128,27 @@ def test_more_heuristics():
     from tessera.sinks.cells import identifier as quoted
 
     assert quoted("left") == '"left"' and quoted("authorization") == '"authorization"' and quoted("price") == "price"
+
+
+def test_kinds_and_doubts():
+    schema = read_ddl("""CREATE TABLE kinds (id serial PRIMARY KEY, name text); CREATE TABLE a (id serial PRIMARY KEY, kind int REFERENCES kinds(id), n int CHECK (n IN (1, 2)) CHECK (n IN (3)));
+        CREATE TABLE ab (x int REFERENCES a(id), y int REFERENCES a(id), z int, w int, PRIMARY KEY (x, z)); CREATE TABLE lone (id int PRIMARY KEY, postal_code int, state text CHECK (state IN ('x', 'y')))""")
+    assert schema.kinds() == {"kinds": "lookup", "a": "regular", "ab": "regular", "lone": "regular"}
+    warnings = []
+    choose(schema, read_config_text("tables: {lone: {columns: {state: {generator: template, params: {text: q}}}}}"), warnings)
+    assert len(warnings) == 3 and all(any(w.startswith(c) for w in warnings) for c in ("a.n", "lone.postal_code", "lone.state"))
+
+
+def test_one_strategy_for_a_compound_key():
+    schema = read_ddl("CREATE TABLE p (a int, b int, PRIMARY KEY (a, b)); CREATE TABLE c (a int, b int, FOREIGN KEY (a, b) REFERENCES p)")
+    choose(schema, read_config_text("tables: {c: {fk: {a: {strategy: zipf}, b: {strategy: zipf}}}}"))
+    with pytest.raises(SchemaError, match="c: a and b"):
+        choose(schema, read_config_text("tables: {c: {fk: {a: {strategy: zipf}, b: {strategy: uniform}}}}"))
+
+
+def test_parameters_of_generators_and_distributions():
+    schema = read_ddl("CREATE TABLE t (x int)")
+    with pytest.raises(GeneratorError, match="t.x: normal has no parameter 'sigma'"):
+        choose(schema, read_config_text("tables: {t: {columns: {x: {generator: normal, params: {sigma: 2}}}}}"))
+    with pytest.raises(ConfigError, match="distribution.std: zipf"):
+        read_config_text("tables: {t: {columns: {x: {generator: numeric_range, params: {distribution: {family: zipf, params: {std: 1}}}}}}}")
