@@ -73,10 +73,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that isn't there yet, in the shared folder of spark.checkpoint.dir."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
+    return f"{top.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder of spark.checkpoint.dir and read again."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
-    path = f"{top.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
