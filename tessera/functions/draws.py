@@ -3,7 +3,9 @@ depends on partitioning, batch or retry. The same bits come out of SHA-256 in an
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +43,54 @@ def pick(u: Column, n: Column | int) -> Column:
     return F.least(F.floor(u * n), (n - 1).cast("bigint")).cast("bigint")
 
 
+LAYERS = 3  # of a permutation
+
+
+def turn(seed: int, table: str, tag: str) -> float:
+    """The uniform draw of a tag that belongs to no row."""
+    return int(hashlib.sha256(f"{prefix(seed, table)}-|{tag}".encode()).hexdigest()[:13], 16) / _BITS
+
+
+def permuted(cell: Cell, x: Column, n: Column | int, kind: str, key: Column | None = None) -> Column:
+    """x of [0, n) under a permutation of [0, n), one for each cell column, kind and key: no state and no shuffle,
+    and n may differ from row to row.
+
+    A layer turns the numbers by an offset and then moves the first a * b of them, a near the root of n and b = n div a,
+    by two Feistel rounds on (number div b, number mod b); each step is one-to-one, so the whole is, for any n."""
+    if isinstance(n, int):
+        a, n = F.lit(min(n, max(2, isqrt(n)))).cast("bigint"), F.lit(n).cast("bigint")
+    else:
+        a = F.least(n, F.greatest(F.lit(2), F.floor(F.sqrt(n.cast("double"))))).cast("bigint")
+    b = F.call_function("div", n, a)
+    turns = F.array(*[F.lit(turn(cell.seed, cell.table, f"{cell.column}/{kind}/{3 * i}")) for i in range(LAYERS)])
+
+    def drawn(step: Column, half: Column, size: Column) -> Column:
+        idx = half.cast("string") if key is None else F.concat_ws("/", key, half.cast("string"))
+        return pick(uniform(cell.seed, cell.table, F.concat(F.lit(f"{cell.column}/{kind}/"), step.cast("string")), idx), size)
+
+    def moved(v: Column, step: Column) -> Column:
+        left, right = F.call_function("div", v, b), v % b
+        turned = (v + pick(F.element_at(turns, (F.call_function("div", step, F.lit(3)) + 1).cast("int")), n)) % n
+        first = (left + drawn(step, right, a)) % a * b + right
+        second = left * b + (right + drawn(step, left, b)) % b
+        return F.when(step % 3 == 0, turned).when(v >= a * b, v).when(step % 3 == 1, first).otherwise(second)
+
+    steps = F.array(*[F.lit(i) for i in range(3 * LAYERS)])
+    return F.when(n > 0, F.aggregate(steps, x.cast("bigint"), moved))
+
+
+def permuted_sql(seed: int, table: str, tag: str, x: str, n: str, key: str | None = None) -> str:
+    """The same as DuckDB SQL; n, and key if given, are names of columns."""
+    a = f"least({n}, greatest(2, floor(sqrt({n}::DOUBLE))))::BIGINT"
+    b = f"({n} // {a})"
+    u = lambda half: f"(('0x' || substr(sha256('{prefix(seed, table)}' || {f'{key} || ' if key else ''}{chr(39) + '/' + chr(39) + ' || ' if key else ''}({half}) || '|{tag}/' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+    least = lambda draw, size: f"least(floor({draw} * {size}), {size} - 1)::BIGINT"
+    turns = ", ".join(f"{turn(seed, table, f'{tag}/{3 * i}')!r}::DOUBLE" for i in range(LAYERS))
+    return f"""list_reduce(list_prepend(({x})::BIGINT, range({3 * LAYERS})), lambda v, j: CASE WHEN j % 3 = 0 THEN (v + {least(f"([{turns}])[j // 3 + 1]", n)}) % {n}
+    WHEN v >= {a} * {b} THEN v WHEN j % 3 = 1 THEN (v // {b} + {least(u(f"v % {b}"), a)}) % {a} * {b} + v % {b}
+    ELSE v // {b} * {b} + (v % {b} + {least(u(f"v // {b}"), b)}) % {b} END)"""
+
+
 @dataclass(frozen=True)
 class Cell:
     """The place of a value: a column's cell in row idx of a table."""

@@ -127,29 +127,35 @@ def zipf(cell: Cell, low: float = 0, high: float = 1000, s: float = 1.2, *, min_
     first, last = max(math.ceil(low), -limit), min(math.floor(high), limit - 1)
     first += min_exclusive and first == low
     last -= max_exclusive and last == high
-    n, one = last - first + 1, abs(s - 1) < 1e-6
+    n = last - first + 1
     if n < 1 or s <= 0:
         raise GeneratorError(f"{cell.table}.{cell.column}: no integer between {low} and {high}, or s is not over 0")
-    if n == 1:
-        return F.lit(first).cast("bigint")
+    return F.lit(first - 1).cast("bigint") + zipf_rank(cell, "zipf", n, s)
+
+
+def zipf_rank(cell: Cell, kind: str, n: Column | int, s: float) -> Column:
+    """A rank from 1 to n, which may be a column, with falling popularity."""
+    if isinstance(n, int) and n < 2:
+        return F.lit(1).cast("bigint")
+    one = abs(s - 1) < 1e-6
     area = lambda x: math.log(x) if one else (x ** (1 - s) - 1) / (1 - s)  # noqa: E731  of the hat, from 1 to x
     area_of = lambda x: F.ln(x) if one else (F.pow(x, F.lit(1.0 - s)) - 1) / F.lit(1.0 - s)
     back = lambda y: math.exp(y) if one else (1 + y * (1 - s)) ** (1 / (1 - s))
     back_of = lambda y: F.exp(y) if one else F.pow(1 + y * F.lit(1.0 - s), F.lit(1 / (1 - s)))
-    whole, start = area(n + 0.5), area(1.5) - 1
+    whole = F.lit(area(n + 0.5)) if isinstance(n, int) else area_of(n + 0.5)
+    n, start = F.lit(n) if isinstance(n, int) else n, F.lit(area(1.5) - 1)
     near = 2 - back(area(2.5) - 2**-s)  # at this distance below a rank every draw is accepted
 
     def ranks(numbers: Column) -> Column:
         """The accepted rank of each try, else null. Each step names what the next reads twice."""
-        drawn = F.transform(numbers, lambda k: F.lit(whole) + cell.u("zipf", k) * F.lit(start - whole))
+        drawn = F.transform(numbers, lambda k: whole + cell.u(kind, k) * (start - whole))
         placed = F.transform(drawn, lambda y: F.struct(y.alias("y"), back_of(y).alias("x")))
-        ranked = F.transform(placed, lambda v: F.struct(v["y"].alias("y"), v["x"].alias("x"), F.greatest(F.lit(1.0), F.least(F.lit(float(n)), F.floor(v["x"] + 0.5).cast("double"))).alias("r")))
+        ranked = F.transform(placed, lambda v: F.struct(v["y"].alias("y"), v["x"].alias("x"), F.greatest(F.lit(1.0), F.least(n.cast("double"), F.floor(v["x"] + 0.5).cast("double"))).alias("r")))
         fits = lambda v: (v["r"] - v["x"] <= F.lit(near)) | (v["y"] >= area_of(v["r"] + 0.5) - F.pow(v["r"], F.lit(-float(s))))
         return F.transform(ranked, lambda v: F.when(fits(v), v["r"]))
 
     again = F.try_element_at(F.filter(ranks(F.sequence(F.lit(2), F.lit(40))), lambda r: r.isNotNull()), F.lit(1))
-    rank = F.coalesce(ranks(F.array(F.lit(1)))[0], again, F.lit(1.0)).cast("bigint")
-    return F.lit(first - 1).cast("bigint") + rank
+    return F.coalesce(ranks(F.array(F.lit(1)))[0], again, F.lit(1.0)).cast("bigint")
 
 
 def sequence(cell: Cell, start: int = 1, step: int = 1) -> Column:

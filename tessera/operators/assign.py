@@ -5,12 +5,11 @@ strategies are functions of (seed, table, row), and all capacity checks run befo
 
 from __future__ import annotations
 
-from math import gcd
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.draws import Cell, pick
+from tessera.functions.draws import Cell, permuted, pick
+from tessera.functions.generators import zipf_rank
 from tessera.operators.ranks import cumulative, numbered, range_lookup, ranges_of
 
 
@@ -32,22 +31,9 @@ def with_nulls(children: DataFrame, ratio: float, seed: int, table: str, fk: str
     return children.withColumn("pidx", F.when(_cell(seed, table, fk).u("null") >= ratio, F.col("pidx")))
 
 
-ZIPF_UNIT = 1_000_000_000
-
-
-def zipf_weight(idx: Column, s: float) -> Column:
-    """Whole-number popularity of the parent at a place: proportional to 1 / (idx + 1)^s, at least 1."""
-    return F.greatest(F.lit(1), F.floor(F.lit(float(ZIPF_UNIT)) / F.pow(idx + 1, F.lit(s)) + 0.5)).cast("bigint")
-
-
 def zipf(children: DataFrame, parents: int, seed: int, table: str, fk: str, s: float = 1.2) -> DataFrame:
-    """Parents by place with falling popularity; the inverse distribution is a range join in buckets."""
-    spark = children.sparkSession
-    weights = spark.range(parents).select(F.col("id").alias("pidx")).withColumn("w", zipf_weight(F.col("pidx"), s))
-    ranges = cumulative(weights, "w", "pidx").select("pidx", "low", "high")
-    total = ranges.agg(F.max("high")).first()[0] or 1
-    points = children.withColumn("__at", pick(_cell(seed, table, fk).u("fk"), total))
-    return range_lookup(points, "__at", ranges, total).drop("__at")
+    """Parents by place with falling popularity, by rejection-inversion: no weight of a parent is ever a row."""
+    return children.withColumn("pidx", zipf_rank(_cell(seed, table, fk), "fk", parents, s) - 1)
 
 
 def shuffled(n: DataFrame, seed: int, table: str, tag: str, idx: str, name: str) -> DataFrame:
@@ -61,107 +47,121 @@ def unique_subset(children: DataFrame, parents: int, seed: int, table: str, fk:
     rows = children.count()
     if rows > parents:
         raise InfeasibleError(f"{table}.{fk}: {rows} rows need {rows} parents, there are {parents}")
-    ranked = shuffled(children.sparkSession.range(parents).withColumnRenamed("id", "pidx"), seed, table, f"{fk}/parent", "pidx", "__rank")
-    return children.join(ranked.withColumnRenamed("__rank", "idx"), "idx")
-
-
-def quota_slots(spark, parents: int, rows: int, low: int, high: int | None, seed: int, table: str, fk: str) -> DataFrame:
-    """(idx, pidx) for idx in [0, rows): every parent gets low to high children. Slots up to `low` are
-    taken by all; of the optional ones the smallest by hash; a second hash shuffles children. Without an upper
-    bound, or with one that is far off, no optional slot is made that isn't taken."""
+    return children.withColumn("pidx", permuted(_cell(seed, table, fk), F.col("idx"), parents, "parent"))
+
+
+def member(cell: Cell, strategy: str, rank: Column, n: Column | int, s: float = 1.2, low: int = 0, high: int | None = None, key: Column | None = None) -> Column:
+    """The parent's number in [0, n) of the child that is the rank-th of those that share these parents (all rows,
+    or a group's: then key tells groups apart).
+
+    One-to-one: the rank under a permutation. Quota: the first low * n children give each parent its least
+    number; what follows takes slots of [0, (high - low) * n) without replacement, `high - low` for each parent."""
+    if strategy == "unique_subset":
+        return permuted(cell, rank, n, "parent", key)
+    if strategy == "zipf":
+        return zipf_rank(cell, "fk", n, s) - 1
+    if strategy == "quota":
+        size = F.lit(n).cast("bigint") if isinstance(n, int) else n
+        sure, further = size * low, rank - size * low
+        if high is None:
+            more = pick(cell.u("extra"), size)
+        else:
+            more = permuted(cell, F.greatest(further, F.lit(0)), n * max(0, high - low), "free", key) % size
+        return F.when(rank < sure, rank % size).otherwise(more)
+    return pick(cell.u("fk"), n)
+
+
+def quota(children: DataFrame, parents: int, low: int, high: int | None, seed: int, table: str, fk: str) -> DataFrame:
+    """Every parent gets low to high children; children are numbered 0.. in `idx` and meet their slots in the order
+    of a permutation."""
+    rows = children.count()
     if not parents * low <= rows or high is not None and rows > parents * high:
         raise InfeasibleError(f"{table}.{fk}: {rows} rows don't fit {parents} parents with {low} to {high} each")
-    need = rows - parents * low
-    free = parents * (min(high, rows) - low) if high is not None else None
-    lead = max(1, min(high, rows) if high is not None else low + need)
-    sure = spark.range(parents).select(F.col("id").alias("pidx"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(max(1, low)).cast("bigint"))).alias("k"))
-    taken = sure.where(F.col("k") <= low).select("pidx", (F.col("pidx") * lead + F.col("k")).alias("slot"))
-    if need and free is None:  # no upper bound: each further row draws its parent
-        extra = uniform(spark.range(need).withColumnRenamed("id", "idx"), parents, seed, table, f"{fk}/extra")
-        taken = taken.unionByName(extra.select("pidx", (F.col("pidx") * lead + low + 1 + F.col("idx")).alias("slot")))
-    elif need and free > 50 * need:  # few of very many slots: distinct numbers of slots, spread evenly
-        chosen = distinct_ranks(spark.range(need).withColumnRenamed("id", "idx"), free, seed)
-        chosen = chosen.select((F.col("rank") % parents).alias("pidx"), F.expr(f"rank div {parents}").alias("k"))
-        taken = taken.unionByName(chosen.select("pidx", (F.col("pidx") * lead + low + 1 + F.col("k")).alias("slot")))
-    elif need:
-        slots = spark.range(parents).select(F.col("id").alias("pidx"), F.explode(F.sequence(F.lit(low + 1).cast("bigint"), F.lit(min(high, rows)).cast("bigint"))).alias("k"))
-        slots = slots.select("pidx", (F.col("pidx") * lead + F.col("k")).alias("slot"))
-        taken = taken.unionByName(smallest(slots, Cell(seed, table, f"{fk}/free", F.col("slot")).u("rank"), "slot", need))
-    return shuffled(taken, seed, table, f"{fk}/child", "slot", "idx").select("idx", "pidx")
-
-
-def smallest(df: DataFrame, u: Column, tie: str, n: int, cells: int = 4096) -> DataFrame:
-    """The n rows of the smallest draws. Counts by equal parts of [0, 1) say which parts are taken whole; only
-    the part that holds the n-th row is ranked."""
-    keyed = df.withColumn("__u", u).withColumn("__c", F.floor(F.col("__u") * cells))
-    total, whole = 0, -1
-    for r in keyed.groupBy("__c").count().orderBy("__c").collect():  # `cells` rows at most
-        if total + r["count"] > n:
-            break
-        total, whole = total + r["count"], r["__c"]
-    rest = numbered(keyed.where(F.col("__c") == whole + 1), [F.col("__u"), F.col(tie)], "__r").where(F.col("__r") < n - total) if total < n else keyed.limit(0)
-    return keyed.where(F.col("__c") <= whole).select(*df.columns).unionByName(rest.select(*df.columns))
-
-
-def quota(children: DataFrame, parents: int, low: int, high: int, seed: int, table: str, fk: str) -> DataFrame:
-    return children.join(quota_slots(children.sparkSession, parents, children.count(), low, high, seed, table, fk), "idx")
-
-
-def factor(total: int, seed: int) -> int:
-    """A multiplier without common divisor with total, near total times the golden ratio."""
-    a = (int(total * 0.6180339887498949) + seed) % total or 1
-    while gcd(a, total) != 1:
-        a += 1
-    return a
-
-
-def distinct_ranks(children: DataFrame, total: int, seed: int, name: str = "rank") -> DataFrame:
-    """Distinct numbers in [0, total) for children 0..: (a * idx + b) mod total, which needs no state and
+    cell = _cell(seed, table, fk)
+    turned = children.withColumn("__rank", permuted(cell, F.col("idx"), rows, "child"))
+    return turned.withColumn("pidx", member(cell, "quota", F.col("__rank"), parents, low=low, high=high)).drop("__rank")
+
+
+LARGEST = 2**62
+
+
+def distinct_ranks(children: DataFrame, total: int, seed: int, table: str, name: str = "rank") -> DataFrame:
+    """Distinct numbers in [0, total) for children 0..: a sample without replacement, which needs no state and
     no shuffle."""
-    a, b = factor(total, seed), seed % total
-    product = F.col("idx").cast("decimal(38,0)") * F.lit(a).cast("decimal(19,0)") + F.lit(b)
-    return children.withColumn(name, (product % F.lit(total).cast("decimal(19,0)")).cast("bigint"))
+    return children.withColumn(name, permuted(Cell(seed, table, "rank", F.col("idx")), F.col("idx"), total, "rank"))
 
 
 def tuples(children: DataFrame, sizes: list[int], names: list[str], seed: int, table: str) -> DataFrame:
-    """Distinct tuples of parent numbers by unranking in mixed radix; no product is ever built."""
+    """Distinct tuples of parent numbers by unranking in mixed radix; no product is ever built. Where the number
+    of tuples exceeds a long, the sizes are cut into parts that don't, the child's number is written in these parts,
+    and rounds add to each part in turn an offset drawn from the others: each round is one-to-one."""
     total = 1
     for n in sizes:
         total *= n
     rows = children.count()
     if rows > total:
         raise InfeasibleError(f"{table}: {rows} rows need distinct tuples, there are {total}")
-    if total >= 10**18:  # a rank must fit a long; fewer distinct leading values still hold all rows
-        raise InfeasibleError(f"{table}: {total} tuples are too many to number")
-    out = distinct_ranks(children, total, seed)
+    parts: list[list[tuple[int, str]]] = [[]]
+    product = 1
     for n, name in reversed(list(zip(sizes, names))):
-        out = out.withColumn(name, F.col("rank") % n).withColumn("rank", F.expr(f"rank div {n}"))
-    return out.drop("rank")
+        if product * n >= (LARGEST if total < LARGEST else 2**52):
+            parts.append([])
+            product = 1
+        parts[-1].append((n, name))
+        product *= n
+    if len(parts) == 1:
+        out = distinct_ranks(children, total, seed, table, "__0")
+    else:
+        out, rest = children, F.col("idx").cast("bigint")
+        widths = []
+        for i, part in enumerate(parts):
+            width = 1
+            for n, _ in part:
+                width *= n
+            widths.append(width)
+            out = out.withColumn(f"__{i}", rest % width)
+            rest = F.call_function("div", rest, F.lit(width))
+        for step in range(2 * len(parts) + 2):
+            i = step % len(parts)
+            others = Cell(seed, table, "rank", F.concat_ws("/", *[F.col(f"__{k}").cast("string") for k in range(len(parts)) if k != i]))
+            out = out.withColumn(f"__{i}", (F.col(f"__{i}") + pick(others.u(f"part{step}"), widths[i])) % widths[i])
+    for i, part in enumerate(parts):
+        for n, name in part:
+            out = out.withColumn(name, F.col(f"__{i}") % n).withColumn(f"__{i}", F.expr(f"__{i} div {n}"))
+    return out.drop(*[f"__{i}" for i in range(len(parts))])
 
 
 def group_tuples(sides: list[DataFrame], group: list[str], names: list[str], rows: int, seed: int, table: str) -> DataFrame:
     """(idx, *group, *names): distinct tuples of positions within groups that all sides share. Sides are
     (group, n) counts; flat ranks over the groups' products are drawn and unranked by a range join, groups in
-    order of a draw."""
+    order of a draw. Where the tuples are too many for a long, those of the first sides are distinct already, and
+    the positions of the others are drawn freely."""
     both = sides[0].withColumnRenamed("n", "__n0")
     for i, side in enumerate(sides[1:], 1):
         both = both.join(side.withColumnRenamed("n", f"__n{i}"), group)
-    weight = F.lit(1).cast("decimal(38,0)")
+    weight, weights = F.lit(1.0), []
     for i in range(len(sides)):
-        weight = weight * F.col(f"__n{i}").cast("decimal(18,0)")
-    both = both.withColumn("__w", weight.cast("decimal(38,0)"))
+        weight = weight * F.col(f"__n{i}")
+        weights.append(F.sum(weight))
+    totals = [x or 0.0 for x in both.agg(*weights).first()]
+    held = max((i for i, x in enumerate(totals) if x < LARGEST), default=0)
+    weight = F.lit(1).cast("decimal(38,0)")
+    for i in range(held + 1):
+        weight = (weight * F.col(f"__n{i}").cast("decimal(19,0)")).cast("decimal(38,0)")
+    both = both.withColumn("__w", weight.cast("bigint"))
     total = int(both.agg(F.sum("__w")).first()[0] or 0)
     if rows > total:
-        raise InfeasibleError(f"{table}: {rows} rows need distinct tuples, there are {total}")
-    if total >= 10**18:
-        raise InfeasibleError(f"{table}: {total} tuples are too many to number")
+        raise InfeasibleError(f"{table}: {rows} rows need distinct tuples, there are {int(totals[-1])}" + (f", and {total} of the first {held + 1} keys" if held + 1 < len(sides) else ""))
     order = Cell(seed, table, "group", F.concat_ws(",", *[F.col(c).cast("string") for c in group])).u("rank")
-    both = both.withColumn("__w", F.col("__w").cast("bigint")).withColumn("__h", order)
+    both = both.withColumn("__h", order)
     ranges = cumulative(numbered(both, [F.col("__h"), *map(F.col, group)], "__g").drop("__h"), "__w", "__g").drop("__w", "__g")
-    points = distinct_ranks(both.sparkSession.range(rows).withColumnRenamed("id", "idx"), total, seed, "__at")
+    points = distinct_ranks(both.sparkSession.range(rows).withColumnRenamed("id", "idx"), total, seed, table, "__at")
     found = range_lookup(points.withColumn("__flat", F.col("__at")), "__at", ranges.withColumn("__first", F.col("low")), total)
     found = found.withColumn("__flat", F.col("__flat") - F.col("__first"))
     for i, name in reversed(list(enumerate(names))):
+        if i > held:
+            found = found.withColumn(name, pick(Cell(seed, table, name, F.col("idx")).u("free"), F.col(f"__n{i}")))
+            continue
         found = found.withColumn(name, F.col("__flat") % F.col(f"__n{i}")).withColumn("__flat", F.expr(f"__flat div __n{i}"))
     return found.select("idx", *group, *names)
 

@@ -14,6 +14,7 @@ from tessera.functions import generators as g
 from tessera.functions import rules
 from tessera.functions.draws import Cell
 from tessera.operators import assign, validate
+from tessera.operators import shared as shared_keys
 from tessera.operators.ranks import numbered
 from tessera.plans.choices import Choice, choose
 from tessera.plans.schema import Column, ForeignKey, Schema, Step, Table, column_bounds, load_steps
@@ -121,15 +122,40 @@ class _Run:
                 rows = assign.tuples(rows, sizes, names, self.config.seed, table.name)
             for fk, name in zip(contract, names):
                 rows = self.take(rows.withColumnRenamed(name, "pidx"), parents[id(fk)], fk, table)
-        for fk in todo:
-            if fk not in contract:
-                rows = self.assign(rows, table, fk, parents[id(fk)])
+        rest = [fk for fk in table.foreign_keys if fk in todo and fk not in contract]
+        for members, group in shared_keys.components([fk.columns for fk in rest]):
+            fks = [rest[i] for i in members]
+            if len(fks) > 1 and group and not set(group) & set(rows.columns) and not self.orphaned(table, fks, parents):
+                rows = self.joint(rows, table, fks, group, n, parents)
+            else:
+                for fk in sorted(fks, key=todo.index):
+                    rows = self.assign(rows, table, fk, parents[id(fk)])
         for fk in waiting:
             for c in fk.columns:
                 if c not in rows.columns:
                     rows = rows.withColumn(c, F.lit(None).cast(table.column(c).spark_type()))
         return rows
 
+    def orphaned(self, table: Table, fks: list[ForeignKey], parents: dict[int, DataFrame]) -> bool:
+        """Whether a key that must not be null has no parents at all."""
+        return any(not any(table.column(c).nullable for c in fk.columns) and parents[id(fk)].isEmpty() for fk in fks)
+
+    def side(self, table: Table, fk: ForeignKey, parent: DataFrame, group: list[str]) -> shared_keys.Side:
+        config = self.key_config(table, fk)
+        members = parent.withColumnsRenamed({f"__v_{c}": c for c in group})
+        rest = [c for c in fk.columns if c not in group]
+        limits = {"low": config.min, "high": config.max} if config.strategy == "quota" else {}
+        if config.null_ratio and not rest:
+            self.out.warnings.append(f"{table.name}.{','.join(fk.columns)}: no null ratio, as other keys need these columns")
+        ratio = config.null_ratio if any(table.column(c).nullable for c in rest) else 0.0
+        return shared_keys.Side(members, ",".join(fk.columns), config.strategy, config.s, null_ratio=ratio, nullable=any(table.column(c).nullable for c in rest), **limits)
+
+    def joint(self, rows: DataFrame, table: Table, fks: list[ForeignKey], group: list[str], n: int, parents: dict[int, DataFrame]) -> DataFrame:
+        """Keys that share the columns of `group`, chosen together."""
+        sides = [self.side(table, fk, parents[id(fk)], group) for fk in fks]
+        rows = shared_keys.assigned(rows, n, sides, group, self.config.seed, table.name)
+        return rows.withColumnsRenamed({f"__v_{c}": c for fk in fks for c in fk.columns if c not in group})
+
     def contract(self, table: Table, fks: list[ForeignKey]) -> tuple[list[ForeignKey], list[str]]:
         """Foreign keys that make up a whole key, so that their tuples must be distinct, and the columns that all
         of them share: none, or a tenant's."""
@@ -171,13 +197,8 @@ class _Run:
         shared = [c for c in fk.columns if c in rows.columns]
         count = parent.count()
         if shared:
-            members = parent.withColumnsRenamed({f"__v_{c}": c for c in shared})
-            rest = [c for c in fk.columns if c not in shared]
-            rows = assign.within_group(rows, members, shared, ["pidx"], seed, name, label).drop("pidx")
-            drop = Cell(seed, name, label, F.col("idx")).u("null") < config.null_ratio
-            for c in rest:
-                rows = rows.withColumn(f"__v_{c}", F.when(~drop, F.col(f"__v_{c}"))).withColumnRenamed(f"__v_{c}", c)
-            return rows
+            rows = shared_keys.completed(rows, self.side(table, fk, parent, shared), shared, seed, name)
+            return rows.withColumnsRenamed({f"__v_{c}": c for c in fk.columns if c not in shared})
         nullable = any(table.column(c).nullable for c in fk.columns)
         if not count:
             if not nullable:
@@ -191,9 +212,7 @@ class _Run:
         if config.strategy in ("unique_subset", "quota"):
             dense = numbered(holders.withColumnRenamed("idx", "row"), [F.col("row")], "idx")
             if config.strategy == "quota":
-                n = dense.count()
-                given = assign.quota_slots(self.spark, count, n, config.min, config.max, seed, name, label)
-                given = dense.join(given, "idx")
+                given = assign.quota(dense, count, config.min, config.max, seed, name, label)
             else:
                 given = assign.unique_subset(dense, count, seed, name, label)
             given = given.select(F.col("row").alias("idx"), "pidx")

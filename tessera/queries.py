@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import generators as g
 from tessera.functions import rules
-from tessera.functions.draws import Cell, pick, uniform_sql
+from tessera.functions.draws import Cell, permuted_sql, pick, uniform_sql
 from tessera.operators import assign, reports, validate
 from tessera.operators.ranks import cumulative, numbered
 from tessera.plans.choices import choose
@@ -150,24 +150,17 @@ def gen_lognormal(spark, sf_dir):
     return rows(spark, sf_dir).select("idx", g.rounded(g.lognormal(cell("v"), 35, 450, 90, 0.45), 4).alias("v"))
 
 
-ZIPF = """w AS (SELECT i AS pidx, greatest(1, floor(1000000000.0::DOUBLE / pow(i + 1, {s}::DOUBLE) + 0.5))::BIGINT AS w FROM range({n}) r(i)),
-  c AS (SELECT pidx, sum(w) OVER (ORDER BY pidx)::BIGINT AS high, (sum(w) OVER (ORDER BY pidx) - w)::BIGINT AS low FROM w)"""
-
-
-def _zipf_sql(n: str, s: float, draw: str, column: str) -> str:
-    return f"""WITH {ZIPF.format(n=n, s=s)}, p AS (SELECT idx, {pick_sql(draw, '(SELECT max(high) FROM c)')} AS at FROM {ROWS})
-    SELECT idx, pidx AS {column} FROM p ASOF JOIN c ON p.at >= c.low"""
-
-
-def _rejected_zipf_sql(low: int, n: int, s: float) -> str:
-    area = lambda x: (x ** (1 - s) - 1) / (1 - s)
-    whole, start, near = area(n + 0.5), area(1.5) - 1, 2 - (1 + (area(2.5) - 2**-s) * (1 - s)) ** (1 / (1 - s))
+def _rejected_zipf_sql(low: int, n: str | int, s: float, tag: str = "v/zipf", name: str = "gen", column: str = "v") -> str:
+    area = lambda x: f"((pow({x}, {d(1 - s)}) - 1) / {d(1 - s)})"
     d = lambda x: f"{x!r}::DOUBLE"
-    draw = "(('0x' || substr(sha256('42|3:gen|' || idx || '|v/zipf/' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
-    return f"""WITH y AS (SELECT idx, k, {d(whole)} + {draw} * {d(start - whole)} AS y FROM {ROWS}, range(1, 41) t(k)),
+    plain = lambda x: (x ** (1 - s) - 1) / (1 - s)
+    whole = d(plain(n + 0.5)) if isinstance(n, int) else area(f"({n} + 0.5)")
+    start, near = plain(1.5) - 1, 2 - (1 + (plain(2.5) - 2**-s) * (1 - s)) ** (1 / (1 - s))
+    draw = uniform_sql(SEED, name, f"{tag}/' || k || '", "idx")
+    return f"""WITH w AS (SELECT {whole} AS w), y AS (SELECT idx, k, w + {draw} * ({d(start)} - w) AS y FROM {ROWS}, range(1, 41) t(k), w),
     x AS (SELECT idx, k, y, pow(1 + y * {d(1 - s)}, {d(1 / (1 - s))}) AS x FROM y), r AS (SELECT *, greatest(1, least({n}, floor(x + 0.5))) AS r FROM x),
-    a AS (SELECT idx, arg_min(r, k) AS r FROM r WHERE r - x <= {d(near)} OR y >= (pow(r + 0.5, {d(1 - s)}) - 1) / {d(1 - s)} - pow(r, {d(-s)}) GROUP BY idx)
-    SELECT o.idx, ({low - 1} + coalesce(r, 1))::BIGINT AS v FROM {ROWS} o LEFT JOIN a USING (idx)"""
+    a AS (SELECT idx, arg_min(r, k) AS r FROM r WHERE r - x <= {d(near)} OR y >= {area("(r + 0.5)")} - pow(r, {d(-s)}) GROUP BY idx)
+    SELECT o.idx, ({low - 1} + coalesce(r, 1))::BIGINT AS {column} FROM {ROWS} o LEFT JOIN a USING (idx)"""
 
 
 @query(_rejected_zipf_sql(10, 5_000_000, 1.3))
@@ -183,7 +176,7 @@ def gen_float_bounds(spark, sf_dir):
     return rows(spark, sf_dir).select("idx", g.float_range(cell("f"), 2, 5, min_exclusive=True).alias("f"), g_.alias("g"))
 
 
-@query(_zipf_sql("100", 1.2, u("v", "fk"), "v"))
+@query(_rejected_zipf_sql(0, 100, 1.2, "v/fk"))
 def gen_zipf(spark, sf_dir):
     return assign.zipf(rows(spark, sf_dir), 100, SEED, "gen", "v").select("idx", F.col("pidx").alias("v"))
 
@@ -213,7 +206,7 @@ def fk_uniform(spark, sf_dir):
     return assign.uniform(rows(spark, sf_dir), count(spark, sf_dir, "customer"), SEED, "kid", "c")
 
 
-@query(_zipf_sql(N_CUSTOMER, 1.3, u("c", "fk", name="kid"), "pidx"))
+@query(_rejected_zipf_sql(0, N_CUSTOMER, 1.3, "c/fk", "kid", "pidx"))
 def fk_zipf(spark, sf_dir):
     return assign.zipf(rows(spark, sf_dir), count(spark, sf_dir, "customer"), SEED, "kid", "c", 1.3).select("idx", "pidx")
 
@@ -223,39 +216,34 @@ def fk_null_ratio(spark, sf_dir):
     return assign.with_nulls(assign.uniform(rows(spark, sf_dir), count(spark, sf_dir, "customer"), SEED, "kid", "c"), 0.25, SEED, "kid", "c")
 
 
-@query(
-    f"""SELECT idx, pidx FROM (SELECT c_custkey AS idx FROM customer) JOIN
-    (SELECT o_orderkey AS pidx, row_number() OVER (ORDER BY {u('o/parent', 'rank', 'o_orderkey', 'kid')}, o_orderkey) - 1 AS idx FROM orders) USING (idx)"""
-)
+@query(f"""WITH t AS (SELECT count(*) AS n FROM orders) SELECT c_custkey AS idx, {permuted_sql(SEED, 'kid', 'o/parent', 'c_custkey', 'n')} AS pidx FROM customer, t""")
 def fk_unique_subset(spark, sf_dir):
     return assign.unique_subset(rows(spark, sf_dir, "customer", "c_custkey"), count(spark, sf_dir, "orders"), SEED, "kid", "o").select("idx", "pidx")
 
 
 @query(
-    f"""WITH s AS (SELECT c_custkey AS pidx, k, c_custkey * 15 + k AS slot FROM customer, range(1, 16) t(k)),
-    free AS (SELECT *, row_number() OVER (ORDER BY {u('c/free', 'rank', 'slot', 'kid')}, slot) - 1 AS r FROM s WHERE k > 5),
-    taken AS (SELECT pidx, slot FROM s WHERE k <= 5 UNION ALL SELECT pidx, slot FROM free WHERE r < (SELECT count(*) FROM orders) - 5 * {N_CUSTOMER})
-    SELECT row_number() OVER (ORDER BY {u('c/child', 'rank', 'slot', 'kid')}, slot) - 1 AS idx, pidx FROM taken"""
+    f"""WITH t AS (SELECT {N_CUSTOMER} AS p, {N_CUSTOMER} * 10 AS free, (SELECT count(*) FROM orders) AS n),
+    r AS (SELECT idx, p, free, {permuted_sql(SEED, 'kid', 'c/child', 'idx', 'n')} AS rank FROM {ROWS}, t),
+    f AS (SELECT *, greatest(0, rank - 5 * p) AS further FROM r)
+    SELECT idx, CASE WHEN rank < 5 * p THEN rank % p ELSE {permuted_sql(SEED, 'kid', 'c/free', 'further', 'free')} % p END AS pidx FROM f"""
 )
 def fk_quota(spark, sf_dir):
     return assign.quota(rows(spark, sf_dir), count(spark, sf_dir, "customer"), 5, 15, SEED, "kid", "c").select("idx", "pidx")
 
 
-def _affine_sql(idx: str, total: str) -> str:
-    """The multiplier is found in SQL as in assign.factor: the first from the golden share of total on
-    that has no common divisor with it."""
-    return f"""t AS (SELECT {total} AS n), f AS (SELECT min(a) AS a FROM t, range(0, 1000) r(i), LATERAL (SELECT CASE WHEN (floor(n * 0.6180339887498949)::BIGINT + {SEED}) % n = 0 THEN 1 ELSE (floor(n * 0.6180339887498949)::BIGINT + {SEED}) % n END + i AS a) WHERE gcd(a, n) = 1),
-    e AS (SELECT idx, ((idx::HUGEINT * a + {SEED} % n) % n)::BIGINT AS rank FROM {idx}, t, f)"""
+def _ranks_sql(idx: str, total: str) -> str:
+    """e: distinct ranks in [0, total)."""
+    return f"""t AS (SELECT ({total})::BIGINT AS n), e AS (SELECT idx, {permuted_sql(SEED, "bridge", "rank/rank", "idx", "n")} AS rank FROM {idx}, t)"""
 
 
-@query(f"WITH {_affine_sql(ROWS, '(SELECT count(*) FROM customer) * (SELECT count(*) FROM part)')}, s AS (SELECT count(*) AS np FROM part) SELECT idx, rank // np AS c, rank % np AS p FROM e, s")
+@query(f"WITH {_ranks_sql(ROWS, '(SELECT count(*) FROM customer) * (SELECT count(*) FROM part)')}, s AS (SELECT count(*) AS np FROM part) SELECT idx, rank // np AS c, rank % np AS p FROM e, s")
 def bridge_pairs(spark, sf_dir):
     sizes = [count(spark, sf_dir, "customer"), count(spark, sf_dir, "part")]
     return assign.tuples(rows(spark, sf_dir), sizes, ["c", "p"], SEED, "bridge")
 
 
 @query(
-    f"""WITH {_affine_sql(ROWS, '(SELECT count(*) FROM customer) * (SELECT count(*) FROM part) * (SELECT count(*) FROM supplier)')},
+    f"""WITH {_ranks_sql(ROWS, '(SELECT count(*) FROM customer) * (SELECT count(*) FROM part) * (SELECT count(*) FROM supplier)')},
     s AS (SELECT (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM supplier) AS ns)
     SELECT idx, rank // (np * ns) AS c, rank // ns % np AS p, rank % ns AS s FROM e, s"""
 )
@@ -283,7 +271,7 @@ def _tenant_sql(rows_: str, right: str = "SELECT s_nationkey AS nation FROM supp
     return f"""l AS (SELECT c_nationkey AS nation, count(*) AS l FROM customer GROUP BY 1), r AS (SELECT nation, count(*) AS r FROM ({right}) GROUP BY 1),
     b AS (SELECT nation, l, r, l * r AS w, {u('group', 'rank', 'nation', 'bridge')} AS h FROM l JOIN r USING (nation)),
     c AS (SELECT *, (sum(w) OVER (ORDER BY h, nation) - w)::BIGINT AS low, (sum(w) OVER (ORDER BY h, nation))::BIGINT AS high FROM b),
-    {_affine_sql(rows_, '(SELECT sum(w)::BIGINT FROM b)')},
+    {_ranks_sql(rows_, '(SELECT sum(w)::BIGINT FROM b)')},
     x AS (SELECT idx, nation, (rank - low) // r AS lpos, (rank - low) % r AS rpos FROM e JOIN c ON rank >= low AND rank < high)"""
 
 

@@ -57,7 +57,7 @@ def test_bounded_pairs_exhaustively(spark):
 
 @pytest.mark.parametrize("total", [1, 2, 7, 100, 999, 4096])
 def test_distinct_ranks(spark, total):
-    got = {r[0] for r in assign.distinct_ranks(spark.range(total).withColumnRenamed("id", "idx"), total, 42).select("rank").collect()}
+    got = {r[0] for r in assign.distinct_ranks(spark.range(total).withColumnRenamed("id", "idx"), total, 42, "t").select("rank").collect()}
     assert got == set(range(total))
 
 
