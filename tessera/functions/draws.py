@@ -44,11 +44,12 @@ def pick(u: Column, n: Column | int) -> Column:
 
 
 LAYERS = 3  # of a permutation
+PRIME = 2**31 - 1
 
 
-def turn(seed: int, table: str, tag: str) -> float:
-    """The uniform draw of a tag that belongs to no row."""
-    return int(hashlib.sha256(f"{prefix(seed, table)}-|{tag}".encode()).hexdigest()[:13], 16) / _BITS
+def _numbers(seed: int, table: str, tag: str, n: int) -> list[int]:
+    """Numbers below PRIME that belong to a tag and no row."""
+    return [int(hashlib.sha256(f"{prefix(seed, table)}-|{tag}/{i}".encode()).hexdigest()[:13], 16) % PRIME for i in range(n)]
 
 
 def permuted(cell: Cell, x: Column, n: Column | int, kind: str, key: Column | None = None) -> Column:
@@ -56,39 +57,47 @@ def permuted(cell: Cell, x: Column, n: Column | int, kind: str, key: Column | No
     and n may differ from row to row.
 
     A layer turns the numbers by an offset and then moves the first a * b of them, a near the root of n and b = n div a,
-    by two Feistel rounds on (number div b, number mod b); each step is one-to-one, so the whole is, for any n."""
+    by two Feistel rounds on (number div b, number mod b); each step is one-to-one, so the whole is, for any n.
+    A round's function squares twice modulo PRIME, between additions of the round's numbers."""
     if isinstance(n, int):
         a, n = F.lit(min(n, max(2, isqrt(n)))).cast("bigint"), F.lit(n).cast("bigint")
     else:
         a = F.least(n, F.greatest(F.lit(2), F.floor(F.sqrt(n.cast("double"))))).cast("bigint")
-    b = F.call_function("div", n, a)
-    turns = F.array(*[F.lit(turn(cell.seed, cell.table, f"{cell.column}/{kind}/{3 * i}")) for i in range(LAYERS)])
+    div = lambda x, y: F.call_function("div", x, y)
+    b = div(n, a)
+    numbers = _numbers(cell.seed, cell.table, f"{cell.column}/{kind}", 6 * LAYERS)
+    steps = F.array(*[F.struct(F.lit(i % 3).alias("step"), F.lit(numbers[2 * i]).cast("bigint").alias("p"), F.lit(numbers[2 * i + 1]).cast("bigint").alias("q")) for i in range(3 * LAYERS)])
+    own = F.lit(0).cast("bigint") if key is None else F.conv(F.substring(digest(cell.seed, cell.table, f"{cell.column}/{kind}", key), 1, 13), 16, 10).cast("bigint") % PRIME
 
-    def drawn(step: Column, half: Column, size: Column) -> Column:
-        idx = half.cast("string") if key is None else F.concat_ws("/", key, half.cast("string"))
-        return pick(uniform(cell.seed, cell.table, F.concat(F.lit(f"{cell.column}/{kind}/"), step.cast("string")), idx), size)
+    def run(h: Column) -> Column:
+        def drawn(k: Column, half: Column, size: Column) -> Column:
+            y = (half + k["p"] + h) % PRIME
+            z = (y * y + k["q"]) % PRIME
+            return z * z % PRIME % size
 
-    def moved(v: Column, step: Column) -> Column:
-        left, right = F.call_function("div", v, b), v % b
-        turned = (v + pick(F.element_at(turns, (F.call_function("div", step, F.lit(3)) + 1).cast("int")), n)) % n
-        first = (left + drawn(step, right, a)) % a * b + right
-        second = left * b + (right + drawn(step, left, b)) % b
-        return F.when(step % 3 == 0, turned).when(v >= a * b, v).when(step % 3 == 1, first).otherwise(second)
+        def moved(v: Column, k: Column) -> Column:
+            first = (div(v, b) + drawn(k, v % b, a)) % a * b + v % b
+            second = div(v, b) * b + (v % b + drawn(k, div(v, b), b)) % b
+            return F.when(k["step"] == 0, (v + drawn(k, F.lit(0), n)) % n).when(v >= a * b, v).when(k["step"] == 1, first).otherwise(second)
 
-    steps = F.array(*[F.lit(i) for i in range(3 * LAYERS)])
-    return F.when(n > 0, F.aggregate(steps, x.cast("bigint"), moved))
+        return F.aggregate(steps, x.cast("bigint"), moved)
+
+    return F.when(n > 0, F.element_at(F.transform(F.array(own), run), 1))
 
 
 def permuted_sql(seed: int, table: str, tag: str, x: str, n: str, key: str | None = None) -> str:
     """The same as DuckDB SQL; n, and key if given, are names of columns."""
     a = f"least({n}, greatest(2, floor(sqrt({n}::DOUBLE))))::BIGINT"
     b = f"({n} // {a})"
-    u = lambda half: f"(('0x' || substr(sha256('{prefix(seed, table)}' || {f'{key} || ' if key else ''}{chr(39) + '/' + chr(39) + ' || ' if key else ''}({half}) || '|{tag}/' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
-    least = lambda draw, size: f"least(floor({draw} * {size}), {size} - 1)::BIGINT"
-    turns = ", ".join(f"{turn(seed, table, f'{tag}/{3 * i}')!r}::DOUBLE" for i in range(LAYERS))
-    return f"""list_reduce(list_prepend(({x})::BIGINT, range({3 * LAYERS})), lambda v, j: CASE WHEN j % 3 = 0 THEN (v + {least(f"([{turns}])[j // 3 + 1]", n)}) % {n}
-    WHEN v >= {a} * {b} THEN v WHEN j % 3 = 1 THEN (v // {b} + {least(u(f"v % {b}"), a)}) % {a} * {b} + v % {b}
-    ELSE v // {b} * {b} + (v % {b} + {least(u(f"v // {b}"), b)}) % {b} END)"""
+    numbers = _numbers(seed, table, tag, 6 * LAYERS)
+    of = lambda k: f"([{', '.join(map(str, numbers[k::2]))}]::BIGINT[])[j + 1]"
+    h = f"(('0x' || substr({digest_sql(seed, table, tag, key)}, 1, 13))::BIGINT % {PRIME})" if key else "0"
+    y = lambda half: f"(({half} + {of(0)} + {h}) % {PRIME})"
+    z = lambda half: f"(({y(half)} * {y(half)} + {of(1)}) % {PRIME})"
+    drawn = lambda half, size: f"({z(half)} * {z(half)} % {PRIME} % {size})"
+    return f"""list_reduce(list_prepend(({x})::BIGINT, range({3 * LAYERS})), lambda v, j: CASE WHEN j % 3 = 0 THEN (v + {drawn("0", n)}) % {n}
+    WHEN v >= {a} * {b} THEN v WHEN j % 3 = 1 THEN (v // {b} + {drawn(f"v % {b}", a)}) % {a} * {b} + v % {b}
+    ELSE v // {b} * {b} + (v % {b} + {drawn(f"v // {b}", b)}) % {b} END)"""
 
 
 @dataclass(frozen=True)

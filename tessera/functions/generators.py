@@ -11,7 +11,7 @@ from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.draws import Cell, pick
+from tessera.functions.draws import Cell, permuted, pick
 
 INT_LIMITS = {16: 2**15, 32: 2**31, 64: 2**63}
 DECADE = (dt.date(2015, 1, 1), dt.date(2025, 1, 1))
@@ -22,6 +22,20 @@ class GeneratorError(ValueError):
 
 
 def integer_range(cell: Cell, low: float = 0, high: float = 1000, *, min_exclusive: bool = False, max_exclusive: bool = False, bits: int = 32) -> Column:
+    first, size = _integers(cell, low, high, min_exclusive, max_exclusive, bits)
+    return F.lit(first).cast("bigint") + pick(cell.u(), size)
+
+
+def distinct_integers(cell: Cell, rows: int, low: float = 0, high: float = 1000, *, min_exclusive: bool = False, max_exclusive: bool = False, bits: int = 32) -> Column:
+    """As integer_range, but no two of the rows 0 to rows - 1 have the same value: a permutation of the range."""
+    first, size = _integers(cell, low, high, min_exclusive, max_exclusive, bits)
+    if rows > size:
+        raise GeneratorError(f"{cell.table}.{cell.column}: no distinct values for {rows} rows between {low} and {high}")
+    return F.lit(first).cast("bigint") + permuted(cell, cell.idx, size, "distinct")
+
+
+def _integers(cell: Cell, low: float, high: float, min_exclusive: bool, max_exclusive: bool, bits: int) -> tuple[int, int]:
+    """The first integer of a range, and how many there are."""
     limit = INT_LIMITS[bits]
     first, last = math.ceil(low), math.floor(high)
     first += min_exclusive and first == low
@@ -29,7 +43,7 @@ def integer_range(cell: Cell, low: float = 0, high: float = 1000, *, min_exclusi
     first, last = max(first, -limit), min(last, limit - 1)
     if first > last:
         raise GeneratorError(f"{cell.table}.{cell.column}: no integer between {low} and {high}")
-    return F.lit(first).cast("bigint") + pick(cell.u(), last - first + 1)
+    return first, last - first + 1
 
 
 def grid(low: str | float, high: str | float, scale: int, *, step: str | None = None, min_exclusive: bool = False, max_exclusive: bool = False, precision: int = 38) -> tuple[int, int, Decimal]:

@@ -273,8 +273,11 @@ class _Joint:
         more_a = min(left, room_a - need_a)
         more_b = min(left - more_a, room_b - need_b)
         zero = F.lit(0).cast("bigint")
-        for name, total in (("__one", y1), ("__two_a", need_a + more_a), ("__two_b", need_b + more_b), ("__three", left - more_a - more_b)):
-            groups = apportioned(groups, zero, F.col(name), total, self.draw(name), f"{name}_", "")
+        for name, total, most in (("__one", y1, room), ("__two_a", need_a + more_a, room_a), ("__two_b", need_b + more_b, room_b), ("__three", left - more_a - more_b, rest)):
+            if total in (0, most):
+                groups = groups.withColumn(f"{name}_", F.col(name) if total else zero)
+            else:
+                groups = apportioned(groups, zero, F.col(name), total, self.draw(name), f"{name}_", "")
         groups = checkpointed(groups.withColumn("__w", F.col("__one_") + F.col("__two_a_") + F.col("__two_b_") + F.col("__three_")))
         w, none = F.col("__w"), self.fail("the groups can't take the rows with one of the limited keys").args[0]
         groups = apportioned(groups, F.greatest(zero, F.col("__la") - w), F.col("__ha") - w, only_a, self.draw("only_a"), "__a", none)

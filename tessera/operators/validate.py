@@ -98,6 +98,16 @@ def firsts(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return least.select(*key, *[F.col(f"__f.{c}").alias(c) for c in order])
 
 
+def repeated_keys(df: DataFrame, keys: list[list[str]]) -> list[list[str]]:
+    """Those of the keys of which some value occurs twice: one job for all of them."""
+    found = None
+    for i, key in enumerate(keys):
+        known = df.where(" and ".join(f"`{c}` is not null" for c in key))
+        again = known.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select(F.lit(i).alias("key"))
+        found = again if found is None else found.unionByName(again)
+    return [keys[r["key"]] for r in found.distinct().orderBy("key").collect()] if found is not None else []
+
+
 def duplicates(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The rows that repeat an earlier row's key. First rows are aggregated before the shuffle and joined
     on key and order, so a hot key's rows stay spread. Of rows equal in both, one is the first."""

@@ -52,6 +52,10 @@ class _Run:
     def of(self, table: Table) -> TableConfig:
         return self.config.tables.get(table.name) or TableConfig()
 
+    def count(self, table: Table) -> int:
+        n = self.of(table).rows
+        return self.config.rows if n is None else n
+
     def key_config(self, table: Table, fk: ForeignKey) -> KeyConfig:
         found = [self.of(table).foreign_keys[c] for c in fk.columns if c in self.of(table).foreign_keys]
         config = found[0] if found else KeyConfig()
@@ -290,7 +294,11 @@ class _Run:
                 continue
             cell = self.cell(table, column.name)
             certain = not column.array and (choice.generator in DISTINCT | {"serial"} or choice.params.get("provider") in DISTINCT_PROVIDERS)
-            if choice.unique and not certain:
+            if choice.unique and not column.array and (column.kind, choice.generator) in (("integer", "integer_range"), ("integer", "fallback")):
+                params = {"bits": column.bits} | (choice.params if choice.generator == "integer_range" else {})
+                made = g.distinct_integers(cell, self.count(table), **params).cast(column.spark_type())
+                rows = rows.withColumn(column.name, g.nullable(cell, choice.null_ratio, made) if choice.null_ratio else made)
+            elif choice.unique and not certain:
                 made = validate.distinct_values(rows.select("idx"), self.draw(table, column, choice), column.name, "idx")
                 rows = rows.join(made, "idx")
                 if choice.null_ratio:
@@ -393,9 +401,8 @@ class _Run:
         checked = validate.checkpointed(checked)
         bad = validate.quarantined(checked)
         good = validate.accepted(checked)
-        for key in table.keys():
-            if set(key) & set(later):
-                continue
+        keys = [key for key in table.keys() if not set(key) & set(later)]
+        for key in validate.repeated_keys(good, keys):
             repeated = validate.duplicates(good, key, ["idx"]).select("idx").withColumn("__repeated", F.lit(True))
             marked = validate.checkpointed(good.join(repeated, "idx", "left"))
             name = table.names.get(",".join(key))
@@ -407,8 +414,7 @@ class _Run:
         self.out.accepted[table.name], self.out.quarantine[table.name] = good, bad
 
     def table(self, table: Table, later: list[str]) -> None:
-        n = self.of(table).rows
-        n = self.config.rows if n is None else n
+        n = self.count(table)
         rows = self.spark.range(n).withColumnRenamed("id", "idx")
         rows = self.keys(rows, table, n, later)
         rows = self.columns(rows, table)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import generators as g
 from tessera.functions import rules
 from tessera.functions.draws import Cell, permuted_sql, pick, uniform_sql
-from tessera.operators import assign, reports, validate
+from tessera.operators import assign, reports, shared, validate
 from tessera.operators.ranks import cumulative, numbered
 from tessera.plans.choices import choose
 from tessera.plans.schema import load_steps
@@ -313,6 +313,114 @@ def tenant_shared_groups(spark, sf_dir):
     return assign.within_group(orders.join(customers, "c"), suppliers, ["nation"], ["s"], SEED, "kid", "s").select("idx", "nation", "c", "s")
 
 
+# keys that share the nation: customers and suppliers, chosen for one row
+
+_LABEL = {"c": "nation,c", "s": "nation,s"}
+
+
+def _u_shared(tag: str, idx: str = "idx") -> str:
+    return uniform_sql(SEED, "kid", tag, idx)
+
+
+def _groups_sql(rule: str = "nc > 0 AND ns > 0") -> str:
+    """g: nations with their members of each side, numbered in the order of a draw; c, s: members by place."""
+    return f"""m AS (SELECT coalesce(a.nation, b.nation) AS nation, coalesce(nc, 0) AS nc, coalesce(ns, 0) AS ns FROM (SELECT c_nationkey AS nation, count(*) AS nc FROM customer GROUP BY 1) a
+    FULL JOIN (SELECT s_nationkey AS nation, count(*) AS ns FROM supplier GROUP BY 1) b USING (nation)),
+    g AS (SELECT *, row_number() OVER (ORDER BY {_u_shared('group/rank', 'nation')}, nation) - 1 AS gid FROM m), ok AS (SELECT * FROM g WHERE {rule}),
+    c AS (SELECT c_custkey AS c, c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos FROM customer),
+    s AS (SELECT s_suppkey AS s, s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier)"""
+
+
+def _level_sql(groups: str, low: str, high: str, total: str, name: str, tag: str, keep: str = "*", out: str = "x") -> str:
+    """name: the groups with x rows each: the level at which the clamped intervals sum up to total, one more
+    for the first by a draw."""
+    clamp = f"greatest({low}, least({high}, v))"
+    return f"""{name}_v AS (SELECT min(v) AS v FROM range((SELECT min({low}) FROM {groups})::BIGINT, 1 + (SELECT max({high}) FROM {groups})::BIGINT) t(v) WHERE (SELECT sum({clamp}) FROM {groups}) >= {total}),
+    {name}_b AS (SELECT {keep}, greatest({low}, least({high}, v - 1))::BIGINT AS base, {low} <= v - 1 AND {high} >= v AS open FROM {groups}, {name}_v),
+    {name} AS (SELECT * EXCLUDE (base, open, v), (base + (open AND row_number() OVER (PARTITION BY open ORDER BY {_u_shared(f"group/{tag}/rank", "gid")}, gid) <= {total} - (SELECT sum(base) FROM {name}_b))::INT)::BIGINT AS {out} FROM {name}_b)"""
+
+
+def _sides(spark, sf_dir, c: dict, s: dict) -> list:
+    parents = lambda name, key, nation, as_: table(spark, sf_dir, name).select(F.col(nation).alias("nation"), F.col(key).alias("pidx"), F.col(key).alias(as_))
+    return [
+        shared.Side(parents("customer", "c_custkey", "c_nationkey", "c"), _LABEL["c"], **c),
+        shared.Side(parents("supplier", "s_suppkey", "s_nationkey", "s"), _LABEL["s"], **s),
+    ]
+
+
+@query(
+    f"""WITH {_groups_sql()}, w AS (SELECT *, sum(nc) OVER (ORDER BY gid) - nc AS low, sum(nc) OVER (ORDER BY gid) AS high FROM ok),
+    p AS (SELECT idx, {pick_sql(_u_shared('group/group'), '(SELECT sum(nc) FROM ok)')} AS spot FROM {ROWS}),
+    x AS (SELECT idx, nation, {pick_sql(_u_shared('nation,c/fk'), 'nc')} AS cp, {pick_sql(_u_shared('nation,s/fk'), 'ns')} AS sp FROM p JOIN w ON spot >= low AND spot < high)
+    SELECT idx, x.nation, c, s FROM x JOIN c ON c.nation = x.nation AND c.pos = cp JOIN s ON s.nation = x.nation AND s.pos = sp"""
+)
+def tenant_joint_groups(spark, sf_dir):
+    """Rows draw a nation that has customers and suppliers, by its customers; then one of each."""
+    orders = rows(spark, sf_dir)
+    return shared.assigned(orders, orders.count(), _sides(spark, sf_dir, {}, {}), ["nation"], SEED, "kid").select("idx", "nation", "c", "s")
+
+
+@query(
+    f"""WITH {_groups_sql()}, n AS (SELECT (sum(nc) // 2)::BIGINT AS n FROM ok), o AS (SELECT *, (SELECT n FROM n) AS n FROM ok),
+    {_level_sql("o", "ns", "least(nc, 40 * ns, n)", "(SELECT n FROM n)", "x", "a")},
+    w AS (SELECT *, sum(x) OVER (ORDER BY gid) - x AS low, sum(x) OVER (ORDER BY gid) AS high FROM x),
+    i AS (SELECT c_custkey AS idx, n FROM customer, n WHERE c_custkey < n), p AS (SELECT idx, {permuted_sql(SEED, 'kid', 'mask1/label', 'idx', 'n')} AS spot FROM i),
+    r AS (SELECT idx, nation, nation::VARCHAR AS key, (spot - low)::BIGINT AS rank, nc, ns, x FROM p JOIN w ON spot >= low AND spot < high),
+    q AS (SELECT *, {permuted_sql(SEED, 'kid', 'nation,s/child', 'rank', 'x', 'key')} AS sr FROM r),
+    f AS (SELECT *, greatest(0, sr - ns) AS further, ns * 39 AS free FROM q),
+    y AS (SELECT idx, nation, {permuted_sql(SEED, 'kid', 'nation,c/parent', 'rank', 'nc', 'key')} AS cp,
+      CASE WHEN sr < ns THEN sr ELSE {permuted_sql(SEED, 'kid', 'nation,s/free', 'further', 'free', 'key')} % ns END AS sp FROM f)
+    SELECT idx, y.nation, c, s FROM y JOIN c ON c.nation = y.nation AND c.pos = cp JOIN s ON s.nation = y.nation AND s.pos = sp"""
+)
+def tenant_joint_limits(spark, sf_dir):
+    """Each customer at most once and each supplier 1 to 40 times, in rows whose two keys share the nation: half as
+    many as there are customers in nations with suppliers."""
+    sides = _sides(spark, sf_dir, {"strategy": "unique_subset"}, {"strategy": "quota", "low": 1, "high": 40})
+    n = sides[0].members.join(sides[1].members, "nation", "left_semi").count() // 2
+    return shared.assigned(spark.range(n).withColumnRenamed("id", "idx"), n, sides, ["nation"], SEED, "kid").select("idx", "nation", "c", "s")
+
+
+@query(
+    f"""WITH {_groups_sql("nc > 0")}, t AS (SELECT count(*) // 2 AS n FROM orders), o AS (SELECT *, nc AS low, least(20 * nc, 3 * ns + 5 * nc) AS high FROM ok),
+    {_level_sql("o", "low", "high", "(SELECT n FROM t)", "x", "a")} SELECT nation, x FROM x"""
+)
+def group_apportionment(spark, sf_dir):
+    """Half as many rows as there are orders over nations, each within its bounds, as even as these allow."""
+    sides = _sides(spark, sf_dir, {}, {})
+    groups = shared.group_table(sides, ["nation"], SEED, "kid").where("n0 > 0")
+    low, high = F.col("n0"), F.least(F.col("n0") * 20, F.col("n1") * 3 + F.col("n0") * 5)
+    draw = Cell(SEED, "kid", "group/a", F.col("gid")).u("rank")
+    return shared.apportioned(groups, low, high, count(spark, sf_dir, "orders") // 2, draw, "x", "bounds").select("nation", "x")
+
+
+@query(
+    f"""WITH {_groups_sql("ns > 0")}, n AS (SELECT (SELECT count(*) FROM customer) // 2 AS n),
+    i AS (SELECT c_custkey AS idx, n, ({_u_shared('nation,c/null', 'c_custkey')} >= 0.5) AS has FROM customer, n WHERE c_custkey < n),
+    k AS (SELECT *, row_number() OVER (PARTITION BY has ORDER BY idx) - 1 AS k, count(*) OVER (PARTITION BY has) AS size FROM i),
+    tot AS (SELECT count(*) FILTER (has) AS w, count(*) FILTER (NOT has) AS b FROM i),
+    o AS (SELECT *, 0 AS la, least(nc * 2, n) AS ha, ns AS lb, least(40 * ns, n) AS hb FROM ok, n),
+    caps AS (SELECT *, least(lb, ha, hb) * 0 AS one, least(lb, least(ha, hb)) AS two, least(ha, hb) - least(lb, least(ha, hb)) AS three FROM o),
+    need AS (SELECT least(sum(two), greatest(greatest(0, sum(lb) - (SELECT b FROM tot)), least(sum(two), (SELECT w FROM tot))))::BIGINT AS y2 FROM caps), y AS (SELECT y2, (SELECT w FROM tot) - y2 AS y3 FROM need),
+    {_level_sql("caps", "0", "two", "(SELECT y2 FROM y)", "x2", "__two_a", out="w2")},
+    {_level_sql("x2", "0", "three", "(SELECT y3 FROM y)", "x3", "__three", out="w3")},
+    x AS (SELECT *, w2 + w3 AS w FROM x3),
+    {_level_sql("x", "greatest(0, lb - w)", "(hb - w)", "(SELECT b FROM tot)", "z", "only_a", out="b")},
+    cum AS (SELECT *, sum(w) OVER (ORDER BY gid) - w AS wl, sum(w) OVER (ORDER BY gid) AS wh, sum(b) OVER (ORDER BY gid) - b AS bl, sum(b) OVER (ORDER BY gid) AS bh, w + b AS alls FROM z),
+    p AS (SELECT idx, has, CASE WHEN has THEN {permuted_sql(SEED, 'kid', 'mask3/label', 'k', 'size')} ELSE {permuted_sql(SEED, 'kid', 'mask1/label', 'k', 'size')} END AS spot FROM k),
+    r AS (SELECT idx, has, nation, nation::VARCHAR AS key, nc, ns, w, alls, (CASE WHEN has THEN spot - wl ELSE w + spot - bl END)::BIGINT AS rank FROM p JOIN cum ON CASE WHEN has THEN spot >= wl AND spot < wh ELSE spot >= bl AND spot < bh END),
+    f AS (SELECT *, {permuted_sql(SEED, 'kid', 'nation,s/child', 'rank', 'alls', 'key')} AS sr, CASE WHEN has THEN {permuted_sql(SEED, 'kid', 'nation,c/child', 'rank', 'w', 'key')} END AS cr, ns * 39 AS sfree, nc * 2 AS cfree FROM r),
+    h AS (SELECT *, greatest(0, sr - ns) AS further FROM f),
+    q AS (SELECT idx, nation, CASE WHEN has THEN {permuted_sql(SEED, 'kid', 'nation,c/free', 'cr', 'cfree', 'key')} % nc END AS cp,
+      CASE WHEN sr < ns THEN sr ELSE {permuted_sql(SEED, 'kid', 'nation,s/free', 'further', 'sfree', 'key')} % ns END AS sp FROM h)
+    SELECT idx, q.nation, c, s FROM q LEFT JOIN c ON c.nation = q.nation AND c.pos = cp JOIN s ON s.nation = q.nation AND s.pos = sp"""
+)
+def tenant_joint_nulls(spark, sf_dir):
+    """A customer, at most twice, in half of the rows and a supplier, 1 to 40 times, in all: both of one nation."""
+    n = count(spark, sf_dir, "customer") // 2
+    sides = _sides(spark, sf_dir, {"strategy": "quota", "high": 2, "null_ratio": 0.5, "nullable": True}, {"strategy": "quota", "low": 1, "high": 40})
+    return shared.assigned(spark.range(n).withColumnRenamed("id", "idx"), n, sides, ["nation"], SEED, "kid").select("idx", "nation", "c", "s")
+
+
 @query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def group_intersect(spark, sf_dir):
     return assign.shared_groups(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")))
