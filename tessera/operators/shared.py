@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.functions.draws import Cell, permuted, pick
 from tessera.operators.assign import InfeasibleError, member, positions
 from tessera.operators.ranks import cumulative, numbered, range_lookup
-from tessera.operators.validate import checkpointed
+from tessera.operators.validate import checkpointed, firsts
 
 TRIES = 32  # levels that one pass over the groups sums up
 
@@ -333,3 +334,84 @@ def completed(rows: DataFrame, side: Side, group: list[str], seed: int, table: s
     rows = rows.join(sizes, group, "left")
     place = member(cell, side.strategy, rank, size, side.s, side.low, side.high, group_key(group))
     return taken(rows, side.members, group, F.when((size > 0) & there, place)).drop("__n", "__rank", "__all")
+
+
+# several keys of tuples
+
+
+ROWS, COLUMNS, DIAGONALS = 0, 1, 2  # what a side counts by in a grid of rows and columns
+
+
+def grids(sides: int, keys: list[list[int]]) -> list[list[int]]:
+    """Ways to let each side count by rows, columns or diagonals, such that every key has two sides that count
+    differently: a cell is then told by either key, if the grid isn't larger than these sides."""
+    return [list(way) for way in product((ROWS, COLUMNS, DIAGONALS), repeat=sides) if all(len({way[i] for i in key}) > 1 for key in keys)]
+
+
+def extent(way: list[int], keys: list[list[int]], sizes: list[Column]) -> tuple[Column, Column]:
+    """The most rows and columns of a grid whose cells are told by every key."""
+    rows, columns = [], []
+    for key in keys:
+        i, j = next((i, j) for i in key for j in key if way[i] < way[j])
+        by_row, by_column = (j, i) if way[i] == COLUMNS else (i, j)  # of a column and a diagonal, the diagonal bounds the rows
+        rows.append(sizes[by_row])
+        columns.append(sizes[by_column])
+    least = lambda x: F.least(*x) if len(x) > 1 else x[0]
+    return least(rows), least(columns)
+
+
+def distinct_in_keys(rows: DataFrame, n: int, sides: list[Side], group: list[str], keys: list[list[int]], seed: int, table: str) -> DataFrame:
+    """rows with a group and a member of each side, so that within a group no two rows agree in all sides of a key
+    (keys: numbers of sides).
+
+    Rows take cells of a grid without replacement, and each side counts by the cell's row, its column or, as in a Latin
+    square, its diagonal. Where no such grid has enough cells, rounds of draws keep what breaks no key; a
+    number that exceeds some key's tuples is an error before any row exists, one that no round reaches an error too."""
+    groups = group_table(sides, group, seed, table)
+    sizes = [F.col(f"n{i}") for i in range(len(sides))]
+    wide = lambda c: c.cast("decimal(19,0)").cast("decimal(38,0)")
+    ways = grids(len(sides), keys)
+    extents = [extent(way, keys, sizes) for way in ways]
+    tuples = [reduce(lambda a, c: a * c, [sizes[i].cast("double") for i in key]) for key in keys]
+    sums = groups.agg(*[F.sum(x) for x in tuples], *[F.sum((wide(a) * wide(b)).cast("decimal(38,0)")) for a, b in extents]).first()
+    for key, most in zip(keys, sums):
+        if n > (most or 0):
+            raise InfeasibleError(f"{table}: {n} rows need distinct tuples of ({'), ('.join(sides[i].label for i in key)}), there are {int(most or 0)}")
+    cells = [int(x or 0) for x in sums[len(keys) :]]
+    best = max(range(len(ways)), key=lambda k: cells[k], default=None)
+    if best is not None and n <= cells[best] < 2**62:
+        high, wide_ = extents[best]
+        counted = groups.withColumns({"__high": high, "__wide": wide_}).withColumn("__cells", F.col("__high") * F.col("__wide"))
+        placed = rows.withColumn("__n", permuted(Cell(seed, table, "rank", F.col("idx")), F.col("idx"), cells[best], "rank"))
+        placed = spread(placed, "__n", checkpointed(counted), "__cells", [*group, "__wide", *[f"n{i}" for i in range(len(sides))]], cells[best])
+        row, column = F.call_function("div", F.col("__p"), F.col("__wide")), F.col("__p") % F.col("__wide")
+        at = {ROWS: row, COLUMNS: column, DIAGONALS: row + column}
+        places = {f"__p{i}": permuted(Cell(seed, table, side.label, F.col("idx")), at[ways[best][i]] % sizes[i], sizes[i], "parent", group_key(group)) for i, side in enumerate(sides)}
+        placed = placed.withColumns(places).drop("__n", "__p", "__wide")
+    else:
+        placed = in_rounds(rows, n, sides, group, keys, groups, seed, table)
+    for i, side in enumerate(sides):
+        placed = taken(placed, side.members, group, F.col(f"__p{i}")).drop(f"__p{i}")
+    return placed.drop("gid", *[f"n{i}" for i in range(len(sides))])
+
+
+def in_rounds(rows: DataFrame, n: int, sides: list[Side], group: list[str], keys: list[list[int]], groups: DataFrame, seed: int, table: str, rounds: int = 60) -> DataFrame:
+    """Each round every row that is left draws a group and members; those that break no key are kept."""
+    weight = reduce(F.least, [reduce(lambda a, c: a * c, [F.col(f"n{i}").cast("double") for i in key]) for key in keys]) if len(keys) > 1 else F.col("n0")
+    counted = checkpointed(groups.withColumn("__cells", F.least(weight, F.lit(2.0**40)).cast("bigint")))
+    total, left, kept = counted.agg(F.sum("__cells")).first()[0], rows, None
+    for k in range(rounds):
+        cell = Cell(seed, table, f"round{k}", F.col("idx"))
+        drawn = spread(left.withColumn("__n", pick(cell.u("group"), total)), "__n", counted, "__cells", [*group, *[f"n{i}" for i in range(len(sides))]], total).drop("__n", "__p")
+        fresh = drawn.withColumns({f"__p{i}": pick(cell.u(f"side{i}"), F.col(f"n{i}")) for i in range(len(sides))})
+        for key in keys:
+            names = [*group, *[f"__p{i}" for i in key]]
+            if kept is not None:
+                fresh = fresh.join(kept.select(*names), names, "left_anti")
+            fresh = fresh.join(firsts(fresh, names, ["idx"]), [*names, "idx"], "left_semi")
+        won = checkpointed(fresh)
+        kept = won if kept is None else kept.unionByName(won)
+        left = checkpointed(left.join(won.select("idx"), "idx", "left_anti"))
+        if left.isEmpty():
+            return kept
+    raise InfeasibleError(f"{table}: no {n} rows found whose tuples are distinct in all of {len(keys)} keys")

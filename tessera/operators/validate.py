@@ -125,6 +125,12 @@ def orphans(child: DataFrame, parent: DataFrame, columns: list[str], ref: list[s
     return known.join(keys, columns, "left_anti")
 
 
+def match_full(columns: list[str]) -> Column:
+    """Some columns of a MATCH FULL key are null, others are not."""
+    nulls = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    return issue((nulls > 0) & (nulls < len(columns)), columns, "match full")
+
+
 def partly_null(child: DataFrame, columns: list[str]) -> DataFrame:
     """Rows that break MATCH FULL: some columns of the key are null, others are not."""
     nulls = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))

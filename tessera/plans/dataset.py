@@ -17,7 +17,7 @@ from tessera.operators import assign, validate
 from tessera.operators import shared as shared_keys
 from tessera.operators.ranks import numbered
 from tessera.plans.choices import Choice, choose
-from tessera.plans.schema import Column, ForeignKey, Schema, Step, Table, column_bounds, load_steps
+from tessera.plans.schema import Column, ForeignKey, Schema, Step, Table, breakable, column_bounds, load_steps
 from tessera.sources.config import Config, KeyConfig, TableConfig
 
 DISTINCT = {"sequence", "uuid", "template"}
@@ -47,6 +47,7 @@ class _Run:
         self.spark, self.schema, self.config = spark, schema, config
         self.out = Dataset(schema, load_steps(schema), warnings=list(schema.warnings))
         self.choices = choose(schema, config, self.out.warnings)
+        self.pending: dict[str, list[list[str]]] = {}
         self.rules = {t.name: [rules.Rule(text, i) for i, text in enumerate(self.of(t).rules)] for t in schema.tables}
 
     def of(self, table: Table) -> TableConfig:
@@ -66,30 +67,23 @@ class _Run:
         return config
 
     def run(self) -> Dataset:
-        later: dict[str, list[str]] = {s.tables[0]: s.columns for s in self.out.steps if s.kind == "update"}
         for step in self.out.steps:
-            if step.kind in ("insert", "leveled"):
-                self.table(self.schema.table(step.tables[0]), later.get(step.tables[0], []))
-            elif step.kind == "deferred":
-                self.deferred(step)
-            else:
+            for name, columns in step.broken or [(step.tables[0], step.columns)] * (step.kind == "update"):
+                self.pending.setdefault(name, []).append(columns)
+        for step in self.out.steps:
+            if step.kind == "update":
                 self.fill(self.schema.table(step.tables[0]), step.columns)
+                continue
+            for name in step.tables:
+                self.table(self.schema.table(name))
+            for name, columns in step.broken:
+                self.fill(self.schema.table(name), columns)
         self.close()
         return self.out
 
-    def deferred(self, step: Step) -> None:
-        """One key of the cycle waits until all members have rows."""
-        for name in step.tables:
-            table = self.schema.table(name)
-            for fk in table.foreign_keys:
-                target = self.schema.table(fk.ref_table).name
-                if fk.deferrable and target in step.tables and target != name:
-                    self.table(table, fk.columns)
-                    for other in step.tables:
-                        if other != name:
-                            self.table(self.schema.table(other), [])
-                    self.fill(table, fk.columns)
-                    return
+    def later(self, table: Table) -> list[str]:
+        """Columns that wait until other tables have rows."""
+        return [c for columns in self.pending.get(table.name, []) for c in columns]
 
     # foreign keys
 
@@ -109,23 +103,13 @@ class _Run:
         own = [fk for fk in table.foreign_keys if self.schema.table(fk.ref_table) is table]
         todo = [fk for fk in table.foreign_keys if fk not in waiting and fk not in own]
         todo.sort(key=lambda fk: (any(table.column(c).nullable for c in fk.columns), -len(fk.columns)))
-        contract, shared = self.contract(table, todo)
         parents = {id(fk): self.parent(fk, self.extra(table, fk)) for fk in todo}
-        if contract and shared:
-            rows = self.shared_tuples(rows, table, contract, shared, n, parents)
-        elif contract:
-            sizes = [parents[id(fk)].count() for fk in contract]
-            names = [f"__p{i}" for i in range(len(contract))]
-            limits = [self.key_config(table, fk) for fk in contract]
-            if len(contract) == 2 and any(k.strategy == "quota" for k in limits):
-                low = tuple(k.min if k.strategy == "quota" else 0 for k in limits)
-                high = tuple(k.max if k.strategy == "quota" and k.max is not None else max(n, 1) for k in limits)
-                pairs = assign.bounded_pairs(rows, *sizes, low, high, self.config.seed, table.name).withColumnsRenamed({"lpos": "__p0", "rpos": "__p1"})
-                rows = rows.join(pairs, "idx")
-            else:
-                rows = assign.tuples(rows, sizes, names, self.config.seed, table.name)
-            for fk, name in zip(contract, names):
-                rows = self.take(rows.withColumnRenamed(name, "pidx"), parents[id(fk)], fk, table)
+        contract: list[ForeignKey] = []
+        for parts, shared, keys in self.contracts(table, todo):
+            contract += parts
+            rows = self.distinct_keys(rows, table, parts, shared, keys, n, parents)
+            for fk in parts:
+                rows = self.coined(rows, table, fk, [c for c in fk.columns if c not in shared])
         rest = [fk for fk in table.foreign_keys if fk in todo and fk not in contract]
         for members, group in shared_keys.components([fk.columns for fk in rest]):
             fks = [rest[i] for i in members]
@@ -160,9 +144,44 @@ class _Run:
         rows = shared_keys.assigned(rows, n, sides, group, self.config.seed, table.name)
         return rows.withColumnsRenamed({f"__v_{c}": c for fk in fks for c in fk.columns if c not in group})
 
-    def contract(self, table: Table, fks: list[ForeignKey]) -> tuple[list[ForeignKey], list[str]]:
-        """Foreign keys that make up a whole key, so that their tuples must be distinct, and the columns that all
-        of them share: none, or a tenant's."""
+    def distinct_keys(self, rows: DataFrame, table: Table, fks: list[ForeignKey], shared: list[str], keys: list[list[int]], n: int, parents: dict[int, DataFrame]) -> DataFrame:
+        """rows with foreign keys whose tuples are distinct in each of the keys (numbers of fks)."""
+        limits = [self.key_config(table, fk) for fk in fks]
+        quotas = len(fks) == 2 and len(keys) == 1 and not shared
+        for fk, limit in zip(fks, limits):
+            if limit.strategy not in ("uniform", "quota" if quotas else "uniform"):
+                self.out.warnings.append(f"{table.name}.{','.join(fk.columns)}: {limit.strategy} isn't kept, as the key's tuples must be distinct")
+        if len(keys) > 1:
+            group = shared or ["__g"]
+            sides = [self.side(table, fk, parents[id(fk)].withColumn("__g", F.lit(0)) if not shared else parents[id(fk)], shared) for fk in fks]
+            rows = shared_keys.distinct_in_keys(rows, n, sides, group, keys, self.config.seed, table.name)
+            return rows.drop("__g").withColumnsRenamed({f"__v_{c}": c for fk in fks for c in fk.columns if c not in shared})
+        if shared:
+            return self.shared_tuples(rows, table, fks, shared, n, parents)
+        sizes, names = [parents[id(fk)].count() for fk in fks], [f"__p{i}" for i in range(len(fks))]
+        if quotas and any(k.strategy == "quota" for k in limits):
+            low = tuple(k.min if k.strategy == "quota" else 0 for k in limits)
+            high = tuple(k.max if k.strategy == "quota" and k.max is not None else max(n, 1) for k in limits)
+            pairs = assign.bounded_pairs(rows, *sizes, low, high, self.config.seed, table.name).withColumnsRenamed({"lpos": "__p0", "rpos": "__p1"})
+            rows = rows.join(pairs, "idx")
+        else:
+            rows = assign.tuples(rows, sizes, names, self.config.seed, table.name)
+        for fk, name in zip(fks, names):
+            rows = self.take(rows.withColumnRenamed(name, "pidx"), parents[id(fk)], fk, table)
+        return rows
+
+    def coined(self, rows: DataFrame, table: Table, fk: ForeignKey, columns: list[str]) -> DataFrame:
+        """rows with some of a key's columns null by the key's null ratio."""
+        ratio = self.key_config(table, fk).null_ratio
+        free = [c for c in columns if table.column(c).nullable]
+        drop = Cell(self.config.seed, table.name, ",".join(fk.columns), F.col("idx")).u("null") < ratio
+        return rows.withColumns({c: F.when(~drop, F.col(c)) for c in free}) if ratio and free else rows
+
+    def contracts(self, table: Table, fks: list[ForeignKey]) -> list[tuple[list[ForeignKey], list[str], list[list[int]]]]:
+        """(fks, shared, keys): foreign keys that make up whole keys, so that their tuples must be distinct, the
+        columns that all of them share (none, or a tenant's), and each key as numbers of fks. Keys that have a foreign
+        key or shared columns in common are one contract; a key that follows from another one is left out."""
+        found: list[tuple[list[ForeignKey], list[str]]] = []
         for key in table.keys():
             parts = [fk for fk in fks if set(fk.columns) <= set(key)]
             parts = [fk for fk in parts if not any(set(fk.columns) < set(other.columns) for other in parts)]
@@ -171,8 +190,19 @@ class _Run:
             shared = [c for c in parts[0].columns if all(c in fk.columns for fk in parts)]
             own = [c for fk in parts for c in fk.columns if c not in shared]
             if len(own) == len(set(own)) and all(len(fk.columns) > len(shared) for fk in parts):
-                return parts, shared
-        return [], []
+                found.append((parts, shared))
+        same = lambda a, b: {id(fk) for fk in a} <= {id(fk) for fk in b}
+        found = [(a, s) for i, (a, s) in enumerate(found) if not any(same(b, a) and (j < i or not same(a, b)) for j, (b, _) in enumerate(found) if j != i)]
+        out = []
+        for members, _ in shared_keys.components([[str(id(fk)) for fk in parts] + shared for parts, shared in found]):
+            shared = found[members[0]][1]
+            for i in members:
+                if sorted(found[i][1]) != sorted(shared):
+                    self.out.warnings.append(f"{table.name}: a key that shares other columns than ({', '.join(shared)}) isn't chosen jointly")
+            members = [i for i in members if sorted(found[i][1]) == sorted(shared)]
+            parts = [fk for fk in fks if any(fk in found[i][0] for i in members)]
+            out.append((parts, shared, [[parts.index(fk) for fk in found[i][0]] for i in members]))
+        return out
 
     def shared_tuples(self, rows: DataFrame, table: Table, fks: list[ForeignKey], shared: list[str], n: int, parents: dict[int, DataFrame]) -> DataFrame:
         """rows with keys that agree on the shared columns, each combination once: distinct tuples of members
@@ -243,10 +273,11 @@ class _Run:
             placed = assign.leveled(rows, rows.count(), branching, self.config.seed, table.name, fk.columns[0], depth)
             up = rows.select(F.col("idx").alias("parent_idx"), *[F.col(refs[c]).alias(f"__v_{c}") for c in mine])
             rows = placed.join(up, "parent_idx", "left").drop("parent_idx", "level")
+        free = breakable(table, fk)
         for c in mine:
-            value = F.col(f"__v_{c}") if table.column(c).nullable else F.coalesce(f"__v_{c}", refs[c])
+            value = F.col(f"__v_{c}") if c in free else F.coalesce(f"__v_{c}", refs[c])
             rows = rows.withColumn(c, value).drop(f"__v_{c}")
-        if any(not table.column(c).nullable for c in mine):
+        if any(c not in free for c in mine):
             self.out.warnings.append(f"{table.name}: roots refer to themselves")
         return rows
 
@@ -366,6 +397,9 @@ class _Run:
                 out.append(validate.width(c.name, c.length))
             if c.values and not c.array:
                 out.append(validate.bounds(c.name, values=c.values))
+        for fk in table.foreign_keys:
+            if fk.match_full and len(fk.columns) > 1 and not set(fk.columns) & set(later):
+                out.append(validate.match_full(fk.columns))
         for text in [*table.checks, *[x for c in table.columns for x in c.checks]]:
             try:
                 check = validate.check(text, name=table.names.get(text))
@@ -411,10 +445,12 @@ class _Run:
             good = marked.where("__repeated is null").drop("__repeated")
         if self.config.on_error == "abort" and (first := bad.orderBy("idx").first()):
             raise GenerationError(f"{table.name}, row {first['idx']}: {first['issues'][0]['reason']} ({first['issues'][0]['columns']})")
+        if table.name in self.out.quarantine:  # of the time before a key was filled
+            bad = self.out.quarantine[table.name].unionByName(bad, allowMissingColumns=True)
         self.out.accepted[table.name], self.out.quarantine[table.name] = good, bad
 
-    def table(self, table: Table, later: list[str]) -> None:
-        n = self.count(table)
+    def table(self, table: Table) -> None:
+        n, later = self.count(table), self.later(table)
         rows = self.spark.range(n).withColumnRenamed("id", "idx")
         rows = self.keys(rows, table, n, later)
         rows = self.columns(rows, table)
@@ -426,23 +462,21 @@ class _Run:
     def fill(self, table: Table, columns: list[str]) -> None:
         """Keys that were left null to break a cycle get a parent that agrees on the other columns."""
         for fk in table.foreign_keys:
-            if not set(fk.columns) & set(columns):
+            if not set(columns) <= set(fk.columns) or self.schema.table(fk.ref_table) is table:
                 continue
             rows = self.out.accepted[table.name]
             mine = [c for c in fk.columns if c in columns]
             shared = [c for c in fk.columns if c not in columns]
             parent = self.parent(fk, [])
             if shared:
-                members = parent.withColumnsRenamed({f"__v_{c}": c for c in shared})
-                filled = assign.within_group(rows.drop(*mine), members, shared, ["pidx"], self.config.seed, table.name, mine[0]).drop("pidx")
+                filled = shared_keys.completed(rows.drop(*mine), self.side(table, fk, parent, shared), shared, self.config.seed, table.name)
             else:
                 filled = self.assign(rows.drop(*mine), table, fk, parent)
             filled = filled.withColumnsRenamed({f"__v_{c}": c for c in mine if c not in filled.columns})
-            if shared and (ratio := self.key_config(table, fk).null_ratio):
-                drop = Cell(self.config.seed, table.name, mine[0], F.col("idx")).u("null") < ratio
-                filled = filled.withColumns({c: F.when(~drop, F.col(c)) for c in mine})
             self.out.updated.setdefault(table.name, []).extend(mine)
-            self.split(filled, table, [c for c in columns if table.column(c).nullable])
+            self.pending[table.name] = [c for c in self.pending.get(table.name, []) if c != columns]
+            self.split(filled, table, self.later(table))
+            return
 
     def close(self) -> None:
         keys = [(t.name, fk.columns, self.schema.table(fk.ref_table).name, fk.ref_columns) for t in self.schema.tables for fk in t.foreign_keys]

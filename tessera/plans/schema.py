@@ -7,6 +7,7 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 from decimal import Decimal
+from itertools import combinations
 
 from pyspark.sql import types as T
 
@@ -227,16 +228,58 @@ def components(edges: dict[str, set[str]]) -> list[list[str]]:
 
 @dataclass
 class Step:
-    """insert, leveled (a table that refers to itself), update (fills keys left null) or deferred."""
+    """insert, leveled (a table that refers to itself), update (fills keys left null) or deferred: tables in an order
+    in which all keys but the broken ones (table, columns) find their parents."""
 
     kind: str
     tables: list[str]
     columns: list[str] = field(default_factory=list)
+    broken: list[tuple[str, list[str]]] = field(default_factory=list)
+
+
+def breakable(table: Table, fk: ForeignKey) -> list[str]:
+    """The columns that may be null to leave a key open; under MATCH FULL all of them or none."""
+    free = [c for c in fk.columns if table.column(c).nullable]
+    return free if not fk.match_full or len(free) == len(fk.columns) else []
+
+
+#: Sets of keys up to so many in number are tried in full; beyond, keys are broken one by one.
+TRIED = 4096
+
+
+def broken_keys(schema: Schema, group: list[str], inner: list[tuple[str, ForeignKey]], allowed: list[tuple[str, ForeignKey]]) -> tuple[list[tuple[str, ForeignKey]], list[str]] | None:
+    """A smallest set of the allowed keys without which the tables of a cycle can be ordered, and that order; the
+    first such set in the order of tables and keys."""
+
+    def order(without: list) -> list[str] | None:
+        gone = {id(fk) for _, fk in without}
+        rest = {n: {schema.table(fk.ref_table).name for m, fk in inner if m == n and id(fk) not in gone} for n in group}
+        found = components(rest)
+        return [c[0] for c in found] if all(len(c) == 1 for c in found) else None
+
+    tried = 0
+    for size in range(1, len(allowed) + 1):
+        for some in combinations(allowed, size):
+            if (found := order(list(some))) is not None:
+                return list(some), found
+            tried += 1
+            if tried > TRIED:
+                break
+        if tried > TRIED:
+            break
+    if order(allowed) is None:
+        return None
+    kept = list(allowed)
+    for one in allowed:  # drop what isn't needed
+        rest = [x for x in kept if x is not one]
+        if order(rest) is not None:
+            kept = rest
+    return kept, order(kept)
 
 
 def load_steps(schema: Schema) -> list[Step]:
-    """The order in which tables are filled. A cycle is broken where a foreign key may be null, else
-    loaded in one transaction if a key is deferrable, else it is an error."""
+    """The order in which tables are filled. A cycle is broken by the fewest foreign keys that may be null and
+    are filled afterwards, else, with keys that are deferrable, loaded in one transaction, else it is an error."""
     edges = {t.name: {schema.table(fk.ref_table).name for fk in t.foreign_keys} - {t.name} for t in schema.tables}
     steps, updates = [], []
     for group in components(edges):
@@ -244,20 +287,25 @@ def load_steps(schema: Schema) -> list[Step]:
             steps.append(_single(schema, group[0]))
             continue
         inner = [(n, fk) for n in group for fk in schema.table(n).foreign_keys if schema.table(fk.ref_table).name in group and schema.table(fk.ref_table).name != n]
-        for name, fk in inner:
-            free = [c for c in fk.columns if schema.table(name).column(c).nullable]
-            rest = {n: {schema.table(f.ref_table).name for f in schema.table(n).foreign_keys if f is not fk} & set(group) - {n} for n in group}
-            if free and all(len(c) == 1 for c in components(rest)):
-                steps += [_single(schema, c[0]) for c in components(rest)]
-                updates.append(Step("update", [name], free))
-                break
+        free = [(n, fk) for n, fk in inner if breakable(schema.table(n), fk)]
+        open_ = [(n, fk) for n, fk in inner if fk.deferrable and (n, fk) not in free]
+        if found := broken_keys(schema, group, inner, free):
+            steps += [_single(schema, name) for name in found[1]]
+            updates += [Step("update", [name], breakable(schema.table(name), fk)) for name, fk in found[0]]
+        elif open_ and (found := broken_keys(schema, group, inner, open_) or broken_keys(schema, group, inner, [*free, *open_])):
+            broken = [(name, breakable(schema.table(name), fk) or _own(schema.table(name), fk)) for name, fk in found[0]]
+            steps.append(Step("deferred", found[1], broken=broken))
         else:
-            if not any(fk.deferrable for _, fk in inner):
-                raise SchemaError(f"cycle {' -> '.join(group)}: no foreign key may be null or is deferrable")
-            steps.append(Step("deferred", group))
+            named = "; ".join(f"{n}({', '.join(fk.columns)}) to {fk.ref_table}" for n, fk in inner)
+            raise SchemaError(f"cycle {' -> '.join(group)}: no foreign keys that may be null or are deferrable break it: {named}")
     return steps + updates
 
 
+def _own(table: Table, fk: ForeignKey) -> list[str]:
+    """A key's columns that no other key has; all of them if there are none."""
+    return [c for c in fk.columns if not any(c in other.columns for other in table.foreign_keys if other is not fk)] or fk.columns
+
+
 def _single(schema: Schema, name: str) -> Step:
     table = schema.table(name)
     own = [fk for fk in table.foreign_keys if schema.table(fk.ref_table) is table]

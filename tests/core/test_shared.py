@@ -168,6 +168,55 @@ def test_apportioned(spark):
                 shared.apportioned(groups, F.col("low"), F.col("high"), total, F.col("gid"), "n", "no")
 
 
+def compound(spark, keys: str, rows: int, sizes=(6, 6, 6), more: str = "", null: str = "NOT NULL"):
+    tables = " ".join(f"CREATE TABLE {t} (id serial PRIMARY KEY);" for t in "abc")
+    sql = f"{tables} CREATE TABLE x (id serial PRIMARY KEY, a_id int {null} REFERENCES a(id), b_id int NOT NULL REFERENCES b(id), c_id int NOT NULL REFERENCES c(id), note text, {keys});"
+    config = f"seed: 11\ntables: {{a: {{rows: {sizes[0]}}}, b: {{rows: {sizes[1]}}}, c: {{rows: {sizes[2]}}}, x: {{rows: {rows}{more}}}}}"
+    data = generate(spark, read_ddl(sql), read_config_text(config))
+    assert data.quarantine["x"].count() == 0
+    return data.rows("x").collect()
+
+
+def test_keys_that_overlap(spark):
+    """Two keys in one of them, and three that are pairwise, up to the last tuple."""
+    rows = compound(spark, "UNIQUE (a_id, b_id), UNIQUE (b_id, a_id), UNIQUE (b_id, c_id)", 30)
+    assert len(rows) == 30 == len({(r["a_id"], r["b_id"]) for r in rows}) == len({(r["b_id"], r["c_id"]) for r in rows})
+    assert min(len({r[c] for r in rows}) for c in ("a_id", "b_id", "c_id")) > 4
+    side = lambda i, n: shared.Side(spark.range(n).select(F.lit(0).alias("g"), F.col("id").alias("pidx"), F.col("id").alias(f"v{i}")), f"s{i}")
+    pairs = [[0, 1], [1, 2], [0, 2]]
+    out = shared.distinct_in_keys(spark.range(36).withColumnRenamed("id", "idx"), 36, [side(i, 6) for i in range(3)], ["g"], pairs, 1, "t").collect()
+    assert all(len({(r[f"v{i}"], r[f"v{j}"]) for r in out}) == 36 for i, j in pairs)
+    with pytest.raises(assign.InfeasibleError, match=r"t: 5 rows need distinct tuples of \(s1\), \(s2\), there are 4"):
+        shared.distinct_in_keys(spark.range(5).withColumnRenamed("id", "idx"), 5, [side(0, 9), side(1, 2), side(2, 2)], ["g"], pairs[:2], 1, "t")
+
+
+def test_nulls_in_a_compound_key(spark):
+    rows = compound(spark, "UNIQUE (a_id, b_id)", 36, more=", fk: {a_id: {strategy: uniform, null_ratio: 0.5}}", null="")
+    known = [(r["a_id"], r["b_id"]) for r in rows if r["a_id"] is not None]
+    assert len(rows) == 36 and len(known) == len(set(known)) and 8 < len(known) < 28
+
+
+def test_keys_in_rounds(spark):
+    """Four sides, all pairs of which are keys: no grid has enough cells."""
+    sides = [shared.Side(spark.range(5).select(F.lit(0).alias("g"), F.col("id").alias("pidx"), F.col("id").alias(f"v{i}")), f"s{i}") for i in range(4)]
+    keys = [[i, j] for i in range(4) for j in range(i)]
+    assert not shared.grids(4, keys) and shared.grids(3, keys[:3])
+    out = shared.distinct_in_keys(spark.range(3).withColumnRenamed("id", "idx"), 3, sides, ["g"], keys, 1, "t").collect()
+    assert len(out) == 3 and all(len({(r[f"v{i}"], r[f"v{j}"]) for r in out}) == 3 for i, j in keys)
+
+
+def test_keys_that_overlap_within_tenants(spark):
+    tables = " ".join(f"CREATE TABLE {t} (tenant_id int NOT NULL, id int NOT NULL, PRIMARY KEY (tenant_id, id));" for t in "abc")
+    fks = ", ".join(f"FOREIGN KEY (tenant_id, {t}_id) REFERENCES {t}(tenant_id, id)" for t in "abc")
+    sql = f"{tables} CREATE TABLE x (id serial PRIMARY KEY, tenant_id int NOT NULL, a_id int NOT NULL, b_id int NOT NULL, c_id int NOT NULL, UNIQUE (tenant_id, a_id, b_id), UNIQUE (tenant_id, b_id, c_id), {fks});"
+    tenants = "columns: {tenant_id: {generator: choice, params: {values: [1, 2, 3]}}}"
+    data = generate(spark, read_ddl(sql), read_config_text(f"seed: 2\ntables: {{a: {{rows: 12, {tenants}}}, b: {{rows: 12, {tenants}}}, c: {{rows: 12, {tenants}}}, x: {{rows: 30}}}}"))
+    rows = data.rows("x").collect()
+    assert len(rows) == 30 == len({(r["tenant_id"], r["a_id"], r["b_id"]) for r in rows}) == len({(r["tenant_id"], r["b_id"], r["c_id"]) for r in rows})
+    for t in "abc":
+        assert {(r["tenant_id"], r[f"{t}_id"]) for r in rows} <= {(r["tenant_id"], r["id"]) for r in data.rows(t).collect()}
+
+
 def test_permutations(spark):
     """One-to-one for any size, the size and the key may differ by row, and all places are about equally likely."""
     sizes = [*range(1, 40), 97, 1000, 1024]
