@@ -9,9 +9,10 @@ not seen, weighted to the classes' shares among all labelled rows.
 
 Labels are learned from rows that are not held out. n-grams are counted over all of them but a quarter, texts
 of any length, by distinct words; counts, continuation counts and probabilities are joins and groupings of
-tables that grow with the input. Only what scoring holds in each task is bounded: the `model` n-grams and the
-`model` contexts that were seen most often (all that were seen as often or none); the rest back off. The
-quarter left out gives the regression its sample: of each class at most `rows` ids, smallest hash first.
+tables that grow with the input. Scoring is joins too: texts are split in blocks, a block asks once for each of its
+words, each distinct word's characters meet the model by their context, and the words' sums return to their
+blocks. No task holds a model. The quarter left out gives the regression its sample: of each class at most `rows` ids,
+smallest hash first.
 
 Every text is scored whole. Null and empty texts have figures zero and the score that follows; where the
 sample lacks a class, the score is the share of toxic labels (0 without labels). A doc_id with several labels
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,8 @@ from tessera.llm import common
 ORDER = 6
 DISCOUNT = 0.75
 ROWS = 2500
-MODEL = 300_000
 THRESHOLD = 0.3
-_CACHE = 300_000
+BLOCK = 4_000_000  # characters of a block of texts; a longer text is a block of its own
 _WORDS = 200_000
 
 
@@ -153,83 +154,94 @@ def probabilities(counted: DataFrame, totals: DataFrame, q: DataFrame, order: in
     return known.select("gram", *made)
 
 
-def most_seen(table: DataFrame, seen: Column, bound: int) -> DataFrame:
-    """The rows seen most often, at most `bound`: all that were seen as often, or none."""
-    sizes = table.groupBy(F.least(seen, F.lit(10_000)).alias("seen")).count().orderBy(F.desc("seen")).collect()  # 10,000 rows at most
-    total, least = 0, 10_001
-    for r in sizes:
-        total += r["count"]
-        if total > bound:
-            break
-        least = r["seen"]
-    return table.where(seen >= least)
-
-
-def models(counted: DataFrame, order: int, bound: int) -> tuple[pa.Table, pa.Table]:
-    """(gram, log P(toxic) - log P(ordinary)) and (context, the ratio of the classes' backoff weights)."""
+def model(counted: DataFrame, order: int) -> DataFrame:
+    """(h, after, other): for each context log P(toxic) - log P(ordinary) of the characters that were seen after it,
+    and the ratio of the classes' backoff weights, which counts for all other characters."""
     totals = common.checkpointed(context_totals(counted, order))
-    kept = most_seen(counted, F.col("ordinary") + F.col("toxic"), bound)
-    known = probabilities(kept, totals, shared_backoff(counted, order), order)
-    full = known.select("gram", (F.ln("p_toxic") - F.ln("p_ordinary")).alias("ratio"))
+    known = probabilities(counted, totals, shared_backoff(counted, order), order)
+    entry = F.struct(F.expr(f"substring(gram, {order})").alias("c"), (F.ln("p_toxic") - F.ln("p_ordinary")).alias("ratio"))
+    seen = known.groupBy(F.substring("gram", 1, order - 1).alias("h")).agg(F.map_from_entries(F.collect_list(entry)).alias("after"))  # of an alphabet
     back = [F.when(F.col(f"{c}_total") > 0, F.ln(DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_total"))).otherwise(0.0) for c in CLASSES]
-    context = most_seen(totals, F.col("seen"), bound).select(F.col("h").alias("gram"), (back[1] - back[0]).alias("ratio"))
-    return full.toArrow(), context.toArrow()  # `bound` rows each at most
-
-
-class Ratios:
-    """log P(toxic) - log P(ordinary) of a character after its context: of n-grams that are known; a context
-    alone leaves the ratio of the classes' backoff weights."""
-
-    def __init__(self, full: pa.Table, context: pa.Table, order: int = ORDER):
-        self.order, self.tables = order, (full, context)
-        self._load()
-
-    def _load(self) -> None:
-        self.full, self.context = (dict(zip(t.column("gram").to_pylist(), t.column("ratio").to_pylist())) for t in self.tables)
-        self.cache: dict[str, float] = {}
-
-    def __getstate__(self) -> dict:
-        return {"order": self.order, "tables": self.tables}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self._load()
-
-    def word(self, word: str) -> float:
-        found = self.cache.get(word)
-        if found is None:
-            full, context = self.full, self.context
-            found = 0.0
-            for gram in grams(word, self.order):
-                ratio = full.get(gram)
-                found += context.get(gram[:-1], 0.0) if ratio is None else ratio
-            if len(self.cache) >= _CACHE:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
-
-    def figures(self, text: str) -> tuple[float, float, float]:
-        """Per character: over the whole text, of the most toxic word, mean of the three most toxic."""
-        kinds = Counter(words(text))
-        if not kinds:
-            return 0.0, 0.0, 0.0
-        each = {w: self.word(w) for w in kinds}
-        total = sum(each[w] * n for w, n in kinds.items())
-        top = sorted(x / (len(w) + 1) for w, x in each.items())[-3:]
-        return total / sum((len(w) + 1) * n for w, n in kinds.items()), top[-1], sum(top) / 3
-
-
-def figures(texts: DataFrame, ratios, keys: str) -> DataFrame:
-    """texts with columns `keys`, text -> keys and the three figures; ratios is a broadcast variable."""
-    names = [k.split()[0] for k in keys.split(", ")]
+    return totals.select("h", (back[1] - back[0]).alias("other")).join(seen, "h")
+
+
+def word_ratios(vocabulary: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
+    """(word, ratio): the sum over each distinct word's characters; a context that was never seen adds nothing."""
+    padded = F.concat(F.lit(" " * (order - 1)), F.col("word"), F.lit(" "))
+    each = F.transform(F.sequence(F.lit(1), F.char_length("word") + 1), lambda i: F.substring(F.col("padded"), i, F.lit(order)))
+    asked = vocabulary.withColumn("padded", padded).select("word", F.explode(each).alias("gram"))
+    asked = asked.select("word", F.substring("gram", 1, order - 1).alias("h"), F.expr(f"substring(gram, {order})").alias("c"))
+    ratio = F.coalesce(F.try_element_at("after", F.col("c")), F.col("other"), F.lit(0.0))
+    return asked.join(contexts, "h", "left").select("word", ratio.alias("ratio")).groupBy("word").agg(F.sum("ratio").alias("ratio"))
+
+
+BLOCKS = "block long, words array<string>, lengths binary, ids array<long>, ends binary, places binary, counts binary"
+
+
+def blocks(texts: DataFrame, size: int = BLOCK) -> DataFrame:
+    """texts (doc_id, text) in blocks: a block's distinct words, and for each text its words as places among these,
+    with counts. `ends` says where each text's places end."""
+
+    def packed(block: int, place: dict[str, int], ids: list, ends: list[int], places: list[int], counts: list[int]) -> pa.RecordBatch:
+        data = lambda x: pa.array([np.array(x, dtype="<u4").tobytes()], pa.binary())
+        arrays = [pa.array([block]), pa.array([list(place)], pa.list_(pa.string())), data([len(w) for w in place]), pa.array([ids], pa.list_(pa.int64())), data(ends), data(places), data(counts)]
+        return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in BLOCKS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, 0
+        place, ids, ends, places, counts = {}, [], [], [], []
+        for batch in batches:
+            for doc_id, text in zip(common.each(batch.column("doc_id")), common.each(batch.column("text"))):
+                if ids and held + len(text) > size:
+                    yield packed(number, place, ids, ends, places, counts)
+                    number, held = number + 1, 0
+                    place, ids, ends, places, counts = {}, [], [], [], []
+                kinds = Counter(words(text))
+                places += [place.setdefault(w, len(place)) for w in kinds]
+                counts += kinds.values()
+                ids.append(doc_id)
+                ends.append(len(places))
+                held += len(text) + 64
+        if ids:
+            yield packed(number, place, ids, ends, places, counts)
+
+    return texts.select("doc_id", "text").mapInArrow(run, BLOCKS)
+
+
+def block_figures(lengths: np.ndarray, ratios: np.ndarray, ends: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(texts, 3), per character: over the whole text, of the most toxic word, mean of the three most toxic."""
+    out = np.zeros((len(ends), 3))
+    sums, sizes, each = ratios[places] * counts, (lengths[places] + 1) * counts, ratios / (lengths + 1)
+    start = 0
+    for i, end in enumerate(ends):
+        if end > start:
+            top = each[places[start:end]]
+            top = np.sort(np.partition(top, -3)[-3:] if len(top) > 3 else top)
+            out[i] = sums[start:end].sum() / sizes[start:end].sum(), top[-1], top.sum() / 3
+        start = end
+    return out
+
+
+def figures(texts: DataFrame, contexts: DataFrame, order: int, size: int = BLOCK) -> DataFrame:
+    """(doc_id, whole, most, three) of each text."""
+    split = common.written(blocks(texts, size), "blocks")
+    asked = split.select("block", F.posexplode("words").alias("place", "word"))
+    ratios = common.checkpointed(word_ratios(asked.select("word").distinct(), contexts, order))
+    answers = asked.join(ratios, "word").groupBy("block").agg(F.collect_list(F.struct("place", "ratio")).alias("answers"))  # a block's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [ratios.value.figures(t) for t in common.each(batch.column("text"))]
-            columns = [pa.array(c, pa.float64()) for c in (zip(*rows) if rows else [()] * 3)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *columns], [*names, "whole", "most", "three"])
+            for i in range(batch.num_rows):
+                lengths, ends, places, counts = (np.frombuffer(batch.column(c)[i].as_py(), dtype="<u4").astype(np.int64) for c in ("lengths", "ends", "places", "counts"))
+                found, ids = batch.column("answers")[i].values, batch.column("ids")[i].values
+                at = np.zeros(len(lengths))
+                if found is not None:
+                    at[found.field("place").to_numpy()] = found.field("ratio").to_numpy()
+                made = block_figures(lengths, at, ends, places, counts)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(made[:, k]) for k in range(3))], ["doc_id", "whole", "most", "three"])
 
-    return texts.select(*names, "text").mapInArrow(run, f"{keys}, whole double, most double, three double")
+    met = split.drop("words").join(answers, "block", "left")
+    return met.mapInArrow(run, "doc_id long, whole double, most double, three double")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[float]]:
@@ -248,7 +260,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return float(w[0] - slopes @ mean), slopes.tolist()
 
 
-def score(docs: DataFrame, labels: DataFrame, rows: int = ROWS, model: int = MODEL, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, rows: int = ROWS, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text)."""
     texts = common.texts(docs)
     ids = labelled(labels)
@@ -256,13 +268,12 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = ROWS, model: int = MOD
     share = sizes.get(True, 0) / max(1, sum(sizes.values()))
     fit = texts.where(~common.held_out(F.col("doc_id")) & fits(F.col("doc_id"))).join(ids, "doc_id")
     counted = count_words(fit.select(F.col("toxic").cast("int").alias("toxic"), "text"))
-    ratios = Ratios(*models(common.checkpointed(count_grams(counted, order)), order, model), order)
-    ratios = docs.sparkSession.sparkContext.broadcast(ratios)
-    sample = texts.join(F.broadcast(regression_ids(ids, rows)), "doc_id")  # 2 x rows ids at most
-    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
-    held = sorted(tuple(r) for r in figures(sample, ratios, "doc_id long, toxic int").collect())
+    contexts = common.checkpointed(model(common.checkpointed(count_grams(counted, order)), order))
+    result = common.written(figures(texts, contexts, order), "figures")
+    sample = result.join(F.broadcast(regression_ids(ids, rows)), "doc_id")  # 2 x rows ids at most
+    sample = sample.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.min(F.struct("whole", "most", "three")).alias("x"))
+    held = sorted((r["doc_id"], r["toxic"], *r["x"]) for r in sample.collect())
     y = np.array([r[1] for r in held], dtype=float)
-    result = figures(texts, ratios, "doc_id long")
     if len(set(y)) < 2:
         probability = F.lit(share)
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -186,14 +187,23 @@ def test_kneser_ney_is_a_distribution(spark):
     for h in {g[:2] for g in seen[0] | seen[1]} | {"xx"}:
         for toxic in (0, 1):  # "?" stands for all characters never seen
             assert sum(p(toxic, c, h) for c in [*letters, "?"]) == pytest.approx(1)
-    full, context = toxicity.models(counted, 3, 1000)
-    ratios = toxicity.Ratios(full, context, 3)
-    import math
-
-    assert ratios.full["cab"] == pytest.approx(math.log(p(1, "b", "ca") / p(0, "b", "ca")))
-    assert ratios.context["ab"] == pytest.approx(math.log(p(1, "?", "ab") / p(0, "?", "ab")))
-    few, _ = toxicity.models(counted, 3, 5)
-    assert 0 < few.num_rows <= 5 and set(few.column("gram").to_pylist()) < set(ratios.full)
+    contexts = toxicity.model(counted, 3)
+    of = lambda word: sum(math.log(p(1, g[2], g[:2]) / p(0, g[2], g[:2])) for g in toxicity.grams(word, 3))
+    vocabulary = ["cab", "abb", "bac", "zzz", "abz", "a", "c\U0001f600b", "bbbbbb"]
+    ratios = {r["word"]: r["ratio"] for r in toxicity.word_ratios(spark.createDataFrame([(w,) for w in vocabulary], "word string"), contexts, 3).collect()}
+    assert set(ratios) == set(vocabulary) and all(ratios[w] == pytest.approx(of(w)) for w in vocabulary)
+
+    def plain(text):
+        kinds = toxicity.words(text)
+        each = sorted(of(w) / (len(w) + 1) for w in set(kinds))[-3:]
+        return (sum(map(of, kinds)) / sum(len(w) + 1 for w in kinds), each[-1], sum(each) / 3) if kinds else (0, 0, 0)
+
+    many = ["", " ", "cab cab abb", "a", "zz a cab bac abb cab", "C\U0001f600B cab", "ab " * 500, *[f"{w} x{i} cab" for i, w in enumerate(vocabulary)], "ab " * 500]
+    rows = spark.createDataFrame(list(enumerate(many)) + [(None, "cab")], "doc_id long, text string").repartition(2)
+    for size in (1, 300, toxicity.BLOCK):  # a text is a block of its own, or shares one
+        for r in toxicity.figures(rows, contexts, 3, size).collect():
+            assert (r["whole"], r["most"], r["three"]) == pytest.approx(plain("cab" if r["doc_id"] is None else many[r["doc_id"]]))
+    assert toxicity.figures(rows, contexts, 3).count() == len(many) + 1
 
 
 def test_toxicity_counts_grow_and_the_sample_does_not(spark):
