@@ -662,6 +662,37 @@ def metric_keywords(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.size(k).alias("n"), F.arrays_overlap(k, F.array(*map(F.lit, ["brass", "steel", "large"]))).alias("hit"))
 
 
+@query(
+    """WITH e AS (SELECT *, event_id // 20 AS run, (props->>'k')::BIGINT AS k FROM events),
+    r AS (SELECT run, 'm' || (run % 5) AS model, run % 7 <> 0 AS ok, run % 11 = 0 AS broken, sum(value) AS latency FROM e GROUP BY ALL),
+    x AS (SELECT r.model, CASE WHEN l.toxic = 1 THEN k % 3 = 2 ELSE k % 3 < 2 END AS g, CASE WHEN l.quality = 1 THEN k % 2 = 0 END AS ro, CASE WHEN l.quality = 0 AND k % 4 > 0 THEN value / 100 < 0.6 END AS c
+      FROM e JOIN r USING (run) JOIN labels l ON l.doc_id = e.k WHERE ok AND NOT broken)
+    SELECT model, calls, valid, generator_hits, generator_total, role_hits, role_total, calibration_hits, calibration_total FROM
+    (SELECT model, count(*) AS calls, count(*) FILTER (ok) AS valid FROM r GROUP BY 1) JOIN
+    (SELECT model, count(*) FILTER (g) AS generator_hits, count(g) AS generator_total, count(*) FILTER (ro) AS role_hits, count(ro) AS role_total, count(*) FILTER (c) AS calibration_hits, count(c) AS calibration_total FROM x GROUP BY 1) USING (model)"""
+)
+def metric_answer_scores(spark, sf_dir):
+    """Twenty events make up a run's answer, as JSON text that is parsed again; rows of `labels` say what is right."""
+    events = table(spark, sf_dir, "events").withColumn("run", F.expr("event_id div 20")).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    column = F.struct(
+        F.col("k").cast("string").alias("column_name"),
+        F.when(F.col("k") % 2 == 0, "the number of an Item").otherwise("other things").alias("semantic_role"),
+        F.struct(F.element_at(F.array(*map(F.lit, "abc")), (F.col("k") % 3 + 1).cast("int")).alias("type")).alias("generator"),
+        F.when(F.col("k") % 4 > 0, F.col("value") / 100).alias("confidence"),
+    )
+    tables = events.groupBy("run", "event_type").agg(F.struct(F.col("event_type").alias("table_name"), F.collect_list(column).alias("columns")).alias("t"), F.sum("value").alias("latency"))
+    runs = tables.groupBy("run").agg(F.to_json(F.struct(F.collect_list("t").alias("tables"))).alias("raw_content"), F.sum("latency").alias("latency"))
+    runs = runs.withColumns({"model": F.concat(F.lit("m"), (F.col("run") % 5).cast("string")), "fixture": F.lit("f"), "schema_valid": F.col("run") % 7 != 0})
+    runs = runs.withColumn("raw_content", F.when(F.col("run") % 11 == 0, "not JSON").otherwise(F.col("raw_content")))
+    kinds = F.explode(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))))
+    labels = table(spark, sf_dir, "labels").select(
+        F.lit("f").alias("fixture"), kinds.alias("table"), F.col("doc_id").cast("string").alias("column"), F.when(F.col("quality") == 1, "item").otherwise("desconocido").alias("role"),
+        F.when(F.col("toxic") == 1, F.array(F.lit("c"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("acceptable"), (F.col("quality") == 0).alias("low_expected"),
+    )
+    found = reports.scored(runs, labels, ["fixture", "model"], ["the", "of", "an"])
+    return reports.score_rates(runs, found, ["model"]).drop("latency")
+
+
 @query("SELECT p_brand, p_type, count(*) AS n, sum(p_retailprice > 1500)::BIGINT AS dear FROM part GROUP BY ALL")
 def metric_detail(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_retailprice") > 1500).alias("dear"))

@@ -133,3 +133,27 @@ def test_stream_split(spark, tmp_path):
     stream = spark.readStream.schema("id long, r long").parquet(str(tmp_path / "in"))
     split_stream(stream, [validate.check("r > 0")], str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination()
     assert (spark.read.parquet(str(tmp_path / "ok")).count(), spark.read.parquet(str(tmp_path / "bad")).count()) == (6, 4)
+
+
+def test_scores_of_loaded_runs(spark, tmp_path):
+    """Files of runs, with a broken answer, an invalid one, a column without a label, and no role, generator or confidence."""
+    import json
+
+    from tessera.operators import reports
+
+    column = lambda name, role=None, generator=None, confidence=None: {"column_name": name, "semantic_role": role, "generator": generator and {"type": generator}, "confidence": confidence}
+    answer = {"tables": [{"table_name": "t", "columns": [column("a", "Número del cliente", "serial", 0.9), column("b", "fecha", "date", 0.5), column("z", "x", "y", 0.1)]}, {"table_name": "u", "columns": [column("c"), column("d", "algo", "text", 0.7)]}, {"table_name": "v"}], "more": 1}
+    runs = [("m1", True, json.dumps(answer)), ("m1", False, json.dumps(answer)), ("m2", True, "{not json"), ("m2", True, "{}")]
+    for i, (model, valid, content) in enumerate(runs):
+        (tmp_path / f"r{i}.json").write_text(json.dumps({"fixture": "f", "model": model, "schema_valid": valid, "raw_content": content, "latency": 2.0 * i}))
+    (tmp_path / "_summary.json").write_text("[]")
+    loaded = reports.load_runs(spark, str(tmp_path), "fixture string, model string, schema_valid boolean, raw_content string, latency double")
+    labels = spark.createDataFrame(
+        [("f", "t", "a", "identificador de cliente", ["serial"], False), ("f", "t", "b", "desconocido", ["text"], True), ("f", "u", "c", "nombre", ["name"], True), ("f", "u", "d", "otro", None, True), ("g", "t", "a", "x", ["serial"], False)],
+        "fixture string, table string, column string, role string, acceptable array<string>, low_expected boolean",
+    )
+    found = reports.scored(loaded, labels, ["fixture", "model"], ["de", "del"])
+    got = {r["column"]: (r["generator_ok"], r["role_ok"], r["calibration_ok"]) for r in found.collect()}
+    assert got == {"a": (True, True, None), "b": (False, None, True), "c": (False, False, None), "d": (False, False, False)}
+    rates = {r["model"]: tuple(r)[1:] for r in reports.score_rates(loaded, found, ["model"]).collect()}
+    assert rates == {"m1": (2, 1, 1.0, 1, 4, 1, 3, 1, 2), "m2": (2, 2, 5.0, 0, 0, 0, 0, 0, 0)}
