@@ -10,8 +10,8 @@ not seen, weighted to the classes' shares among all labelled rows.
 Labels are learned from rows that are not held out. n-grams are counted over all of them but a quarter, texts
 of any length, by distinct words; counts, continuation counts and probabilities are joins and groupings of
 tables that grow with the input. Scoring is joins too: texts are split in blocks, a block asks once for each of its
-words, each distinct word's characters meet the model by their context, and the words' sums return to their
-blocks. No task holds a model. The quarter left out gives the regression its sample: of each class at most `rows` ids,
+words, chunks of the distinct words ask once for each of their n-grams and contexts, and the words' sums return to
+their blocks. No task holds a model. The quarter left out gives the regression its sample: of each class at most `rows` ids,
 smallest hash first.
 
 Every text is scored whole. Null and empty texts have figures zero and the score that follows; where the
@@ -38,6 +38,7 @@ DISCOUNT = 0.75
 ROWS = 2500
 THRESHOLD = 0.3
 BLOCK = 4_000_000  # characters of a block of texts; a longer text is a block of its own
+CHUNK = 2_000_000  # characters of a chunk of distinct words
 _WORDS = 200_000
 
 
@@ -155,24 +156,56 @@ def probabilities(counted: DataFrame, totals: DataFrame, q: DataFrame, order: in
 
 
 def model(counted: DataFrame, order: int) -> DataFrame:
-    """(h, after, other): for each context log P(toxic) - log P(ordinary) of the characters that were seen after it,
-    and the ratio of the classes' backoff weights, which counts for all other characters."""
+    """(key, ratio): for each n-gram log P(toxic) - log P(ordinary) of its last character, and for each context, which
+    is shorter, the ratio of the classes' backoff weights, which counts for characters not seen after it."""
     totals = common.checkpointed(context_totals(counted, order))
     known = probabilities(counted, totals, shared_backoff(counted, order), order)
-    entry = F.struct(F.expr(f"substring(gram, {order})").alias("c"), (F.ln("p_toxic") - F.ln("p_ordinary")).alias("ratio"))
-    seen = known.groupBy(F.substring("gram", 1, order - 1).alias("h")).agg(F.map_from_entries(F.collect_list(entry)).alias("after"))  # of an alphabet
     back = [F.when(F.col(f"{c}_total") > 0, F.ln(DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_total"))).otherwise(0.0) for c in CLASSES]
-    return totals.select("h", (back[1] - back[0]).alias("other")).join(seen, "h")
+    full = known.select(F.col("gram").alias("key"), (F.ln("p_toxic") - F.ln("p_ordinary")).alias("ratio"))
+    return full.unionByName(totals.select(F.col("h").alias("key"), (back[1] - back[0]).alias("ratio")))
 
 
-def word_ratios(vocabulary: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
-    """(word, ratio): the sum over each distinct word's characters; a context that was never seen adds nothing."""
-    padded = F.concat(F.lit(" " * (order - 1)), F.col("word"), F.lit(" "))
-    each = F.transform(F.sequence(F.lit(1), F.char_length("word") + 1), lambda i: F.substring(F.col("padded"), i, F.lit(order)))
-    asked = vocabulary.withColumn("padded", padded).select("word", F.explode(each).alias("gram"))
-    asked = asked.select("word", F.substring("gram", 1, order - 1).alias("h"), F.expr(f"substring(gram, {order})").alias("c"))
-    ratio = F.coalesce(F.try_element_at("after", F.col("c")), F.col("other"), F.lit(0.0))
-    return asked.join(contexts, "h", "left").select("word", ratio.alias("ratio")).groupBy("word").agg(F.sum("ratio").alias("ratio"))
+def word_ratios(vocabulary: DataFrame, ratios: DataFrame, order: int, size: int = CHUNK) -> DataFrame:
+    """(word, ratio): the sum over the characters of each word of a table of distinct words; a context that was never
+    seen adds nothing. Words go in chunks of so many characters; a chunk asks once for each of its n-grams and contexts."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, some = TaskContext.get().partitionId() << 32, 0, []
+        flushed = lambda: pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([some], pa.list_(pa.string()))], ["chunk", "words"])
+        for batch in batches:
+            for word in common.each(batch.column(0)):
+                if some and held + len(word) > size:
+                    yield flushed()
+                    chunk, held, some = chunk + 1, 0, []
+                some.append(word)
+                held += len(word)
+        if some:
+            yield flushed()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, some in zip(batch.column(0), batch.column(1)):
+                found = {g for w in common.each(some.values) for g in grams(w, order)}
+                found |= {g[:-1] for g in found}
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([list(found)], pa.list_(pa.string()))], ["chunk", "keys"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, answer in zip(batch.column("words"), batch.column("answers")):
+                known = dict(zip(answer.values.field("key").to_pylist(), answer.values.field("ratio").to_pylist())) if answer.is_valid else {}
+                out = []
+                for word in common.each(some.values):
+                    total = 0.0
+                    for gram in grams(word, order):
+                        ratio = known.get(gram)
+                        total += known.get(gram[:-1], 0.0) if ratio is None else ratio
+                    out.append(total)
+                yield pa.RecordBatch.from_arrays([some.values, pa.array(out, pa.float64())], ["word", "ratio"])
+
+    chunks = common.written(vocabulary.select("word").mapInArrow(cut, "chunk long, words array<string>"), "chunks")
+    asked = chunks.mapInArrow(keys, "chunk long, keys array<string>").select("chunk", F.explode("keys").alias("key"))
+    answers = asked.join(ratios, "key").groupBy("chunk").agg(F.collect_list(F.struct("key", "ratio")).alias("answers"))  # a chunk's keys
+    return chunks.join(answers, "chunk", "left").select("words", "answers").mapInArrow(summed, "word string, ratio double")
 
 
 BLOCKS = "block long, words array<string>, lengths binary, ids array<long>, ends binary, places binary, counts binary"
@@ -222,11 +255,11 @@ def block_figures(lengths: np.ndarray, ratios: np.ndarray, ends: np.ndarray, pla
     return out
 
 
-def figures(texts: DataFrame, contexts: DataFrame, order: int, size: int = BLOCK) -> DataFrame:
+def figures(texts: DataFrame, known: DataFrame, order: int, size: int = BLOCK) -> DataFrame:
     """(doc_id, whole, most, three) of each text."""
     split = common.written(blocks(texts, size), "blocks")
     asked = split.select("block", F.posexplode("words").alias("place", "word"))
-    ratios = common.checkpointed(word_ratios(asked.select("word").distinct(), contexts, order))
+    ratios = common.checkpointed(word_ratios(asked.select("word").distinct(), known, order))
     answers = asked.join(ratios, "word").groupBy("block").agg(F.collect_list(F.struct("place", "ratio")).alias("answers"))  # a block's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +301,8 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = ROWS, order: int = ORD
     share = sizes.get(True, 0) / max(1, sum(sizes.values()))
     fit = texts.where(~common.held_out(F.col("doc_id")) & fits(F.col("doc_id"))).join(ids, "doc_id")
     counted = count_words(fit.select(F.col("toxic").cast("int").alias("toxic"), "text"))
-    contexts = common.checkpointed(model(common.checkpointed(count_grams(counted, order)), order))
-    result = common.written(figures(texts, contexts, order), "figures")
+    ratios = common.checkpointed(model(common.checkpointed(count_grams(counted, order)), order))
+    result = common.written(figures(texts, ratios, order), "figures")
     sample = result.join(F.broadcast(regression_ids(ids, rows)), "doc_id")  # 2 x rows ids at most
     sample = sample.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.min(F.struct("whole", "most", "three")).alias("x"))
     held = sorted((r["doc_id"], r["toxic"], *r["x"]) for r in sample.collect())

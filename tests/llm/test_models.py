@@ -190,7 +190,7 @@ def test_kneser_ney_is_a_distribution(spark):
     contexts = toxicity.model(counted, 3)
     of = lambda word: sum(math.log(p(1, g[2], g[:2]) / p(0, g[2], g[:2])) for g in toxicity.grams(word, 3))
     vocabulary = ["cab", "abb", "bac", "zzz", "abz", "a", "c\U0001f600b", "bbbbbb"]
-    ratios = {r["word"]: r["ratio"] for r in toxicity.word_ratios(spark.createDataFrame([(w,) for w in vocabulary], "word string"), contexts, 3).collect()}
+    ratios = {r["word"]: r["ratio"] for r in toxicity.word_ratios(spark.createDataFrame([(w,) for w in vocabulary], "word string"), contexts, 3, 7).collect()}  # chunks of one or two words
     assert set(ratios) == set(vocabulary) and all(ratios[w] == pytest.approx(of(w)) for w in vocabulary)
 
     def plain(text):
