@@ -11,6 +11,7 @@ from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import names
 from tessera.functions.draws import Cell, permuted, pick
 
 INT_LIMITS = {16: 2**15, 32: 2**31, 64: 2**63}
@@ -315,20 +316,26 @@ POOLS = {
 }
 
 
-def fake(cell: Cell, provider: str) -> Column:
-    """Plausible text of a kind, from fixed pools and digits of the cell's draws."""
+def fake(cell: Cell, provider: str, locale: str | None = None) -> Column:
+    """Plausible text of a kind, from fixed pools and digits of the cell's draws. With a locale, names of people and
+    places are put together from its syllables, so their number has no bound."""
+    if locale is not None and locale not in names.SYLLABLES:
+        raise GeneratorError(f"{cell.table}.{cell.column}: unknown locale {locale!r}; known: {', '.join(sorted(names.SYLLABLES))}")
 
     def word(pool: str, kind: str = "value") -> Column:
+        if locale and pool in ("first_name", "last_name", "city"):
+            return names.word(cell, locale, pool.removesuffix("_name"))
         return F.element_at(F.array(*map(F.lit, POOLS[pool])), (pick(cell.u(kind), len(POOLS[pool])) + 1).cast("int"))
 
     def digits(n: int, kind: str) -> Column:
         return F.lpad(pick(cell.u(kind), 10**n).cast("string"), n, "0")
 
     first, last = word("first_name", "first"), word("last_name", "last")
+    plain = lambda text: F.translate(F.lower(text), "áéíóúñü", "aeiounu")
     made = {
         "name": lambda: F.concat_ws(" ", first, last),
-        "user_name": lambda: F.concat(F.lower(first), digits(4, "n")),
-        "email": lambda: F.concat(F.lower(first), F.lit("."), F.lower(last), cell.idx.cast("string"), F.lit("@example.com")),
+        "user_name": lambda: F.concat(plain(first), digits(4, "n")),
+        "email": lambda: F.concat(plain(first), F.lit("."), plain(last), cell.idx.cast("string"), F.lit("@example.com")),
         "street_address": lambda: F.concat(word("street"), F.lit(" "), (pick(cell.u("n"), 200) + 1).cast("string")),
         "company": lambda: F.concat(F.initcap(word("word")), F.lit(" "), last, F.lit(" SL")),
         "phone_number": lambda: F.concat(F.lit("+34 6"), digits(8, "n")),

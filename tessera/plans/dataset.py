@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import generators as g
 from tessera.functions import rules
 from tessera.functions.draws import Cell
+from tessera.functions.names import SYLLABLES
 from tessera.operators import assign, validate
 from tessera.operators import shared as shared_keys
 from tessera.operators.ranks import numbered
@@ -48,6 +49,9 @@ class _Run:
         self.out = Dataset(schema, load_steps(schema), warnings=list(schema.warnings))
         self.choices = choose(schema, config, self.out.warnings)
         self.pending: dict[str, list[list[str]]] = {}
+        self.locale = config.locale if config.locale in SYLLABLES else None
+        if not self.locale:
+            self.out.warnings.append(f"locale {config.locale}: no syllables, names come from short lists")
         self.rules = {t.name: [rules.Rule(text, i) for i, text in enumerate(self.of(t).rules)] for t in schema.tables}
 
     def of(self, table: Table) -> TableConfig:
@@ -290,6 +294,8 @@ class _Run:
             made = g.fallback(cell, column.kind, scale=column.scale or 0 if column.precision else 2, precision=column.precision or 10, values=column.values, length=column.length)
         else:
             params = dict(choice.params)
+            if choice.generator == "fake":
+                params.setdefault("locale", self.locale)
             if choice.generator == "integer_range":
                 params.setdefault("bits", column.bits)
             if choice.generator == "numeric_range":

@@ -11,15 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import generators as g
-from tessera.functions import rules
-from tessera.functions.draws import Cell, permuted_sql, pick, uniform_sql
+from tessera.functions import names, rules
+from tessera.functions.draws import Cell, permuted_sql, pick, pick_sql, uniform_sql
 from tessera.operators import assign, reports, shared, validate
 from tessera.operators.ranks import cumulative, numbered
-from tessera.plans.choices import choose
-from tessera.plans.schema import load_steps
 from tessera.sinks import cells
-from tessera.sources.config import read_config_text
-from tessera.sources.ddl import read_ddl
 
 SEED = 42
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,10 +48,6 @@ def u(column: str, kind: str = "value", idx: str = "idx", name: str = "gen") ->
     return uniform_sql(SEED, name, f"{column}/{kind}", idx)
 
 
-def pick_sql(draw: str, n: str | int) -> str:
-    return f"least(floor({draw} * {n}), ({n}) - 1)::BIGINT"
-
-
 ROWS = "(SELECT o_orderkey AS idx FROM orders)"
 
 # generators
@@ -192,6 +184,20 @@ def gen_fake(spark, sf_dir):
     return rows(spark, sf_dir).select("idx", g.fake(cell("n"), "name").alias("name"), g.fake(cell("ip"), "ipv4").alias("ip"))
 
 
+def _name_sql(column: str, locale: str, kind: str) -> str:
+    return names.word_sql(SEED, "gen", column, locale, kind, "idx")
+
+
+@query(
+    f"""SELECT idx, {_name_sql('es', 'es_ES', 'first')} || ' ' || {_name_sql('es', 'es_ES', 'last')} AS es, {_name_sql('en', 'en_US', 'first')} || ' ' || {_name_sql('en', 'en_US', 'last')} AS en,
+    {_name_sql('es_city', 'es_ES', 'city')} AS es_city, {_name_sql('en_city', 'en_US', 'city')} AS en_city FROM {ROWS}"""
+)
+def gen_names(spark, sf_dir):
+    """Names of people and places in two locales."""
+    made = {"es": g.fake(cell("es"), "name", "es_ES"), "en": g.fake(cell("en"), "name", "en_US"), "es_city": g.fake(cell("es_city"), "city", "es_ES"), "en_city": g.fake(cell("en_city"), "city", "en_US")}
+    return rows(spark, sf_dir).withColumns(made)
+
+
 # parents
 
 N_CUSTOMER = "(SELECT count(*) FROM customer)"
@@ -815,64 +821,3 @@ def validate_types(spark, sf_dir):
 def emit_json_objects(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(12,2)").alias("total"), F.when(F.col("o_orderkey") % 2 == 1, "odd").alias("odd"))
     return orders.select("o_orderkey", cells.json_object(orders, orders.columns).alias("line"))
-
-
-# reports on declarations
-
-SHOP = """
-CREATE TYPE state AS ENUM ('open', 'sent', 'closed');
-CREATE TABLE shops (id serial PRIMARY KEY, name varchar(40) NOT NULL, email text UNIQUE, city text);
-CREATE TABLE goods (shop_id int NOT NULL REFERENCES shops(id) ON DELETE CASCADE, sku text NOT NULL, price numeric(8,2) CHECK (price > 0 AND price <= 500),
-  stock int DEFAULT 0 CONSTRAINT stock_kept CHECK (stock >= 0), PRIMARY KEY (shop_id, sku));
-CREATE TABLE sales (id bigserial PRIMARY KEY, shop_id int NOT NULL, sku text NOT NULL, status state, sold date, prior bigint REFERENCES sales(id), tags text[]);
-ALTER TABLE ONLY sales ADD CONSTRAINT sold_good FOREIGN KEY (shop_id, sku) REFERENCES goods(shop_id, sku) MATCH FULL;
-COMMENT ON COLUMN sales.sold IS 'day of sale';
-"""
-SHOP_CONFIG = """
-version: 1
-defaults: {rows: 50}
-tables:
-  goods: {columns: {price: {generator: numeric_range, params: {min: 1, max: 500, distribution: {family: lognormal, params: {median: 20, sigma: 0.4}}}}}}
-  sales: {fk: {shop_id: {strategy: zipf, s: 1.3}}}
-"""
-_ANALYZED = """
-('shops', 'id', 'integer', false, 'primary', NULL, NULL), ('shops', 'name', 'text', false, NULL, NULL, NULL), ('shops', 'email', 'text', true, 'unique', NULL, NULL), ('shops', 'city', 'text', true, NULL, NULL, NULL),
-('goods', 'shop_id', 'integer', false, 'primary', 'shops.id', NULL), ('goods', 'sku', 'text', false, 'primary', NULL, NULL), ('goods', 'price', 'numeric', true, NULL, NULL, NULL), ('goods', 'stock', 'integer', true, NULL, NULL, NULL),
-('sales', 'id', 'integer', false, 'primary', NULL, NULL), ('sales', 'shop_id', 'integer', false, NULL, 'goods.shop_id', NULL), ('sales', 'sku', 'text', false, NULL, 'goods.sku', NULL), ('sales', 'status', 'enum', true, NULL, NULL, NULL),
-('sales', 'sold', 'date', true, NULL, NULL, 'day of sale'), ('sales', 'prior', 'integer', true, NULL, 'sales.id', NULL), ('sales', 'tags', 'text[]', true, NULL, NULL, NULL)"""
-
-
-@query(f"SELECT * FROM (VALUES {_ANALYZED}) t(table_name, column_name, kind, nullable, key_part, refers, comment)")
-def analyze_report(spark, sf_dir):
-    """What the reader of declarations finds: a row for each column."""
-    found = []
-    for t in read_ddl(SHOP).tables:
-        for c in t.columns:
-            part = "primary" if c.name in t.primary_key else "unique" if any(c.name in k for k in t.uniques) else None
-            refers = next((f"{fk.ref_table}.{r}" for fk in t.foreign_keys for own, r in zip(fk.columns, fk.ref_columns) if own == c.name), None)
-            found.append((t.name, c.name, c.kind + "[]" * c.array, c.nullable, part, refers, c.comment))
-    return spark.createDataFrame(found, "table_name string, column_name string, kind string, nullable boolean, key_part string, refers string, comment string")
-
-
-_PLANNED = """
-(1, 'shops', 'id', 'serial', 'serial'), (1, 'shops', 'name', 'fake', 'heuristic'), (1, 'shops', 'email', 'fake', 'heuristic'), (1, 'shops', 'city', 'fake', 'heuristic'),
-(2, 'goods', 'shop_id', 'key', 'key'), (2, 'goods', 'sku', 'fallback', 'fallback'), (2, 'goods', 'price', 'lognormal', 'user'), (2, 'goods', 'stock', 'integer_range', 'heuristic'),
-(3, 'sales', 'id', 'serial', 'serial'), (3, 'sales', 'shop_id', 'key', 'key'), (3, 'sales', 'sku', 'key', 'key'), (3, 'sales', 'status', 'choice', 'schema'), (3, 'sales', 'sold', 'fallback', 'fallback'),
-(3, 'sales', 'prior', 'key', 'key'), (3, 'sales', 'tags', 'fallback', 'fallback')"""
-
-
-@query(f"SELECT * FROM (VALUES {_PLANNED}) t(step, table_name, column_name, generator, source)")
-def plan_report(spark, sf_dir):
-    """The load order and the generator chosen for each column, with where the choice comes from."""
-    schema, config = read_ddl(SHOP), read_config_text(SHOP_CONFIG)
-    chosen, found = choose(schema, config), []
-    for number, step in enumerate(load_steps(schema), 1):
-        for name in step.tables:
-            found += [(number, name, column, c.generator, c.source) for column, c in chosen[name].items()]
-    return spark.createDataFrame(found, "step int, table_name string, column_name string, generator string, source string")
-
-
-@query("SELECT source, count(*) AS n FROM (VALUES " + _PLANNED + ") t(step, table_name, column_name, generator, source) GROUP BY source")
-def plan_summary(spark, sf_dir):
-    """How many columns each source of choices decides."""
-    return plan_report(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"))

@@ -63,6 +63,7 @@ class Config:
     null_ratio: float = 0.0  # of nullable columns without one of their own
     batch_size: int = 5000
     on_error: str = "quarantine"  # or abort
+    locale: str = "es_ES"  # of names
 
 
 _PARTS = {("tables",): TableConfig, ("tables", "columns"): ColumnConfig, ("tables", "foreign_keys"): KeyConfig, ("hierarchy",): Level}
@@ -85,8 +86,8 @@ def _build(cls: type, data: object, path: str, kind: tuple[str, ...] = ()) -> ob
     return cls(**out)
 
 
-#: Entries that say nothing to this engine: the format's version, where names come from, a language model's address.
-_IGNORED = ("version", "locale", "dialect", "llm")
+#: Entries that say nothing to this engine: the format's version, the dialect, a language model's address.
+_IGNORED = ("version", "dialect", "llm")
 
 
 #: The parameters of each distribution.

@@ -353,3 +353,23 @@ def test_runs_are_loaded_without_their_summary(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"model": "n", "seconds": 1.0}]')
     (tmp_path / "_summary.json").write_text('{"model": "all"}')
     assert {tuple(r) for r in load_runs(spark, str(tmp_path), "model string, seconds double").collect()} == {("m", 2.5), ("n", 1.0)}
+
+
+def test_names_by_locale(spark):
+    """Over a thousand names in each locale, with the shares that the weights say."""
+    from collections import Counter
+
+    from tessera.functions import generators, names
+    from tessera.functions.draws import Cell
+
+    rows = spark.range(6000).withColumnRenamed("id", "idx")
+    for locale in names.SYLLABLES:
+        found = [r[0] for r in rows.select(generators.fake(Cell(1, "t", locale, F.col("idx")), "name", locale)).collect()]
+        assert len(set(found)) > 3000
+    weights = {"a": 1, "b": 2, "c": 5, "d": 0.5}
+    drawn = Counter(r[0] for r in rows.select(names.Alias.of(weights).drawn(Cell(1, "t", "x", F.col("idx")).u())).collect())
+    assert all(abs(drawn[k] / 6000 - w / 8.5) < 0.03 for k, w in weights.items())
+    data = generate(spark, read_ddl("CREATE TABLE p (id serial PRIMARY KEY, first_name text, email text UNIQUE)"), read_config_text("rows: 300\nlocale: en_US"))
+    assert data.rows("p").select("first_name").distinct().count() > 150 and not data.warnings
+    with pytest.raises(generators.GeneratorError, match="locale"):
+        generators.fake(Cell(1, "t", "x", F.col("idx")), "name", "xx")
