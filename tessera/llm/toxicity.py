@@ -9,9 +9,10 @@ not seen, weighted to the classes' shares among all labelled rows.
 
 Labels are learned from rows that are not held out. n-grams are counted over all of them but a quarter, texts
 of any length, by distinct words; counts, continuation counts and probabilities are joins and groupings of
-tables that grow with the input. Scoring is joins too: texts are split in blocks, a block asks once for each of its
-words, chunks of the distinct words ask once for each of their n-grams and contexts, and the words' sums return to
-their blocks. No task holds a model. The quarter left out gives the regression its sample: of each class at most `rows` ids,
+tables that grow with the input. For scoring, texts are split in blocks of distinct words. While the whole model has
+at most HELD entries it is sent to the tasks, as two columns; beyond that no task holds it: a block asks once for
+each of its words, chunks of the distinct words ask once for each of their n-grams and contexts by a join, and the words'
+sums return to their blocks. Both ways give the same figures of all n-grams; nothing is left out. The quarter left out gives the regression its sample: of each class at most `rows` ids,
 smallest hash first.
 
 Every text is scored whole. Null and empty texts have figures zero and the score that follows; where the
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,7 @@ ROWS = 2500
 THRESHOLD = 0.3
 BLOCK = 4_000_000  # characters of a block of texts; a longer text is a block of its own
 CHUNK = 2_000_000  # characters of a chunk of distinct words
+HELD = 4_000_000  # entries of a model that tasks hold, of 20 bytes or so each; a larger one is joined
 _WORDS = 200_000
 
 
@@ -255,26 +258,55 @@ def block_figures(lengths: np.ndarray, ratios: np.ndarray, ends: np.ndarray, pla
     return out
 
 
-def figures(texts: DataFrame, known: DataFrame, order: int, size: int = BLOCK) -> DataFrame:
-    """(doc_id, whole, most, three) of each text."""
+def held_ratios(keys: pa.Array, ratios: np.ndarray, some: list[str], order: int) -> np.ndarray:
+    """The words' ratios, as word_ratios has them, of a model that is at hand."""
+    flat = [g for w in some for g in grams(w, order)]
+    out = np.zeros(len(flat))
+    at = pc.index_in(pa.array(flat, pa.string()), value_set=keys)
+    known = np.asarray(at.is_valid())
+    out[known] = ratios[at.drop_null().to_numpy()]
+    rest = np.flatnonzero(~known)
+    at = pc.index_in(pa.array([flat[i][:-1] for i in rest], pa.string()), value_set=keys)
+    out[rest[np.asarray(at.is_valid())]] = ratios[at.drop_null().to_numpy()]
+    starts = np.cumsum([0, *(len(w) + 1 for w in some)])[:-1]
+    return np.add.reduceat(out, starts) if some else np.zeros(0)
+
+
+def _answered(block: pa.RecordBatch, i: int, at: np.ndarray) -> pa.RecordBatch:
+    lengths, ends, places, counts = (np.frombuffer(block.column(c)[i].as_py(), dtype="<u4").astype(np.int64) for c in ("lengths", "ends", "places", "counts"))
+    made = block_figures(lengths, at, ends, places, counts)
+    return pa.RecordBatch.from_arrays([block.column("ids")[i].values, *(pa.array(made[:, k]) for k in range(3))], ["doc_id", "whole", "most", "three"])
+
+
+FIGURES = "doc_id long, whole double, most double, three double"
+
+
+def figures(texts: DataFrame, known: DataFrame, order: int, size: int = BLOCK, held: int = HELD) -> DataFrame:
+    """(doc_id, whole, most, three) of each text. known: a model (key, ratio)."""
+    if known.count() <= held:
+        table = known.select("key", "ratio").toArrow()
+        sent = texts.sparkSession.sparkContext.broadcast((table.column("key").combine_chunks(), table.column("ratio").to_numpy()))
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in batches:
+                for i in range(block.num_rows):
+                    yield _answered(block, i, held_ratios(*sent.value, block.column("words")[i].as_py(), order))
+
+        return blocks(texts, size).mapInArrow(own, FIGURES)
     split = common.written(blocks(texts, size), "blocks")
     asked = split.select("block", F.posexplode("words").alias("place", "word"))
     ratios = common.checkpointed(word_ratios(asked.select("word").distinct(), known, order))
     answers = asked.join(ratios, "word").groupBy("block").agg(F.collect_list(F.struct("place", "ratio")).alias("answers"))  # a block's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                lengths, ends, places, counts = (np.frombuffer(batch.column(c)[i].as_py(), dtype="<u4").astype(np.int64) for c in ("lengths", "ends", "places", "counts"))
-                found, ids = batch.column("answers")[i].values, batch.column("ids")[i].values
-                at = np.zeros(len(lengths))
+        for block in batches:
+            for i in range(block.num_rows):
+                found, at = block.column("answers")[i].values, np.zeros(len(block.column("lengths")[i].as_py()) // 4)
                 if found is not None:
                     at[found.field("place").to_numpy()] = found.field("ratio").to_numpy()
-                made = block_figures(lengths, at, ends, places, counts)
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(made[:, k]) for k in range(3))], ["doc_id", "whole", "most", "three"])
+                yield _answered(block, i, at)
 
-    met = split.drop("words").join(answers, "block", "left")
-    return met.mapInArrow(run, "doc_id long, whole double, most double, three double")
+    return split.drop("words").join(answers, "block", "left").mapInArrow(run, FIGURES)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[float]]:

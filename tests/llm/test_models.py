@@ -200,8 +200,8 @@ def test_kneser_ney_is_a_distribution(spark):
 
     many = ["", " ", "cab cab abb", "a", "zz a cab bac abb cab", "C\U0001f600B cab", "ab " * 500, *[f"{w} x{i} cab" for i, w in enumerate(vocabulary)], "ab " * 500]
     rows = spark.createDataFrame(list(enumerate(many)) + [(None, "cab")], "doc_id long, text string").repartition(2)
-    for size in (1, 300, toxicity.BLOCK):  # a text is a block of its own, or shares one
-        for r in toxicity.figures(rows, contexts, 3, size).collect():
+    for size, held in ((1, 0), (300, 0), (toxicity.BLOCK, 0), (1, 10**6), (300, 10**6)):  # a text is a block of its own, or shares one; the model is joined or at hand
+        for r in toxicity.figures(rows, contexts, 3, size, held).collect():
             assert (r["whole"], r["most"], r["three"]) == pytest.approx(plain("cab" if r["doc_id"] is None else many[r["doc_id"]]))
     assert toxicity.figures(rows, contexts, 3).count() == len(many) + 1
 
