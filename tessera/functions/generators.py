@@ -8,7 +8,7 @@ import math
 from collections.abc import Callable, Sequence
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import names
@@ -289,6 +289,88 @@ def redrawn(cell: Cell, value: Column, bound: Column, op: str, edge, kind: str)
     return F.when(F.coalesce(keeps, F.lit(True)), value).when(room >= 0, new).otherwise(bound)
 
 
+# draws between bounds that differ by row: text that Spark and DuckDB read alike
+
+
+def _d(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def normal_share(x: str) -> str:
+    """The normal distribution's share below x (Abramowitz and Stegun 26.2.17), as SQL; x is a column's name."""
+    t = f"(1 / (1 + {_d(0.2316419)} * abs({x})))"
+    poly = f"{t} * ({_d(0.319381530)} + {t} * ({_d(-0.356563782)} + {t} * ({_d(1.781477937)} + {t} * ({_d(-1.821255978)} + {t} * {_d(1.330274429)}))))"
+    tail = f"({_d(1 / math.sqrt(2 * math.pi))} * exp(-{x} * {x} / 2) * {poly})"
+    return f"(CASE WHEN {x} < 0 THEN {tail} ELSE 1 - {tail} END)"
+
+
+def normal_point(p: str) -> str:
+    """The point with a share of p, a column's name, below it (Acklam's rational approximation), as SQL."""
+    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+    def poly(x: str, k: tuple) -> str:
+        out = _d(k[0])
+        for v in k[1:]:
+            out = f"({out} * {x} + {_d(v)})"
+        return out
+
+    q, r = f"({p} - {_d(0.5)})", f"(({p} - {_d(0.5)}) * ({p} - {_d(0.5)}))"
+    low, high = f"sqrt(-2 * ln(greatest({p}, {_d(1e-300)})))", f"sqrt(-2 * ln(greatest(1 - {p}, {_d(1e-300)})))"
+    return f"(CASE WHEN {p} < {_d(0.02425)} THEN {poly(low, c)} / {poly(low, d)} WHEN {p} > {_d(0.97575)} THEN -{poly(high, c)} / {poly(high, d)} ELSE {poly(r, a)} * {q} / {poly(r, b)} END)"
+
+
+def truncated_steps(shape: str, mean: float, spread: float) -> list[tuple[str, str]]:
+    """(column, SQL) that make, of a uniform __u and bounds __lo and __hi, a value __new of a normal or lognormal
+    distribution between the bounds: the inverse of its distribution function, at a share between those of the
+    bounds. Where these are as good as equal, or for any other shape, it is uniform between the bounds."""
+    plain = "__lo + __u * (__hi - __lo)"
+    if shape not in ("normal", "lognormal"):
+        return [("__new", plain)]
+    scaled = (lambda v: f"(({v} - {_d(mean)}) / {_d(spread)})") if shape == "normal" else (lambda v: f"((ln(greatest({v}, {_d(1e-300)})) - {_d(mean)}) / {_d(spread)})")
+    back = f"{_d(mean)} + {_d(spread)} * __z"
+    return [
+        ("__zl", scaled("__lo")), ("__zh", scaled("__hi")), ("__pl", normal_share("__zl")), ("__ph", normal_share("__zh")), ("__p", "__pl + __u * (__ph - __pl)"),
+        ("__z", normal_point("__p")),
+        ("__new", f"CASE WHEN __ph - __pl < {_d(1e-6)} THEN {plain} ELSE greatest(__lo, least(__hi, {back if shape == 'normal' else f'exp({back})'})) END"),
+    ]
+
+
+def shape_of(generator: str, params: dict) -> tuple[str, float, float]:
+    """(shape, mean, spread) of a generator of numbers, as normal() and lognormal() read their parameters."""
+    low, high = float(params.get("low", 0)), float(params.get("high", 0))
+    if generator == "normal":
+        mean = (low + high) / 2 if params.get("mean") is None else float(params["mean"])
+        return "normal", mean, (high - low) / 6 if params.get("std") is None else float(params["std"])
+    if generator == "lognormal":
+        return "lognormal", math.log(max(1.0, (low + high) / 2) if params.get("median") is None else params["median"]), float(params.get("sigma", 0.5))
+    return "uniform", 0.0, 1.0
+
+
+def within_bounds(df: DataFrame, cell: Cell, column: str, lows: list[tuple[Column, bool]], highs: list[tuple[Column, bool]], unit: float | None, shape: tuple[str, float, float]) -> DataFrame:
+    """df with a numeric column whose values keep all of its row's bounds (value, whether it is exclusive): a value
+    that does stays, others are drawn again between the highest of the lower bounds and the lowest of the
+    upper ones, with the generator's distribution. Values are multiples of unit, or any doubles without one.
+    Null bounds count for nothing; where a side has none, or the bounds leave nothing between them, the value is
+    moved to the nearest bound."""
+    value = F.col(column).cast("double")
+    nudge = F.lit(unit or 0.0)
+    edge = lambda b, strict, up: b.cast("double") if unit is None else (F.ceil(b.cast("double") / unit - 1e-9) + F.when(F.lit(strict) & (F.ceil(b.cast("double") / unit - 1e-9) <= b.cast("double") / unit + 1e-9), 1).otherwise(0) if up else F.floor(b.cast("double") / unit + 1e-9) - F.when(F.lit(strict) & (F.floor(b.cast("double") / unit + 1e-9) >= b.cast("double") / unit - 1e-9), 1).otherwise(0)) * nudge
+    most = lambda f, xs: f(*xs) if len(xs) > 1 else xs[0] if xs else F.lit(None).cast("double")
+    low, high = most(F.greatest, [edge(b, s, True) for b, s in lows]), most(F.least, [edge(b, s, False) for b, s in highs])
+    out = df.withColumns({"__lo": low, "__hi": high, "__u": (cell.u("bound") + 2.0**-53)})
+    for name, text in truncated_steps(*shape):
+        out = out.withColumn(name, F.expr(text))
+    new = F.col("__new") if unit is None else F.least(F.col("__hi"), F.greatest(F.col("__lo"), F.floor(F.col("__new") / unit + 0.5) * unit)) if shape[0] != "uniform" else F.least(F.col("__hi"), F.col("__lo") + F.floor(F.col("__u") * ((F.col("__hi") - F.col("__lo")) / unit + 1)) * unit)
+    strict_low, strict_high = (any(s for _, s in xs) and unit is None for xs in (lows, highs))
+    keeps = F.coalesce(value > F.col("__lo") if strict_low else value >= F.col("__lo"), F.lit(True)) & F.coalesce(value < F.col("__hi") if strict_high else value <= F.col("__hi"), F.lit(True))
+    moved = F.when((F.col("__lo") <= F.col("__hi")), new).otherwise(F.greatest(F.least(value, F.col("__hi")), F.col("__lo")))
+    moved = F.when(value.isNull() | keeps, value).otherwise(moved)
+    return out.withColumn("__made", moved).drop("__lo", "__hi", "__u", *[n for n, _ in truncated_steps(*shape)])
+
+
 def years_between(later: Column, earlier: Column) -> Column:
     month_day = lambda d: F.month(d) * 100 + F.dayofmonth(d)
     return F.year(later) - F.year(earlier) - (month_day(later) < month_day(earlier)).cast("int")

@@ -373,27 +373,61 @@ class _Run:
         return lambda k: self.made(table, column, choice, self.cell(table, f"{column.name}~{k}"))
 
     def apply_rules(self, rows: DataFrame, table: Table) -> DataFrame:
-        """Derivations and bounds, each after those it reads."""
-        for rule in rules.ordered(self.rules[table.name]):
+        """Derivations and bounds, each after those it reads; all bounds of a column at once, by its last one."""
+        steps = rules.ordered(self.rules[table.name])
+        derived = {r.column for r in steps if r.kind == "derivation"}
+        for k, rule in enumerate(steps):
             column = table.column(rule.column)
             cell = self.cell(table, column.name)
+            if rule.kind == "bound" and column.name not in derived and not column.array and column.kind in ("integer", "numeric", "date", "timestamp"):
+                same = [r for r in steps if r.kind == "bound" and r.column == rule.column]
+                if rule is same[-1]:
+                    rows = self.bound(rows, table, column, same)
+                continue
             rows = rules.evaluate(rows, "__rule", rule.right, cell, self.config.refs, rule.number)
             value = F.col("__rule").cast(column.spark_type())
             if rule.kind == "bound":
-                params = self.choices[table.name][column.name].params
-                edge = params.get("high" if rule.op.startswith(">") else "low")
-                derived = any(r.kind == "derivation" and r.column == rule.column for r in self.rules[table.name])
-                if edge is not None and not derived and column.kind in ("integer", "numeric", "date") and not column.array:
-                    value = g.redrawn(cell, F.col(column.name), F.col("__rule"), rule.op, edge, column.kind)
-                else:
-                    step = {"date": dt.timedelta(days=1)}.get(column.kind)
-                    if rule.op in (">", "<"):
-                        value = F.date_add(value, 1 if rule.op == ">" else -1) if step else value + (1 if rule.op == ">" else -1)
-                    low, high = (value, None) if rule.op.startswith(">") else (None, value)
-                    value = g.bounded(F.col(column.name), low, high)
+                if rule.op in (">", "<") and column.kind in ("integer", "numeric", "date"):
+                    value = F.date_add(value, 1 if rule.op == ">" else -1) if column.kind == "date" else value + (1 if rule.op == ">" else -1)
+                low, high = (value, None) if rule.op.startswith(">") else (None, value)
+                value = g.bounded(F.col(column.name), low, high)
             rows = rows.withColumn(column.name, value.cast(column.spark_type())).drop("__rule")
         return rows
 
+    def bound(self, rows: DataFrame, table: Table, column: Column, bounds: list[rules.Rule]) -> DataFrame:
+        """A column within all of its row's bounds and its generator's own edges, by the generator's distribution."""
+        cell, choice = self.cell(table, column.name), self.choices[table.name][column.name]
+        epoch = {"date": F.lit(dt.date(1970, 1, 1)), "timestamp": F.lit("1970-01-01 00:00:00").cast("timestamp" if column.with_timezone else "timestamp_ntz")}.get(column.kind)
+
+        def number(c):
+            """A value on the scale that is drawn on: days, seconds or the number itself."""
+            if column.kind == "date":
+                return F.datediff(c.cast("date"), epoch).cast("double")
+            if column.kind == "timestamp":
+                return F.timestamp_diff("SECOND", epoch, c.cast(column.spark_type())).cast("double")
+            return c.cast("double")
+
+        lows, highs, names = [], [], []
+        for i, rule in enumerate(bounds):
+            rows = rules.evaluate(rows, f"__b{i}", rule.right, cell, self.config.refs, rule.number)
+            names.append(f"__b{i}")
+            (lows if rule.op.startswith(">") else highs).append((number(F.col(f"__b{i}")), len(rule.op) == 1))
+        edges = dict(choice.params)
+        if choice.generator == "fallback" and column.kind in ("date", "timestamp"):
+            edges = {"low": g.DECADE[0], "high": g.DECADE[1]}
+        elif choice.generator == "fallback":
+            edges = {"low": 0, "high": 1000}
+        for side, name in ((lows, "low"), (highs, "high")):
+            if edges.get(name) is not None:
+                plain = isinstance(edges[name], (dt.date, str))
+                side.append((number(F.lit(edges[name])) if plain else F.lit(float(edges[name])), bool(edges.get(f"{'min' if name == 'low' else 'max'}_exclusive"))))
+        unit = {"integer": 1.0, "date": 1.0, "timestamp": 1.0}.get(column.kind, 10.0 ** -(column.scale or 0) if column.precision else None)
+        own = number(F.col(column.name))
+        made = g.within_bounds(rows.withColumn("__own", own), cell, "__own", lows, highs, unit, g.shape_of(choice.generator, choice.params))
+        back = {"date": lambda: F.date_add(epoch, F.col("__made").cast("int")), "timestamp": lambda: F.timestamp_add("SECOND", F.col("__made").cast("bigint"), epoch)}.get(column.kind, lambda: F.col("__made"))()
+        kept = F.when(F.col("__made") == F.col("__own"), F.col(column.name)).otherwise(back.cast(column.spark_type()))
+        return made.withColumn(column.name, kept).drop("__made", "__own", *names)
+
     # validation
 
     def checks(self, rows: DataFrame, table: Table, later: list[str]) -> list:

@@ -5,6 +5,7 @@ Key columns of the tables are dense from 0 and serve as row indices and parent n
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -522,6 +523,22 @@ def rule_bound_redraw(spark, sf_dir):
     return df.select("idx", g.redrawn(cell("v"), F.col("v"), F.col("low"), ">=", 499, "integer").cast("bigint").alias("v"))
 
 
+def _bounds_sql() -> str:
+    out = f"""SELECT o_orderkey AS idx, o_totalprice % 400 AS v, greatest(20.0::DOUBLE + o_custkey % 50, 10) AS __lo, least(28.0::DOUBLE + o_custkey % 50 + o_custkey % 37, 300) AS __hi,
+    {u("v", "bound", "o_orderkey")} + 1.1102230246251565e-16::DOUBLE AS __u FROM orders"""
+    for name, text in g.truncated_steps("lognormal", math.log(60.0), 0.4):
+        out = f"SELECT *, {text} AS {name} FROM ({out})"
+    return f"SELECT idx, floor((CASE WHEN v >= __lo AND v <= __hi THEN v ELSE __new END) * 10000 + 0.5) / 10000 AS v, v >= __lo AND v <= __hi AS kept FROM ({out})"
+
+
+@query(_bounds_sql())
+def rule_two_bounds(spark, sf_dir):
+    """Two bounds of each row and the generator's edges: a lognormal draw between them where the value isn't."""
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_totalprice") % 400).alias("v"), (20 + F.col("o_custkey") % 50).alias("low"), (28 + F.col("o_custkey") % 50 + F.col("o_custkey") % 37).alias("high"))
+    made = g.within_bounds(df, cell("v"), "v", [(F.col("low"), False), (F.lit(10.0), False)], [(F.col("high"), False), (F.lit(300.0), False)], None, g.shape_of("lognormal", {"low": 10, "high": 300, "median": 60.0, "sigma": 0.4}))
+    return made.select("idx", g.rounded(F.col("__made"), 4).alias("v"), (F.col("__made") == F.col("v")).alias("kept"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_extendedprice * (1 - l_discount) > 30000 OR l_quantity > 45")
 def rule_recheck(spark, sf_dir):
     """Finished rows against their bounds: what is outside goes to quarantine."""

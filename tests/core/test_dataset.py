@@ -373,3 +373,27 @@ def test_names_by_locale(spark):
     assert data.rows("p").select("first_name").distinct().count() > 150 and not data.warnings
     with pytest.raises(generators.GeneratorError, match="locale"):
         generators.fake(Cell(1, "t", "x", F.col("idx")), "name", "xx")
+
+
+def test_two_sided_bounds_keep_the_distribution(spark):
+    """Bounds on both sides, of dates, timestamps, integers and lognormal numbers: none is broken, and no value piles
+    up on a bound."""
+    sql = """CREATE TABLE t (id serial PRIMARY KEY, a int NOT NULL CHECK (a BETWEEN 0 AND 100), n int NOT NULL CHECK (n BETWEEN 0 AND 300), x numeric(9,2) NOT NULL, d date NOT NULL, e date NOT NULL, s timestamp NOT NULL, f double precision NOT NULL);"""
+    config = """
+seed: 4
+tables:
+  t:
+    rows: 800
+    columns:
+      x: {generator: lognormal, params: {low: 1, high: 500, median: 60, sigma: 0.5}}
+      f: {generator: normal, params: {low: 0, high: 200, mean: 100, std: 30}}
+    rules: ["n > a", "n <= a + 20", "x >= a", "x < a + 50", "e > d", "e <= date_add(d, 30)", "s >= d", "s < date_add(d, 2)", "f > a", "f < a + 60"]
+"""
+    data = generate(spark, read_ddl(sql), read_config_text(config))
+    rows = data.rows("t")
+    assert rows.count() == 800 and data.quarantine["t"].count() == 0
+    assert rows.where("n <= a or n > a + 20 or x < a or x >= a + 50 or e <= d or e > date_add(d, 30) or s < d or s >= date_add(d, 2) or f <= a or f >= a + 60").count() == 0
+    on = rows.agg(*[F.count_if(F.expr(c)) for c in ("x = a", "f = a or f = a + 60", "n = a + 1", "n = a + 20", "e = date_add(d, 1)", "s = d")]).first()
+    assert on[0] <= 8 and on[1] == 0 and max(on[2:5]) < 110 and on[5] <= 2
+    middle = rows.where("a between 40 and 50").agg(F.avg(F.expr("x - a"))).first()[0]
+    assert 15 < middle < 25  # the density falls beyond the median: below the bounds' middle
