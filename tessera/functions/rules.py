@@ -5,6 +5,7 @@ functions in FUNCTIONS only, as Spark has functions that run any Java method."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,7 @@ from tessera.functions.generators import noise
 _PARENT = re.compile(r"\bparent\(\s*(\w+)\s*\)\.(\w+)")
 _REF = re.compile(r"\bref\(\s*'([^']*)'\s*\)")
 _NOISE = re.compile(r"\bnoise\(\s*([0-9.]+)\s*\)")
-_YEARS = re.compile(r"\byears_between\(([^(),]+|[^(),]*\([^()]*\)[^(),]*),([^(),]+|[^(),]*\([^()]*\)[^(),]*)\)")
-_DATE = re.compile(r"\bdate\(\s*([^(),]+),\s*([^(),]+),\s*([^(),]+)\)")
+_EQUAL = re.compile(r"'[^']*'|\"[^\"]*\"|<=>|[<>!=]=|<>|=")
 _COMPARE = re.compile(r"^\s*(\w+)\s*(>=|<=|<>|=|>|<)\s*(.+)$", re.S)
 _BANNED = re.compile(r";|--|/\*|[\\`{}]|\b(select|from|table|values|exists)\b", re.I)
 _STRING = re.compile(r"'[^']*'|\"[^\"]*\"")
@@ -114,6 +114,38 @@ def ordered(rules: list[Rule], assertions: bool = False) -> list[Rule]:
     return out + [r for r in rules if assertions and r.kind == "assertion"]
 
 
+def replaced(text: str, name: str, build: Callable[[list[str]], str | None]) -> str:
+    """text with each call of a function, outside of strings, as build makes it of the arguments; these may hold
+    calls and strings of their own. A call for which build gives None stays."""
+    out, at, word = "", 0, re.compile(rf"'[^']*'|\"[^\"]*\"|(?<![.\w]){name}\s*\(")
+    while found := word.search(text, at):
+        out += text[at : found.start()]
+        if found[0][0] in "'\"":
+            out, at = out + found[0], found.end()
+            continue
+        args, depth, start, k = [], 1, found.end(), found.end()
+        while k < len(text) and depth:
+            c = text[k]
+            if c in "'\"":
+                k = text.find(c, k + 1) if text.find(c, k + 1) > 0 else len(text)
+            depth += (c == "(") - (c == ")")
+            if c == "," and depth == 1 or not depth:
+                args.append(replaced(text[start:k].strip(), name, build))
+                start = k + 1
+            k += 1
+        if depth:
+            raise RuleError(f"a parenthesis isn't closed: {text!r}")
+        made = build(args)
+        out, at = out + (f"{name}({', '.join(args)})" if made is None else made), k
+    return out + text[at:]
+
+
+def two_valued(text: str) -> str:
+    """SQL text whose = and <> are never unknown: null equals null and differs from all else."""
+    names = {"=": " IS NOT DISTINCT FROM ", "==": " IS NOT DISTINCT FROM ", "<>": " IS DISTINCT FROM ", "!=": " IS DISTINCT FROM "}
+    return _EQUAL.sub(lambda m: names.get(m[0], m[0]), text)
+
+
 def compile_text(text: str, cell: Cell, refs: dict | None = None, number: int = 0) -> tuple[str, dict[str, Column]]:
     """SQL text and the helper columns it names."""
     helpers: dict[str, Column] = {}
@@ -131,12 +163,15 @@ def compile_text(text: str, cell: Cell, refs: dict | None = None, number: int =
         helpers[name] = noise(cell, float(match[1]), f"{number}.{len(helpers)}" if helpers else number)
         return name
 
-    def years(match: re.Match) -> str:
-        a, b = match[1].strip(), match[2].strip()
+    def years(args: list[str]) -> str | None:
+        if len(args) != 2:
+            return None
+        a, b = args
         return f"(year({a}) - year({b}) - int(month({a}) * 100 + day({a}) < month({b}) * 100 + day({b})))"
 
     text = _PARENT.sub(lambda m: parent_column(m[1], m[2]), text)
-    text = _DATE.sub(lambda m: f"make_date({m[1]},{m[2]},{m[3]})", _YEARS.sub(years, text))
+    text = replaced(text, "years_between", years)
+    text = replaced(text, "date", lambda args: f"make_date({', '.join(args)})" if len(args) == 3 else None)
     return _NOISE.sub(draw, _REF.sub(ref, text)), helpers
 
 

@@ -459,7 +459,7 @@ class _Run:
             sql, own = rules.compile_text(rule.text if rule.kind == "assertion" else rule.right, cell, self.config.refs, rule.number)
             helpers |= own
             if rule.kind == "assertion":
-                out.append(validate.rule(F.expr(sql), [], rule.text))
+                out.append(validate.rule(F.expr(rules.two_valued(sql)), [], rule.text))
                 continue
             column, op = table.column(rule.column), rule.op
             wanted = F.expr(sql).cast(column.spark_type()) if op == "=" else F.expr(sql)

@@ -13,8 +13,11 @@ def split_stream(stream: DataFrame, checks: list[Column], accepted: str, quarant
     a batch that runs again replaces what it wrote."""
 
     def both(batch: DataFrame, number: int) -> None:
-        checked = validate.with_issues(batch, checks)
-        validate.accepted(checked).write.mode("overwrite").parquet(f"{accepted}/batch={number}")
-        validate.quarantined(checked).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        checked = validate.with_issues(batch, checks).persist()  # both writes read the same verdicts
+        try:
+            validate.accepted(checked).write.mode("overwrite").parquet(f"{accepted}/batch={number}")
+            validate.quarantined(checked).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        finally:
+            checked.unpersist()
 
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -157,3 +157,20 @@ def test_scores_of_loaded_runs(spark, tmp_path):
     assert got == {"a": (True, True, None), "b": (False, None, True), "c": (False, False, None), "d": (False, False, False)}
     rates = {r["model"]: tuple(r)[1:] for r in reports.score_rates(loaded, found, ["model"]).collect()}
     assert rates == {"m1": (2, 1, 1.0, 1, 4, 1, 3, 1, 2), "m2": (2, 2, 5.0, 0, 0, 0, 0, 0, 0)}
+
+
+def test_arguments_of_rules_and_equality(spark):
+    """Arguments with calls and strings of their own; = and <> are true or false for nulls too."""
+    from tessera.functions import rules
+    from tessera.functions.draws import Cell
+
+    df = spark.sql("select 0L as idx, date'2020-02-29' as x, date'2024-02-28' as y, cast(null as int) as n, cast(null as int) as m, 3 as k, 'a, (b' as t")
+    value = lambda text: rules.evaluate(df, "v", text, Cell(1, "t", "c", F.col("idx"))).first()["v"]
+    assert str(value("date(year(x), greatest(1, month(y)), 1)")) == "2020-02-01" and str(value("date(y)")) == "2024-02-28"
+    assert value("years_between(date_add(y, 1), date(year(x), 2, 29))") == 4 and value("years_between(y, x)") == 3
+    assert value("concat(t, 'date(1, 2, 3)', year(date(2001, 1, 1)))") == "a, (bdate(1, 2, 3)2001"
+    with pytest.raises(rules.RuleError):
+        value("date(2001, 1, (1")
+    hold = lambda text: df.select(F.expr(rules.two_valued(text))).first()[0]
+    assert hold("n = m") and not hold("n <> m") and hold("n <> k") and not hold("n = k") and hold("k = 3 and t <> '=' and k >= 3 and k <= 3 and k != 4")
+    assert rules.two_valued("a <=> b and c = '<>='") == "a <=> b and c  IS NOT DISTINCT FROM  '<>='"
