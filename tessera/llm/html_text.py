@@ -98,6 +98,8 @@ class LineParser(HTMLParser):
             return True, False
         doubtful = tag == "form"
         for name, value in attrs:
+            if name == "hidden" and tag not in ("body", "html", *BODIES):  # whatever its value
+                return True, False
             if not value or tag in ("body", "html", *BODIES) and "comment" not in value:
                 continue
             if name in ("class", "id"):
@@ -106,7 +108,7 @@ class LineParser(HTMLParser):
                 doubtful = True
             elif name == "role" and value.lower() in ROLES:
                 return True, False
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return True, False
         return False, doubtful
 

@@ -228,6 +228,14 @@ def test_html_article():
     assert html_text.main_text(PAGE) == "Title & more\nFirst para­graph with bold text and a break.\nSecond one, <tag> é.\nQuote\nEnd."
 
 
+def test_html_hidden_elements_are_no_text():
+    page = "<body><article><p>A sentence that is long enough to be read.</p><p {}>Not this one, although it is long as well.</p><p>And another sentence after it.</p></article></body>"
+    want = "A sentence that is long enough to be read.\nAnd another sentence after it."
+    for mark in ("hidden", "hidden=''", "hidden=until-found", "class=x hidden", "aria-hidden=true", "style='display: none'"):
+        assert html_text.main_text(page.format(mark)) == want
+    assert html_text.main_text(page.format("class=hiding")).count("\n") == 2
+
+
 def test_html_without_article():
     links = "".join(f"<a href=/{i}>Link {i}</a> " for i in range(30))
     long = "<p>" + "A long sentence of the main text goes here. " * 8 + "</p>"
