@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def slices_by_size(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many rows, and of so many bytes of a text column or one row."""
+    lengths, start, held = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), 0, 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= rows or held + n > size):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names in
     spark.checkpoint.dir; only where that is unset (tests in local mode) a temporary one serves."""

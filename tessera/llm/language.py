@@ -37,6 +37,7 @@ from tessera.llm import common
 MAX_CHARS = 2000
 SAMPLE = 20_000
 BLOCK = 256
+PIECE = 1_000_000  # characters that are read at a time
 UNKNOWN = "und"
 
 
@@ -185,7 +186,7 @@ class CrossParser:
         blocks = np.maximum(1, -(-sizes // self.block))
         first = np.cumsum(blocks) - blocks
         total = int(blocks.sum())
-        flat = np.zeros(total * self.block, dtype=np.int64)
+        flat = np.zeros(total * self.block, dtype=np.int32)
         for p, f in zip(points, first.tolist()):
             flat[f * self.block : f * self.block + len(p)] = self.symbols[p]
         filled = np.full(total, self.block, dtype=np.int64)
@@ -204,19 +205,43 @@ class CrossParser:
                 moved = known.find(state[:n] * self.width + column)
                 miss = np.flatnonzero(moved < 0)  # a phrase ends and the symbol starts the next
                 ends[miss] += 1
-                moved[miss] = np.maximum(known.find(self.width + column.take(miss)), 0)
+                moved[miss] = np.maximum(known.find(self.width + column.take(miss).astype(np.int64)), 0)
                 state[:n] = moved
             placed = np.empty(total, dtype=np.int64)
             placed[order] = ends
             counts[:, k] = np.add.reduceat(placed, first) if len(texts) else 0
         return counts, sizes
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def costs(self, texts: list[str], piece: int) -> np.ndarray:
+        """The phrases of each text by language. Texts are read in pieces of whole blocks, about `piece` characters at
+        a time: a block starts anew, so its phrases don't depend on what is read with it."""
+        counts = np.zeros((len(texts), len(self.languages)))
+        piece = max(1, piece // self.block) * self.block
+        some: list[str] = []
+        owners: list[int] = []
+        held = 0
+
+        def read() -> None:
+            found, _ = self.phrases(some)
+            np.add.at(counts, owners, found)
+
+        for i, text in enumerate(texts):
+            for start in range(0, len(text), piece):
+                some.append(text[start : start + piece])
+                owners.append(i)
+                held += len(some[-1])
+                if held >= piece:
+                    read()
+                    some, owners, held = [], [], 0
+        if some:
+            read()
+        return counts
+
+    def predict(self, texts: list[str | None], piece: int = PIECE) -> tuple[list[str], list[float]]:
         lettered = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if lettered:
-            counts, _ = self.phrases([texts[i] for i in lettered])
-            cost = counts * self.cost
+            cost = self.costs([texts[i] for i in lettered], piece) * self.cost
             share = np.exp(cost.min(axis=1, keepdims=True) - cost)
             share /= share.sum(axis=1, keepdims=True)
             best = cost.argmin(axis=1)
@@ -239,8 +264,7 @@ def identify(docs: DataFrame, max_chars: int = MAX_CHARS, block: int = BLOCK) ->
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = parser(sent.value, block)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                some = batch.slice(start, 256)
+            for some in common.slices_by_size(batch, at):
                 langs, scores = known.predict(some.column(at).to_pylist())
                 columns = [*some.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, [*some.schema.names, "__lang_pred", "__score"])

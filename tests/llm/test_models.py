@@ -78,6 +78,22 @@ def test_language_model_of_many_letters_is_small():
     assert language.CrossParser((("aa", ("b",)),)).predict(["b" * 10**6, None])[0] == ["aa", "und"]
 
 
+def test_language_reads_texts_in_pieces():
+    """The same predictions, whatever is read at a time; slices of a batch by their bytes."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9)))
+    known = language.CrossParser((("aa", (" ".join(word("abcde") for _ in range(300)),)), ("bb", (" ".join(word("defgh") for _ in range(300)),))), 16)
+    texts = [" ".join(word(rng.choice(["abcde", "defgh"])) for _ in range(rng.choice([1, 3, 40, 900]))) for _ in range(60)] + [None, "", "12", "e" * 17]
+    want = known.predict(texts)
+    assert {*want[0]} == {"aa", "bb", "und"}
+    for piece in (1, 16, 50, 1000):
+        assert known.predict(texts, piece) == want
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n >= 0 else None for n in (3, -1, 5, 20, 1, 1, 1, 1)])], ["text"])
+    assert [s.num_rows for s in common.slices_by_size(batch, 0, rows=3, size=9)] == [3, 1, 3, 1]
+
+
 def test_null_ids_are_never_held_out(spark):
     docs = spark.createDataFrame([(None, "some text"), (1, "more text")], "doc_id long, text string").selectExpr("*", "'en' AS lang")
     labels = spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, toxic int")
