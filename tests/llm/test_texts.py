@@ -512,3 +512,21 @@ def test_bpe_fails_if_splits_change():
     for answers, places in ((first[0], second[1]), (first[0], none[1]), (none[0], first[1])):
         with pytest.raises(RuntimeError, match="when read again"):
             bpe.put_together(answers, places)
+
+
+def test_very_long_texts(spark):
+    """A million characters of words, of one word and of numbers, beside short texts."""
+    from tessera.llm import sharding, toxicity
+
+    texts = [prose(8, 150_000), "x" * 1_000_000, "1 " * 500_000, "short text here", prose(8, 150_000), None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    groups = {r["doc_id"]: (r["keep_id"], r["group_size"], r["text_sha256"]) for r in exact_dedup.exact_groups(docs).collect()}
+    assert groups[4][:2] == (0, 2) and groups[1][:2] == (1, 1) and groups[0][2] == sha(texts[0])
+    near = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
+    assert near[4] == 0 and len(near) == 6
+    prints = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
+    assert prints[0]["fingerprint"] == prints[4]["fingerprint"] and prints[1]["n_chars"] == 1_000_000
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    assert toxicity.score(docs, labels).count() == 6
+    out = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.shard_rows(docs, shards=3).collect()}
+    assert out == {i: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
