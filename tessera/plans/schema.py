@@ -135,6 +135,8 @@ _ATOM = re.compile(r"^\(*\s*(\w+)\s*(>=|<=|<>|!=|=|>|<)\s*('[^']*'|-?\d+(?:\.\d+
 _FLIPPED = re.compile(r"^\(*\s*('[^']*'|-?\d+(?:\.\d+)?)\s*(>=|<=|>|<)\s*(\w+)\s*\)*$", re.S)
 _BETWEEN = re.compile(r"^\(*\s*(\w+)\s+between\s+('[^']*'|-?[\d.]+)\s+and\s+('[^']*'|-?[\d.]+)\s*\)*$", re.I | re.S)
 _IN = re.compile(r"^\(*\s*(\w+)\s+(not\s+)?in\s*\(([^()]*)\)\s*\)*$", re.I | re.S)
+_NOT = re.compile(r"^\(*\s*not\s*\(\s*([^()]+?)\s*\)\s*\)*$|^\(*\s*not\s+([^()]+?)\s*\)*$", re.I | re.S)
+_INVERSE = {">": "<=", ">=": "<", "<": ">=", "<=": ">", "=": "<>", "<>": "=", "!=": "="}
 _TURN = {">=": "<=", "<=": ">=", ">": "<", "<": ">"}
 
 
@@ -146,7 +148,7 @@ def check_bounds(check: str) -> dict[str, dict]:
     """Bounds by column that a CHECK of simple comparisons joined by AND gives; {} where it is more than
     that (it is still validated as a predicate)."""
     text = check.strip()
-    if re.search(r"\bor\b|\blike\b|\w\s*\(", re.sub(r"\bin\s*\(", "", re.sub(r"'[^']*'", "''", text), flags=re.I), re.I):
+    if re.search(r"\bor\b|\blike\b|\w\s*\(", re.sub(r"\b(?:in|not)\s*\(", "", re.sub(r"'[^']*'", "''", text), flags=re.I), re.I):
         return {}
     parts = re.split(r"\band\b", re.sub(r"(\bbetween\s+\S+\s+)and\b", r"\1\0", text, flags=re.I), flags=re.I)
     out: dict[str, dict] = {}
@@ -157,12 +159,15 @@ def check_bounds(check: str) -> dict[str, dict]:
             values = [_value(v.strip()) for v in m[3].split(",")]
             found = [(m[1], "excluded" if m[2] else "values", values, False)]
         else:
+            negated = _NOT.match(part)
+            part = (negated[1] or negated[2]) if negated else part
             m = _ATOM.match(part)
             name, op, value = m.groups() if m else (None, None, None)
             if not m:
                 if not (m := _FLIPPED.match(part)):
                     return {}
                 value, op, name = m[1], _TURN[m[2]], m[3]
+            op = _INVERSE[op] if negated else op
             value = _value(value)
             found = {
                 ">": [(name, "low", value, True)], ">=": [(name, "low", value, False)], "<": [(name, "high", value, True)], "<=": [(name, "high", value, False)],

@@ -4,6 +4,7 @@ writes in parts, in row order; quarantined rows are never written."""
 from __future__ import annotations
 
 import base64
+import posixpath
 import re
 from functools import reduce
 
@@ -34,6 +35,19 @@ def file_names(tables: list[str], suffix: str) -> dict[str, str]:
     return names
 
 
+def contained(folder: str, name: str) -> str:
+    """The path of a name within a folder; one that leads out of it is an error."""
+    top = posixpath.normpath(folder)
+    path = posixpath.normpath(posixpath.join(top, name))
+    if not name or "\\" in name or "\0" in name or posixpath.dirname(path) != top:
+        raise ExportError(f"{name!r} is no name of a file in {folder!r}")
+    return path
+
+
+def header_of(columns: list[str]) -> str:
+    return ",".join('"' + c.replace('"', '""') + '"' if re.search('[,"\n\r]', c) else c for c in columns)
+
+
 def write_csv(data: Dataset, folder: str) -> dict[str, str]:
     """A folder <table>.csv of text parts for each table, each with the header, as readers of such folders expect."""
     names = file_names([t.name for t in data.schema.tables], "csv")
@@ -41,8 +55,7 @@ def write_csv(data: Dataset, folder: str) -> dict[str, str]:
         columns = [c.name for c in table.columns]
         rows = data.rows(table.name)
         lines = rows.select("idx", cells.csv_line(rows, columns).alias("value"))
-        header = ",".join('"' + c.replace('"', '""') + '"' if re.search('[,"\n\r]', c) else c for c in columns)
-        _write_lines(lines, header, f"{folder}/{names[table.name]}")
+        _write_lines(lines, header_of(columns), contained(folder, names[table.name]))
     return names
 
 
@@ -59,7 +72,7 @@ def write_json(data: Dataset, folder: str) -> dict[str, str]:
     names = file_names([t.name for t in data.schema.tables], "json")
     for table in data.schema.tables:
         rows = data.rows(table.name)
-        rows.sort("idx").select(cells.json_object(rows, [c.name for c in table.columns]).alias("value")).write.text(f"{folder}/{names[table.name]}")
+        rows.sort("idx").select(cells.json_object(rows, [c.name for c in table.columns]).alias("value")).write.text(contained(folder, names[table.name]))
     return names
 
 

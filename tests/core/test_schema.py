@@ -152,3 +152,9 @@ def test_parameters_of_generators_and_distributions():
         choose(schema, read_config_text("tables: {t: {columns: {x: {generator: normal, params: {sigma: 2}}}}}"))
     with pytest.raises(ConfigError, match="distribution.std: zipf"):
         read_config_text("tables: {t: {columns: {x: {generator: numeric_range, params: {distribution: {family: zipf, params: {std: 1}}}}}}}")
+
+
+def test_negated_comparisons_are_bounds():
+    assert check_bounds("NOT (x < 0)") == {"x": {"low": 0, "low_exclusive": False}} and check_bounds("not x >= 5 and x > 1") == {"x": {"high": 5, "high_exclusive": True, "low": 1, "low_exclusive": True}}
+    assert check_bounds("(NOT (x = 3))") == {"x": {"excluded": [3]}} and check_bounds("NOT (0 > x)") == {"x": {"low": 0, "low_exclusive": False}}
+    assert check_bounds("NOT (x < 0 AND y > 1)") == {} and check_bounds("NOT (lower(x) = 'a')") == {}
