@@ -8,8 +8,9 @@ non-overlapping per kind, and always stay. One further pattern proposes candidat
 classifier accepts are added.
 
 EM sees votes alone: a labeler that abstains says nothing, one that votes is right at rates of its own for
-true and for false spans. The classifier sees no votes but what a span looks like (size, kinds of characters,
-checksums) and what stands before it, weighted by EM's posteriors. Both learn from one table of counts by
+true and for false spans. The classifier sees what a span looks like (size, kinds of characters, checksums) and
+what stands before it, weighted by EM's posteriors; its features `form` and `word` are the evidence that the shape
+and the context labeler vote by, so it isn't independent of these two. Both learn from one table of counts by
 kind, votes and feature, bounded by kinds x 3^labelers x features, never from texts or spans; its counts cover
 all rows. What an added span gets depends on these counts, so on the other rows.
 
@@ -135,30 +136,38 @@ def _check(kind: str) -> Callable[[Column], Column]:
 _CHUNK = 64
 
 
-def _empty(element: str) -> Column:
-    return F.expr(f"cast(array() as array<{element}>)")
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once: lambdas would evaluate an expression again each time."""
+    return F.transform(F.array(value), use)[0]
 
 
-def scan(items: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], element: str) -> Column:
-    """Array of emit(state, item), where the state is an int from 0 on and step(state, item) the next one.
-    An array grows by copying, so items are taken in chunks and only the chunks' results are collected.
-    Wrapping an expression in an array of one names it: lambdas would evaluate it again each time."""
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
-    def within(acc: Column, item: Column) -> Column:
-        return F.struct(step(acc["state"], item).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], item))).alias("out"))
 
-    def chunk_after(done: Column, chunk: Column) -> Column:
-        state = F.coalesce(F.try_element_at(done, F.lit(-1))["state"], F.lit(0))
-        first = F.struct(state.alias("state"), _empty(element).alias("out"))
-        return F.concat(done, F.array(F.aggregate(chunk, first, within)))
+def running(values: Column, join: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """What joins the ints before each one, from 0 on, by an associative function such as a sum. An array grows by
+    copying, so only chunks grow: first come the chunks' totals, whose running values (by chunks again, two levels
+    up) are where each chunk starts. So time is linear up to chunks^3 and far beyond."""
 
-    def whole(named: Column) -> Column:
+    def within(chunk: Column, first: Column) -> Column:
+        def step(acc: Column, value: Column) -> Column:
+            return F.struct(join(acc["at"], value).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        return F.aggregate(chunk, F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out")), step)["out"]
+
+    if levels == 1:
+        return within(values, F.lit(0))
+
+    def cut(named: Column) -> Column:
         last = F.greatest(F.floor((F.size(named) - 1) / _CHUNK), F.lit(0)).cast("int")
-        chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(named, c * _CHUNK + 1, F.lit(_CHUNK)))
-        done = F.aggregate(chunks, _empty(f"struct<state:int,out:array<{element}>>"), chunk_after)
-        return F.flatten(F.transform(done, lambda d: d["out"]))
+        return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(named, c * _CHUNK + 1, F.lit(_CHUNK)))
+
+    def whole(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), join))
+        return F.flatten(F.zip_with(chunks, running(totals, join, levels - 1), within))
 
-    return F.transform(F.array(items), whole)[0]
+    return _named(_named(values, cut), whole)
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -168,12 +177,15 @@ def found(text: Column, pattern: str) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.split(text, pattern, -1).alias("gap")
     )
 
-    def span(at: Column, pair: Column) -> Column:
+    def span(pair: Column, at: Column) -> Column:
         start = at + F.length(pair["gap"])
         return F.struct(start.alias("start"), (start + F.length(pair["value"])).alias("end"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(30)).alias("before"))
 
-    matched = F.filter(pairs, lambda p: p["value"].isNotNull())
-    return scan(matched, lambda at, p: at + F.length(p["gap"]) + F.length(p["value"]), span, "struct<start:int,end:int,value:string,before:string>")
+    def placed(matched: Column) -> Column:
+        sizes = F.transform(matched, lambda p: F.length(p["gap"]) + F.length(p["value"]))
+        return F.zip_with(matched, running(sizes, lambda a, b: a + b), span)
+
+    return _named(F.filter(pairs, lambda p: p["value"].isNotNull()), placed)
 
 
 def _kind_of(value: Column) -> Column:
@@ -205,13 +217,21 @@ def candidates(text: Column) -> Column:
         base.append(F.when(needs[kind], spans).otherwise(nothing) if kind in needs else spans)
     proposed = typed(found(text, PROPOSE), _kind_of)
 
-    def clear(sure: Column) -> Column:
-        def apart(s: Column) -> Column:
-            return ~F.exists(sure, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    def clear(both: Column) -> Column:
+        # A sweep: a proposal stands at its end, after all base spans that start before it, and is clear if none
+        # of these ends after its start.
+        def swept(events: Column) -> Column:
+            ends = F.transform(events, lambda e: F.when(e["base"], e["span"]["end"]).otherwise(0))
+            reached = F.zip_with(events, running(ends, _larger), lambda e, most: F.struct(e["span"].alias("span"), (e["base"] | (most <= e["span"]["start"])).alias("stays")))
+            return F.transform(F.filter(reached, lambda e: e["stays"]), lambda e: e["span"])
+
+        def event(s: Column) -> Column:
+            return F.struct(F.when(is_base(s), s["start"]).otherwise(s["end"]).alias("at"), is_base(s).alias("base"), s.alias("span"))
 
-        return F.concat(sure, F.filter(proposed, apart))
+        mixed = F.exists(both, lambda s: ~is_base(s)) & F.exists(both, is_base)
+        return F.when(mixed, _named(F.sort_array(F.transform(both, event)), swept)).otherwise(both)
 
-    return F.array_sort(F.transform(F.array(F.concat(*base)), clear)[0])
+    return F.sort_array(_named(F.concat(*base, proposed), clear))
 
 
 def is_base(span: Column) -> Column:
@@ -291,7 +311,7 @@ def features(span: Column) -> Column:
         "size": F.least(F.floor(F.log2(size)), F.lit(8)).cast("string"),
         "digits": share("[^0-9]"),
         "capitals": share(r"[^\p{Lu}]"),
-        "different": F.floor(4 * F.size(F.array_distinct(F.split(F.left(value, F.lit(256)), ""))) / F.least(size, F.lit(256))).cast("string"),
+        "different": F.floor(4 * F.size(F.array_distinct(F.split(value, ""))) / size).cast("string"),
         "form": shape(span),
         "word": context(span),
         "edge": edge,
@@ -358,9 +378,18 @@ def train(counts: list[tuple[str, str, str, int]]) -> dict[tuple[str, str], floa
 
 def odds(span: Column, weights: dict[tuple[str, str], float]) -> Column:
     """The classifier's log-odds that a span is personal data."""
-    table = F.create_map(*[F.lit(x) for (kind, feature), w in weights.items() for x in (f"{kind} {feature}", w)])
-    names = F.concat(F.array(F.lit("")), features(span))
-    return F.aggregate(names, F.lit(0.0), lambda z, f: z + F.coalesce(F.try_element_at(table, F.concat(span["kind"], F.lit(" "), f)), F.lit(0.0)))
+    tables: dict[str, list[Column]] = defaultdict(list)
+    for (kind, feature), weight in weights.items():
+        tables[kind] += [F.lit(feature), F.lit(weight)]
+    table = F.when(F.lit(False), F.create_map(F.lit(""), F.lit(0.0)))
+    for kind, entries in tables.items():
+        table = table.when(span["kind"] == kind, F.create_map(*entries))
+
+    def total(found: Column) -> Column:
+        names = F.concat(F.array(F.lit("")), features(span))
+        return F.aggregate(names, F.lit(0.0), lambda z, f: z + F.coalesce(F.try_element_at(found, f), F.lit(0.0)))
+
+    return _named(table, total)
 
 
 def _accepted(spans: Column, weights: dict[tuple[str, str], float]) -> Column:
@@ -409,21 +438,31 @@ def redact(docs: DataFrame) -> DataFrame:
     candidates are written once to the shared folder, as texts are searched only once."""
     rows = common.written(docs.withColumn("__spans", candidates(F.coalesce("text", F.lit("")))), "spans")
     weights = train(pattern_counts(rows.select(F.col("__spans").alias("spans"))))
-    marks = scan(
-        _accepted(F.col("__spans"), weights),
-        lambda at, s: F.greatest(at, s["end"]),
-        lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
-        "struct<at:int,start:int,end:int,kind:string>",
-    )
-    rows = rows.withColumn("__marks", marks)
-    text, cut = F.col("text"), F.col("__marks")
+    rows = rows.withColumn("__spans", _accepted(F.col("__spans"), weights))
+    text = F.col("text")
+
+    def marks(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: s["end"]), _larger)
+        return F.zip_with(spans, ends, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    rows = rows.withColumn("__marks", _named(F.col("__spans"), marks))
+    cut = F.col("__marks")
+
+    def replaced(points: Column) -> Column:
+        def between(start: Column, size: Column) -> Column:
+            # the A in front keeps a first U+FEFF from being read as a byte order mark
+            part = F.concat(F.encode(F.lit("A"), "UTF-32"), F.substring(points, 4 * start + 1, 4 * size))
+            return F.substring(F.decode(part, "UTF-32"), F.lit(2), size)
+
+        def piece(m: Column) -> Column:
+            return F.concat(between(m["at"], m["start"] - m["at"]), F.lit("["), F.upper(m["kind"]), F.lit("]"))
 
-    def piece(m: Column) -> Column:
-        return F.concat(F.substring(text, m["at"] + 1, m["start"] - m["at"]), F.lit("["), F.upper(m["kind"]), F.lit("]"))
+        last = F.array_max(F.transform(cut, lambda m: m["end"]))
+        pieces = F.transform(F.filter(cut, lambda m: m["start"] >= m["at"]), piece)
+        return F.concat(F.array_join(pieces, ""), between(last, F.length(text) - last))
 
-    pieces = F.transform(F.filter(cut, lambda m: m["start"] >= m["at"]), piece)
-    tail = F.substring(text, F.array_max(F.transform(cut, lambda m: m["end"])) + 1, F.length(text))
-    clean = F.when(F.size(cut) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    # Four bytes a character: a piece is cut out without walking the text up to it.
+    clean = F.when(F.size(cut) > 0, _named(F.encode(text, "UTF-32"), replaced)).otherwise(text)
     rows = rows.withColumn("text", clean)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -363,6 +364,50 @@ def test_ibans_and_secrets_are_redacted_whole(spark):
     assert got(pii.redact(docs), "doc_id", "text") == sorted(((i, t) for i, (_, t) in enumerate(texts)), key=repr)
 
 
+def test_running_values(spark):
+    rng = random.Random(5)
+    arrays = [[rng.randrange(-50, 50) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 128, 4095, 4096, 4097, 9000)]
+    rows = spark.createDataFrame(list(enumerate(arrays)), "doc_id int, v array<int>")
+    for join, plain in ((lambda a, b: a + b, lambda a, b: a + b), (pii._larger, max)):
+        found = got(rows.select("doc_id", pii.running(pii.F.col("v"), join).alias("r")), "doc_id", "r")
+        assert [r for _, r in sorted(found)] == [list(accumulate(a, plain, initial=0))[:-1] for a in arrays]
+
+
+def test_proposals_apart_from_base_spans_and_their_redaction(spark):
+    """Overlaps and cuts against plain loops, with characters beyond 16 bits and byte order marks."""
+    rng = random.Random(9)
+    pieces = ["a@b.co", "1.2.3.4", "4111111111111111", "+1 640 555 0953", "123-45-6789", "640-555-0953", "DE89370400440532013000", "token=abcdef123456", "Anna Berger",
+              " ", " ", " ", ".", "-", "\U0001f600", "\ufeff", "é", "A"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(1, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    F = pii.F
+    each = docs.select("doc_id", pii.candidates(F.col("text")).alias("all"), pii.found(F.col("text"), pii.PROPOSE).alias("proposed"))
+    kept = 0
+    for r in each.collect():
+        base = [s for s in r["all"] if s["no"] <= 4]
+        want = [(s["start"], s["end"]) for s in r["proposed"] if not any(b["start"] < s["end"] and s["start"] < b["end"] for b in base)]
+        assert [(s["start"], s["end"]) for s in r["all"] if s["no"] > 4] == want and r["all"] == sorted(r["all"])
+        kept += len(want) not in (0, len(r["proposed"]))
+    assert kept > 20
+    clean = dict(got(pii.redact(docs), "doc_id", "text"))
+    for r in pii.detect(docs).collect():
+        text, out, at = texts[r["doc_id"]], "", 0
+        for s in r["spans"]:
+            if s["start"] >= at:
+                out += f"{text[at : s['start']]}[{s['kind'].upper()}]"
+            at = max(at, s["end"])
+        assert clean[r["doc_id"]] == out + text[at:]
+
+
+@pytest.mark.parametrize("unit, count, clean", [("10.1.2.3 123-45-6789 ", "n_ip", "[IP] [SSN] "), ("a.b@", "n_email", "[EMAIL]@")])
+def test_pii_of_a_text_with_very_many_spans(spark, unit, count, clean):
+    n = 400_000 // len(unit)
+    docs = spark.createDataFrame([(1, unit * n), (2, "x")], "doc_id long, text string")
+    spans = n // (2 if "@" in unit else 1)
+    assert got(pii.span_digests(docs), "doc_id", count) == [(1, spans), (2, 0)]
+    assert got(pii.redact(docs), "doc_id", "text") == [(1, clean * spans), (2, "x")]
+
+
 def test_weak_supervision_learns_reliabilities():
     counts = {("ssn", "+0+0"): 60, ("ssn", "+000"): 40, ("ssn", "-00-"): 50, ("iban", "--00"): 30, ("iban", "++00"): 30, ("ip", "+000"): 900, ("card", "++00"): 500}
     found = pii.posteriors(counts)
