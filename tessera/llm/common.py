@@ -67,6 +67,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of joins that shuffle and sort both sides. Spark takes what a Python function or an explode makes for
+    as large as their input, so a side that they make many times larger would be broadcast, through the driver."""
+    return df.hint("merge")
+
+
 def look_up(rows: DataFrame, found: DataFrame, key: list[str], row_id: str, leaves: int) -> DataFrame:
     """rows left-joined with found (one row for each key), for keys of which one may hold a large
     part of the rows: rows are dealt to leaves by their id, each leaf asks once for each of its keys,

@@ -17,7 +17,8 @@ Groups: exact copies of a fingerprint are one node. Buckets of up to `bucket` no
 place and give a spanning forest of their links. All nodes of larger buckets take an exact path of
 linear size: two fingerprints are within 2 bits if and only if their balls of radius one meet, so each
 node names its 65 ball points and joins the smallest node of each. Components come from alternating
-large-star and small-star rounds, each cut by a checkpoint.
+large-star and small-star rounds, each cut by a checkpoint. All joins shuffle both sides: a node has some 16 keys or 65
+points, so what Spark takes for small by the nodes may be large, and nothing of it passes through the driver.
 
 Null texts count as empty. A row's group depends on its text alone: rows that repeat a doc_id may be in
 different groups, and rows with a null doc_id are grouped too (component_id is null if all are).
@@ -189,7 +190,7 @@ def ball_links(nodes: DataFrame) -> DataFrame:
     """Links of the nodes (fp) by common points of their balls of radius one; no pairs are made."""
     points = nodes.select("fp", F.explode(F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return points.join(least, "point").where("a <> fp").select("a", F.col("fp").alias("b"))
+    return points.join(common.shuffled(least), "point").where("a <> fp").select("a", F.col("fp").alias("b"))
 
 
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -197,7 +198,7 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     parts = common.partitions(nodes.sparkSession)
     keys = keyed(nodes)
     sizes = keys.groupBy("key").count().where("count > 1")
-    shared = keys.join(sizes, "key")
+    shared = keys.join(common.shuffled(sizes), "key")
     small = shared.where(F.col("count") <= bucket).select("key", "fp")
     hot = shared.where(F.col("count") > bucket).select("fp").distinct()
     small = small.repartition(parts, "key").sortWithinPartitions("key", "fp")
@@ -214,12 +215,12 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # a component's smallest node may have all its edges, so they are dealt by their other end
-        told = common.look_up(both.where("b > a"), least, ["a"], "b", 16)
+        told = common.look_up(common.shuffled(both.where("b > a")), least, ["a"], "b", 16)
         return oriented(told.select(F.col("b").alias("a"), F.col("m").alias("b")))
 
     def small_star(e: DataFrame) -> DataFrame:
         least = e.groupBy("a").agg(F.min("b").alias("m"))
-        moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = e.join(common.shuffled(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return oriented(moved.union(least.select("a", F.col("m").alias("b"))))
 
     def state(e: DataFrame) -> tuple:
@@ -242,10 +243,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     fps = common.checkpointed(fingerprints(docs))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(nodes)).withColumnRenamed("node", "fp")
-    linked = nodes.join(found, "fp", "left")
+    linked = nodes.join(common.shuffled(found), "fp", "left")
     least = linked.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    named = linked.join(least, "component", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    rows = common.look_up(fps, named, ["fp"], "doc_id", max(64, common.partitions(docs.sparkSession)))
+    named = linked.join(common.shuffled(least), "component", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    rows = common.look_up(common.shuffled(fps), named, ["fp"], "doc_id", max(64, common.partitions(docs.sparkSession)))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

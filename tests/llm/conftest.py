@@ -44,3 +44,11 @@ def empty(spark):
 
 def got(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def broadcasts(df) -> int:
+    """Broadcasts of the plan that was run for df's rows."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    return plan.split("== Initial Plan ==")[0].count("BroadcastExchange")

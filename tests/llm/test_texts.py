@@ -12,9 +12,10 @@ from itertools import accumulate
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, exact_dedup, fingerprint, packing, pii, simhash, token_counts, tokens
-from tests.llm.conftest import got, prose
+from tests.llm.conftest import broadcasts, got, prose
 
 
 def sha(data) -> str:
@@ -137,6 +138,13 @@ def test_exact_groups(docs, rows, empty):
     assert got(kept, "doc_id", "text") == sorted({(i, t) for (i, t), w in zip(rows, want) if w[3]}, key=repr)
 
 
+def test_simhash_keys_and_points_are_not_broadcast(spark):
+    """A node has some 16 keys or 65 points, which Spark takes for as large as the nodes."""
+    nodes = spark.range(0, 3000, 1, 4).select((F.col("id") * 7919).alias("fp")).distinct()
+    assert broadcasts(simhash.links(nodes)) == 0 == broadcasts(simhash.ball_links(nodes))
+    assert broadcasts(simhash.near_groups(spark.createDataFrame([(i, prose(i, 9)) for i in range(50)], "doc_id long, text string"))) == 0
+
+
 def test_simhash_fingerprint_by_the_definition():
     import xxhash
 
