@@ -39,6 +39,7 @@ SHARE = (30, 90)  # of a positive's score, per cent
 ROWS = 2048  # of a block
 ANCHORS = 512
 LANE = 16  # blocks of rows in a lane, when there are many
+GOLDEN = (5**0.5 - 1) / 2  # steps of this part of a circle are spread evenly
 SPARSE = 1 / 16  # with a smaller share of pairs left, they are summed one by one
 BLOCK = "lane int, kind string, n int, ids binary, labels binary, v binary"
 
@@ -114,13 +115,13 @@ def _blocks(rows: DataFrame, lanes: int, size: int, extra: list[str] = []) -> Da
     """Rows packed in blocks of `size`; blocks are dealt to lanes by their place in their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
+        first = int(TaskContext.get().partitionId() * GOLDEN % 1 * lanes)  # else tasks of few blocks all fill the first lanes
         for i, block in enumerate(vectors.blocks(batches, size)):
             kind, data = vectors.packed(vectors.matrix(block.column("v")))
             ids, labels = (block.column(c).to_numpy().astype("<i8").tobytes() for c in ("vec_id", "label"))
             more = [pa.array([vectors.matrix(block.column(c)).astype("<i8").tobytes() if pa.types.is_list(block.column(c).type) else block.column(c).to_numpy().astype("<i8").tobytes()], pa.binary()) for c in extra]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(task + i) % lanes], pa.int32()), pa.array([kind]), pa.array([block.num_rows], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids, labels, data)), *more],
+                [pa.array([(first + i) % lanes], pa.int32()), pa.array([kind]), pa.array([block.num_rows], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids, labels, data)), *more],
                 ["lane", "kind", "n", "ids", "labels", "v", *extra],
             )
 
@@ -128,11 +129,13 @@ def _blocks(rows: DataFrame, lanes: int, size: int, extra: list[str] = []) -> Da
 
 
 def _met(rows: DataFrame, anchors: DataFrame, lanes: int, count: int, extra: list[str]) -> DataFrame:
-    """Each block of anchors with each block of rows."""
+    """Each block of anchors with each block of rows. Both are shuffled to lanes: the copies of the anchors, one
+    for each lane, may be large, and a broadcast would hold them in the driver. Lanes keep partitions of their own, as
+    a task's work isn't told by its bytes."""
     own = _blocks(anchors.repartition(max(1, -(-count // ANCHORS))), 1, ANCHORS, extra)
     own = own.select(*[F.col(c).alias(f"a_{c}") for c in own.columns if c != "lane"])
     own = own.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return own.join(_blocks(rows, lanes, ROWS), "lane")
+    return common.shuffled(own.repartition(lanes, "lane")).join(_blocks(rows, lanes, ROWS).repartition(lanes, "lane"), "lane")
 
 
 def _longs(data: bytes) -> np.ndarray:
@@ -218,17 +221,17 @@ def mine(table: DataFrame, every: int = 100) -> DataFrame:
     anchors = rows.where(F.col("vec_id") % every == 0).withColumn("anchor", F.monotonically_increasing_id())
     anchors = common.written(anchors, "anchors")
     n, count = rows.count(), anchors.count()
-    lanes = max(1, -(-n // (ROWS * LANE)), min(-(-n // ROWS), 2 * common.partitions(spark)))
+    lanes = max(1, -(-n // (ROWS * LANE)), min(-(-n // ROWS), 4 * spark.sparkContext.defaultParallelism))
     positives = _met(rows, anchors, lanes, count, ["anchor"]).mapInArrow(_positives, "anchor long, vec_id long, score long")
     positives = common.written(_first(positives, ["anchor"], POSITIVES), "positives")
     goals = positives.groupBy("anchor").agg(F.sort_array(F.collect_set("score")).alias("goals"))  # POSITIVES at most
     filled = F.concat("goals", F.array_repeat(F.lit(-1).cast("long"), F.lit(POSITIVES) - F.size("goals")))
-    asking = anchors.join(goals.withColumn("goals", filled), "anchor")
+    asking = anchors.join(common.shuffled(goals.withColumn("goals", filled)), "anchor")
     negatives = _met(rows, asking, lanes, count, ["anchor", "goals"]).mapInArrow(_negatives, "anchor long, goal long, vec_id long, score long")
     negatives = _first(negatives, ["anchor", "goal"], NEGATIVES)
-    named = positives.join(anchors.select("anchor", F.col("vec_id").alias("anchor_id")), "anchor")
+    named = positives.join(common.shuffled(anchors.select("anchor", F.col("vec_id").alias("anchor_id"))), "anchor")
     named = named.select("anchor", "anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("goal"))
-    return named.join(negatives, ["anchor", "goal"]).select(
+    return named.join(common.shuffled(negatives), ["anchor", "goal"]).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("goal").alias("positive_score"), F.col("score").alias("negative_score")
     )
 

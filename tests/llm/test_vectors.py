@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import entry, hard_negatives, sharding, vector_codes
-from tests.llm.conftest import got
+from tests.llm.conftest import broadcasts, got
 
 SCHEMA = "vec_id long, embedding array<float>, label int, anchor long, lane int, score double, n int, rank int"
 
@@ -74,6 +74,12 @@ def plain_short() -> list[tuple]:
     return [(0, 1, 1, 2, 16384, 8192)]
 
 
+def test_lanes_of_anchors_are_not_broadcast(spark):
+    """Anchors are copied for each lane, which Spark takes for as large as the anchors."""
+    df = frame(spark, vector_rows(3000, 8, 7))
+    assert broadcasts(hard_negatives.mine(df.select("vec_id", "label", "embedding"))) == 0
+
+
 def test_planes_are_exact():
     rng = np.random.default_rng(3)
     for most in (1, 5, 3000, 2**20):
