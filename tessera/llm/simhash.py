@@ -256,5 +256,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     names = docs.columns
     kept = near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    named = rows.join(kept, "__id", "left_semi").select(*names)
+    named = rows.join(common.shuffled(kept), "__id", "left_semi").select(*names)
     return named.unionByName(docs.where(F.col("doc_id").isNull()))

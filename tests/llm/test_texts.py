@@ -142,7 +142,8 @@ def test_simhash_keys_and_points_are_not_broadcast(spark):
     """A node has some 16 keys or 65 points, which Spark takes for as large as the nodes."""
     nodes = spark.range(0, 3000, 1, 4).select((F.col("id") * 7919).alias("fp")).distinct()
     assert broadcasts(simhash.links(nodes)) == 0 == broadcasts(simhash.ball_links(nodes))
-    assert broadcasts(simhash.near_groups(spark.createDataFrame([(i, prose(i, 9)) for i in range(50)], "doc_id long, text string"))) == 0
+    docs = spark.createDataFrame([(i, prose(i, 9)) for i in range(50)], "doc_id long, text string")
+    assert broadcasts(simhash.near_groups(docs)) == 0 == broadcasts(simhash.keep_one(docs))
 
 
 def test_simhash_fingerprint_by_the_definition():
