@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+FEW = 10_000  # ranges that every task may hold
+
+
 def ranges_of(df: DataFrame, by: Column) -> DataFrame:
     """df with __range, the number of the range of a numeric column between its approximate quantiles; the
     range of a row is found by binary search. Nulls are in the first range."""
@@ -54,10 +57,11 @@ def range_lookup(points: DataFrame, at: str, ranges: DataFrame, total: int, cell
     """Each point joined with the range [low, high) that holds the long `at`. Ranges within [0, total)
     don't overlap. Both sides meet by equality in buckets: cells of equal width, so that points are spread,
     and a cell with more than `full` ranges is cut again into equal parts, so that a point meets few ranges
-    (a count for each cell goes to the driver)."""
+    (a count for each cell goes to the driver). Up to FEW ranges are broadcast, so that points stay where they are;
+    of more ranges, both sides are shuffled. Points are never gathered where the ranges are: these may be in one task."""
     width = max(1, -(-total // cells))
     known = ranges.where("high > low")
-    counts = known.groupBy(F.floor(F.col("low") / width).cast("int").alias("cell")).count().where(F.col("count") > full).collect()
+    counts = known.groupBy(F.floor(F.col("low") / width).cast("int").alias("cell")).count().collect()
     parts = [1] * cells
     for r in counts:
         parts[r["cell"]] = min(width, -(-r["count"] // full))
@@ -75,5 +79,9 @@ def range_lookup(points: DataFrame, at: str, ranges: DataFrame, total: int, cell
         return F.flatten(F.transform(bounds, lambda x: F.sequence(place(x["a"]), place(x["b"]))))
 
     spread = known.withColumn("__b", F.explode(ends(F.col("low"), F.col("high") - 1)))
-    keyed = points.withColumn("__b", place(F.col(at)))
+    keyed = points.withColumn("__b", F.coalesce(place(F.col(at)), F.lit(-1)))  # never null: else the join looks twice
+    if sum(r["count"] for r in counts) <= FEW:
+        spread = F.broadcast(spread)
+    else:  # by a number of our own: what is computed of a point isn't told by its bytes
+        keyed = keyed.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__b").hint("merge")
     return keyed.join(spread, "__b").where((F.col(at) >= F.col("low")) & (F.col(at) < F.col("high"))).drop("__b", "low", "high")

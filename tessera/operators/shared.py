@@ -168,7 +168,8 @@ class _Joint:
     def numbered(self, rows: DataFrame, tag: str, n: int, dense: bool) -> DataFrame:
         """rows with __n, a permutation of the rows' numbers."""
         rows = rows.withColumn("__k", F.col("idx")) if dense else numbered(rows, [F.col("idx")], "__k")
-        return rows.withColumn("__n", permuted(Cell(self.seed, self.table, tag, F.col("idx")), F.col("__k"), n, "label")).drop("__k")
+        number = permuted(Cell(self.seed, self.table, tag, F.col("idx")), F.col("__k"), n, "label")
+        return rows.withColumn("__n", F.coalesce(number, F.lit(0))).drop("__k")  # never null, so joins needn't look
 
     def free(self, rows: DataFrame) -> DataFrame:
         """Rows without a limited key: each draws its group by the parents of its first key."""
@@ -287,22 +288,27 @@ class _Joint:
     def run(self) -> DataFrame:
         rows = self.grouped().drop("__p")
         key = group_key(self.group)
+        places = {}  # all of them before any join: a join may leave the rows to a few tasks
         for i, side in enumerate(self.sides):
             cell, size, rank = Cell(self.seed, self.table, side.label, F.col("idx")), F.col(f"n{i}"), F.col(f"__rank{i}")
             if side.strategy == "quota":
                 rank = permuted(cell, rank, F.col(f"__all{i}"), "child", key)
             place = member(cell, side.strategy, rank, size, side.s, side.low, side.high, key)
             there = (size > 0) & self.coin(i) if i in self.coins else size > 0
-            rows = taken(rows, side.members, self.group, F.when(there, place))
-        return rows.drop("gid", *self.sizes, *[f"__{x}{i}" for x in ("rank", "all") for i in range(len(self.sides))])
+            places[f"__place{i}"] = F.when(there, place)
+        rows = rows.withColumns(places)
+        for i, side in enumerate(self.sides):
+            rows = taken(rows, side.members, self.group, F.col(f"__place{i}"))
+        return rows.drop(*places, "gid", *self.sizes, *[f"__{x}{i}" for x in ("rank", "all") for i in range(len(self.sides))])
 
 
 def taken(rows: DataFrame, members: DataFrame, group: list[str], place: Column) -> DataFrame:
     """rows with what the member at a place of their group has, by order of pidx; none where the place is null (these
-    rows look for places that nobody has, so that they don't meet in one task)."""
+    rows look for places that nobody has, so that they don't meet in one task). Both sides are shuffled: members are as
+    many as parents, and a broadcast would hold them in the driver."""
     placed = positions(members, group, ["pidx"], "__pos").drop("n", "pidx")
     asked = rows.withColumn("__pos", F.coalesce(place, -1 - F.col("idx")))
-    return asked.join(placed, [*group, "__pos"], "left").drop("__pos")
+    return asked.join(placed.hint("merge"), [*group, "__pos"], "left").drop("__pos")
 
 
 def assigned(rows: DataFrame, n: int, sides: list[Side], group: list[str], seed: int, table: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.draws import Cell, permuted
-from tessera.operators import assign, shared
+from tessera.operators import assign, ranks, shared
 from tessera.plans.dataset import generate
 from tessera.sources.config import read_config_text
 from tessera.sources.ddl import read_ddl
@@ -242,3 +242,14 @@ def test_tuples_beyond_a_long(spark):
     assert all(0 <= r[c] < 10**9 for r in wide for c in "abc")
     full = assign.tuples(spark.range(24).withColumnRenamed("id", "idx"), [2, 3, 4], ["a", "b", "c"], 1, "t").collect()
     assert len({(r["a"], r["b"], r["c"]) for r in full}) == 24
+
+
+def test_points_stay_spread_however_few_the_ranges(spark, monkeypatch):
+    """A few points' bytes may be much work: they aren't gathered in the task of the ranges."""
+    ranges = spark.range(0, 5, 1, 1).select((F.col("id") * 200).alias("low"), (F.col("id") * 200 + 200).alias("high"), F.col("id").alias("g"))
+    points = spark.range(0, 1000, 1, 8).withColumnRenamed("id", "at")
+    for few in (ranks.FEW, 1):
+        monkeypatch.setattr(ranks, "FEW", few)
+        found = ranks.range_lookup(points, "at", ranges, 1000)
+        assert sorted((r["at"], r["g"]) for r in found.collect()) == [(i, i // 200) for i in range(1000)]
+        assert found.select(F.spark_partition_id()).distinct().count() >= 4
